@@ -155,11 +155,13 @@ class FeatureMap:
                 (f.src, f.field, f.name, f.encoding, f.multi_hot, f.use_value, f.vocab_tokens, f.hash_bucket)
                 + (f.vocab_offset, f.head_rows, f.total_rows, k, s.strategy, s.default)
                 + (s.non_one_ratio, s.value_std, s.mix_value_share)
+                + (f.embedding_dim, f.pooling, f.max_len)
             )
         schema = (
             "src tinyint, field string, name string, encoding string, multi_hot boolean, use_value boolean, "
             "vocab_tokens long, hash_bucket long, vocab_offset long, head_rows long, total_rows long, k long, "
-            "strategy string, default_strategy string, non_one_ratio double, value_std double, mix_value_share double"
+            "strategy string, default_strategy string, non_one_ratio double, value_std double, mix_value_share double, "
+            "embedding_dim int, pooling string, max_len int"
         )
         return spark.createDataFrame(rows, schema)
 
