@@ -8,6 +8,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEX_DIGITS = 15
 HASH_SPACE = float(1 << (4 * HEX_DIGITS))
@@ -55,7 +56,7 @@ def token_bucket(src: Column, field: Column, fid: Column, buckets: Column, seed:
     return F.pmod(md5_int(token_message(seed, src, field, fid)), buckets.cast("long"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _blake2b_bucket(message: pd.Series, buckets: pd.Series) -> pd.Series:
     digests = (hashlib.blake2b(m.encode("utf-8"), digest_size=16).digest() for m in message)
     return pd.Series([int.from_bytes(d, "big") % int(b) for d, b in zip(digests, buckets)], dtype="int64")
@@ -69,7 +70,7 @@ def token_bucket_blake2b(src: Column, field: Column, fid: Column, buckets: Colum
 def unit_hash_xxh64(key: Column, seed: int) -> Column:
     """Draw from unseeded xxh64 of ``"seed:key"``; opt-in for parity with splits made that way."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def draw(text: pd.Series) -> pd.Series:
         import xxhash
 
