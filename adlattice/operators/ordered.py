@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from adlattice.session import durable
 
-PID, POS = "_pid", "_pos"
+PID, POS = "_layout_part", "_layout_pos"
 _LOCAL_BITS = (1 << 33) - 1
 
 

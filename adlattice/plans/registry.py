@@ -31,6 +31,11 @@ def _columns(columns: str) -> list[tuple[str, str]]:
     return [tuple(c.split(":")) for c in columns.split()]
 
 
+# Sums differ in the last bits with the order of addition. The shift keeps exact halves (frequent among
+# means of two-digit decimals) from rounding either way; both engines apply it.
+HALF_SHIFT = 3.7e-9
+
+
 def tidy(df: DataFrame, columns: str) -> DataFrame:
     """Declared columns only: ``i`` long, ``r`` double rounded to 6 digits, ``t`` text, ``b`` boolean."""
     out = []
@@ -39,7 +44,7 @@ def tidy(df: DataFrame, columns: str) -> DataFrame:
         if kind == "i":
             c = c.cast("long")
         elif kind == "r":
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(HALF_SHIFT), 6) + F.lit(0.0)
         elif kind == "t":
             c = c.cast("string")
         out.append(c.alias(name))
@@ -51,7 +56,7 @@ def tidy_sql(sql: str, columns: str) -> str:
     for name, kind in _columns(columns):
         c = {
             "i": f"CAST({name} AS BIGINT)",
-            "r": f"round(CAST({name} AS DOUBLE), 6) + CAST(0 AS DOUBLE)",
+            "r": f"round(CAST({name} AS DOUBLE) + CAST({HALF_SHIFT} AS DOUBLE), 6) + CAST(0 AS DOUBLE)",
             "t": f"CAST({name} AS VARCHAR)",
             "b": f"CAST({name} AS BOOLEAN)",
         }[kind]
