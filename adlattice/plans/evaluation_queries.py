@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlattice.functions import scalars
-from adlattice.operators import health, losses, metrics, runs
+from adlattice.operators import health, losses, metrics, runs, scorers
 from adlattice.plans.registry import Query
 from adlattice.plans.source_queries import LOG_SQL, log_path
-from adlattice.plans.views import Views
+from adlattice.plans.views import FEATURES, Views
 from adlattice.sources.logs import read_metrics_log
 
 KEEP_PROB = 0.25
@@ -123,6 +123,10 @@ def q_deltas(v: Views) -> DataFrame:
     return runs.metric_deltas(best(v), pairs)
 
 
+def vectors(v: Views) -> DataFrame:
+    return scorers.feature_vectors(v.processed, FEATURES, 1 << 12)
+
+
 P = "1 / (1 + exp(-{x}))"
 TASK_SQL = f"""
     SELECT *, {P.format(x='logit')} AS p FROM (
@@ -214,6 +218,24 @@ BOARD_LONG = f"""
       SELECT run_id, 'auc_ctr' AS metric, auc_ctr AS value FROM ({RUN_SQL}) UNION ALL SELECT run_id, 'auc_cvr', auc_cvr FROM ({RUN_SQL}) UNION ALL SELECT run_id, 'auc_ctcvr', auc_ctcvr FROM ({RUN_SQL})
       UNION ALL SELECT run_id, 'loss_ctr', loss_ctr FROM ({RUN_SQL}) UNION ALL SELECT run_id, 'ece_cvr', ece_cvr FROM ({RUN_SQL})) WHERE value IS NOT NULL"""
 
+# The gate as a recursion over the evaluations of all runs at once.
+GATE_STEP_SQL = """
+    WITH RECURSIVE seq AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS i FROM evals_fx),
+    st AS (
+      SELECT run_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS step, CAST('-inf' AS DOUBLE) AS best, CAST('-inf' AS DOUBLE) AS best_ctr, CAST('-inf' AS DOUBLE) AS best_cvr,
+        CAST([] AS DOUBLE[]) AS recent, 0 AS confirmed, 0 AS resting, false AS should_update, '' AS reason, CAST(NULL AS DOUBLE) AS primary_value FROM (SELECT DISTINCT run_id FROM seq)
+      UNION ALL
+      SELECT run_id, i, step, CASE WHEN upd THEN v ELSE best END, CASE WHEN upd THEN ctr ELSE best_ctr END, CASE WHEN upd THEN cvr ELSE best_cvr END, recent,
+        CASE WHEN cool THEN confirmed WHEN upd OR NOT p_ok OR NOT a_ok THEN 0 ELSE confirmed + 1 END, CASE WHEN cool THEN resting - 1 WHEN upd THEN 2 ELSE 0 END, upd,
+        CASE WHEN cool THEN 'cooldown' WHEN NOT p_ok THEN 'primary too small' WHEN NOT a_ok THEN 'aux degraded' WHEN upd THEN 'updated' ELSE 'to be confirmed' END, v
+      FROM (SELECT *, NOT cool AND p_ok AND a_ok AND confirmed + 1 >= 2 AS upd FROM (
+        SELECT *, coalesce(v - best >= CAST(0.002 AS DOUBLE), false) AS p_ok, ctr - best_ctr >= CAST(-0.003 AS DOUBLE) AND cvr - best_cvr >= CAST(-0.008 AS DOUBLE) AS a_ok FROM (
+          SELECT * EXCLUDE (recent), h AS recent, CASE WHEN cool THEN NULL ELSE list_sum(h) / len(h) END AS v FROM (
+            SELECT seq.run_id, seq.i, seq.step, seq.auc_ctr AS ctr, seq.auc_cvr AS cvr, st.best, st.best_ctr, st.best_cvr, st.recent, st.confirmed, st.resting, st.resting > 0 AS cool,
+              CASE WHEN st.resting > 0 THEN st.recent ELSE list_append(st.recent, seq.auc_ctcvr)[-3:] END AS h
+            FROM st JOIN seq ON seq.run_id = st.run_id AND seq.i = st.i + 1)))))
+    SELECT run_id, step, should_update, reason, primary_value FROM st WHERE i > 0"""
+
 METRIC_COLS = "task:t logloss:r auc:r pos_rate:r pred_mean:r n:i"
 BIN_COLS = "bin_left:r bin_right:r n:i avg_pred:r avg_label:r abs_gap:r"
 SUMMARY = "ctr_auc:r cvr_auc_masked:r ctcvr_auc:r ctr_logloss:r cvr_logloss_masked:r ctcvr_logloss:r ece_ctr:r ece_cvr_masked:r n:i n_masked:i"
@@ -293,7 +315,7 @@ QUERIES = [
           f"SELECT run_id, count(*) AS updates, max(step) AS best_step FROM (SELECT *, {BEST_BEFORE} AS b FROM evals_fx) WHERE b IS NULL OR auc_ctcvr > b GROUP BY run_id"),
     Query("trailing_average", "E12", "run_id:i step:i metric_ma:r", lambda v: runs.smoothed(v.evals, "run_id", "step", "auc_ctcvr", 3, chunk=16, partitions=8),
           "SELECT run_id, step, avg(auc_ctcvr) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS metric_ma FROM evals_fx"),
-    Query("gated_best", "E13", "run_id:i step:i should_update:b reason:t primary_value:r", lambda v: runs.gated_best(v.evals, "run_id", "step", GATE)),
+    Query("gated_best", "E13", "run_id:i step:i should_update:b reason:t primary_value:r", lambda v: runs.gated_best(v.evals, "run_id", "step", GATE), GATE_STEP_SQL),
     Query("best_records", "K1", BEST_COLS, best, BEST_SQL),
     Query("run_summary", "K2", "run_id:t description:t status:t best_step:i auc_ctcvr:r", q_run_summary,
           f"""SELECT m.run_id, m.description, CASE WHEN best_step IS NULL THEN 'no valid records' ELSE 'ok' END AS status, best_step, auc_ctcvr
@@ -306,4 +328,6 @@ QUERIES = [
     Query("leaderboard", "K4", "run_id:i metric:t value:r is_best:b is_overall_best:b", lambda v: runs.leaderboard(run_metrics(v)),
           f"""SELECT run_id, metric, value, row_number() OVER (PARTITION BY metric ORDER BY cost, run_id) = 1 AS is_best,
                run_id = (SELECT run_id FROM ({BOARD_LONG}) WHERE metric = 'auc_ctcvr' ORDER BY cost, run_id LIMIT 1) AS is_overall_best FROM ({BOARD_LONG})"""),
+    Query("linear_scorer", "R3", "row_id:i entity_id:t split:t y_ctr:i y_cvr:i ctr_logit:r cvr_logit:r", lambda v: scorers.linear_scores(vectors(v))),
+    Query("factorisation_scorer", "R4", "row_id:i entity_id:t split:t y_ctr:i y_cvr:i ctr_logit:r cvr_logit:r", lambda v: scorers.factorisation_scores(vectors(v))),
 ]

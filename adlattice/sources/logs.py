@@ -16,15 +16,11 @@ LOG_SCHEMA = (
 
 
 def read_metrics_log(spark: SparkSession, path: str) -> DataFrame:
-    """All readable records; lines that are not JSON are left out."""
-    return (
-        spark.read.schema(f"{LOG_SCHEMA}, _bad string")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .json(path)
-        .where(F.col("_bad").isNull())
-        .drop("_bad")
-    )
+    """All readable records; blank lines and lines that are not JSON are left out."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    record = F.from_json("value", f"{LOG_SCHEMA}, _bad string", options)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(record.alias("r")).where("r._bad IS NULL").select("r.*").drop("_bad")
 
 
 def valid_records(log: DataFrame) -> DataFrame:
