@@ -49,57 +49,67 @@ def prepare_bags(tokens: DataFrame, spec: DataFrame, ranks: DataFrame) -> DataFr
 def select_tokens(bags: DataFrame, spec: DataFrame) -> DataFrame:
     """The kept tokens of every bag with their position, the rule that was used and bag totals.
 
-    A bag is one feature string's tokens of one field, so its windows are as short as the raw line.
+    Two orderings of a bag serve all rules: by value, and the final one, in which a token comes
+    either by its place in the value order (``_first`` = 0) or after those, by frequency.
     """
-    rows = bags.join(F.broadcast(spec), ["src", "field"])
+    settings = spec.select(
+        "src", "field", "multi_hot", "k", "strategy", "default_strategy", "non_one_ratio", "value_std", "mix_value_share"
+    )
     bag = Window.partitionBy(*BAG)
     known = F.coalesce("rank", F.lit(UNKNOWN_RANK))
     by_value = Window.partitionBy(*BAG).orderBy(F.desc("val"), "fid")
-    by_freq = Window.partitionBy(*BAG).orderBy(known, "fid")
-    by_both = Window.partitionBy(*BAG).orderBy(F.desc("val"), known, "fid")
-    rest_by_freq = Window.partitionBy(*BAG, "_in_value").orderBy(known, "fid")
-
+    measured = (
+        bags.withColumn("_pv", F.row_number().over(by_value))
+        .withColumn("distinct_tokens", F.count(F.lit(1)).over(bag))
+        .withColumn("raw_tokens", F.sum("copies").over(bag))
+        .withColumn("bad_tokens", F.sum("bad").over(bag))
+        .withColumn("_non_one", F.avg((F.col("val") != 1.0).cast("double")).over(bag))
+        .withColumn("_std", F.stddev_pop("val").over(bag))
+    )
     informative = (F.col("_non_one") >= F.col("non_one_ratio")) | (F.col("_std") >= F.col("value_std"))
-    resolved = (
+    rule = (
         F.when(~F.col("multi_hot"), F.lit("single"))
         .when(F.col("strategy") != "auto", F.col("strategy"))
         .when(informative & F.col("default_strategy").isin("auto_mix", "topk_by_value"), F.col("default_strategy"))
         .otherwise(F.lit("topk_by_freq"))
     )
-    rows = (
-        rows.withColumn("distinct_tokens", F.count(F.lit(1)).over(bag))
-        .withColumn("raw_tokens", F.sum("copies").over(bag))
-        .withColumn("bad_tokens", F.sum("bad").over(bag))
-        .withColumn("_non_one", F.avg((F.col("val") != 1.0).cast("double")).over(bag))
-        .withColumn("_std", F.stddev_pop("val").over(bag))
-        .withColumn("rule", resolved)
-        .withColumn("_k", F.coalesce("k", "distinct_tokens"))
-        .withColumn("_kv", F.ceil(F.col("_k").cast("double") * F.col("mix_value_share")))
-        .withColumn("_pv", F.row_number().over(by_value))
-        .withColumn("_pf", F.row_number().over(by_freq))
-        .withColumn("_ps", F.row_number().over(by_both))
-        .withColumn("_in_value", F.col("_pv") <= F.col("_kv"))
-        .withColumn("_pr", F.row_number().over(rest_by_freq))
+    by_value_first = F.ceil(F.col("_k").cast("double") * F.col("mix_value_share"))
+    first = (
+        F.when(F.col("rule") == "topk_by_freq", 1)
+        .when(F.col("rule") == "auto_mix", (F.col("_pv") > by_value_first).cast("int"))
+        .otherwise(0)
     )
-    pos = (
-        F.when(F.col("rule") == "single", F.col("_ps"))
-        .when(F.col("rule") == "topk_by_freq", F.col("_pf"))
-        .when(F.col("rule") == "topk_by_value", F.col("_pv"))
-        .when(F.col("_in_value"), F.col("_pv"))
-        .otherwise(F.col("_kv") + F.col("_pr"))
+    # Equal largest values of a single-hot bag are told apart by rank, not by fid alone.
+    place = F.when(F.col("_first") == 1, F.lit(0.0)).when(F.col("rule") == "single", -F.col("val")).otherwise(F.col("_pv"))
+    final = Window.partitionBy(*BAG).orderBy("_first", "_place", known, "fid")
+    ruled = (
+        measured.join(F.broadcast(settings), ["src", "field"])
+        .select(
+            *bags.columns, "_pv", "distinct_tokens", "raw_tokens", "bad_tokens",
+            F.coalesce("k", "distinct_tokens").alias("_k"), rule.alias("rule"), "mix_value_share",
+        )
+        .withColumn("_first", first)
+        .withColumn("_place", place.cast("double"))
+    )
+    kept = ruled.withColumn("pos", F.row_number().over(final)).where(F.col("pos") <= F.col("_k"))
+    return kept.select(
+        *bags.columns,
+        F.col("pos").cast("int").alias("pos"),
+        "rule",
+        "distinct_tokens",
+        "raw_tokens",
+        "bad_tokens",
+        (F.least("distinct_tokens", "_k") / F.col("distinct_tokens")).alias("retained_frac"),
     )
-    kept = rows.withColumn("pos", pos.cast("int")).where(F.col("pos") <= F.col("_k"))
-    return kept.withColumn(
-        "retained_frac", F.least("distinct_tokens", "_k") / F.col("distinct_tokens")
-    ).drop("_k", "_kv", "_pv", "_pf", "_ps", "_pr", "_in_value", "_non_one", "_std")
-
 
 def in_vocabulary() -> Column:
     return F.coalesce(F.col("rank") < F.col("vocab_tokens"), F.lit(False))
 
 
-def map_ids(selected: DataFrame, seed: int = HASH_SEED, blake2b: bool = False) -> DataFrame:
+def map_ids(selected: DataFrame, spec: DataFrame, seed: int = HASH_SEED, blake2b: bool = False) -> DataFrame:
     """Embedding row of every kept token, with the out-of-vocabulary and tail flags."""
+    ids = spec.select("src", "field", "name", "encoding", "vocab_tokens", "vocab_offset", "head_rows", "hash_bucket", "total_rows")
+    selected = selected.join(F.broadcast(ids), ["src", "field"])
     hashed = (token_bucket_blake2b if blake2b else token_bucket)(
         F.col("src"), F.col("field"), F.col("fid"), F.coalesce("hash_bucket", F.lit(1)), seed
     )
@@ -122,7 +132,7 @@ def map_ids(selected: DataFrame, seed: int = HASH_SEED, blake2b: bool = False) -
 
 def encode_tokens(tokens: DataFrame, spec: DataFrame, ranks: DataFrame, blake2b: bool = False) -> DataFrame:
     """Long encoded table: one line per kept token."""
-    return map_ids(select_tokens(prepare_bags(tokens, spec, ranks), spec), blake2b=blake2b)
+    return map_ids(select_tokens(prepare_bags(tokens, spec, ranks), spec), spec, blake2b=blake2b)
 
 
 def check_bounds(encoded: DataFrame) -> DataFrame:

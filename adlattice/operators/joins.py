@@ -50,3 +50,21 @@ def spread_join(
     slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
     right = table.join(hot, list(on), "left").withColumn("_slot", F.explode(slots)).drop("_hot")
     return left.join(right, [*on, "_slot"], how).drop("_slot")
+
+
+def lookup_join(
+    rows: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    spread_by: Sequence[str] = ("row_id",),
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join with a table of short rows: broadcast when it is counted small, else spread.
+
+    The table is written once, so that counting and joining read the same rows.
+    """
+    kept = durable(table)
+    if kept.count() <= max_rows:
+        return rows.join(F.broadcast(kept), list(on), how)
+    return spread_join(rows, kept, on, how, spread_by)

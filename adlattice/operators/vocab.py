@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlattice.operators.joins import spread_join
+from adlattice.operators.joins import lookup_join
 from adlattice.operators.ordered import group_rank
 from adlattice.operators.tokens import FIELD_KEY, token_counts
 
@@ -44,15 +44,16 @@ def vocab_table(ranks: DataFrame, spec: DataFrame) -> DataFrame:
 
 
 def look_up_ranks(tokens: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Tokens with the rank of their fid, NULL when unseen; frequent fids are spread."""
-    table = ranks.select(*FIELD_KEY, "fid", "rank")
-    return spread_join(tokens, table, [*FIELD_KEY, "fid"], "left")
+    """Tokens with the rank of their fid, NULL when unseen.
+
+    A small rank table is broadcast; beyond that the frequent fids are spread over many tasks.
+    """
+    return lookup_join(tokens, ranks.select(*FIELD_KEY, "fid", "rank"), [*FIELD_KEY, "fid"])
 
 
 def ranked_tokens(tokens: DataFrame, frequency: DataFrame) -> DataFrame:
     """Tokens with the training rank of their fid; unseen fids get a rank beyond every head."""
-    table = frequency.select(*FIELD_KEY, "fid", "rnk")
-    joined = spread_join(tokens, table, [*FIELD_KEY, "fid"], "left")
+    joined = lookup_join(tokens, frequency.select(*FIELD_KEY, "fid", "rnk"), [*FIELD_KEY, "fid"])
     return joined.withColumn("rnk", F.coalesce("rnk", F.lit(UNSEEN_RANK)))
 
 
