@@ -12,6 +12,7 @@ VALUE_SEP = "\x03"
 
 _DIGITS = r"\d+(?:_\d+)*"
 _FINITE = rf"^\s*[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*$"
+_DOUBTFUL = r"[dDfFxXpP]"
 _NAN = r"(?i)^\s*[+-]?nan\s*$"
 _INF = r"(?i)^\s*[+-]?inf(?:inity)?\s*$"
 
@@ -20,10 +21,13 @@ def parse_number(text: Column) -> Column:
     """The double a number text stands for, NULL for anything else.
 
     Spark's own cast takes ``1.0f`` and refuses ``1_000``; the log format has it the other way round.
+    Ordinary numbers pass on the cast alone; only texts with a letter it may misread meet the grammar.
     """
+    cast = text.try_cast("double")
     plain = F.regexp_replace(F.trim(text), "_", "")
     return (
-        F.when(text.rlike(_FINITE), plain.try_cast("double"))
+        F.when(cast.isNotNull() & ~text.rlike(_DOUBTFUL), cast)
+        .when(text.rlike(_FINITE), plain.try_cast("double"))
         .when(text.rlike(_NAN), F.lit(float("nan")))
         .when(text.rlike(_INF), F.lower(plain).try_cast("double"))
     )

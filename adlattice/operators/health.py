@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlattice.functions.arrays import dot
+from adlattice.operators.joins import lookup_join
 from adlattice.operators.ordered import group_rank, value_quantiles
 
 # Fixed values.
@@ -159,7 +160,7 @@ def ema(
     """
     ranked = group_rank(df.where(F.col(signal).isNotNull()), group, order, "_i")
     size = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    rows = ranked.join(size, list(group))
+    rows = lookup_join(ranked, size, group, "inner", spread_by=order)
     back = (F.col("_n") - 1 - F.col("_i")).cast("double")
     weight = F.pow(F.lit(1.0 - alpha), back) * F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     return rows.groupBy(*group).agg(F.sum(weight * F.col(signal).cast("double")).alias(out))

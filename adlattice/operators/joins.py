@@ -25,8 +25,8 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
 def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
     """Keys that own more than ``share`` of the rows: never more than ``1 / share`` of them."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg((F.count(F.lit(1)) * F.lit(share)).alias("_floor"))
-    return counts.where(F.col("_n") > total.scalar()).select(*on, F.lit(True).alias("_hot"))
+    floor = counts.agg((F.sum("_n") * F.lit(share)).alias("_floor"))
+    return counts.where(F.col("_n") > floor.scalar()).select(*on, F.lit(True).alias("_hot"))
 
 
 def spread_join(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from adlattice.operators.joins import checked_broadcast
 from adlattice.session import durable
 
 PID, POS = "_layout_part", "_layout_pos"
@@ -40,13 +41,16 @@ def lay_out(
     return durable(numbered)
 
 
-def _attach(laid: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe equi join of the small totals table back to the rows."""
+def _attach(rows: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Null-safe equi join of a totals table back to the rows.
+
+    The totals are counted first: short ones are broadcast, so the rows stay where they are.
+    """
     renamed = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], *[c for c in totals.columns if c not in keys])
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    return laid.join(renamed, cond, "inner").drop(*[f"_t_{k}" for k in keys])
+    return rows.join(checked_broadcast(renamed), cond, "inner").drop(*[f"_t_{k}" for k in keys])
 
 
 def _before(group: Sequence[str]):
@@ -88,7 +92,10 @@ def ordered_prefix(
 
     Exclusive by default; an exclusive sum starts at 0, an exclusive max at NULL.
     """
-    laid = lay_out(df, group, order, partitions)
+    return _run(lay_out(df, group, order, partitions), group, running, inclusive).drop(PID, POS)
+
+
+def _run(laid: DataFrame, group: Sequence[str], running: Mapping[str, tuple[str, str]], inclusive: bool) -> DataFrame:
     keys = [*group, PID]
     fold = {"sum": F.sum, "max": F.max}
     local = Window.partitionBy(*keys).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -104,13 +111,11 @@ def ordered_prefix(
         else:
             value = F.greatest(inner, F.col(f"_pre_{out}"))
         rows = rows.withColumn(out, value)
-    return rows.drop(PID, POS, *[f"_pre_{out}" for out in running])
+    return rows.drop(*[f"_pre_{out}" for out in running])
 
 
-def _pick(hist: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles from (group, value, _n, _below) rows."""
-    totals = hist.groupBy(*group).agg(F.sum("_n").alias("_total"))
-    rows = _attach(hist, totals, list(group)) if group else hist.withColumn("_total", totals.scalar())
+def _pick(rows: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles from (group, value, _n, _below, _total) rows."""
     v, below, above = F.col(value).cast("double"), F.col("_below"), F.col("_below") + F.col("_n")
     picks = []
     for name, p in probs.items():
@@ -134,8 +139,11 @@ def value_quantiles(
     (value, count) and cumulated over range partitions.
     """
     hist = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    cumulated = ordered_prefix(hist, group, [value], {"_below": ("sum", "_n")}, partitions=partitions)
-    return _pick(cumulated, group, value, probs)
+    laid = lay_out(hist, group, [value], partitions)
+    totals = laid.groupBy(*group).agg(F.sum("_n").alias("_total"))
+    below = _run(laid, group, {"_below": ("sum", "_n")}, inclusive=False)
+    whole = _attach(below, totals, group) if group else below.withColumn("_total", totals.scalar())
+    return _pick(whole, group, value, probs)
 
 
 def count_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
@@ -145,8 +153,11 @@ def count_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapp
     collapsed histogram is small enough for an ordinary window.
     """
     hist = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return _pick(hist.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0))), group, value, probs)
+    earlier = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    whole = hist.withColumn("_below", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn(
+        "_total", F.sum("_n").over(Window.partitionBy(*group))
+    )
+    return _pick(whole, group, value, probs)
 
 
 def trailing_mean(

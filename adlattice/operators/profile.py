@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adlattice.functions.scalars import bin_index
-from adlattice.operators.joins import checked_broadcast
+from adlattice.operators.joins import lookup_join
 from adlattice.operators.ordered import count_quantiles
 from adlattice.operators.split import label_rates
 from adlattice.operators.tokens import FIELD_KEY, token_counts
@@ -173,7 +173,7 @@ def field_top_k(counts: DataFrame, k: int) -> DataFrame:
 def labelled_top_tokens(tokens: DataFrame, top: DataFrame, samples: DataFrame) -> DataFrame:
     """Distinct (row_id, field, src, fid) of the top fids with the labels of the row."""
     keys = top.select(*FIELD_KEY, "fid")
-    hits = tokens.select("row_id", *FIELD_KEY, "fid").join(checked_broadcast(keys), [*FIELD_KEY, "fid"])
+    hits = lookup_join(tokens.select("row_id", *FIELD_KEY, "fid"), keys, [*FIELD_KEY, "fid"], "inner")
     labels = samples.select("row_id", "y1", "y2")
     return hits.join(labels, "row_id").dropDuplicates(["row_id", *FIELD_KEY, "fid"])
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adlattice.operators.joins import lookup_join
 from adlattice.operators.ordered import ordered_prefix, trailing_mean
 from adlattice.sources.logs import METRIC_COLUMNS, decision_records, valid_records
 
@@ -120,9 +121,10 @@ def best_records(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
     decided = (
         decision_records(log).where(F.col("should_update")).groupBy("run_id").agg(F.max("global_step").alias("decided"))
     )
-    evals = valid_records(log).join(decided, "run_id", "left")
+    evals = lookup_join(valid_records(log), decided, ["run_id"], "left", spread_by=["global_step"])
     if known is not None:
-        evals = evals.join(known.select("run_id", F.col("best_step").alias("known")), "run_id", "left")
+        steps = known.select("run_id", F.col("best_step").alias("known"))
+        evals = lookup_join(evals, steps, ["run_id"], "left", spread_by=["global_step"])
     else:
         evals = evals.withColumn("known", F.lit(None).cast("long"))
     rank = (
@@ -189,7 +191,8 @@ def leaderboard(runs: DataFrame, metrics: Mapping[str, int] = LEADERBOARD) -> Da
     overall = winners.where(F.col("metric").isin(*lead)).agg(
         F.min_by(F.col("w.run_id"), F.when(F.col("metric") == "auc_primary", 1).otherwise(2)).alias("run_id")
     )
-    return lines.join(winners, "metric").select(
+    # One winner per metric of the list above.
+    return lines.join(F.broadcast(winners), "metric").select(
         "run_id",
         "metric",
         "value",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlattice.functions.scalars import is_finite
+from adlattice.operators.joins import lookup_join
 from adlattice.operators.ordered import count_quantiles, value_quantiles
 from adlattice.operators.tokens import FIELD_KEY
 
@@ -39,13 +40,9 @@ def informative_fields(stats: DataFrame) -> DataFrame:
 
 
 def bag_lengths(tokens: DataFrame, fields: DataFrame) -> DataFrame:
-    """Tokens per (row, field, src) of the given fields (one line per field: a tiny table)."""
-    return (
-        tokens.select("row_id", *FIELD_KEY)
-        .join(F.broadcast(fields), FIELD_KEY, "left_semi")
-        .groupBy(*FIELD_KEY, "row_id")
-        .agg(F.count(F.lit(1)).alias("l"))
-    )
+    """Tokens per (row, field, src) of the given fields."""
+    wanted = lookup_join(tokens.select("row_id", *FIELD_KEY), fields, FIELD_KEY, "left_semi")
+    return wanted.groupBy(*FIELD_KEY, "row_id").agg(F.count(F.lit(1)).alias("l"))
 
 
 def length_quantiles(lengths: DataFrame, n_rows: DataFrame) -> DataFrame:
@@ -111,11 +108,8 @@ def bucket_advice(shares: DataFrame, curve: DataFrame) -> DataFrame:
 
 
 def finite_values(tokens: DataFrame, fields: DataFrame) -> DataFrame:
-    return (
-        tokens.select(*FIELD_KEY, F.col("val").cast("double").alias("val"))
-        .join(F.broadcast(fields), FIELD_KEY, "left_semi")
-        .where(is_finite(F.col("val")))
-    )
+    values = tokens.select("row_id", *FIELD_KEY, F.col("val").cast("double").alias("val"))
+    return lookup_join(values.where(is_finite(F.col("val"))), fields, FIELD_KEY, "left_semi")
 
 
 def decile_edges(tokens: DataFrame, fields: DataFrame) -> DataFrame:
@@ -127,13 +121,11 @@ def decile_edges(tokens: DataFrame, fields: DataFrame) -> DataFrame:
 
 def value_histogram(train: DataFrame, valid: DataFrame, edges: DataFrame) -> DataFrame:
     """Fractions of both sides per value bin; a bin ends before its edge, the last one is open."""
-    fields = edges.select(*FIELD_KEY)
-    sides = finite_values(train, fields).withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(
-        finite_values(valid, fields).withColumn("a", F.lit(0)).withColumn("b", F.lit(1))
-    )
+    side = lambda df, a, b: df.select("row_id", *FIELD_KEY, "val", F.lit(a).alias("a"), F.lit(b).alias("b"))
+    both = side(train, 1, 0).unionByName(side(valid, 0, 1)).withColumn("val", F.col("val").cast("double"))
     position = F.size(F.filter("edges", lambda e: e <= F.col("val")))
     counts = (
-        sides.join(F.broadcast(edges), FIELD_KEY)
+        lookup_join(both.where(is_finite(F.col("val"))), edges, FIELD_KEY, "inner")
         .groupBy(*FIELD_KEY, position.alias("bin"))
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
@@ -159,7 +151,8 @@ def value_profile(train: DataFrame, valid: DataFrame, fields: DataFrame) -> Data
     val = F.col("val").cast("double")
     finite = F.when(is_finite(val), val)
     sides = train.withColumn("side", F.lit("train")).unionByName(valid.withColumn("side", F.lit("valid")))
-    wanted = sides.join(F.broadcast(fields), FIELD_KEY, "left_semi").select(*FIELD_KEY, "side", finite.alias("v"), val.alias("val"))
+    values = sides.select("row_id", *FIELD_KEY, "side", finite.alias("v"), val.alias("val"))
+    wanted = lookup_join(values, fields, FIELD_KEY, "left_semi")
     ratio = lambda cond: F.count_if(cond) / F.count(F.lit(1))
     base = wanted.groupBy(*FIELD_KEY, "side").agg(
         F.count(F.lit(1)).alias("total"),

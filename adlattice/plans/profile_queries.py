@@ -17,8 +17,9 @@ WORD_HEADS = [10, 100, 1_000, 5_000, 20_000]
 MIN_SUPPORT = 20
 
 
-def stats(v: Views, split: str = "train") -> DataFrame:
-    return pf.field_stats(v.tokens_of(split), v.rows(v.samples_of(split)))
+def stats(v: Views) -> DataFrame:
+    """Training field stats: a handful of lines that several steps read, so written once."""
+    return v.once("stats", lambda: pf.field_stats(v.tokens_of("train"), v.rows(v.samples_of("train"))))
 
 
 def top(v: Views, split: str, k: int) -> DataFrame:
@@ -65,8 +66,7 @@ def q_rank_join(v: Views) -> DataFrame:
 
 
 def lengths(v: Views) -> DataFrame:
-    tokens = v.tokens_of("train")
-    return shape.bag_lengths(tokens, shape.multi_hot_fields(stats(v)))
+    return shape.bag_lengths(v.tokens_of("train"), shape.multi_hot_fields(stats(v)))
 
 
 def length_quantiles(v: Views) -> DataFrame:
@@ -78,7 +78,7 @@ def value_fields(v: Views) -> DataFrame:
 
 
 def edges(v: Views) -> DataFrame:
-    return shape.decile_edges(v.tokens_of("train"), value_fields(v))
+    return v.once("edges", lambda: shape.decile_edges(v.tokens_of("train"), value_fields(v)))
 
 
 def histogram(v: Views) -> DataFrame:
@@ -86,7 +86,7 @@ def histogram(v: Views) -> DataFrame:
 
 
 def word_stats(v: Views) -> DataFrame:
-    return pf.field_stats(v.words, v.rows(v.table("documents")))
+    return v.once("word_stats", lambda: pf.field_stats(v.words, v.rows(v.table("documents"))))
 
 
 def bucket_advice(v: Views) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from adlattice.functions.parsing import FIELD_SEP, TOKEN_SEP, VALUE_SEP
 from adlattice.operators import metrics, quality
@@ -126,14 +127,12 @@ def token_path(v: Views, parts: int, max_rows: int = 3_000_000) -> str:
 def q_token_layout(v: Views) -> DataFrame:
     """Whole-layout facts: rows, range, files that reach into the range of the file before."""
     manifest = sinks.part_manifest(v.spark, token_path(v, 6))
-    per_start = manifest.groupBy("row_id_min").agg(F.count(F.lit(1)).alias("files"), F.sum("token_rows").alias("n"), F.max("row_id_max").alias("hi"))
-    inside = manifest.select(F.col("row_id_min").alias("a"), F.col("row_id_max").alias("b"))
-    overlapping = per_start.join(inside, (F.col("row_id_min") > F.col("a")) & (F.col("row_id_min") <= F.col("b"))).agg(F.count(F.lit(1)).alias("c"))
-    return per_start.agg(
-        F.sum("n").alias("token_rows"),
+    before = Window.orderBy("row_id_min", "file").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.withColumn("reach", F.max("row_id_max").over(before)).agg(
+        F.sum("token_rows").alias("token_rows"),
         F.min("row_id_min").alias("row_id_min"),
-        F.max("hi").alias("row_id_max"),
-        F.max(overlapping.scalar()).alias("overlapping_parts"),
+        F.max("row_id_max").alias("row_id_max"),
+        F.count_if(F.col("row_id_min") <= F.col("reach")).alias("overlapping_parts"),
     )
 
 

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from adlattice.operators import split as sp
 from adlattice.operators import vocab
 from adlattice.operators.encode import assemble, check_bounds, encode_tokens
 from adlattice.operators.tokens import token_counts
+from adlattice.session import durable
 from adlattice.spec import Feature, FeatureMap
 
 SEED = 42
@@ -47,6 +49,13 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._kept: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A small intermediate that is written to the shared folder on first use."""
+        if name not in self._kept:
+            self._kept[name] = durable(build())
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
