@@ -29,7 +29,8 @@ def ratio_subset(rows: DataFrame, ratio: float, seed: int = 2026) -> DataFrame:
 
 
 def first_samples(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` rows with the smallest row ids; ranked over range partitions."""
+    """The ``n`` rows with the smallest row ids; the ids are ranked over range partitions."""
     if n <= 0:
         raise ValueError("n must be positive")
-    return group_rank(rows, [], ["row_id"], "_at").where(F.col("_at") < n).drop("_at")
+    first = group_rank(rows.select("row_id"), [], ["row_id"], "_at").where(F.col("_at") < n)
+    return rows.join(first, "row_id", "left_semi")

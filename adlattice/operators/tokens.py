@@ -44,8 +44,8 @@ def attach_common(rows: DataFrame, common: DataFrame) -> DataFrame:
     return spread_join(rows, strings, ["entity_id"], "left")
 
 
-def all_tokens(joined: DataFrame) -> DataFrame:
-    """Tokens of both sources from rows that carry ``feat_str`` and ``common_str``; one pass."""
+def _both_sources(joined: DataFrame) -> DataFrame:
+    """(row_id, src, parts) of every token text in ``feat_str`` and ``common_str``; one pass."""
 
     def tagged(column: str, src: int):
         return F.transform(
@@ -54,10 +54,18 @@ def all_tokens(joined: DataFrame) -> DataFrame:
         )
 
     both = F.concat(tagged("feat_str", SKELETON), tagged("common_str", COMMON))
-    return (
-        joined.select("row_id", F.explode(both).alias("_t"))
-        .where("_t.p.val IS NOT NULL")
-        .select("row_id", "_t.src", "_t.p.*")
+    return joined.select("row_id", F.explode(both).alias("_t")).select("row_id", "_t.src", "_t.p")
+
+
+def all_tokens(joined: DataFrame) -> DataFrame:
+    """Well-formed tokens of both sources, tagged with their source."""
+    return _both_sources(joined).where("p.val IS NOT NULL").select("row_id", "src", "p.*")
+
+
+def all_parse_errors(joined: DataFrame) -> DataFrame:
+    """Tokens and malformed tokens per source."""
+    return _both_sources(joined).groupBy("src").agg(
+        F.count(F.lit(1)).alias("tokens_seen"), F.count_if(F.col("p.val").isNull()).alias("parse_errors")
     )
 
 

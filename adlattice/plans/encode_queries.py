@@ -102,17 +102,17 @@ def q_truncate(v: Views) -> DataFrame:
 
 
 def q_pad(v: Views) -> DataFrame:
-    p = packing.pad_batches(v.processed, FEATURES, BATCH)
+    p = packing.pad_batches(v.processed, FEATURES, BATCH, v.samples)
     return p.select("batch", "pos", "field", as_text(F.col("ids")).alias("ids"), scaled_text(F.col("weights"), 1000).alias("weights"), "length")
 
 
 def q_offsets(v: Views) -> DataFrame:
-    lines = packing.bags(packing.number_batches(v.processed, BATCH), FEATURES)
+    lines = packing.bags(packing.number_batches(v.processed, BATCH, v.samples), FEATURES)
     return packing.with_offsets(lines).where("field IN ('f0_853', 'f0_301')").withColumnRenamed("offset", "bag_offset")
 
 
 def q_pack(v: Views) -> DataFrame:
-    p = packing.pack_bags(v.processed, FEATURES, BATCH)
+    p = packing.pack_bags(v.processed, FEATURES, BATCH, v.samples)
     return p.select("batch", "field", as_text(F.col("indices")).alias("indices"), as_text(F.col("offsets")).alias("offsets"), scaled_text(F.col("weights"), 1000).alias("weights"))
 
 

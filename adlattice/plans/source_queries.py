@@ -91,8 +91,7 @@ def canonical(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _errors(numbered: DataFrame, common: DataFrame) -> DataFrame:
-    joined = tk.attach_common(numbered, common)
-    return tk.parse_errors(joined, "feat_str", 0).unionByName(tk.parse_errors(joined, "common_str", 1))
+    return tk.all_parse_errors(tk.attach_common(numbered, common))
 
 
 def q_canonical_manifest(v: Views) -> DataFrame:

@@ -48,9 +48,9 @@ def canonical(
     sinks.write_samples(raw.samples_of(numbered), out.path("samples"), overwrite)
     joined = tk.attach_common(numbered, strings)
     sinks.write_tokens(tk.all_tokens(joined), out.path("tokens"), overwrite=overwrite)
-    errors = tk.parse_errors(joined, "feat_str", tk.SKELETON).unionByName(tk.parse_errors(joined, "common_str", tk.COMMON))
-    tokens = spark.read.parquet(out.path("tokens"))
-    return _write(tk.canonical_summary(numbered, strings, tokens, errors), out.path("manifest"), overwrite)
+    samples, tokens = spark.read.parquet(out.path("samples")), spark.read.parquet(out.path("tokens"))
+    summary = tk.canonical_summary(samples, strings, tokens, tk.all_parse_errors(joined))
+    return _write(summary, out.path("manifest"), overwrite)
 
 
 def split(spark: SparkSession, out: Layout, ratios: Mapping[str, float], seed: int, overwrite: bool = False) -> DataFrame:
