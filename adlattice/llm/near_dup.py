@@ -9,11 +9,14 @@ Prefix merging. In one order for all documents, rarest pairs first, two signatur
 one among the first ``COORDINATES - MATCHES + 1`` of either. Only those are posted, which leaves out what many documents
 share, such as a common passage. Pairs that one document alone has are counted and not posted.
 
-Skip merging. Documents of one component need no comparison with each other. Equal sets are one node from the start. Then,
-a few times, every posting list is compared with one of its members, and what is confirmed is united; a large group of
-near copies becomes one component by that. Lists that still hold several components are compared in blocks: the documents
-outside a list's largest component with each other and with that component, never that component with itself. Signatures
-are counted inside a block; only pairs with enough matches leave it.
+Skip merging. Documents of one component need no comparison with each other. Equal sets are one node from the start. Then
+every posting list is compared with its most central member, the one with the fewest pairs of its own, and what is
+confirmed is united; a large group of near copies becomes one component by that. In lists that still hold several
+components, documents go that no other can match: if ``m`` of a document's ``n`` shingles occur in another document of
+these lists, its similarity to one of ``k`` shingles is at most m / (n + k - m). What is left is compared in blocks, the
+documents outside a list's largest component with each other and with that component, never that component with itself.
+A pair is counted in the first list that it shares. Pairs with enough matches and a sufficient bound stay in their block:
+the sets of its documents are brought there, overlaps are counted for all of them at once, and only links leave.
 
 Components are labelled by their least node: repeated joins of the edges with the labels, and of the labels with themselves.
 Nothing but counts reaches the driver.
@@ -40,7 +43,7 @@ SIMILARITY_PERCENT = 80
 COORDINATES = 64
 MATCHES = 36
 PREFIX = COORDINATES - MATCHES + 1
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 BLOCK = 256
 #: A table of pairs of numbers is broadcast up to this many rows (some 10 MB).
 FEW_PAIRS = 200_000
@@ -149,12 +152,13 @@ def _postings(nodes: DataFrame) -> DataFrame:
 
 
 def _prefixes(nodes: DataFrame, prefix: int) -> DataFrame:
-    """(key, node) of the first ``prefix`` pairs of every node, without those that it alone has."""
+    """(node, alone, keys): how many pairs a node alone has, and the others among its first ``prefix``."""
     postings = _postings(nodes)
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = postings.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("pairs"))
-    room = F.lit(prefix - COORDINATES) + F.size("pairs")
-    return own.where(room > 0).select("node", F.explode(F.slice("pairs", F.lit(1), room)).alias("p")).select(F.col("p.key").alias("key"), "node")
+    alone = F.lit(COORDINATES) - F.size("pairs")
+    posted = own.where(alone < prefix)
+    return posted.select("node", alone.alias("alone"), F.slice("pairs", F.lit(1), F.lit(prefix) - alone)["key"].alias("keys"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -196,11 +200,10 @@ def _filtered(pairs: DataFrame, accept) -> DataFrame:
     return pairs.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, percent: int, save: _Steps, counted: bool) -> DataFrame:
-    """Edges (a, b) among candidate pairs; ``counted`` says that their signatures have been compared."""
-    if not counted:
-        pairs = save(_filtered(_both(pairs, nodes, "signature"), lambda x, y: int((x == y).sum()) >= matches))
-    return save(_filtered(_both(pairs, sets, "own"), lambda x, y: similar(x, y, percent)).distinct())
+def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, percent: int, save: _Steps) -> DataFrame:
+    """Edges (a, b) among candidate pairs: enough matches of the signatures, then enough overlap of the sets."""
+    matched = save(_filtered(_both(pairs, nodes, "signature"), lambda x, y: int((x == y).sum()) >= matches))
+    return save(_filtered(_both(matched, sets, "own"), lambda x, y: similar(x, y, percent)).distinct())
 
 
 def connected(edges: DataFrame, save: _Steps) -> DataFrame:
@@ -231,28 +234,55 @@ def _united(labels: DataFrame, edges: DataFrame, save: _Steps) -> DataFrame:
 
 
 def _open(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label) of the lists that hold several components."""
+    """(key, node, alone, label) of the lists that hold several components."""
     named = postings.join(labels, "node")
     several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return named.join(several, "key").select("key", "node", "label")
+    return named.join(several, "key").select("key", "node", "alone", "label")
 
 
 def _with_leader(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of every list's leader of this turn with the members of other components."""
-    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("drawn"), F.col("node").alias("leader"), F.col("label").alias("of"))
+    """Pairs of every list's most central member with the members of other components."""
+    drawn = F.struct("alone", F.xxhash64("node", F.lit(turn)).alias("drawn"), F.col("node").alias("leader"), F.col("label").alias("of"))
     leaders = members.groupBy("key").agg(F.min(drawn).alias("first")).select("key", "first.leader", "first.of")
     pairs = members.join(leaders, "key").where("label <> of")
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def _in_blocks(members: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
-    """Pairs of different components with enough equal coordinates, each list compared block by block."""
-    counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    shape = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+def _shared_sizes(members: DataFrame, sets: DataFrame, save: _Steps) -> DataFrame:
+    """(node, n, m): the size of every member's set, and how many of it another member has too."""
+    some = sets.join(members.select("node").distinct(), "node", "left_semi")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, off in scan.chunks(batch.column(1)):
+                node = np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), np.diff(off) // 8)
+                yield pa.RecordBatch.from_arrays([pa.array(raw.view(np.int64)), pa.array(node)], ["shingle", "node"])
+
+    each = some.mapInArrow(unpack, "shingle long, node long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("to"))
+    alone = each.where(F.col("node") == F.col("to")).groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    size = some.select("node", (F.octet_length("own") / 8).cast("long").alias("n"))
+    return save(size.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m")))
+
+
+def _able(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Members, with n and m, that the bound allows a partner in one of their lists."""
+    sized = members.join(sizes, "node")
+    least = sized.groupBy("key").agg(F.min("n").alias("least")).where("least IS NOT NULL")
+    closest = sized.join(least, "key").groupBy("node").agg(F.min("least").alias("least"))
+    other = F.greatest(F.col("least"), F.col("m"))
+    able = closest.join(sizes, "node").where(100 * F.col("m") >= percent * (F.col("n") + other - F.col("m"))).select("node")
+    return sized.join(able, "node", "left_semi")
+
+
+def _in_blocks(members: DataFrame, nodes: DataFrame, prefixes: DataFrame, matches: int, percent: int) -> DataFrame:
+    """(key, i, j, list, pairs): nodes of a block, and places in that list of the pairs of different components that the
+    signatures and the bound allow."""
+    counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    shape = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
     rows = members.join(shape, "key").withColumn("large", F.col("label") == F.col("top.label"))
-    parts = F.greatest(F.lit(1), F.ceil(F.when(F.col("large"), F.col("top.n")).otherwise(F.col("all") - F.col("top.n")) / BLOCK))
-    others = F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.n")) / BLOCK))
-    larges = F.greatest(F.lit(1), F.ceil(F.col("top.n") / BLOCK))
+    parts = F.greatest(F.lit(1), F.ceil(F.when(F.col("large"), F.col("top.c")).otherwise(F.col("all") - F.col("top.c")) / BLOCK))
+    others = F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.c")) / BLOCK))
+    larges = F.greatest(F.lit(1), F.ceil(F.col("top.c") / BLOCK))
     own = F.pmod(F.xxhash64("node", F.lit(5)), parts)
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     # Blocks of the others meet each other (the lower first) and all blocks of the largest component (numbered from -1 down).
@@ -260,24 +290,72 @@ def _in_blocks(members: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
     meets_large = F.transform(upto(larges), lambda k: F.struct(own.alias("i"), (-1 - k).alias("j")))
     from_large = F.transform(upto(others), lambda k: F.struct(k.alias("i"), (-1 - own).alias("j")))
     spots = F.when(F.col("large"), from_large).otherwise(F.concat(meets_other, meets_large))
-    dealt = rows.select("key", "node", "label", "large", F.explode(spots).alias("spot")).select("key", "spot.i", "spot.j", "node", "label", "large")
-    signed = dealt.join(nodes.select("node", "signature"), "node")
+    dealt = rows.select("key", "node", "label", "large", "n", "m", F.explode(spots).alias("spot"))
+    dealt = dealt.select("key", "spot.i", "spot.j", "node", "label", "large", "n", "m")
+    signed = dealt.join(nodes.select("node", "signature"), "node").join(prefixes.select("node", "keys"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+        key = table.column("key")[0].as_py()
+        node, label, n, m = (table.column(c).to_numpy() for c in ("node", "label", "n", "m"))
         large = table.column("large").to_numpy(zero_copy_only=False)
+        keys = table.column("keys").to_pylist()
         raw, _ = scan.utf8(table.column("signature"))
         values = raw.view(np.uint64).reshape(-1, COORDINATES)
         left, right = np.flatnonzero(~large), np.flatnonzero(large) if large.any() else np.flatnonzero(~large)
         out = []
         for x in left.tolist():
-            equal = (values[right] == values[x]).sum(axis=1)
-            out.append([(x, y) for y in right[(equal >= matches) & (label[right] != label[x])].tolist()])
-        pairs = np.array([p for some in out for p in some], np.int64).reshape(-1, 2)
-        ends = np.sort(node[pairs], axis=1)
+            common = np.minimum(m[right], m[x])
+            fits = (label[right] != label[x]) & (100 * common >= percent * (n[right] + n[x] - common))
+            some = right[fits]
+            some = some[(values[some] == values[x]).sum(axis=1) >= matches]
+            out += [(x, y) for y in some.tolist() if min(set(keys[x]) & set(keys[y])) == key]
+        used, places = np.unique(np.array(out, np.int64).reshape(-1), return_inverse=True)
+        row = [key, table.column("i")[0].as_py(), table.column("j")[0].as_py(), node[used].tolist(), places.astype("<u2").tobytes()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        return pa.table([pa.array([v] if out else [], k) for v, k in zip(row, kinds)], ["key", "i", "j", "list", "pairs"])
+
+    return signed.groupBy("key", "i", "j").applyInArrow(compare, "key long, i long, j long, list array<long>, pairs binary")
+
+
+def _overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Common elements of the sets of each pair, by products of the sets' incidence matrix, some columns at a time."""
+    if len(pairs) < 32:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in pairs.tolist()], np.int64)
+    column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(len(sets)), [len(own) for own in sets])
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    column, owner = number[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total, width = np.zeros((len(sets), len(sets))), 4096
+    edges = np.searchsorted(column, np.arange(0, int(shared.sum()) + width, width))
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner[a:b], column[a:b] - k * width] = 1
+        total += held @ held.T
+    return total[pairs[:, 0], pairs[:, 1]].astype(np.int64)
+
+
+def _confirmed_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of the pairs in blocks; the sets of a block's nodes meet there."""
+    rows = blocks.select("key", "i", "j", "pairs", F.posexplode("list").alias("at", "node"))
+    rows = rows.select("key", "i", "j", "at", "node", F.when(F.col("at") == 0, F.col("pairs")).alias("pairs")).join(sets, "node")
+
+    def confirm(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        node = table.column("node").to_numpy()
+        raw, off = scan.utf8(table.column("own"))
+        own = [raw[a:b].view(np.uint64) for a, b in zip(off, off[1:])]
+        pairs = np.frombuffer(table.column("pairs")[0].as_py(), "<u2").astype(np.int64).reshape(-1, 2)
+        size = np.diff(off) // 8
+        common = _overlaps(own, pairs)
+        links = pairs[100 * common >= percent * (size[pairs[:, 0]] + size[pairs[:, 1]] - common)]
+        ends = np.sort(node[links].reshape(-1, 2), axis=1)
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    return signed.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("key", "i", "j").applyInArrow(confirm, "a long, b long").distinct()
 
 
 def _judged(
@@ -299,21 +377,26 @@ def _judged(
             F.first("signature").alias("signature"),
         )
     )
-    postings = save(_prefixes(nodes, COORDINATES - matches + 1))
-    labels = save(postings.select("node").distinct().select("node", F.col("node").alias("label")))
-    wanted = nodes.join(labels, "node", "left_semi").select("node", "of.doc_id", "of.text_key")
-    sets = save(_sets(docs, save(wanted), shingle))
+    prefixes = save(_prefixes(nodes, COORDINATES - matches + 1))
+    postings = prefixes.select("node", "alone", F.explode("keys").alias("key"))
+    labels = save(prefixes.select("node", F.col("node").alias("label")))
     members = save(_open(postings, labels))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "of.doc_id", "of.text_key")
+    sets = save(_sets(docs, save(wanted), shingle))
     for turn in range(rounds):
-        edges = _confirmed(save(_with_leader(members, turn)), nodes, sets, matches, percent, save, counted=False)
+        edges = _confirmed(save(_with_leader(members, turn)), nodes, sets, matches, percent, save)
         if edges.isEmpty():
             break
         labels = _united(labels, edges, save)
-        members = save(_open(members.select("key", "node"), labels))
+        members = save(_open(members.select("key", "node", "alone"), labels))
         if members.isEmpty():
             break
     if not members.isEmpty():
-        edges = _confirmed(save(_in_blocks(members, nodes, matches)), nodes, sets, matches, percent, save, counted=True)
+        able = _able(members, _shared_sizes(members, sets, save), percent)
+        several = able.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        left = save(able.join(several, "key"))
+        blocks = save(_in_blocks(left, nodes, prefixes, matches, percent))
+        edges = save(_confirmed_blocks(blocks, sets, percent))
         labels = _united(labels, edges, save)
     named = nodes.select("node", "least_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
