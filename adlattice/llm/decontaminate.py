@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,7 +256,7 @@ def _remover(shared, names: list[str], text: int, most_coverage: float):
         automaton = shared.value
         known = scan.HashTable(automaton.vocabulary)
         for batch in batches:
-            values, keep = batch.column(text).to_pylist(), np.ones(batch.num_rows, bool)
+            changed, keep = {}, np.ones(batch.num_rows, bool)
             for lo, hi, data, off, starts, _, first, hit, items in _scan(batch.column(text), automaton, known):
                 for k in items:
                     a, b = int(first[k]), int(first[k + 1])
@@ -266,8 +267,13 @@ def _remover(shared, names: list[str], text: int, most_coverage: float):
                     edges = np.append(starts[a:b], off[k + 1])
                     edges[0] = off[k]
                     gone = np.repeat(marks, np.diff(edges))
-                    values[lo + k] = data[off[k] : off[k + 1]][~gone].tobytes().decode()
-            columns = [pa.array(values, c.type) if j == text else c for j, c in enumerate(batch.columns)]
+                    changed[lo + k] = data[off[k] : off[k + 1]][~gone].tobytes().decode()
+            columns = list(batch.columns)
+            if changed:
+                mask = np.zeros(batch.num_rows, bool)
+                mask[list(changed)] = True
+                fresh = pa.array([changed[k] for k in sorted(changed)], columns[text].type)
+                columns[text] = pc.replace_with_mask(columns[text], pa.array(mask), fresh)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
     return run

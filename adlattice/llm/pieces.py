@@ -10,7 +10,7 @@ import pyarrow as pa
 from adlattice.llm import pretoken, scan
 
 #: Distinct pre-tokens that a worker keeps at once (some 80 bytes each); beyond it starts anew.
-KEPT = 2_000_000
+KEPT = 600_000
 
 
 class PieceEncoder:

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -310,14 +311,18 @@ def sanitize(docs: DataFrame, disclosed: DataFrame | None = None, at_once: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(len(names) - 1)
-            terms, texts = batch.column(len(names)).to_pylist(), column.to_pylist()
+            terms, changed = batch.column(len(names)).to_pylist(), {}
             for lo, hi, data, off in scan.chunks(column):
                 chunk = Chunk(data, off)
                 for k in range(hi - lo):
                     spans = chunk.spans.get(k, []) + _term_spans(terms[lo + k])
                     if spans:
-                        texts[lo + k] = replaced(texts[lo + k], spans)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, column.type)], names)
+                        changed[lo + k] = replaced(chunk.text(k), spans)
+            if changed:
+                mask = np.zeros(batch.num_rows, bool)
+                mask[list(changed)] = True
+                column = pc.replace_with_mask(column, pa.array(mask), pa.array(list(changed.values()), column.type))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], column], names)
 
     schema = rows.schema
     return _marked(rows, disclosed, at_once).mapInArrow(run, schema).select(*[F.col(f"`{c}`") for c in docs.columns])
