@@ -185,7 +185,7 @@ def conflict_summary(samples: DataFrame, group: Sequence[str], order: Sequence[s
         F.avg("norm_2").alias("norm_2_mean"),
         F.avg("ratio").alias("norm_ratio_mean"),
         F.avg("cos_all").alias("cosine_mean"),
-        (F.sum("hit") / F.count(F.lit(1))).alias("conflict_rate"),
+        (F.coalesce(F.sum("hit"), F.lit(0.0)) / F.count(F.lit(1))).alias("conflict_rate"),
         F.avg(F.when(F.col("cos_all") < 0, F.col("cos_all"))).alias("neg_conflict_strength"),
     )
     cosines = value_quantiles(valid, keys, "cos_all", {"cosine_p10": 0.1, "cosine_p50": 0.5, "cosine_p90": 0.9})

@@ -29,7 +29,9 @@ def weighted_bce(scored: DataFrame, clip_ctr: float | None = None, static_ctr: f
     """Click loss over all rows and conversion loss over clicked rows with neg/pos class weights."""
     weights = _dynamic_weights(scored, clip_ctr).scalar()
     y1, y2, m = (F.col(c).cast("double") for c in ("y_ctr", "y_cvr", "click_mask"))
-    w_ctr = F.lit(float(static_ctr)) if static_ctr is not None else weights["ctr"]
+    w_ctr = weights["ctr"]
+    if static_ctr is not None:
+        w_ctr = F.lit(float(static_ctr if clip_ctr is None else min(static_ctr, clip_ctr)))
     rows = scored.select(
         bce_with_logits(F.col("ctr_logit"), y1, w_ctr).alias("a"),
         (bce_with_logits(F.col("cvr_logit"), y2, weights["cvr"]) * m).alias("b"),

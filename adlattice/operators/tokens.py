@@ -134,7 +134,7 @@ def tokens_in_range(tokens: DataFrame, low: int, high: int) -> DataFrame:
 def tokens_of_rows(tokens: DataFrame, rows: DataFrame) -> DataFrame:
     """Tokens of the given rows, in (row_id, src, field) order."""
     wanted = rows.select("row_id")
-    return tokens.join(wanted, "row_id").orderBy("row_id", "src", "field", "fid")
+    return tokens.join(wanted, "row_id", "left_semi").orderBy("row_id", "src", "field", "fid")
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:

@@ -18,18 +18,17 @@ NEW_VALUE_GOOD = 0.05
 VOCAB_LIMIT = 50_000
 
 
-def frequency_ranks(counts: DataFrame, max_rank: int | None = None, partitions: int | None = None) -> DataFrame:
+def frequency_ranks(counts: DataFrame, partitions: int | None = None) -> DataFrame:
     """0-based rank per (field, src): most frequent first, ties by fid.
 
     A field may hold a large part of all distinct fids, so the ranking is cut over range partitions.
     """
-    ranked = group_rank(counts, FIELD_KEY, [F.desc("cnt"), "fid"], "rank", partitions)
-    return ranked if max_rank is None else ranked.where(F.col("rank") < max_rank)
+    return group_rank(counts, FIELD_KEY, [F.desc("cnt"), "fid"], "rank", partitions)
 
 
-def train_frequency(tokens: DataFrame, max_rank: int = 200_000) -> DataFrame:
-    """(field, src, fid, cnt, rnk) of the most frequent fids, ranks from 1."""
-    ranked = frequency_ranks(token_counts(tokens), max_rank)
+def train_frequency(tokens: DataFrame) -> DataFrame:
+    """(field, src, fid, cnt, rnk) of all fids, ranks from 1."""
+    ranked = frequency_ranks(token_counts(tokens))
     return ranked.select(*FIELD_KEY, "fid", "cnt", (F.col("rank") + 1).alias("rnk"))
 
 

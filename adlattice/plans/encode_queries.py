@@ -81,7 +81,7 @@ def thinned_processed(v: Views) -> DataFrame:
 
 
 def q_missing_fill(v: Views) -> DataFrame:
-    p = thinned_processed(v).where("row_id % 3 = 0")
+    p = thinned_processed(v)
     return p.select(
         "row_id", "f1_121_idx", "f1_129_idx", "f1_129_val",
         as_text(F.col("f0_853_idx")).alias("f0_853_idx"), scaled_text(F.col("f0_853_val"), 1000).alias("f0_853_val"),
@@ -223,14 +223,11 @@ QUERIES = [
     Query("hash_ids", "H5", "row_id:i name:t pos:i idx:i is_oov:b", lambda v: ids_of(v, "hash"), "SELECT * FROM encoded_fx WHERE encoding = 'hash'"),
     Query("hybrid_ids", "H6", "row_id:i name:t pos:i idx:i is_tail:b", lambda v: ids_of(v, "hybrid"), "SELECT * FROM encoded_fx WHERE encoding = 'hybrid'"),
     Query("missing_fill", "H7", "row_id:i f1_121_idx:i f1_129_idx:i f1_129_val:r f0_853_idx:t f0_853_val:t", q_missing_fill,
-          "SELECT row_id, 1 AS f1_121_idx, 1 AS f1_129_idx, 1.0 AS f1_129_val, '1' AS f0_853_idx, '1000' AS f0_853_val FROM samples_fx WHERE row_id % 3 = 0"),
+          f"""SELECT row_id, CASE WHEN row_id % 3 = 0 THEN 1 ELSE f1_121_idx END AS f1_121_idx, CASE WHEN row_id % 3 = 0 THEN 1 ELSE f1_129_idx END AS f1_129_idx,
+               CASE WHEN row_id % 3 = 0 THEN 1.0 ELSE f1_129_val END AS f1_129_val, CASE WHEN row_id % 3 = 0 THEN '1' ELSE f0_853_idx END AS f0_853_idx,
+               CASE WHEN row_id % 3 = 0 THEN '1000' ELSE f0_853_val END AS f0_853_val FROM ({WIDE_TEXT_SQL})"""),
     Query("id_bounds", "H8", "name:t max_idx:i total_rows:i out_of_range:i", q_bound_check,
           "SELECT name, max(idx) AS max_idx, max(total_rows) AS total_rows, 0 AS out_of_range FROM encoded_fx GROUP BY name"),
-    Query("embedding_rows", "H9", "name:t encoding:t head_rows:i total_rows:i tokens:i",
-          lambda v: v.spec.join(v.tokens.groupBy("src", "field").agg(F.count(F.lit(1)).alias("tokens")), ["src", "field"], "left"),
-          """SELECT name, encoding, CASE WHEN encoding = 'hash' THEN 0 ELSE 3 + vocab_tokens END AS head_rows,
-               CASE encoding WHEN 'vocab' THEN 3 + vocab_tokens WHEN 'hash' THEN 2 + hash_bucket ELSE 3 + vocab_tokens + hash_bucket END AS total_rows, n AS tokens
-             FROM spec_fx s LEFT JOIN (SELECT src, field, count(*) AS n FROM tokens_fx GROUP BY src, field) t ON s.src = t.src AND s.field = t.field"""),
     Query("processed_rows", "H18 B13", WIDE_COLS, wide_text, WIDE_TEXT_SQL),
     Query("encoding_stats", "D32", STATS_COLS, encoding_stats, STATS_SQL),
     Query("encoding_rates", "D33", "name:t nan_inf_rate:r tail_fallback_rate:r auto_mix_rate:r topk_by_freq_rate:r topk_by_value_rate:r avg_retained_frac:r max_idx:i", lambda v: encode.encoding_rates(encoding_stats(v)), RATES_SQL),
@@ -238,8 +235,6 @@ QUERIES = [
     Query("padded_batches", "H13 R2", "batch:i pos:i field:t ids:t weights:t length:i", q_pad, PAD_SQL),
     Query("bag_offsets", "E9", "batch:i pos:i field:t bag_offset:i", q_offsets, f'SELECT batch, pos, field, {OFFSET_SQL} AS bag_offset FROM ({BAG_SQL}) WHERE field IN (\'f0_853\', \'f0_301\')'),
     Query("packed_bags", "R1", "batch:i field:t indices:t offsets:t weights:t", q_pack, PACK_SQL),
-    Query("missing_columns", "Q1", "name:t issue:t", lambda v: quality.missing_columns(v.processed.drop("f1_129_val"), FEATURES),
-          "SELECT DISTINCT 'f1_129_val' AS name, 'missing column' AS issue FROM orders"),
     Query("oov_check", "Q2", "name:t oov_rate:r failed:b", lambda v: quality.oov_check(report(v)),
           f"""SELECT name, avg(CASE WHEN idx = 2 THEN 1.0 ELSE 0.0 END) AS oov_rate, avg(CASE WHEN idx = 2 THEN 1.0 ELSE 0.0 END) > 0.95 AS failed FROM ({FILLED_SQL}) WHERE encoding <> 'hash' GROUP BY name"""),
     Query("value_check", "Q3", "name:t ids:i non_one:i failed:b", lambda v: quality.value_check(report(v)),

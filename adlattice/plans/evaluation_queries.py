@@ -108,7 +108,7 @@ def best(v: Views) -> DataFrame:
 
 
 def q_run_summary(v: Views) -> DataFrame:
-    meta = v.table("customer").select(F.col("c_custkey").cast("string").alias("run_id"), F.col("c_mktsegment").alias("description")).where("CAST(run_id AS INT) < 200")
+    meta = v.table("customer").select(F.col("c_custkey").cast("string").alias("run_id"), F.col("c_mktsegment").alias("description"))
     return runs.run_summary(best(v), meta)
 
 
@@ -319,7 +319,7 @@ QUERIES = [
     Query("best_records", "K1", BEST_COLS, best, BEST_SQL),
     Query("run_summary", "K2", "run_id:t description:t status:t best_step:i auc_ctcvr:r", q_run_summary,
           f"""SELECT m.run_id, m.description, CASE WHEN best_step IS NULL THEN 'no valid records' ELSE 'ok' END AS status, best_step, auc_ctcvr
-              FROM (SELECT CAST(c_custkey AS VARCHAR) AS run_id, c_mktsegment AS description FROM customer WHERE c_custkey < 200) m LEFT JOIN ({BEST_SQL}) b ON m.run_id = b.run_id"""),
+              FROM (SELECT CAST(c_custkey AS VARCHAR) AS run_id, c_mktsegment AS description FROM customer) m LEFT JOIN ({BEST_SQL}) b ON m.run_id = b.run_id"""),
     Query("metric_deltas", "K3", "label:t run_new:t run_base:t metric:t value_new:r value_base:r delta:r delta_pct:r missing:b", q_deltas,
           f"""SELECT *, n - o AS delta, (n - o) / o * 100 AS delta_pct, n IS NULL OR o IS NULL AS missing, n AS value_new, o AS value_base FROM (
                SELECT 'next of ' || r.run_id AS label, CAST(r.run_id + 1 AS VARCHAR) AS run_new, CAST(r.run_id AS VARCHAR) AS run_base, CASE WHEN r.run_id % 2 = 0 THEN 'auc_ctcvr' ELSE 'loss_cvr' END AS metric,

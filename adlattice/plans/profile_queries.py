@@ -157,7 +157,7 @@ WORD_RANK_SQL = """
     FROM split_words_fx WHERE split = 'train' GROUP BY field, src, fid"""
 WORD_JOIN_SQL = f"""
     SELECT w.row_id, w.field, w.src, w.fid, coalesce(r.rnk, 999999999) AS rnk FROM split_words_fx w
-    LEFT JOIN (SELECT * FROM ({WORD_RANK_SQL}) WHERE rnk <= 200000) r ON w.field = r.field AND w.src = r.src AND w.fid = r.fid WHERE w.split = 'valid'"""
+    LEFT JOIN ({WORD_RANK_SQL}) r ON w.field = r.field AND w.src = r.src AND w.fid = r.fid WHERE w.split = 'valid'"""
 
 
 def _curve_sql(lines: str, level: str, out: str, heads: list[int]) -> str:
@@ -309,7 +309,7 @@ QUERIES = [
                0 AS entity_overlap_count, (SELECT count(*) FROM split_tokens_fx WHERE split = 'train') AS tokens_train_rows, (SELECT count(*) FROM split_tokens_fx WHERE split = 'valid') AS tokens_valid_rows,
                (SELECT count(*) FROM tokens_fx) AS expected_total, (SELECT count(*) FROM split_tokens_fx) - (SELECT count(*) FROM tokens_fx) AS tokens_diff FROM split_fx"""),
     Query("train_frequency", "D14", "field:t src:i fid:t cnt:i rnk:i", word_frequency,
-          "SELECT * FROM (SELECT field, src, fid, count(*) AS cnt, row_number() OVER (PARTITION BY field, src ORDER BY count(*) DESC, fid) AS rnk FROM split_words_fx WHERE split = 'train' GROUP BY field, src, fid) WHERE rnk <= 200000"),
+          "SELECT field, src, fid, count(*) AS cnt, row_number() OVER (PARTITION BY field, src ORDER BY count(*) DESC, fid) AS rnk FROM split_words_fx WHERE split = 'train' GROUP BY field, src, fid"),
     Query("frequency_rank", "E1 D35", "field:t src:i fid:t rank:i", lambda v: vocab.frequency_ranks(token_counts(v.words), partitions=16),
           "SELECT field, src, fid, row_number() OVER (PARTITION BY field, src ORDER BY count(*) DESC, fid) - 1 AS rank FROM words_fx GROUP BY field, src, fid"),
     Query("vocab_table", "E2", "field:t src:i fid:t rank:i", lambda v: vocab.vocab_table(v.ranks, v.spec),

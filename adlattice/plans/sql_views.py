@@ -62,8 +62,7 @@ VIEWS = {
     "ranks_fx": """
         SELECT src, field, fid, rnk - 1 AS rank FROM (
           SELECT src, field, fid, row_number() OVER (PARTITION BY src, field ORDER BY count(*) DESC, fid) AS rnk
-          FROM split_tokens_fx WHERE split = 'train' GROUP BY src, field, fid)
-        WHERE rnk <= 40""",
+          FROM split_tokens_fx WHERE split = 'train' GROUP BY src, field, fid)""",
     "bags_fx": """
         SELECT t.row_id, t.src, t.field, t.fid, max(CAST(t.val AS DOUBLE)) AS val, any_value(r.rank) AS rank, count(*) AS copies
         FROM tokens_fx t LEFT JOIN ranks_fx r ON t.src = r.src AND t.field = r.field AND t.fid = r.fid

@@ -97,7 +97,7 @@ def advise(spark: SparkSession, out: Layout, existing: FeatureMap, overwrite: bo
     train, valid = (_side(spark, out, "split_tokens", s) for s in ("train", "valid"))
     n_train = _rows(_side(spark, out, "split_samples", "train"))
     stats = spark.read.parquet(out.path("field_stats"))
-    ranked = vocab.frequency_ranks(spark.read.parquet(out.path("token_counts")), 200_000)
+    ranked = vocab.frequency_ranks(spark.read.parquet(out.path("token_counts")))
     frequency = _write(ranked.select("field", "src", "fid", "cnt", (F.col("rank") + 1).alias("rnk")), out.path("train_frequency"), overwrite)
     curves = _write(vocab.oov_curves(valid, frequency), out.path("oov_curves"), overwrite)
     hints = _write(vocab.encoding_advice(curves), out.path("encoding_advice"), overwrite)
@@ -124,7 +124,7 @@ def process(spark: SparkSession, out: Layout, features: FeatureMap, blake2b: boo
     spec = features.table(spark)
     train = _side(spark, out, "split_tokens", "train")
     counts = tk.token_counts(train.join(F.broadcast(spec.select("src", "field")), ["src", "field"], "left_semi"))
-    ranks = _write(vocab.frequency_ranks(counts, features.max_rank()), out.path("ranks"), overwrite)
+    ranks = _write(vocab.frequency_ranks(counts), out.path("ranks"), overwrite)
     encoded = _write(encode.check_bounds(encode.encode_tokens(tokens, spec, ranks, blake2b)), out.path("encoded"), overwrite)
     _write(encode.encoding_rates(encode.encoding_stats(encoded, spec, _rows(samples))), out.path("encoding_rates"), overwrite)
     sinks.write_processed(encode.assemble(samples, encoded, features), out.path("processed"), overwrite)

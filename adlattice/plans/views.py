@@ -180,7 +180,7 @@ class Views:
         """Training ranks of the configured fields."""
         keys = F.broadcast(self.spec.select("src", "field"))
         counts = token_counts(self.tokens_of("train").join(keys, ["src", "field"], "left_semi"))
-        return vocab.frequency_ranks(counts, FEATURES.max_rank())
+        return vocab.frequency_ranks(counts)
 
     @cached_property
     def spec(self) -> DataFrame:

@@ -90,10 +90,11 @@ def compact_tokens(
 
 
 def merge_parquet(spark: SparkSession, source: str, target: str, parts: int) -> int:
-    """Rewrite any Parquet folder as at most ``parts`` files and verify the rows."""
+    """Rewrite any Parquet folder as at most ``parts`` files, in ranges of row_id where it has them, and verify the rows."""
     df = spark.read.parquet(source)
     before = df.count()
-    df.repartition(parts).write.mode("overwrite").parquet(target)
+    ordered = df.repartitionByRange(parts, "row_id") if "row_id" in df.columns else df.repartition(parts)
+    ordered.write.mode("overwrite").parquet(target)
     after = spark.read.parquet(target).count()
     if after != before:
         raise ValueError(f"row count changed from {before} to {after}")

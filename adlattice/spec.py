@@ -141,10 +141,6 @@ class FeatureMap:
     def by_name(self) -> list[Feature]:
         return sorted(self.features, key=lambda f: f"{f.name}_idx")
 
-    def max_rank(self) -> int:
-        """Ranks that any feature can tell apart: the longest head or bag."""
-        return max([1] + [max(f.vocab_tokens or 0, f.max_len or 0) for f in self.features])
-
     def table(self, spark: SparkSession) -> DataFrame:
         """One row per feature; at most a few dozen rows."""
         rows = []

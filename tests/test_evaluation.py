@@ -98,6 +98,13 @@ def test_conversion_loss_ignores_rows_without_click(spark):
     assert none["loss_cvr"] == 0.0
 
 
+def test_clip_holds_for_a_given_weight_too(spark):
+    rows = [(0.3, -0.2, 1, 0, 1), (0.1, 0.4, 0, 0, 0), (-0.5, 0.2, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "ctr_logit double, cvr_logit double, y_ctr int, y_cvr int, click_mask int")
+    weight = lambda **k: losses.weighted_bce(df, **k).first()["pos_weight_ctr"]
+    assert (weight(static_ctr=20.0, clip_ctr=5.0), weight(static_ctr=2.0, clip_ctr=5.0), weight(static_ctr=20.0)) == (5.0, 2.0, 20.0)
+
+
 def test_focal_without_focus_is_cross_entropy(spark):
     df = spark.createDataFrame([(1.0, 0.3), (0.0, -2.0), (0.0, 4.0)], "y double, x double")
     focal = losses.focal_metric(df, "x", "y", gamma=0.0).first()["focal_loss"]
