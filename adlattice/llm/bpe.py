@@ -139,15 +139,9 @@ class Vocabulary:
         return self.blob[scan.ragged(self.start[ids], size)], np.concatenate(([0], np.cumsum(size)))
 
 
-_WORKER: dict[int, pieces.PieceEncoder] = {}
-
-
-def _worker_encoder(shared) -> pieces.PieceEncoder:
-    key = id(shared.value[0])
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = pieces.PieceEncoder(shared.value[0].resolve, shared.value[1])
-    return _WORKER[key]
+def _task_encoder(shared) -> pieces.PieceEncoder:
+    """An encoder that lives as long as its task."""
+    return pieces.PieceEncoder(shared.value[0].resolve, shared.value[1])
 
 
 def _shared(docs: DataFrame, ranks_path: str):
@@ -159,7 +153,7 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     shared = _shared(docs, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker_encoder(shared)
+        encoder = _task_encoder(shared)
         for batch in batches:
             for lo, hi, data, off in scan.chunks(batch.column(1)):
                 ids, first = encoder.encode(data, off)
@@ -195,7 +189,7 @@ def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
         return pa.array([hashlib.sha256(values[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, vocabulary = _worker_encoder(shared), shared.value[0]
+        encoder, vocabulary = _task_encoder(shared), shared.value[0]
         for batch in batches:
             for lo, hi, data, off in scan.chunks(batch.column(1)):
                 ids, first = encoder.encode(data, off)

@@ -240,8 +240,21 @@ def disclosures(
     return spark.read.parquet(f"{path}/found")
 
 
+def _term_places(chunk: Chunk, table: scan.HashTable, found: list[list[int]]) -> list[list[int]]:
+    """``found`` (a list for each text) with the spans of the table's terms, as pairs of code points."""
+    hashes, starts, ends, first = chunk.words()
+    hit = np.flatnonzero(table.find(hashes) >= 0)
+    cuts = np.searchsorted(hit, first)
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        own = hit[cuts[k] : cuts[k + 1]]
+        from_, to = chunk.places(k, starts[own]), chunk.places(k, ends[own])
+        free = _clear(from_, to, chunk.spans.get(k, []))
+        found[k] = found[k] + np.stack((from_[free], to[free]), axis=1).reshape(-1).tolist()
+    return found
+
+
 def _with_terms(rows: DataFrame, terms: np.ndarray) -> DataFrame:
-    """Adds the spans of the terms to the column _terms (pairs of code points) of rows with a column text."""
+    """Adds the spans of the terms to the last column of rows whose last but one is the text."""
     shared = rows.sparkSession.sparkContext.broadcast(terms)
     names = rows.columns
 
@@ -249,27 +262,23 @@ def _with_terms(rows: DataFrame, terms: np.ndarray) -> DataFrame:
         table = scan.HashTable(shared.value.view(np.uint64))
         for batch in batches:
             found = batch.column(len(names) - 1).to_pylist()
-            for lo, _, data, off in scan.chunks(batch.column(len(names) - 2)):
-                chunk = Chunk(data, off)
-                hashes, starts, ends, first = chunk.words()
-                hit = np.flatnonzero(table.find(hashes) >= 0)
-                cuts = np.searchsorted(hit, first)
-                for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = hit[cuts[k] : cuts[k + 1]]
-                    from_, to = chunk.places(k, starts[own]), chunk.places(k, ends[own])
-                    free = _clear(from_, to, chunk.spans.get(k, []))
-                    found[lo + k] = found[lo + k] + np.stack((from_[free], to[free]), axis=1).reshape(-1).tolist()
+            for lo, hi, data, off in scan.chunks(batch.column(len(names) - 2)):
+                found[lo:hi] = _term_places(Chunk(data, off), table, found[lo:hi])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int32()))], names)
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def _marked(rows: DataFrame, disclosed: DataFrame | None, at_once: int) -> DataFrame:
-    """``rows``, whose last column is text, with the term spans in a further column _terms."""
+def _marked(rows: DataFrame, disclosed: DataFrame | None, at_once: int):
+    """``rows``, whose last column is text, with a further column of term spans, and the broadcast terms still to be looked
+    up: all groups of terms but the last take a map of their own."""
     out = rows.withColumn("_terms" + "_" * sum(map(len, rows.columns)), F.array().cast("array<int>"))
+    last = np.zeros(0, np.int64)
     for terms in _groups(disclosed, at_once) if disclosed is not None else ():
-        out = _with_terms(out, terms)
-    return out
+        if len(last):
+            out = _with_terms(out, last)
+        last = terms
+    return out, rows.sparkSession.sparkContext.broadcast(last)
 
 
 def _term_spans(flat: list[int]) -> list[Span]:
@@ -280,10 +289,12 @@ def find(docs: DataFrame, disclosed: DataFrame | None = None, at_once: int = TER
     """Counts of the pattern spans of every row, their digest, and all spans as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = scan.HashTable(last.value.view(np.uint64))
         for batch in batches:
             terms = batch.column(2).to_pylist()
             for lo, hi, data, off in scan.chunks(batch.column(1)):
                 chunk = Chunk(data, off)
+                terms[lo:hi] = _term_places(chunk, table, terms[lo:hi])
                 spans = [chunk.spans.get(k, []) for k in range(hi - lo)]
                 counts = [pa.array([sum(s[0] == kind for s in own) for own in spans], pa.int64()) for kind in KINDS]
                 base = [spans_text(own) for own in spans]
@@ -299,7 +310,8 @@ def find(docs: DataFrame, disclosed: DataFrame | None = None, at_once: int = TER
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return _marked(rows, disclosed, at_once).mapInArrow(run, RESULT)
+    marked, last = _marked(rows, disclosed, at_once)
+    return marked.mapInArrow(run, RESULT)
 
 
 def sanitize(docs: DataFrame, disclosed: DataFrame | None = None, at_once: int = TERMS_AT_ONCE) -> DataFrame:
@@ -309,11 +321,13 @@ def sanitize(docs: DataFrame, disclosed: DataFrame | None = None, at_once: int =
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = scan.HashTable(last.value.view(np.uint64))
         for batch in batches:
             column = batch.column(len(names) - 1)
             terms, changed = batch.column(len(names)).to_pylist(), {}
             for lo, hi, data, off in scan.chunks(column):
                 chunk = Chunk(data, off)
+                terms[lo:hi] = _term_places(chunk, table, terms[lo:hi])
                 for k in range(hi - lo):
                     spans = chunk.spans.get(k, []) + _term_spans(terms[lo + k])
                     if spans:
@@ -324,8 +338,8 @@ def sanitize(docs: DataFrame, disclosed: DataFrame | None = None, at_once: int =
                 column = pc.replace_with_mask(column, pa.array(mask), pa.array(list(changed.values()), column.type))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], column], names)
 
-    schema = rows.schema
-    return _marked(rows, disclosed, at_once).mapInArrow(run, schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked, last = _marked(rows, disclosed, at_once)
+    return marked.mapInArrow(run, rows.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def replaced(text: str, spans: list[Span]) -> str:

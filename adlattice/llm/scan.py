@@ -1,7 +1,7 @@
 """Vectorised scans over UTF-8 text inside Arrow tasks.
 
 Texts are read from the Arrow buffers without making Python strings. A chunk holds whole texts up to about
-a megabyte, or one longer text, so the memory of a task doesn't depend on the number of rows.
+half a megabyte, or one longer text, so the memory of a task doesn't depend on the number of rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 

@@ -31,6 +31,8 @@ CHECKPOINT = 128
 BLOCK_IDS = 1 << 18
 SHARD_IDS = 1 << 22
 END_ID = 0
+#: Distinct pre-tokens that a worker keeps from task to task.
+KEPT = 2_000_000
 STAGED = "doc_id long, ids binary"
 BLOCK = "shard int, block int, first long, n_ids long, doc_ids binary, null_ids binary, doc_lengths binary, checkpoints binary, bits binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -205,7 +207,7 @@ def _worker_encoder(model, kinds) -> pieces.PieceEncoder:
     key = zlib.crc32(model.value.encode())
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = pieces.PieceEncoder(library_ids(model.value), kinds.value)
+        _WORKER[key] = pieces.PieceEncoder(library_ids(model.value), kinds.value, KEPT)
     return _WORKER[key]
 
 
