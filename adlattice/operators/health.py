@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adlattice.functions.arrays import dot
 from adlattice.operators.joins import lookup_join
-from adlattice.operators.ordered import group_rank, value_quantiles
+from adlattice.operators.ordered import group_rank, ordered_prefix, value_quantiles
 
 # Fixed values.
 ENTROPY_EPS = 1e-12
@@ -47,12 +47,15 @@ def gate_summary(gates: DataFrame) -> DataFrame:
 def gini(lines: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Gini coefficient of a non-negative value per group; 0 for fewer than two lines or no mass.
 
-    The lines are ranked over range partitions, so a group may be of any size.
+    Lines without a value don't count. Equal values are collapsed before anything is ordered, and
+    the lines below a value are cumulated over range partitions: a group, and a value, may be of any size.
     """
-    ranked = group_rank(lines, group, [value], "_i")
-    x = F.col(value)
-    n, total = F.count(F.lit(1)), F.sum(x)
-    raw = 2 * F.sum((F.col("_i") + 1) * x) / (n * total) - (n + 1) / n
+    hist = lines.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ordered_prefix(hist, group, [value], {"_below": ("sum", "_n")})
+    x, same = F.col(value).cast("double"), F.col("_n").cast("double")
+    n, total = F.sum("_n"), F.sum(same * x)
+    places = same * F.col("_below") + same * (same + 1) / 2
+    raw = 2 * F.sum(places * x) / (n * total) - (n + 1) / n
     return ranked.groupBy(*group).agg(
         F.when((n < 2) | (total < 1e-12), F.lit(0.0))
         .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
@@ -170,7 +173,8 @@ def conflict_summary(samples: DataFrame, group: Sequence[str], order: Sequence[s
     """Gradient-conflict numbers per group from logged cosine samples.
 
     A sample counts when the second task has a gradient (``norm_2`` > 0). Columns: norm_1, norm_2,
-    cos_all (NULL allowed).
+    cos_all, and where logged cos_dense and cos_sparse, of the dense and the sparse shared weights
+    alone (NULL allowed in all).
     """
     keys = list(group)
     has_second = F.coalesce(F.col("norm_2") > 0, F.lit(False))
@@ -185,13 +189,18 @@ def conflict_summary(samples: DataFrame, group: Sequence[str], order: Sequence[s
         F.avg("norm_2").alias("norm_2_mean"),
         F.avg("ratio").alias("norm_ratio_mean"),
         F.avg("cos_all").alias("cosine_mean"),
+        *[F.avg(f"cos_{p}").alias(f"cosine_{p}_mean") for p in ("dense", "sparse") if f"cos_{p}" in samples.columns],
         (F.coalesce(F.sum("hit"), F.lit(0.0)) / F.count(F.lit(1))).alias("conflict_rate"),
         F.avg(F.when(F.col("cos_all") < 0, F.col("cos_all"))).alias("neg_conflict_strength"),
     )
-    cosines = value_quantiles(valid, keys, "cos_all", {"cosine_p10": 0.1, "cosine_p50": 0.5, "cosine_p90": 0.9})
-    ratios = value_quantiles(valid, keys, "ratio", {"norm_ratio_p50": 0.5, "norm_ratio_p90": 0.9})
+    parts = {f"cosine_{p}": f"cos_{p}" for p in ("dense", "sparse") if f"cos_{p}" in samples.columns}
+    series = {"cosine": "cos_all", "norm_ratio": "ratio", **parts}
+    lines = valid.select(*keys, F.inline(F.array(*[F.struct(F.lit(s).alias("_series"), F.col(c).cast("double").alias("_v")) for s, c in series.items()])))
+    spread = value_quantiles(lines, [*keys, "_series"], "_v", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    pick = lambda s, p: F.max(F.when(F.col("_series") == s, F.col(p))).alias(f"{s}_{p}")
+    quantiles = spread.groupBy(*keys).agg(*[pick(s, p) for s in series for p in ("p10", "p50", "p90") if (s, p) != ("norm_ratio", "p10")])
     smoothed = ema(valid, keys, order, "hit", alpha, "conflict_rate_ema")
     out = counts
-    for part in (base, cosines, ratios, smoothed):
+    for part in (base, quantiles, smoothed):
         out = out.join(part, keys, "left")
     return out

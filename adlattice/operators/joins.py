@@ -4,29 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adlattice.session import durable
 
 BROADCAST_ROWS = 1_000_000
-HOT_SHARE = 0.001
+BROADCAST_BYTES = 256 << 20
+SLOT_ROWS = 1_000_000
+MAX_HOT = 100_000
+
+
+def _line_bytes(field: T.StructField) -> Column:
+    """About the memory a value takes."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c) + 16
+    elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        size = 16 + 8 * F.octet_length(F.to_json(F.struct(c)))
+    else:
+        return F.lit(16)
+    return F.coalesce(size, F.lit(16))
+
+
+def fits_broadcast(kept: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table has few enough rows and bytes. One too large on disk isn't read for it."""
+    on_disk = int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if on_disk > max_bytes:
+        return False
+    line = sum((_line_bytes(f) for f in kept.schema), F.lit(0).cast("long"))
+    got = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(line), F.lit(0)).alias("b")).first()
+    return got["n"] <= max_rows and got["b"] <= max_bytes
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Write ``df`` once, count it, and hint a broadcast only when it is small enough.
+    """Write ``df`` once, measure it, and hint a broadcast only when it is small enough.
 
-    Beyond the bound the table is returned without a hint and the join shuffles.
+    Beyond the bounds the table is returned without a hint and the join shuffles.
     """
     kept = durable(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    return F.broadcast(kept) if fits_broadcast(kept, max_rows) else kept
+
 
+def hot_keys(df: DataFrame, on: Sequence[str], slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """Keys that own more rows than one slot takes, with the number of slots each needs.
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that own more than ``share`` of the rows: never more than ``1 / share`` of them."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    floor = counts.agg((F.sum("_n") * F.lit(share)).alias("_floor"))
-    return counts.where(F.col("_n") > floor.scalar()).select(*on, F.lit(True).alias("_hot"))
+    A slot takes ``slot_rows`` rows, or more where the whole would need over ``MAX_HOT`` of them: so
+    there are at most ``MAX_HOT`` such keys and twice as many slots. NULL keys meet nothing and
+    aren't listed.
+    """
+    counts = df.dropna(subset=list(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = df.agg(F.count(F.lit(1)).alias("_all"))
+    size = F.greatest(F.lit(slot_rows), F.ceil(total.scalar() / F.lit(MAX_HOT)))
+    return counts.where(F.col("_n") > size).select(*on, F.ceil(F.col("_n") / size).cast("int").alias("_slots"))
 
 
 def spread_join(
@@ -35,20 +66,24 @@ def spread_join(
     on: Sequence[str],
     how: str = "left",
     spread_by: Sequence[str] = ("row_id",),
-    spread: int = 64,
-    share: float = HOT_SHARE,
+    slot_rows: int = SLOT_ROWS,
 ) -> DataFrame:
-    """``rows`` join ``table`` with the hot keys of ``rows`` spread over ``spread`` partitions.
+    """``rows`` join ``table`` with each hot key of ``rows`` spread over as many slots as its rows need.
 
-    Only hot keys are repeated on the table side. ``how`` is inner, left or left_semi.
+    Only hot keys are repeated on the table side. Rows with a NULL key, which meet nothing, are
+    spread freely. ``how`` is inner, left or left_semi.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"cannot spread a {how} join")
-    hot = F.broadcast(hot_keys(rows, on, share))
-    slot = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(spread))).otherwise(F.lit(0))
-    left = rows.join(hot, list(on), "left").withColumn("_slot", slot.cast("int")).drop("_hot")
-    slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    right = table.join(hot, list(on), "left").withColumn("_slot", F.explode(slots)).drop("_hot")
+    hot = F.broadcast(durable(hot_keys(rows, on, slot_rows)))
+    draw = F.xxhash64(*spread_by)
+    no_key = F.lit(False)
+    for k in on:
+        no_key = no_key | F.col(k).isNull()
+    slot = F.when(no_key, draw).when(F.col("_slots").isNotNull(), F.pmod(draw, F.col("_slots"))).otherwise(F.lit(0))
+    left = rows.join(hot, list(on), "left").withColumn("_slot", slot.cast("long")).drop("_slots")
+    slots = F.sequence(F.lit(0).cast("long"), F.coalesce("_slots", F.lit(1)).cast("long") - 1)
+    right = table.join(hot, list(on), "left").withColumn("_slot", F.explode(slots)).drop("_slots")
     return left.join(right, [*on, "_slot"], how).drop("_slot")
 
 
@@ -60,11 +95,12 @@ def lookup_join(
     spread_by: Sequence[str] = ("row_id",),
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join with a table of short rows: broadcast when it is counted small, else spread.
+    """Join with a table of short rows: broadcast when it is measured small, else spread.
 
-    The table is written once, so that counting and joining read the same rows.
+    The table is written once, unless it is read from files already, so that measuring and joining
+    read the same rows.
     """
     kept = durable(table)
-    if kept.count() <= max_rows:
+    if fits_broadcast(kept, max_rows):
         return rows.join(F.broadcast(kept), list(on), how)
     return spread_join(rows, kept, on, how, spread_by)

@@ -117,27 +117,29 @@ def ece(bins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return bins.groupBy(*keys).agg(F.try_divide(weighted, F.sum("n")).alias("ece"))
 
 
-def funnel_consistency(scored: DataFrame, head: str | None = None, label: str | None = "y_ctcvr") -> DataFrame:
+def funnel_consistency(
+    scored: DataFrame, head: str | None = None, label: str | None = "y_ctcvr", keys: Sequence[str] = ()
+) -> DataFrame:
     """Gap between pred_ctr * pred_cvr and the joint head's prediction, or else the joint label."""
     target = head if head and head in scored.columns else label if label and label in scored.columns else None
     product = F.col("pred_ctr") * F.col("pred_cvr")
     if target is None:
         empty = [F.lit(None).cast("double").alias(c) for c in ("mean_y_ctcvr", "gap_mean", *GAP_PROBS)]
-        return scored.agg(F.count(F.lit(1)).alias("n"), F.avg(product).alias("mean_pred_ctcvr")).select("*", *empty)
-    rows = scored.select(product.alias("joint"), F.col(target).cast("double").alias("target")).withColumn(
+        return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(product).alias("mean_pred_ctcvr")).select("*", *empty)
+    rows = scored.select(*keys, product.alias("joint"), F.col(target).cast("double").alias("target")).withColumn(
         "gap", F.col("joint") - F.col("target")
     )
-    quantiles = value_quantiles(rows, [], "gap", GAP_PROBS).select(F.struct(*GAP_PROBS).alias("q"))
-    return (
-        rows.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("joint").alias("mean_pred_ctcvr"),
-            F.avg("target").alias("mean_y_ctcvr"),
-            F.avg("gap").alias("gap_mean"),
-        )
-        .withColumn("_q", quantiles.scalar())
-        .select("n", "mean_pred_ctcvr", "mean_y_ctcvr", "gap_mean", "_q.*")
+    means = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("joint").alias("mean_pred_ctcvr"),
+        F.avg("target").alias("mean_y_ctcvr"),
+        F.avg("gap").alias("gap_mean"),
     )
+    quantiles = value_quantiles(rows, keys, "gap", GAP_PROBS)
+    if keys:
+        return means.join(quantiles, list(keys), "left")
+    whole = means.withColumn("_q", quantiles.select(F.struct(*GAP_PROBS).alias("q")).scalar())
+    return whole.select("n", "mean_pred_ctcvr", "mean_y_ctcvr", "gap_mean", "_q.*")
 
 
 def predictions(scored: DataFrame) -> DataFrame:
@@ -152,12 +154,17 @@ def predictions(scored: DataFrame) -> DataFrame:
 
 
 def evaluation_summary(scored: DataFrame, keys: Sequence[str] = (), keep_prob: float = 1.0) -> DataFrame:
-    """CTR, masked CVR and CTCVR metrics with both calibration errors, one row per group."""
+    """CTR, masked CVR and CTCVR metrics, both calibration errors and the funnel gaps, one row per group."""
     tasks = score_tasks(scored, keep_prob)
     by = [*keys, "task"]
     lines = binary_metrics(tasks, by).join(ece(reliability(tasks, keys=by), by), by)
     pick = lambda task, metric: F.max(F.when(F.col("task") == task, F.col(metric)))
-    return lines.groupBy(*keys).agg(
+    names = {"ctr": "ctr", "cvr": "cvr_masked", "ctcvr": "ctcvr"}
+    ctr, cvr = F.col("ctr_logit") - F.lit(sampling_correction(keep_prob)), F.col("cvr_logit")
+    heads = scored.select(*keys, "y_ctcvr", sigmoid(ctr).alias("pred_ctr"), sigmoid(cvr).alias("pred_cvr"))
+    names_of_gaps = [F.col(c).alias(f"funnel_{c}") for c in ("gap_mean", *GAP_PROBS)]
+    gaps = funnel_consistency(heads, keys=keys).select(*keys, *names_of_gaps)
+    by_task = lines.groupBy(*keys).agg(
         pick("ctr", "auc").alias("ctr_auc"),
         pick("cvr", "auc").alias("cvr_auc_masked"),
         pick("ctcvr", "auc").alias("ctcvr_auc"),
@@ -168,7 +175,12 @@ def evaluation_summary(scored: DataFrame, keys: Sequence[str] = (), keep_prob: f
         pick("cvr", "ece").alias("ece_cvr_masked"),
         F.coalesce(pick("ctr", "n"), F.lit(0)).alias("n"),
         F.coalesce(pick("cvr", "n"), F.lit(0)).alias("n_masked"),
+        *[pick(t, "pos_rate").alias(f"{name}_pos_rate") for t, name in names.items()],
+        *[pick(t, "pred_mean").alias(f"{name}_pred_mean") for t, name in names.items()],
     )
+    if keys:
+        return by_task.join(gaps, list(keys), "left")
+    return by_task.withColumn("_gaps", gaps.select(F.struct("*")).scalar()).select("*", "_gaps.*").drop("_gaps")
 
 
 def component_stats(df: DataFrame, parts: Sequence[str], total: str) -> DataFrame:

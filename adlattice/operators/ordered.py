@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adlattice.operators.joins import checked_broadcast
-from adlattice.session import durable
+from adlattice.session import durable, partitions_for
 
 PID, POS = "_layout_part", "_layout_pos"
 _LOCAL_BITS = (1 << 33) - 1
@@ -32,6 +32,7 @@ def lay_out(
     Equal sort keys share a partition. The borders are sampled, so the outcome is written once.
     """
     keys = [F.col(g) for g in group] + [_as_column(o) for o in order]
+    partitions = partitions or partitions_for(df)
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     numbered = (
         ranged.sortWithinPartitions(*keys)

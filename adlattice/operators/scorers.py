@@ -7,16 +7,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from adlattice.functions.arrays import truncate
+from adlattice.operators.joins import lookup_join
+from adlattice.operators.ordered import group_rank
 from adlattice.session import durable
 from adlattice.spec import Feature, FeatureMap
 
-DIMENSIONS = 1 << 16
 
-
-def _weighted_ids(f: Feature, dimensions: int) -> Column:
-    """(slot, weight) of each id of a feature; weights are divided by the length of the bag."""
+def _weighted_ids(f: Feature) -> Column:
+    """(name, id, weight) of each id of a feature; weights are divided by the length of the bag."""
     ids = F.col(f"{f.name}_idx")
     ids = truncate(ids, f.max_len) if f.multi_hot else F.array(ids)
     if f.use_value:
@@ -25,29 +26,56 @@ def _weighted_ids(f: Feature, dimensions: int) -> Column:
     else:
         vals = F.transform(ids, lambda i: F.lit(1.0))
     share = F.greatest(F.size(ids), F.lit(1)).cast("double")
-    slot = lambda i: F.pmod(F.xxhash64(F.lit(f.name), i), F.lit(dimensions)).cast("int")
     return F.zip_with(
-        ids, vals, lambda i, v: F.struct(slot(i).alias("slot"), (v.cast("double") / share).alias("weight"))
+        ids, vals, lambda i, v: F.struct(F.lit(f.name).alias("name"), i.cast("long").alias("idx"), (v.cast("double") / share).alias("weight"))
     )
 
 
-def feature_vectors(processed: DataFrame, features: FeatureMap, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Encoded rows with one sparse vector; feature ids are hashed to ``dimensions`` slots.
+def feature_vectors(processed: DataFrame, features: FeatureMap, split: str = "train") -> DataFrame:
+    """Encoded rows with one sparse vector; every (feature, id) of the training rows has a slot of its own.
 
-    Zero weights are left out: the factorisation trainer refuses vectors with explicit zeros.
+    Ids that no training row has would keep weight 0 and have no slot. Zero weights are left out: the
+    factorisation trainer refuses vectors with explicit zeros.
     """
+    pairs = F.concat(*[_weighted_ids(f) for f in features.by_name()])
+    lines = processed.select("row_id", F.inline(pairs))
+    training = processed.where(F.col("split") == split) if "split" in processed.columns else processed
+    seen = training.select(F.inline(pairs)).select("name", "idx").distinct()
+    slots = durable(group_rank(seen, [], ["name", "idx"], "slot"))
+    size = max(1, slots.count())
 
     @F.udf(VectorUDT())
     def sparse(pairs):
-        sums: dict[int, float] = {}
-        for slot, weight in pairs:
-            sums[slot] = sums.get(slot, 0.0) + weight
-        return SparseVector(dimensions, sorted((s, w) for s, w in sums.items() if w != 0.0))
+        return SparseVector(size, [(p["slot"], p["weight"]) for p in pairs or ()])
 
-    pairs = F.concat(*[_weighted_ids(f, dimensions) for f in features.by_name()])
+    merged = lookup_join(lines, slots, ["name", "idx"], "inner").groupBy("row_id", "slot").agg(F.sum("weight").alias("weight"))
+    bags = merged.where("weight <> 0").groupBy("row_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), "weight"))).alias("bag")
+    )
     extra = [c for c in ("split",) if c in processed.columns]
     labels = ["row_id", "entity_id", "y_ctr", "y_cvr", "y_ctcvr", "click_mask"]
-    return processed.select(*labels, *extra, sparse(pairs).alias("features"))
+    return processed.select(*labels, *extra).join(bags, "row_id", "left").select(*labels, *extra, sparse("bag").alias("features"))
+
+
+def given_scores(lines: DataFrame, weights: DataFrame, factors: int) -> DataFrame:
+    """First- and second-order score of each row under stored weights.
+
+    ``lines`` has (row_id, name, idx, weight), ``weights`` (name, idx, w, v) with ``factors`` entries
+    in v. Ids without weights add nothing. Line weights are divided by the length of their bag, the
+    lines of one feature in one row.
+    """
+    bag = Window.partitionBy("row_id", "name")
+    shared = lines.withColumn("_s", F.col("weight") / F.count(F.lit(1)).over(bag))
+    s = F.col("_s")
+    known = lookup_join(shared, weights.select("name", "idx", "w", "v"), ["name", "idx"])
+    term = lambda k: F.coalesce(s * F.col("v")[k], F.lit(0.0))
+    sums = known.groupBy("row_id").agg(
+        F.sum(F.coalesce(s * F.col("w"), F.lit(0.0))).alias("first_order"),
+        *[F.sum(term(k)).alias(f"_sum{k}") for k in range(factors)],
+        *[F.sum(term(k) * term(k)).alias(f"_square{k}") for k in range(factors)],
+    )
+    both = sum((F.col(f"_sum{k}") * F.col(f"_sum{k}") - F.col(f"_square{k}") for k in range(factors)), F.lit(0.0))
+    return sums.select("row_id", "first_order", (both / 2).alias("second_order"))
 
 
 def _scored(vectors: DataFrame, estimator, split: str) -> DataFrame:

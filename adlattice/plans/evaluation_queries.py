@@ -124,7 +124,20 @@ def q_deltas(v: Views) -> DataFrame:
 
 
 def vectors(v: Views) -> DataFrame:
-    return scorers.feature_vectors(v.processed, FEATURES, 1 << 12)
+    return scorers.feature_vectors(v.processed, FEATURES)
+
+
+def q_given_weights(v: Views) -> DataFrame:
+    """Scores under weights that follow from the ids, so that the arithmetic can be checked."""
+    valued = v.spec.select("name", "use_value")
+    lines = v.encoded.drop("use_value").join(F.broadcast(valued), "name").select(
+        "row_id", "name", "idx", F.when(F.col("use_value"), F.col("val").cast("double")).otherwise(F.lit(1.0)).alias("weight")
+    )
+    i = F.col("idx")
+    weights = lines.select("name", "idx").distinct().withColumns(
+        {"w": (i % 101 - 50) / F.lit(100.0), "v": F.array((i * 7 % 23 - 11) / F.lit(50.0), (i * 3 % 19 - 9) / F.lit(50.0))}
+    )
+    return scorers.given_scores(lines, weights, 2)
 
 
 P = "1 / (1 + exp(-{x}))"
@@ -194,10 +207,16 @@ EMA_SQL = """
     SELECT run_id, sum(CASE WHEN i = 0 THEN 1 ELSE CAST(0.1 AS DOUBLE) END * pow(CAST(0.9 AS DOUBLE), n - 1 - i) * x) AS conflict_rate_ema FROM (
       SELECT run_id, CASE WHEN cos_all < 0 THEN 1 ELSE 0 END AS x, row_number() OVER (PARTITION BY run_id ORDER BY step) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n
       FROM evals_fx WHERE {where}) GROUP BY run_id"""
+PART_SQL = "".join(
+    f"avg({c}) FILTER (norm_2 > 0) AS cosine_{p}_mean, "
+    + "".join(f"quantile_cont({c}, {q / 100}) FILTER (norm_2 > 0) AS cosine_{p}_p{q}, " for q in (10, 50, 90))
+    for p, c in (("dense", "cos_dense"), ("sparse", "cos_sparse"))
+)
 CONFLICT_SQL = f"""
     SELECT a.*, conflict_rate_ema FROM (
       SELECT run_id, count(*) FILTER (norm_2 > 0) AS collected, count(*) FILTER (norm_2 IS NULL) AS skipped_no_grad, avg(norm_1) FILTER (norm_2 > 0) AS norm_1_mean,
         avg(norm_2) AS norm_2_mean, avg(norm_2 / norm_1) AS norm_ratio_mean, avg(cos_all) FILTER (norm_2 > 0) AS cosine_mean,
+        {PART_SQL}
         avg(CASE WHEN cos_all < 0 THEN 1.0 ELSE 0.0 END) FILTER (norm_2 > 0) AS conflict_rate, avg(cos_all) FILTER (norm_2 > 0 AND cos_all < 0) AS neg_conflict_strength,
         quantile_cont(cos_all, 0.1) FILTER (norm_2 > 0) AS cosine_p10, quantile_cont(cos_all, 0.5) FILTER (norm_2 > 0) AS cosine_p50, quantile_cont(cos_all, 0.9) FILTER (norm_2 > 0) AS cosine_p90,
         quantile_cont(norm_2 / norm_1, 0.5) AS norm_ratio_p50, quantile_cont(norm_2 / norm_1, 0.9) AS norm_ratio_p90
@@ -238,7 +257,8 @@ GATE_STEP_SQL = """
 
 METRIC_COLS = "task:t logloss:r auc:r pos_rate:r pred_mean:r n:i"
 BIN_COLS = "bin_left:r bin_right:r n:i avg_pred:r avg_label:r abs_gap:r"
-SUMMARY = "ctr_auc:r cvr_auc_masked:r ctcvr_auc:r ctr_logloss:r cvr_logloss_masked:r ctcvr_logloss:r ece_ctr:r ece_cvr_masked:r n:i n_masked:i"
+SUMMARY = "ctr_auc:r cvr_auc_masked:r ctcvr_auc:r ctr_logloss:r cvr_logloss_masked:r ctcvr_logloss:r ece_ctr:r ece_cvr_masked:r n:i n_masked:i " \
+    "ctr_pos_rate:r cvr_masked_pos_rate:r ctcvr_pos_rate:r ctr_pred_mean:r cvr_masked_pred_mean:r ctcvr_pred_mean:r funnel_gap_mean:r funnel_gap_p50:r funnel_gap_p90:r funnel_gap_p99:r"
 BEST_COLS = "run_id:t source:t best_step:i auc_ctr:r auc_cvr:r auc_ctcvr:r auc_primary:r loss_ctr:r"
 
 QUERIES = [
@@ -258,7 +278,11 @@ QUERIES = [
     Query("evaluation_summary", "I7", SUMMARY, lambda v: metrics.evaluation_summary(v.scored),
           f"""SELECT max(auc) FILTER (task = 'ctr') AS ctr_auc, max(auc) FILTER (task = 'cvr') AS cvr_auc_masked, max(auc) FILTER (task = 'ctcvr') AS ctcvr_auc, max(logloss) FILTER (task = 'ctr') AS ctr_logloss,
                max(logloss) FILTER (task = 'cvr') AS cvr_logloss_masked, max(logloss) FILTER (task = 'ctcvr') AS ctcvr_logloss, max(ece) FILTER (task = 'ctr') AS ece_ctr, max(ece) FILTER (task = 'cvr') AS ece_cvr_masked,
-               max(n) FILTER (task = 'ctr') AS n, max(n) FILTER (task = 'cvr') AS n_masked FROM ({METRIC_SQL}) m JOIN ({ECE_SQL}) e USING (task)"""),
+               max(m.n) FILTER (task = 'ctr') AS n, max(m.n) FILTER (task = 'cvr') AS n_masked,
+               max(pos_rate) FILTER (task = 'ctr') AS ctr_pos_rate, max(pos_rate) FILTER (task = 'cvr') AS cvr_masked_pos_rate, max(pos_rate) FILTER (task = 'ctcvr') AS ctcvr_pos_rate,
+               max(pred_mean) FILTER (task = 'ctr') AS ctr_pred_mean, max(pred_mean) FILTER (task = 'cvr') AS cvr_masked_pred_mean, max(pred_mean) FILTER (task = 'ctcvr') AS ctcvr_pred_mean,
+               max(gap_mean) AS funnel_gap_mean, max(gap_p50) AS funnel_gap_p50, max(gap_p90) AS funnel_gap_p90, max(gap_p99) AS funnel_gap_p99
+               FROM ({METRIC_SQL}) m JOIN ({ECE_SQL}) e USING (task) CROSS JOIN ({_funnel_sql('CAST(y_ctcvr AS DOUBLE)', 'label')}) f"""),
     Query("component_stats", "I8", "component:t mean:r std:r min:r max:r var_ratio:r corr_with_total:r", q_component_stats,
           " UNION ALL ".join(_component_sql(c) for c in ("ctr_logit", "cvr_logit", "total_logit"))),
     Query("label_counts", "I9", "ctr_pos:i ctr_pos_rate:r cvr_pos_masked:i cvr_pos_rate_masked:r ctcvr_pos:i ctcvr_pos_rate:r masked_n:i cvr_metric_reliable:b ctcvr_metric_reliable:b", lambda v: metrics.label_counts(v.scored),
@@ -307,7 +331,7 @@ QUERIES = [
     Query("expert_similarity", "I22", "expert_i:t expert_j:t similarity:r alert:b", lambda v: health.output_similarity(expert_rows(v), EXPERTS), f"SELECT *, similarity > 0.95 AS alert FROM ({SIM_SQL})"),
     Query("similarity_summary", "I22", "similarity_mean:r similarity_max:r similarity_min:r collapse_alert:b", lambda v: health.similarity_summary(health.output_similarity(expert_rows(v), EXPERTS)),
           f"SELECT avg(similarity) AS similarity_mean, max(similarity) AS similarity_max, min(similarity) AS similarity_min, max(similarity) > 0.95 AS collapse_alert FROM ({SIM_SQL})"),
-    Query("conflict_summary", "I23", "run_id:i collected:i skipped_no_grad:i norm_1_mean:r norm_2_mean:r norm_ratio_mean:r cosine_mean:r conflict_rate:r neg_conflict_strength:r cosine_p10:r cosine_p50:r cosine_p90:r norm_ratio_p50:r norm_ratio_p90:r conflict_rate_ema:r",
+    Query("conflict_summary", "I23", "run_id:i collected:i skipped_no_grad:i norm_1_mean:r norm_2_mean:r norm_ratio_mean:r cosine_mean:r conflict_rate:r neg_conflict_strength:r cosine_p10:r cosine_p50:r cosine_p90:r norm_ratio_p50:r norm_ratio_p90:r conflict_rate_ema:r cosine_dense_mean:r cosine_dense_p10:r cosine_dense_p50:r cosine_dense_p90:r cosine_sparse_mean:r cosine_sparse_p10:r cosine_sparse_p50:r cosine_sparse_p90:r",
           lambda v: health.conflict_summary(v.evals, ["run_id"], ["step"]), CONFLICT_SQL),
     Query("conflict_ema", "E14", "run_id:i conflict_rate_ema:r",
           lambda v: health.ema(v.evals.withColumn("hit", (F.col("cos_all") < 0).cast("int")), ["run_id"], ["step"], "hit", out="conflict_rate_ema"), EMA_SQL.format(where="true")),
@@ -328,6 +352,11 @@ QUERIES = [
     Query("leaderboard", "K4", "run_id:i metric:t value:r is_best:b is_overall_best:b", lambda v: runs.leaderboard(run_metrics(v)),
           f"""SELECT run_id, metric, value, row_number() OVER (PARTITION BY metric ORDER BY cost, run_id) = 1 AS is_best,
                run_id = (SELECT run_id FROM ({BOARD_LONG}) WHERE metric = 'auc_ctcvr' ORDER BY cost, run_id LIMIT 1) AS is_overall_best FROM ({BOARD_LONG})"""),
+    Query("given_weight_scores", "R3 R4", "row_id:i first_order:r second_order:r", q_given_weights,
+          """SELECT row_id, sum(s * (idx % 101 - 50) / 100.0) AS first_order,
+               (pow(sum(s * a), 2) - sum(pow(s * a, 2)) + pow(sum(s * b), 2) - sum(pow(s * b, 2))) / 2 AS second_order
+             FROM (SELECT row_id, idx, CASE WHEN use_value THEN val ELSE CAST(1 AS DOUBLE) END / count(*) OVER (PARTITION BY row_id, name) AS s,
+               (idx * 7 % 23 - 11) / CAST(50 AS DOUBLE) AS a, (idx * 3 % 19 - 9) / CAST(50 AS DOUBLE) AS b FROM encoded_fx) GROUP BY row_id"""),
     Query("linear_scorer", "R3", "row_id:i entity_id:t split:t y_ctr:i y_cvr:i ctr_logit:r cvr_logit:r", lambda v: scorers.linear_scores(vectors(v))),
     Query("factorisation_scorer", "R4", "row_id:i entity_id:t split:t y_ctr:i y_cvr:i ctr_logit:r cvr_logit:r", lambda v: scorers.factorisation_scores(vectors(v))),
 ]

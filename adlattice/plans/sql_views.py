@@ -39,6 +39,8 @@ VIEWS = {
           CAST(0.65 AS DOUBLE) + (event_id % 50) / CAST(1000 AS DOUBLE) AS auc_ctr,
           CAST(0.60 AS DOUBLE) + (event_id % 30) / CAST(1000 AS DOUBLE) AS auc_cvr,
           value / 100 - 0.5 AS cos_all,
+          CASE WHEN event_id % 5 <> 0 THEN (event_id % 21 - 10) / CAST(10 AS DOUBLE) END AS cos_dense,
+          CASE WHEN event_id % 3 <> 0 THEN value / 200 - 0.2 END AS cos_sparse,
           CAST(1.0 AS DOUBLE) + event_id % 7 AS norm_1,
           CASE WHEN event_type <> 'error' THEN CAST(0.5 AS DOUBLE) + event_id % 11 END AS norm_2,
           event_type

@@ -16,6 +16,7 @@ from adlattice.operators import encode, metrics, quality, shape, vocab
 from adlattice.operators import profile as pf
 from adlattice.operators import split as sp
 from adlattice.operators import tokens as tk
+from adlattice.session import partitions_for
 from adlattice.sources import raw, sinks
 from adlattice.spec import FeatureMap
 
@@ -61,8 +62,10 @@ def split(spark: SparkSession, out: Layout, ratios: Mapping[str, float], seed: i
     samples = spark.read.parquet(out.path("split_samples"))
     _write(sp.split_stats(samples), out.path("split_stats"), overwrite)
     tokens = spark.read.parquet(out.path("tokens"))
-    sorted_tokens = sp.split_tokens(tokens, samples).repartitionByRange("split", "row_id").sortWithinPartitions("split", "row_id")
-    sorted_tokens.write.partitionBy("split").mode(mode).parquet(out.path("split_tokens"))
+    placed = sp.split_tokens(tokens, samples)
+    parts = partitions_for(placed)
+    ranged = placed.repartitionByRange(parts, "split", "row_id") if parts else placed.repartitionByRange("split", "row_id")
+    ranged.sortWithinPartitions("split", "row_id").write.partitionBy("split").mode(mode).parquet(out.path("split_tokens"))
     return _write(sp.reconcile_split(tokens, spark.read.parquet(out.path("split_tokens"))), out.path("split_tokens_manifest"), overwrite)
 
 

@@ -155,6 +155,8 @@ class Views:
             (F.lit(0.65) + (F.col("event_id") % 50) / F.lit(1000.0)).alias("auc_ctr"),
             (F.lit(0.60) + (F.col("event_id") % 30) / F.lit(1000.0)).alias("auc_cvr"),
             (F.col("value") / 100 - 0.5).alias("cos_all"),
+            F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 21 - 10) / F.lit(10.0)).alias("cos_dense"),
+            F.when(F.col("event_id") % 3 != 0, F.col("value") / 200 - 0.2).alias("cos_sparse"),
             (F.lit(1.0) + F.col("event_id") % 7).alias("norm_1"),
             F.when(F.col("event_type") != "error", F.lit(0.5) + F.col("event_id") % 11).alias("norm_2"),
             "event_type",

@@ -8,6 +8,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Compressed input per range partition; what it grows to in memory still fits a task.
+PARTITION_INPUT = 96 << 20
+# Catalyst's mark for a leaf that it can't measure lies above.
+UNKNOWN_SIZE = 1 << 60
+
 
 def build_session(
     app: str = "adlattice",
@@ -56,11 +61,39 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def _is_written(df: DataFrame) -> bool:
+    """Whether the frame is a file table, or nothing but columns of one."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.nodeName() == "Project":
+        columns = plan.projectList()
+        if any(columns.apply(i).nodeName() != "AttributeReference" for i in range(columns.size())):
+            return False
+        plan = plan.child()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from there.
+    """Write ``df`` once to the shared folder as Parquet and go on from there.
 
     Needed where a plan reads the outcome of a sampled range partitioning more than once: both
-    readers must see the same partition borders, also after an executor is lost.
+    readers must see the same partition borders, also after an executor is lost. A frame that is
+    read straight from files is returned as it is.
+    """
+    if _is_written(df):
+        return df
+    spark = df.sparkSession
+    path = fresh_path(spark, "kept")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def partitions_for(df: DataFrame, input_bytes: int = PARTITION_INPUT) -> int | None:
+    """Range partitions by the bytes of the tables that ``df`` reads.
+
+    None while the session's own setting gives small enough ones; adaptive execution merges those
+    that are too small, but splits none.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    need = -(-sum(s for s in sizes if s < UNKNOWN_SIZE) // input_bytes)
+    return need if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None

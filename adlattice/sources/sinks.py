@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adlattice.session import partitions_for
+
 SAMPLE_COLUMNS = {
     "row_id": "long",
     "y1": "tinyint",
@@ -40,6 +42,7 @@ def write_tokens(
 ) -> None:
     """Token files that each cover one row_id range, so a row range prunes files and row groups."""
     typed = _typed(tokens, TOKEN_COLUMNS)
+    parts = parts or partitions_for(typed)
     ranged = typed.repartitionByRange(parts, "row_id") if parts else typed.repartitionByRange("row_id")
     (
         ranged.sortWithinPartitions("row_id", "src", "field")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlattice.functions import scalars
-from adlattice.operators import health, losses, metrics, runs
+from adlattice.operators import health, losses, metrics, runs, scorers
 
 
 def scores(spark, rows):
@@ -128,6 +128,50 @@ def test_gini(spark, values, low, high):
     assert low <= health.gini(df, ["g"], "v").first()["gini"] <= high
 
 
+def test_gini_of_many_equal_values(spark):
+    rng = random.Random(4)
+    values = [0.0 if i % 10 < 3 else float(rng.randrange(40)) for i in range(3000)]
+    df = spark.createDataFrame([("g", v) for v in [*values, None]], "g string, v double")
+    ordered = sorted(values)
+    want = 2 * sum((i + 1) * x for i, x in enumerate(ordered)) / (len(ordered) * sum(ordered)) - (len(ordered) + 1) / len(ordered)
+    assert health.gini(df, ["g"], "v").first()["gini"] == pytest.approx(want)
+
+
+def test_conflicts_of_shared_parts(spark):
+    rows = [("a", 1, 1.0, 2.0, -0.5, -0.2, None), ("a", 2, 1.0, 1.0, 0.5, 0.4, -0.1), ("a", 3, 1.0, None, 0.9, 0.9, 0.9), ("b", 1, 1.0, 1.0, None, None, None)]
+    df = spark.createDataFrame(rows, "g string, i int, norm_1 double, norm_2 double, cos_all double, cos_dense double, cos_sparse double")
+    got = {r["g"]: r for r in health.conflict_summary(df, ["g"], ["i"]).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["collected"], a["skipped_no_grad"], a["conflict_rate"]) == (2, 1, 0.5)
+    assert a["cosine_dense_mean"] == pytest.approx(0.1) and a["cosine_dense_p50"] == pytest.approx(0.1)
+    assert a["cosine_sparse_mean"] == pytest.approx(-0.1) and a["cosine_sparse_p90"] == pytest.approx(-0.1)
+    assert a["norm_ratio_p50"] == pytest.approx(1.5) and b["norm_ratio_p50"] == pytest.approx(1.0)
+    assert b["cosine_dense_mean"] is None and b["cosine_p10"] is None and b["conflict_rate"] == 0.0
+    plain = health.conflict_summary(df.drop("cos_dense", "cos_sparse"), ["g"], ["i"])
+    assert "cosine_dense_mean" not in plain.columns and plain.count() == 2
+
+
+def test_evaluation_summary_per_group(spark):
+    rows = [("m", 1, 1, 1, 1, 2.0, 1.0), ("m", 0, 0, 0, 0, -1.0, 0.5), ("n", 1, 0, 0, 1, 0.3, -0.2), ("n", 0, 0, 0, 0, 0.1, 0.0)]
+    df = spark.createDataFrame(rows, "model string, y_ctr int, y_cvr int, y_ctcvr int, click_mask int, ctr_logit double, cvr_logit double")
+    whole = metrics.evaluation_summary(df.where("model = 'm'").drop("model")).first().asDict()
+    one = {r["model"]: r.asDict() for r in metrics.evaluation_summary(df, ["model"]).collect()}["m"]
+    assert whole["ctr_pos_rate"] == 0.5 and whole["cvr_masked_pos_rate"] == 1.0
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    gaps = [sig(2.0) * sig(1.0) - 1, sig(-1.0) * sig(0.5)]
+    assert whole["funnel_gap_mean"] == pytest.approx(sum(gaps) / 2) == whole["funnel_gap_p50"]
+    assert whole == pytest.approx({k: v for k, v in one.items() if k != "model"})
+
+
+def test_given_scores(spark):
+    lines = spark.createDataFrame([(1, "a", 5, 1.0), (1, "b", 5, 2.0), (1, "b", 6, 4.0), (2, "a", 9, 1.0)], "row_id long, name string, idx long, weight double")
+    weights = spark.createDataFrame([("a", 5, 0.5, [1.0, 2.0]), ("b", 5, -1.0, [3.0, 0.0]), ("b", 6, 2.0, [0.0, 1.0])], "name string, idx long, w double, v array<double>")
+    got = {r["row_id"]: (r["first_order"], r["second_order"]) for r in scorers.given_scores(lines, weights, 2).collect()}
+    # Shares 1, 1 and 2; the second order is the sum over pairs of the products of scaled vectors.
+    assert got[1] == pytest.approx((0.5 - 1.0 + 4.0, 3.0 + 4.0 + 0.0))
+    assert got[2] == (0.0, 0.0)
+
+
 def test_ema_matches_the_recursion(spark):
     rng = random.Random(1)
     rows = [(g, i, rng.randrange(2)) for g in "ab" for i in range(200 if g == "a" else 3)]
