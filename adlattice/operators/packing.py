@@ -12,15 +12,13 @@ from adlattice.operators.quality import drop_broken_funnel
 from adlattice.spec import PAD_ID, Feature, FeatureMap
 
 
-def number_batches(processed: DataFrame, batch_rows: int, row_ids: DataFrame | None = None) -> DataFrame:
+def number_batches(processed: DataFrame, batch_rows: int) -> DataFrame:
     """Rows with the batch they fall in: ``batch_rows`` consecutive rows by row id.
 
-    Only the ids are ordered and written; the wide rows join their position. ``row_ids`` names a
-    cheaper source of the same ids, such as the samples.
+    The wide rows move once, into ranges of row_id; a range knows the number of rows before it.
     """
-    ids = (processed if row_ids is None else row_ids).select("row_id")
-    placed = group_rank(ids, [], ["row_id"], "pos")
-    return processed.join(placed, "row_id").withColumn("batch", F.floor(F.col("pos") / F.lit(batch_rows)))
+    placed = group_rank(processed, [], ["row_id"], "pos")
+    return placed.withColumn("batch", F.floor(F.col("pos") / F.lit(batch_rows)))
 
 
 def _bag(f: Feature, weighted: bool) -> Column:
@@ -54,14 +52,12 @@ def with_offsets(lines: DataFrame) -> DataFrame:
     return lines.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)))
 
 
-def pack_bags(
-    processed: DataFrame, features: FeatureMap, batch_rows: int, row_ids: DataFrame | None = None
-) -> DataFrame:
+def pack_bags(processed: DataFrame, features: FeatureMap, batch_rows: int) -> DataFrame:
     """Per (batch, field): flat ``indices``, bag ``offsets`` and ``weights`` in row order.
 
     Rows with a broken funnel leave their batch before the offsets are counted.
     """
-    batched = drop_broken_funnel(number_batches(processed, batch_rows, row_ids))
+    batched = drop_broken_funnel(number_batches(processed, batch_rows))
     lines = with_offsets(bags(batched, features))
     rows = F.array_sort(F.collect_list(F.struct("pos", "offset", "ids", "weights")))
     return lines.groupBy("batch", "field").agg(rows.alias("r")).select(
@@ -73,12 +69,10 @@ def pack_bags(
     )
 
 
-def pad_batches(
-    processed: DataFrame, features: FeatureMap, batch_rows: int, row_ids: DataFrame | None = None
-) -> DataFrame:
+def pad_batches(processed: DataFrame, features: FeatureMap, batch_rows: int) -> DataFrame:
     """One line per (row, multi-hot feature): ids and values padded to the longest bag of the batch."""
     multi = FeatureMap(tuple(f for f in features if f.multi_hot))
-    lines = bags(number_batches(processed, batch_rows, row_ids), multi)
+    lines = bags(number_batches(processed, batch_rows), multi)
     longest = F.max(F.size("ids")).over(Window.partitionBy("batch", "field"))
     return lines.withColumn("width", longest).select(
         "batch",

@@ -116,8 +116,13 @@ def best_records(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The record that stands for each run.
 
     The evaluation at the known best step; else the one at the last accepted decision; else the
-    last one. ``known`` has (run_id, best_step). One aggregation, no ordering of a run.
+    last one, that of the largest step. ``known`` has (run_id, best_step). Where a step is logged
+    twice (a resumed run), the first record stands for a known or accepted step, the last one for the
+    last evaluation; logs without ``position`` must not repeat a step. One aggregation, no ordering
+    of a run.
     """
+    if "position" not in log.columns:
+        log = log.withColumn("position", F.lit(0))
     decided = (
         decision_records(log).where(F.col("should_update")).groupBy("run_id").agg(F.max("global_step").alias("decided"))
     )
@@ -132,11 +137,17 @@ def best_records(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
     )
     record = F.struct(F.col("global_step").alias("best_step"), *METRIC_COLUMNS)
     source = F.element_at(F.array(F.lit("last"), F.lit("decision"), F.lit("known")), F.col("r"))
+    best = F.when(F.col("r") == 1, F.col("last")).otherwise(F.col("first"))
     return (
         evals.withColumn("_rank", rank)
         .groupBy("run_id")
-        .agg(F.max_by(record, F.struct("_rank", "global_step")).alias("b"), F.max("_rank").alias("r"))
-        .select("run_id", source.alias("source"), "b.*")
+        .agg(
+            F.max_by(record, F.struct("_rank", "global_step", "position")).alias("last"),
+            F.min_by(record, F.struct(-F.col("_rank"), F.col("position"))).alias("first"),
+            F.max("_rank").alias("r"),
+        )
+        .select("run_id", source.alias("source"), best.alias("b"))
+        .select("run_id", "source", "b.*")
     )
 
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.ml.classification import FMClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from adlattice.functions.arrays import truncate
 from adlattice.operators.joins import lookup_join
 from adlattice.operators.ordered import group_rank
-from adlattice.session import durable
+from adlattice.session import durable, fresh_path
 from adlattice.spec import Feature, FeatureMap
 
 
@@ -35,7 +36,8 @@ def feature_vectors(processed: DataFrame, features: FeatureMap, split: str = "tr
     """Encoded rows with one sparse vector; every (feature, id) of the training rows has a slot of its own.
 
     Ids that no training row has would keep weight 0 and have no slot. Zero weights are left out: the
-    factorisation trainer refuses vectors with explicit zeros.
+    factorisation trainer refuses vectors with explicit zeros. The vectors are written in their stored
+    form, a struct, and read back under their type, so that no row passes through Python.
     """
     pairs = F.concat(*[_weighted_ids(f) for f in features.by_name()])
     lines = processed.select("row_id", F.inline(pairs))
@@ -44,17 +46,24 @@ def feature_vectors(processed: DataFrame, features: FeatureMap, split: str = "tr
     slots = durable(group_rank(seen, [], ["name", "idx"], "slot"))
     size = max(1, slots.count())
 
-    @F.udf(VectorUDT())
-    def sparse(pairs):
-        return SparseVector(size, [(p["slot"], p["weight"]) for p in pairs or ()])
-
     merged = lookup_join(lines, slots, ["name", "idx"], "inner").groupBy("row_id", "slot").agg(F.sum("weight").alias("weight"))
     bags = merged.where("weight <> 0").groupBy("row_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), "weight"))).alias("bag")
     )
     extra = [c for c in ("split",) if c in processed.columns]
     labels = ["row_id", "entity_id", "y_ctr", "y_cvr", "y_ctcvr", "click_mask"]
-    return processed.select(*labels, *extra).join(bags, "row_id", "left").select(*labels, *extra, sparse("bag").alias("features"))
+    part = lambda name, kind: F.coalesce(F.col(f"bag.{name}"), F.array().cast(f"array<{kind}>"))
+    stored = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(size).cast("int").alias("size"),
+        part("slot", "int").alias("indices"),
+        part("weight", "double").alias("values"),
+    )
+    rows = processed.select(*labels, *extra).join(bags, "row_id", "left").select(*labels, *extra, stored.alias("features"))
+    path = fresh_path(processed.sparkSession, "vectors")
+    rows.write.parquet(path)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("features", VectorUDT())])
+    return processed.sparkSession.read.schema(schema).parquet(path)
 
 
 def given_scores(lines: DataFrame, weights: DataFrame, factors: int) -> DataFrame:

@@ -184,7 +184,7 @@ def max_len_advice(shares: DataFrame, curve: DataFrame, quantiles: DataFrame) ->
         F.coalesce(
             F.min(F.when(good, F.col("k"))),
             F.max_by(F.when(under, F.col("k")), F.when(under, quality)),
-            F.max(F.least(F.col("cap"), F.ceil("p99"))),
+            F.max(F.when(F.col("p99").isNotNull(), F.least(F.col("cap"), F.ceil("p99")))),
         )
         .cast("long")
         .alias("max_len")
@@ -224,7 +224,7 @@ def feature_advice(
         .join(current, FIELD_KEY, "left")
         .join(heavy, FIELD_KEY, "left")
         .withColumn("encoding", F.coalesce("recommended_encoding", "old_encoding", F.lit("hash")))
-        .withColumn("_len", F.when(wants_bag, F.coalesce("max_len", F.least(cap, F.col("old_len")))))
+        .withColumn("_len", F.when(wants_bag, F.coalesce("max_len", F.when(F.col("old_len").isNotNull(), F.least(cap, F.col("old_len"))))))
         .withColumn("_multi", F.col("_len").isNotNull())
         .withColumn("_value", F.coalesce("old_value", F.col("val_non1_ratio") > 0))
         .select(

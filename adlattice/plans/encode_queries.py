@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,19 +13,15 @@ from adlattice.operators import encode, packing, quality, sampling
 from adlattice.plans.registry import Query
 from adlattice.plans.source_queries import ODD_SQL, odd_values
 from adlattice.plans.views import FEATURES, Views
-from adlattice.spec import Feature, FeatureMap, Selection
+from adlattice.spec import FeatureMap, Selection
 
 BATCH = 256
 
 
-def with_rule(strategy: str, default: str = "auto_mix", k: int = 3) -> FeatureMap:
-    """The bag feature 853 alone, under another selection rule."""
-    return FeatureMap(
-        (
-            Feature("853", 0, "hybrid", multi_hot=True, max_len=k, use_value=True, pooling="weighted_sum_sqrtn", vocab_tokens=40, hash_bucket=64,
-                    selection=Selection(strategy=strategy, default=default, k=k)),
-        )
-    )
+def with_rule(strategy: str, default: str = "auto_mix") -> FeatureMap:
+    """All bag features under another selection rule; those without values fall back to frequency."""
+    rule = lambda f: Selection(strategy=strategy, default=default if f.use_value else "topk_by_freq", k=f.max_len)
+    return FeatureMap(tuple(replace(f, selection=rule(f)) for f in FEATURES if f.multi_hot))
 
 
 def selected(v: Views, features: FeatureMap) -> DataFrame:
@@ -98,21 +96,23 @@ def q_bound_check(v: Views) -> DataFrame:
 
 
 def q_truncate(v: Views) -> DataFrame:
-    return v.processed.select("row_id", as_text(truncate(F.col("f0_853_idx"), 2)).alias("ids"))
+    return v.processed.select(
+        "row_id", *[as_text(truncate(F.col(f"{f.name}_idx"), f.max_len - 1)).alias(f.name) for f in FEATURES if f.multi_hot]
+    )
 
 
 def q_pad(v: Views) -> DataFrame:
-    p = packing.pad_batches(v.processed, FEATURES, BATCH, v.samples)
+    p = packing.pad_batches(v.processed, FEATURES, BATCH)
     return p.select("batch", "pos", "field", as_text(F.col("ids")).alias("ids"), scaled_text(F.col("weights"), 1000).alias("weights"), "length")
 
 
 def q_offsets(v: Views) -> DataFrame:
-    lines = packing.bags(packing.number_batches(v.processed, BATCH, v.samples), FEATURES)
-    return packing.with_offsets(lines).where("field IN ('f0_853', 'f0_301')").withColumnRenamed("offset", "bag_offset")
+    lines = packing.bags(packing.number_batches(v.processed, BATCH), FEATURES)
+    return packing.with_offsets(lines).withColumnRenamed("offset", "bag_offset")
 
 
 def q_pack(v: Views) -> DataFrame:
-    p = packing.pack_bags(v.processed, FEATURES, BATCH, v.samples)
+    p = packing.pack_bags(v.processed, FEATURES, BATCH)
     return p.select("batch", "field", as_text(F.col("indices")).alias("indices"), as_text(F.col("offsets")).alias("offsets"), scaled_text(F.col("weights"), 1000).alias("weights"))
 
 
@@ -125,7 +125,7 @@ def labels(v: Views) -> DataFrame:
 
 
 KEPT_COLS = "row_id:i src:i field:t fid:t pos:i"
-WITH_POS = """SELECT * FROM (SELECT *, {pos} AS pos FROM informed_fx WHERE name = 'f0_853') WHERE pos <= 3"""
+WITH_POS = """SELECT * FROM (SELECT *, {pos} AS pos FROM informed_fx WHERE multi_hot) WHERE pos <= k"""
 MIX_POS = "CASE WHEN pv <= 2 THEN pv ELSE 2 + row_number() OVER (PARTITION BY row_id, src, field, pv <= 2 ORDER BY coalesce(rank, 1000000000), fid) END"
 HASH = "CAST('0x' || substr(md5({seed} || ':' || {src} || ':' || field || ':' || fid), 1, 15) AS BIGINT) % 1000"
 SCALED = "array_to_string(list_transform({a}, lambda x: CAST(floor(x * 1000.0 + 0.5) AS BIGINT)), ',')"
@@ -211,11 +211,11 @@ QUERIES = [
     Query("select_by_frequency", "E3", KEPT_COLS, lambda v: kept(v, "topk_by_freq"), WITH_POS.format(pos="pf")),
     Query("select_by_value", "E4", KEPT_COLS, lambda v: kept(v, "topk_by_value"), WITH_POS.format(pos="pv")),
     Query("value_rule", "E5", "rule:t bags:i tokens:i", q_informative,
-          "SELECT rule, count(*) AS bags, sum(distinct_tokens) AS tokens FROM informed_fx WHERE name = 'f0_853' AND pv = 1 GROUP BY rule"),
+          "SELECT rule, count(*) AS bags, sum(distinct_tokens) AS tokens FROM informed_fx WHERE multi_hot AND pv = 1 GROUP BY rule"),
     Query("select_auto_mix", "E6", KEPT_COLS, lambda v: kept(v, "auto_mix"), WITH_POS.format(pos=MIX_POS)),
     Query("select_auto", "E7", KEPT_COLS + " rule:t retained_frac:r", lambda v: kept(v, "auto", "topk_by_value"),
-          """SELECT row_id, src, field, fid, pos, rule, least(distinct_tokens, 3) / distinct_tokens AS retained_frac FROM (
-               SELECT * EXCLUDE (rule), CASE rule WHEN 'auto_mix' THEN 'topk_by_value' ELSE rule END AS rule, CASE rule WHEN 'auto_mix' THEN pv ELSE pf END AS pos FROM informed_fx WHERE name = 'f0_853') WHERE pos <= 3"""),
+          """SELECT row_id, src, field, fid, pos, rule, least(distinct_tokens, k) / distinct_tokens AS retained_frac FROM (
+               SELECT * EXCLUDE (rule), CASE rule WHEN 'auto_mix' THEN 'topk_by_value' ELSE rule END AS rule, CASE rule WHEN 'auto_mix' THEN pv ELSE pf END AS pos FROM informed_fx WHERE multi_hot) WHERE pos <= k"""),
     Query("single_hot_pick", "E8", "row_id:i src:i field:t fid:t val:r", q_single, "SELECT row_id, src, field, fid, val FROM informed_fx WHERE NOT multi_hot AND ps = 1"),
     Query("token_hash", "H3", "src:i field:t fid:t bucket:i other_src:i other_seed:i", q_token_hash,
           f"SELECT src, field, fid, {HASH.format(seed=17, src='src')} AS bucket, {HASH.format(seed=17, src='(1 - src)')} AS other_src, {HASH.format(seed=5, src='src')} AS other_seed FROM (SELECT DISTINCT src, field, fid FROM tokens_fx)"),
@@ -231,9 +231,10 @@ QUERIES = [
     Query("processed_rows", "H18 B13", WIDE_COLS, wide_text, WIDE_TEXT_SQL),
     Query("encoding_stats", "D32", STATS_COLS, encoding_stats, STATS_SQL),
     Query("encoding_rates", "D33", "name:t nan_inf_rate:r tail_fallback_rate:r auto_mix_rate:r topk_by_freq_rate:r topk_by_value_rate:r avg_retained_frac:r max_idx:i", lambda v: encode.encoding_rates(encoding_stats(v)), RATES_SQL),
-    Query("array_truncate", "H12", "row_id:i ids:t", q_truncate, f"SELECT row_id, array_to_string(f0_853_ids[1:2], ',') AS ids FROM ({WIDE_SQL})"),
+    Query("array_truncate", "H12", "row_id:i f0_853:t f0_301:t", q_truncate,
+          f"SELECT row_id, array_to_string(f0_853_ids[1:2], ',') AS f0_853, array_to_string(f0_301_ids[1:1], ',') AS f0_301 FROM ({WIDE_SQL})"),
     Query("padded_batches", "H13 R2", "batch:i pos:i field:t ids:t weights:t length:i", q_pad, PAD_SQL),
-    Query("bag_offsets", "E9", "batch:i pos:i field:t bag_offset:i", q_offsets, f'SELECT batch, pos, field, {OFFSET_SQL} AS bag_offset FROM ({BAG_SQL}) WHERE field IN (\'f0_853\', \'f0_301\')'),
+    Query("bag_offsets", "E9", "batch:i pos:i field:t bag_offset:i", q_offsets, f'SELECT batch, pos, field, {OFFSET_SQL} AS bag_offset FROM ({BAG_SQL})'),
     Query("packed_bags", "R1", "batch:i field:t indices:t offsets:t weights:t", q_pack, PACK_SQL),
     Query("oov_check", "Q2", "name:t oov_rate:r failed:b", lambda v: quality.oov_check(report(v)),
           f"""SELECT name, avg(CASE WHEN idx = 2 THEN 1.0 ELSE 0.0 END) AS oov_rate, avg(CASE WHEN idx = 2 THEN 1.0 ELSE 0.0 END) > 0.95 AS failed FROM ({FILLED_SQL}) WHERE encoding <> 'hash' GROUP BY name"""),

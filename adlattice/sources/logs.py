@@ -16,11 +16,19 @@ LOG_SCHEMA = (
 
 
 def read_metrics_log(spark: SparkSession, path: str) -> DataFrame:
-    """All readable records; blank lines and lines that are not JSON are left out."""
+    """All readable records; blank lines and lines that are not JSON are left out.
+
+    ``position`` is the record's place in its file; in the order of files where there are several.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     record = F.from_json("value", f"{LOG_SCHEMA}, _bad string", options)
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(record.alias("r")).where("r._bad IS NULL").select("r.*").drop("_bad")
+    position = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return lines.select(record.alias("r"), position.alias("position")).where("r._bad IS NULL").select("r.*", "position").drop("_bad")
 
 
 def valid_records(log: DataFrame) -> DataFrame:

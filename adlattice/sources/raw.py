@@ -54,21 +54,28 @@ def read_common(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("entity_id").agg(last.alias("feat_str"))
 
 
+def number_lines(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """``row_id`` of each scanned row by the split table; rows outside their counted split fail the job."""
+    at = F.col("_line") - F.col("_first")
+    outside = F.raise_error(F.lit("input splits changed between two scans")).cast("long")
+    row_id = F.when((at >= 0) & (at < F.col("_n")), F.col("_before") + at).otherwise(outside)
+    return rows.join(checked_broadcast(splits), ["_file", "_block"], "left").withColumn("row_id", row_id)
+
+
 def with_row_ids(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
     """Skeleton rows numbered 0..n-1 in file order; ``nrows`` keeps the first rows only.
 
     Rows are counted per input split and shifted by the rows of the splits before. Only the split
-    table (one row per 128 MB of input) is ordered; the rows themselves do not move.
+    table (one row per 128 MB of input) is ordered; the rows themselves do not move. A scan that is
+    split otherwise than the counted one fails the job: no row is lost or numbered twice unnoticed.
     """
     rows = _scan(spark, path, SKELETON_SCHEMA)
     splits = rows.groupBy("_file", "_block").agg(F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select(
-        "_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    numbered = rows.join(checked_broadcast(splits), ["_file", "_block"]).select(
-        (F.col("_before") + F.col("_line") - F.col("_first")).alias("row_id"), *SKELETON_SCHEMA.names
+        "_file", "_block", "_first", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
+    numbered = number_lines(rows, splits).select("row_id", *SKELETON_SCHEMA.names)
     return numbered if nrows is None else numbered.where(F.col("row_id") < nrows)
 
 

@@ -1,5 +1,6 @@
 """Metrics, losses, health and run selection on edge cases."""
 
+import json
 import math
 import random
 
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from adlattice.functions import scalars
 from adlattice.operators import health, losses, metrics, runs, scorers
+from adlattice.sources import logs
+from adlattice.spec import Feature, FeatureMap
 
 
 def scores(spark, rows):
@@ -242,3 +245,26 @@ def test_auc_primary(spark):
     df = spark.createDataFrame([(0.6, 0.5, 0.4), (None, 0.5, 0.4), (None, 0.5, None), (None, None, None)], "j double, a double, b double")
     got = [r[0] for r in df.select(metrics.auc_primary(F.col("j"), F.col("a"), F.col("b"))).collect()]
     assert got[:3] == pytest.approx([0.78, 0.45, 0.5]) and got[3] is None
+
+
+def test_best_record_of_a_step_logged_twice(spark, tmp_path):
+    record = lambda run, step, auc, split="valid", **more: json.dumps({"run_id": run, "split": split, "global_step": step, "auc_ctcvr": auc, **more})
+    lines = [
+        record("known", 1, 0.1), record("known", 2, 0.2), record("known", 2, 0.3), record("known", 3, 0.4),
+        record("decided", 1, 0.5), record("decided", 1, 0.6), record("decided", 2, 0.7), record("decided", 1, 0.0, "valid_decision", should_update=True),
+        record("last", 1, 0.8), record("last", 2, 0.9), record("last", 2, 0.95),
+    ]
+    (tmp_path / "m.jsonl").write_text("\n".join(lines) + "\n")
+    log = logs.read_metrics_log(spark, str(tmp_path / "m.jsonl"))
+    known = spark.createDataFrame([("known", 2)], "run_id string, best_step long")
+    got = {r["run_id"]: (r["source"], r["best_step"], r["auc_ctcvr"]) for r in runs.best_records(log, known).collect()}
+    assert got == {"known": ("known", 2, 0.2), "decided": ("decision", 1, 0.5), "last": ("last", 2, 0.95)}
+
+
+def test_sparse_vectors_without_python(spark):
+    feats = FeatureMap((Feature("a", 0, "hash", hash_bucket=9), Feature("b", 0, "hash", hash_bucket=9, multi_hot=True, max_len=3, pooling="sum_sqrtn")))
+    rows = [(0, "e", 1, 1, 1, 1, "train", 5, [7, 8]), (1, "e", 0, 0, 0, 0, "train", 3, [7, 7]), (2, "e", 0, 0, 0, 0, "valid", 6, [])]
+    df = spark.createDataFrame(rows, "row_id long, entity_id string, y_ctr int, y_cvr int, y_ctcvr int, click_mask int, split string, f0_a_idx long, f0_b_idx array<long>")
+    got = {r["row_id"]: r["features"] for r in scorers.feature_vectors(df, feats).collect()}
+    # Slots in (name, id) order of the training rows: a 3, a 5, b 7, b 8.
+    assert {k: v.toArray().tolist() for k, v in got.items()} == {0: [0, 1, 0.5, 0.5], 1: [1, 0, 1, 0], 2: [0, 0, 0, 0]}

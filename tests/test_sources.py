@@ -75,6 +75,16 @@ def test_row_ids_over_many_splits(spark, tmp_path):
     assert got == [(i, i) for i in range(1500)]
 
 
+def test_rows_outside_their_counted_split_fail(spark):
+    splits = spark.createDataFrame([("a", 0, 10, 2, 0), ("b", 0, 20, 1, 2)], "_file string, _block long, _first long, _n long, _before long")
+    rows = lambda *r: spark.createDataFrame(r, "_file string, _block long, _line long")
+    good = raw.number_lines(rows(("a", 0, 10), ("a", 0, 11), ("b", 0, 20)), splits)
+    assert sorted(r["row_id"] for r in good.collect()) == [0, 1, 2]
+    for odd in (("a", 0, 12), ("a", 0, 9), ("a", 64, 10), ("c", 0, 0)):
+        with pytest.raises(Exception, match="input splits changed"):
+            raw.number_lines(rows(odd), splits).collect()
+
+
 def test_first_rows(spark, files):
     numbered = raw.with_row_ids(spark, str(files / "sk.csv"), nrows=2)
     assert [r["c0"] for r in numbered.orderBy("row_id").collect()] == [10, 11]
