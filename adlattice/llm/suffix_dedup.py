@@ -10,8 +10,9 @@ settle each other. What remains are the edges of copies: blocks of one name with
 
 Suffix arrays. These strings are dealt by name into shards of about ``SHARD_BYTES``. Each shard sorts its suffixes by
 Larsson-Sadakane refinement (groups equal in the first h bytes are sorted by the groups h bytes further on, h doubles, sorted
-groups drop out), gets common prefixes by Kasai's rule (the next suffix in the text shares at least one byte less, so
-only suffixes whose neighbour isn't the neighbour's successor are compared), and finds its classes of equal windows.
+groups drop out), gets common prefixes by Kasai's rule (the next suffix in the text shares one byte less, so only suffixes
+whose neighbour isn't the neighbour's successor, or that follow one sharing nothing, are compared), and finds its classes
+of equal windows.
 
 Merging. A name with more than ``SPLIT`` different strings is spread over several shards. Each sends its sorted class digests,
 cut by digest, and these are looked up in those of the other shards by binary search. The cuts grow in number with the strings.
@@ -135,7 +136,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, left: np.ndarray) -> np
     before[order[0]] = -1
     own = np.empty(n, bool)
     own[0] = True
-    own[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0)
+    # Behind a place that shares nothing with its neighbour the rule says nothing.
+    own[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (data[:-1] != data[np.maximum(before[:-1], 0)])
     ended = np.append(True, left[:-1] == 0)  # at the first byte of a string
     own |= ended | ended[np.maximum(before, 0)]
     heads = np.flatnonzero(own)

@@ -164,6 +164,18 @@ def test_window_classes():
         assert len(set(names.values())) == len(names)
 
 
+def test_window_classes_behind_nothing_shared():
+    # A suffix whose neighbour is the successor of the neighbour before it, which shares nothing.
+    run = b"c" + b"b" * 30 + b"xyz" * 9
+    for strings, length in [([b"baa"], 1), ([b"b" + b"a" * 20], 6), ([b"a" + run, b"b" + run, b"c" + run], 12)]:
+        classes, _ = suffix_dedup.window_classes([np.frombuffer(s, np.uint8) for s in strings], length)
+        names = {}
+        for s, own in zip(strings, classes):
+            for i, c in enumerate(own.tolist()):
+                assert names.setdefault(s[i : i + length], c) == c
+        assert len(set(names.values())) == len(names)
+
+
 # ---- near copies ----
 
 
