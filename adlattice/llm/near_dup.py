@@ -3,7 +3,7 @@
 A document is its set of distinct shingles (``SHINGLE`` consecutive lower-cased words; all words where it has fewer). Its
 signature has ``COORDINATES`` values, the least of its shingles under as many hash functions. A document is posted under
 its (coordinate, value) pairs, and two documents are candidates if their signatures agree in ``MATCHES`` coordinates or
-more; at similarity 0.8 a pair misses that about once in two million times. Candidates are confirmed on full sets.
+more; at similarity 0.8 a pair misses that with probability 4.2e-6. Candidates are confirmed on full sets.
 
 Prefix merging. In one order for all documents, rarest pairs first, two signatures with ``MATCHES`` common pairs share
 one among the first ``COORDINATES - MATCHES + 1`` of either. Only those are posted, which leaves out what many documents
@@ -162,10 +162,13 @@ def _prefixes(nodes: DataFrame, prefix: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, own): full sets of the wanted (node, doc_id, text_key)."""
+    """(node, own): full sets of the wanted (node, doc_id, text_key); a node whose row repeats comes once from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
+            fresh = [not (k in done or done.add(k)) for k in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             for lo, hi, data, off in scan.chunks(batch.column(1)):
                 own = [s.tobytes() for s in shingle_sets(data, off, shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(own, pa.binary())], ["node", "own"])
@@ -177,6 +180,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return texts.select("node", rows["text"]).mapInArrow(run, "node long, own binary")
 
 
+def _one_each(sets: DataFrame, wanted: DataFrame, save: _Steps) -> DataFrame:
+    """``sets`` with one row per node; they are moved only if a node came from several tasks."""
+    return sets if sets.count() == wanted.count() else save(sets.groupBy("node").agg(F.first("own").alias("own")))
+
+
 def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """(a, b, one, two): the values of both nodes of each pair. Two rows per pair are shuffled."""
     few = pairs.count() <= FEW_PAIRS
@@ -382,7 +390,8 @@ def _judged(
     labels = save(prefixes.select("node", F.col("node").alias("label")))
     members = save(_open(postings, labels))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "of.doc_id", "of.text_key")
-    sets = save(_sets(docs, save(wanted), shingle))
+    wanted = save(wanted)
+    sets = _one_each(save(_sets(docs, wanted, shingle)), wanted, save)
     for turn in range(rounds):
         edges = _confirmed(save(_with_leader(members, turn)), nodes, sets, matches, percent, save)
         if edges.isEmpty():

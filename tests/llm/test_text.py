@@ -232,6 +232,16 @@ def test_small_blocks(spark, docs, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_dup.components(every, rounds=1).collect()} == want
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_repeated_rows(spark, rounds):
+    rows = [(r[0], r[1]) for r in near_rows()]
+    rows += rows[::5] * 2 + [(None, t) for _, t in rows[1::7]] * 3
+    every = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA).repartition(3)
+    want = collections.Counter((i, n, c, i == c) for (i, _), (n, c) in zip(rows, brute_components(rows, 4)))
+    got = near_dup.components(every, rounds=rounds).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == want
+
+
 def test_keep_one(docs, empty):
     out = near_dup.keep_one(docs)
     kept = near_dup.components(docs).where("kept")
