@@ -9,8 +9,9 @@ That test is one lookup per word pair for whole chunks, and drops no occurrence,
 
 A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
 
-Items are dealt to automata of at most ``AUTOMATON_WORDS`` words each (a bound on what is broadcast); the documents are
-scanned once per automaton and the hits of a document united.
+Items are dealt to automata of at most ``AUTOMATON_WORDS`` words each (a bound on what is broadcast). Every text is held
+once with the ids of its items, or, where there are more than ``IDS_AT_ONCE`` ids, once for each part of them. The documents
+are scanned once per automaton, unchanged, and the hits of a document united before anything is counted or cut.
 
 Defined results: null texts and texts without words have no words and no hits; items without words are ignored; an item_id
 may be null (it counts as "" in lists) or repeat (it counts once); rows with the same doc_id are judged one by one; an empty
@@ -32,17 +33,18 @@ from adlattice.session import fresh_path
 
 WINDOW = 10
 AUTOMATON_WORDS = 2_000_000
+IDS_AT_ONCE = 1_000_000
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 class Automaton:
     """Generalised suffix automaton of items (sequences of word hashes) with the items of every window."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+    def __init__(self, items: list[tuple[str | list[str], np.ndarray]], window: int):
         self.window = window
-        items = [(name, hashes) for name, hashes in items if len(hashes)]
+        items = [([name] if isinstance(name, str) else name, hashes) for name, hashes in items if len(hashes)]
         self.vocabulary = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, np.uint64)
-        sequences = [(name, np.searchsorted(self.vocabulary, h).tolist()) for name, h in items]
+        sequences = [(names, np.searchsorted(self.vocabulary, h).tolist()) for names, h in items]
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         for _, sequence in sequences:
@@ -52,7 +54,7 @@ class Automaton:
         # Items of a window, by the state that the window leads to and the window's length.
         self.items: dict[tuple[int, int], set[str]] = {}
         self.short: list[int] = []
-        for name, sequence in sequences:
+        for names, sequence in sequences:
             size = min(window, len(sequence))
             if size < window:
                 self.short.append(size)
@@ -60,7 +62,7 @@ class Automaton:
             for word in sequence:
                 state, length = self.step(state, length, word)
                 if length >= size:
-                    self.items.setdefault((self.ancestor(state, size), size), set()).add(name)
+                    self.items.setdefault((self.ancestor(state, size), size), set()).update(names)
         self.short = sorted(set(self.short))
         pairs = [s[i] * len(self.vocabulary) + s[i + 1] for _, s in sequences for i in range(len(s) - 1)]
         self.pairs = np.unique(np.array(pairs, np.int64))
@@ -148,18 +150,28 @@ def item_words(text: str | None) -> np.ndarray:
     return scan.words(data, off, scan.ALNUM)[0]
 
 
-def item_groups(benchmark: DataFrame, most_words: int = AUTOMATON_WORDS) -> int:
-    """Number of automata: a word and its border take two characters at least."""
-    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(1, -(-total // (2 * most_words)))
+def listed(benchmark: DataFrame, ids_at_once: int | None = None) -> DataFrame:
+    """(text, part, names) of all items: every text once with its ids, or once for each part of them; written."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("string"))
+    items = items.where("text IS NOT NULL")
+    parts = max(1, -(-items.count() // (ids_at_once or IDS_AT_ONCE)))
+    path = fresh_path(benchmark.sparkSession, "benchmark")
+    part = F.pmod(F.xxhash64("name"), F.lit(parts)).alias("part")
+    items.groupBy("text", part).agg(F.collect_set("name").alias("names")).write.parquet(path)
+    return benchmark.sparkSession.read.parquet(path)
+
+
+def item_groups(items: DataFrame, most_words: int = AUTOMATON_WORDS) -> int:
+    """Number of automata: a word and its border take two characters at least, an id counts with its characters."""
+    size = F.length("text") + F.aggregate("names", F.lit(0), lambda n, name: n + F.length(name))
+    return max(1, -(-(items.agg(F.sum(size)).first()[0] or 0) // (2 * most_words)))
 
 
-def automata(benchmark: DataFrame, groups: int, window: int = WINDOW) -> Iterator[Automaton]:
+def automata(items: DataFrame, groups: int, window: int = WINDOW) -> Iterator[Automaton]:
     """Automata that together hold all items; only one group of items is in the driver at a time."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("string"))
     for g in range(groups):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g).collect()
-        yield Automaton([(row["name"], item_words(row["text"])) for row in rows], window)
+        rows = items.where(F.pmod(F.xxhash64("text", "part"), F.lit(groups)) == g).collect()
+        yield Automaton([(row["names"], item_words(row["text"])) for row in rows], window)
 
 
 def _scan(table: pa.Array, automaton: Automaton, known: scan.HashTable):
@@ -203,23 +215,28 @@ def _found(docs: DataFrame, automaton: Automaton) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _united(rows: DataFrame, items: DataFrame, groups: int, window: int) -> DataFrame:
+    """(row, n_words, hits, items) of (row, text) over all automata; rows need names of their own."""
+    spark, path = rows.sparkSession, fresh_path(rows.sparkSession, "decontaminate-hits")
+    for k, automaton in enumerate(automata(items, groups, window)):
+        _found(rows, automaton).write.parquet(f"{path}/part={k}")
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return spark.read.parquet(path).groupBy("row").agg(F.first("n_words").alias("n_words"), every("hits"), every("items"))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> DataFrame:
     """(doc_id, n_words, hits, items) of every row of ``docs``."""
-    spark, groups = docs.sparkSession, item_groups(benchmark, most_words)
+    spark, items = docs.sparkSession, listed(benchmark)
+    groups = item_groups(items, most_words)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if groups == 1:
-        (automaton,) = automata(benchmark, 1, window)
+        (automaton,) = automata(items, 1, window)
         found = _found(plain.select(F.col("doc_id").alias("row"), "text"), automaton)
         return found.withColumnRenamed("row", "doc_id")
     # Rows need names of their own for the union; these are written, so that all scans see the same.
     path = fresh_path(spark, "decontaminate")
-    plain.select(F.struct("doc_id", F.monotonically_increasing_id().alias("at")).alias("row"), "text").write.parquet(f"{path}/rows")
-    rows = spark.read.parquet(f"{path}/rows")
-    for k, automaton in enumerate(automata(benchmark, groups, window)):
-        _found(rows, automaton).write.parquet(f"{path}/hits/part={k}")
-    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    united = spark.read.parquet(f"{path}/hits").groupBy("row").agg(F.first("n_words").alias("n_words"), every("hits"), every("items"))
-    return united.select("row.doc_id", "n_words", "hits", "items")
+    plain.select(F.struct("doc_id", F.monotonically_increasing_id().alias("at")).alias("row"), "text").write.parquet(path)
+    return _united(spark.read.parquet(path), items, groups, window).select("row.doc_id", "n_words", "hits", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> DataFrame:
@@ -243,22 +260,49 @@ def remove_passages(
 
     A removed passage goes from its first byte to the start of the next kept word; texts without hits stay as they are.
     """
-    names, out = docs.columns, docs
-    text = names.index("text")
-    for automaton in automata(benchmark, item_groups(benchmark, most_words), window):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        out = out.mapInArrow(_remover(shared, names, text, most_coverage), docs.schema)
-    return out
+    spark, names, items = docs.sparkSession, docs.columns, listed(benchmark)
+    text, groups = names.index("text"), item_groups(items, most_words)
+    if groups == 1:
+        shared = spark.sparkContext.broadcast(next(automata(items, 1, window)))
 
+        def marked(batch: pa.RecordBatch, known: list[scan.HashTable]):
+            if not known:
+                known.append(scan.HashTable(shared.value.vocabulary))
+            for lo, _, data, off, starts, _, first, hit, found in _scan(batch.column(text), shared.value, known[0]):
+                yield lo, data, off, starts, first, hit, found
+
+        return docs.mapInArrow(_remover(marked, names, text, most_coverage), docs.schema)
+    at = "_at" + "_" * sum(map(len, names))
+    path = fresh_path(spark, "decontaminate")
+    docs.withColumn(at, F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    found = _united(rows.select(F.col(at).alias("row"), F.col("text").cast("string")), items, groups, window)
+    hits = found.where(F.size("hits") > 0).select(F.col("row").alias(at), F.col("hits").alias(at + "_"))
+    whole = rows.join(hits, at, "left").select(*[F.col(f"`{c}`") for c in names], at + "_")
+
+    def placed(batch: pa.RecordBatch, _):
+        places = batch.column(len(names))
+        for lo, hi, data, off in scan.chunks(batch.column(text)):
+            _, starts, _, first = scan.words(data, off, scan.ALNUM)
+            own = places.slice(lo, hi - lo)
+            some = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            hit = np.zeros(len(starts), bool)
+            for k in some:
+                hit[first[k] + own[k].values.to_numpy()] = True
+            yield lo, data, off, starts, first, hit, some
+
+    return whole.mapInArrow(_remover(placed, names, text, most_coverage), docs.schema)
+
+
+def _remover(marked, names: list[str], text: int, most_coverage: float):
+    """Cuts what ``marked`` finds in a batch: per chunk its first row, bytes, word starts, first words, hit words, texts with hits."""
 
-def _remover(shared, names: list[str], text: int, most_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
-        known = scan.HashTable(automaton.vocabulary)
+        known: list = []
         for batch in batches:
             changed, keep = {}, np.ones(batch.num_rows, bool)
-            for lo, hi, data, off, starts, _, first, hit, items in _scan(batch.column(text), automaton, known):
-                for k in items:
+            for lo, data, off, starts, first, hit, found in marked(batch, known):
+                for k in found:
                     a, b = int(first[k]), int(first[k + 1])
                     marks = hit[a:b]
                     if marks.mean() > most_coverage:
@@ -268,7 +312,7 @@ def _remover(shared, names: list[str], text: int, most_coverage: float):
                     edges[0] = off[k]
                     gone = np.repeat(marks, np.diff(edges))
                     changed[lo + k] = data[off[k] : off[k + 1]][~gone].tobytes().decode()
-            columns = list(batch.columns)
+            columns = list(batch.columns)[: len(names)]
             if changed:
                 mask = np.zeros(batch.num_rows, bool)
                 mask[list(changed)] = True

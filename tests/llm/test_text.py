@@ -76,6 +76,39 @@ def test_contamination_of_empty_tables(docs, empty, items):
     assert none.where("contaminated OR n_items > 0 OR n_hit > 0").count() == 0 and none.count() == docs.count()
 
 
+@pytest.mark.parametrize("most_words", [decontaminate.AUTOMATON_WORDS, 20])
+def test_remove_passages_of_all_automata(spark, docs, most_words):
+    """Coverage and overlaps count over all items, whatever automata they are dealt to; one text under many ids."""
+    words = [f"w{k}" for k in range(100)]
+    passages = [" ".join(words[a : a + 14]) for a in (0, 15, 30, 34, 50)] + [" ".join(words[60:65] + words[80:85])]
+    items = spark.createDataFrame([(k, p) for k, p in enumerate(passages)] + [(k, passages[0]) for k in range(50, 80)], "item_id long, text string")
+    texts = [" ".join(words[:60]), " ".join(words), " ".join(words[25:100]), " ".join(words[60:65] + words[30:44] + words[80:85] + ["x"] * 40)]
+    texts.append(" ".join(words[0:14] + ["y"] * 20 + words[50:64]))
+    rows = spark.createDataFrame([row(k, t) for k, t in enumerate(texts)], SCHEMA)
+    want = {}
+    for k, t in enumerate(texts):
+        own, hit, _ = brute_hits(t, [(r["item_id"], r["text"]) for r in items.collect()])
+        if len(hit) <= len(own) / 2:
+            want[k] = [w for i, w in enumerate(own) if i not in hit]
+    out = decontaminate.remove_passages(rows, items, most_words=most_words)
+    assert {r["doc_id"]: item_words(r["text"]) for r in out.collect()} == want and 0 < len(want) < len(texts)
+    # The passages that removals bring together aren't hits, and other columns stay.
+    assert out.columns == rows.columns
+
+
+def test_copies_of_an_item_are_held_once(spark, docs, items, monkeypatch):
+    more = items.unionByName(spark.createDataFrame([(100 + k, "three, three") for k in range(500)], items.schema))
+    held = decontaminate.listed(more)
+    assert held.where("text = 'three, three'").count() == 1 and decontaminate.item_groups(held) == 1
+    whole = decontaminate.contamination(docs, more).collect()
+    monkeypatch.setattr(decontaminate, "IDS_AT_ONCE", 50)
+    split = decontaminate.listed(more)
+    assert split.where("text = 'three, three' AND size(names) > 100").count() == 0
+    parts = decontaminate.contamination(docs, more, most_words=300).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"])
+    assert sorted(map(key, whole)) == sorted(map(key, parts)) and max(r["n_items"] for r in whole) >= 500
+
+
 def test_remove_passages(docs, items):
     listed = [(r["item_id"], r["text"]) for r in items.collect()]
     out = decontaminate.remove_passages(docs, items)
