@@ -1,9 +1,10 @@
 """Language identification by multinomial logistic regression on character n-grams.
 
 Features: n-grams of ``ORDERS`` lower-cased characters, hashed to ``BUCKETS``, weighted (1 + ln tf) * idf and scaled to
-length 1. Document frequencies come from all training rows. Weights are fitted on a bounded sample of them, at most about
-``SAMPLE`` rows, as many of each language, by follow-the-regularised-leader with L1 and L2 penalties, one row at a
-time. A fifth of the sample is kept back, on which a temperature is fitted that calibrates the probabilities.
+length 1. Document frequencies come from all training rows. Weights are fitted on a bounded sample of their different
+texts, at most about ``SAMPLE``, as many of each language and each once, by follow-the-regularised-leader with L1 and L2
+penalties, one text at a time. A fifth of the sample is kept back, on which a temperature is fitted that calibrates the
+probabilities.
 
 Training rows have a language and a crc32 of the doc_id (as text) whose remainder by 4 isn't 2.
 
@@ -156,7 +157,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     spark = docs.sparkSession
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     rows = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = rows.select("lang", F.xxhash64("text", F.lit(11)).alias("key")).distinct()
+    sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
@@ -177,9 +179,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
 
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample / len(sizes) / n)))])
-    # The place of a row among all is drawn from its text, so that copies go the same way.
+    # The place of a text among all is drawn from its hash, so that copies go the same way; one of them is read.
     drawn = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = rows.where(drawn < share[F.col("lang")]).select("lang", "text")
+    chosen = rows.where(drawn < share[F.col("lang")]).select("lang", "text").distinct()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -65,6 +65,22 @@ def test_language_learns_from_training_rows_alone(texts):
     assert sorted(map(key, language_id.identified(docs).collect())) == sorted(map(key, language_id.identified(changed).collect()))
 
 
+def test_language_sample_under_copies(spark):
+    """Many copies of a few texts: every language is learnt, and no text is read twice."""
+    r = random.Random(8)
+    more = {"it": "il lo gli che non con della sono anche più".split()}
+    rows, pool = [], WORDS | more
+    for lang in pool:
+        for _ in range(10):
+            text = " ".join(r.choice(pool[lang]) for _ in range(25))
+            rows += [row(4 * len(rows) + k, text, lang) for k in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.train(docs, sample=200)
+    probe = spark.createDataFrame([row(k, " ".join(pool[lang]), lang) for k, lang in enumerate(pool)], SCHEMA)
+    got = {x["doc_id"]: x["lang_pred"] for x in language_id.predict(probe, model).collect()}
+    assert got == dict(enumerate(pool))
+
+
 def test_language_without_examples(docs, empty):
     assert {r["lang_pred"] for r in language_id.identified(docs.withColumn("lang", docs["source"]).where("false")).collect()} == set()
     none = language_id.predict(docs, language_id.train(docs.selectExpr("doc_id", "text", "string(null) AS lang")))
