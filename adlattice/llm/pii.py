@@ -7,8 +7,10 @@ near an entity and nearly nowhere else gives the entity away, even where the ent
     P(entity | term) = documents with the term near the entity / documents with the term
     bits             = log2(P(entity | term) / P(entity))
 
-and names terms that reach both thresholds. Terms near an entity in fewer than ``MIN_TEXTS`` different texts say nothing;
-copies of a text count as one there.
+and names terms that reach ``MIN_GIVEN`` and whose bits are at least ``MIN_SHARE`` of -log2 P(entity), the most that any
+term can give, so that an entity of a third of the documents is judged like one of a few. An entity of all documents has no
+information, and no term reveals it. Terms near an entity in fewer than ``MIN_TEXTS`` different texts say nothing; copies
+of a text count as one there. A call with ``min_bits`` asks for so many bits instead of the share.
 
 ``find`` adds the occurrences of such terms, outside the pattern spans, as spans of kind ``term``; ``sanitize`` replaces
 pattern spans by the name of their kind and generalises terms to ``[TERM]``.
@@ -46,7 +48,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 NEAR = 8
 MIN_TEXTS = 3
 MIN_GIVEN = 0.5
-MIN_BITS = 8.0
+MIN_SHARE = 0.5
 TERMS_AT_ONCE = 1_000_000
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -209,8 +211,9 @@ def disclosures(
     near: int = NEAR,
     min_texts: int = MIN_TEXTS,
     min_given: float = MIN_GIVEN,
-    min_bits: float = MIN_BITS,
+    min_share: float = MIN_SHARE,
     at_once: int = TERMS_AT_ONCE,
+    min_bits: float | None = None,
 ) -> DataFrame:
     """(term, entity, given, bits) of the terms that reveal an entity; terms and entities are 64-bit hashes."""
     spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "disclosures")
@@ -228,12 +231,14 @@ def disclosures(
     holders = held.groupBy("term").agg(F.sum("n").alias("holders"))
     total = docs.select(F.count(F.lit(1)).alias("rows"))
     given = F.col("n") / F.col("holders")
+    least = min_share * F.col("most") if min_bits is None else F.lit(min_bits)
     found = (
         pairs.join(holders, "term")
         .join(alone.select("entity", F.col("n").alias("entity_rows")), "entity")
         .withColumn("given", given)
+        .withColumn("most", F.log2(total.scalar() / F.col("entity_rows")))
         .withColumn("bits", F.log2(given * total.scalar() / F.col("entity_rows")))
-        .where((F.col("given") >= min_given) & (F.col("bits") >= min_bits))
+        .where((F.col("given") >= min_given) & (F.col("bits") >= least) & (F.col("most") > 0))
         .select("term", "entity", "given", "bits")
     )
     found.write.parquet(f"{path}/found")

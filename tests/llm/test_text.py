@@ -358,6 +358,19 @@ def test_disclosures_against_counts(docs):
     assert want and collections.Counter((round(r["given"], 9), round(r["bits"], 9)) for r in got) == want
 
 
+def test_disclosures_of_a_frequent_entity(spark):
+    """A term that stands by an entity alone reveals it under the registered thresholds, however frequent the entity is."""
+    r = random.Random(4)
+    plain = lambda: " ".join(r.choice(["one", "two", "three", "four", "five", "six"]) for _ in range(12))
+    hot = "hot.source@mail.example.com"
+    rows = [f"{plain()} quorvex {hot} {plain()}" for _ in range(40)] + [f"same text quorvex {hot} twice {plain()}"] * 60
+    rows += [f"{plain()} zimblat cold@mail.example.com {plain()}" for _ in range(4)] + [plain() + " " + plain() for _ in range(196)]
+    docs = spark.createDataFrame([row(k, t) for k, t in enumerate(rows)], SCHEMA)
+    texts = [x["text"] for x in pii.sanitize(docs, pii.disclosures(docs)).collect()]
+    assert not any("quorvex" in t or "zimblat" in t for t in texts)
+    assert sum("[TERM]" in t for t in texts) == 104 and all(re.search("one|two|three|four|five|six", t) for t in texts)
+
+
 def test_sanitize(docs, empty):
     out = pii.sanitize(docs, pii.disclosures(docs, min_bits=2.0))
     assert out.columns == docs.columns and out.count() == docs.count()
