@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from adlattice.llm import bpe, decontaminate, language_id, media, near_dup, pii, suffix_dedup, suffix_tree, token_ids, toxicity
+from adlattice.llm import (
+    alignment,
+    bpe,
+    centroids,
+    collisions,
+    decontaminate,
+    language_id,
+    media,
+    near_dup,
+    pii,
+    suffix_dedup,
+    suffix_tree,
+    token_ids,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +70,19 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.model_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.linked(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    return alignment.alignments(_table(spark, sf_dir, "documents"), *map(public_tokenizers.path, names))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,8 +96,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_dup,
         op9_pii,
         op10_suffix_tree,
+        op11_centroid_clustering,
+        op12_embedding_near_dup,
+        op13_token_alignment,
     )
 } | {"pipeline": corpus_pipeline.run}
 
-#: None of the results can be stated in the test database's SQL; tests/llm compares them with brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The other results can't be stated in the test database's SQL; tests/llm compares them with brute force.
+ORACLE_SQL: dict[str, str] = {"op11_centroid_clustering": centroids.cluster_sql()}
