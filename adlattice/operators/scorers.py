@@ -1,24 +1,27 @@
-"""First- and second-order scorers over the encoded table, trained with Spark ML."""
+"""First- and second-order scorers over the encoded table. The model is a table with a row per (feature, id)."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import FMClassifier, LogisticRegression
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from adlattice.functions.arrays import truncate
+from adlattice.functions.hashing import unit_hash
+from adlattice.operators.encode import LABELS
 from adlattice.operators.joins import lookup_join
-from adlattice.operators.ordered import group_rank
-from adlattice.session import durable, fresh_path
-from adlattice.spec import Feature, FeatureMap
+from adlattice.session import colocated, discard, durable
+from adlattice.spec import HASH_SEED, Feature, FeatureMap
+
+KEY = ["name", "idx"]
+#: The feature of the one id that all rows share, the bias; it has no part in the second order.
+BIAS = ""
+SPREAD = 0.1
+TINY = 1e-8
 
 
 def _weighted_ids(f: Feature) -> Column:
-    """(name, id, weight) of each id of a feature; weights are divided by the length of the bag."""
+    """(name, id, share) of each id of a feature; values are divided by the length of the bag."""
     ids = F.col(f"{f.name}_idx")
     ids = truncate(ids, f.max_len) if f.multi_hot else F.array(ids)
     if f.use_value:
@@ -26,88 +29,137 @@ def _weighted_ids(f: Feature) -> Column:
         vals = truncate(vals, f.max_len) if f.multi_hot else F.array(vals)
     else:
         vals = F.transform(ids, lambda i: F.lit(1.0))
-    share = F.greatest(F.size(ids), F.lit(1)).cast("double")
+    size = F.greatest(F.size(ids), F.lit(1)).cast("double")
     return F.zip_with(
-        ids, vals, lambda i, v: F.struct(F.lit(f.name).alias("name"), i.cast("long").alias("idx"), (v.cast("double") / share).alias("weight"))
+        ids, vals, lambda i, v: F.struct(F.lit(f.name).alias("name"), i.cast("long").alias("idx"), (v.cast("double") / size).alias("share"))
     )
 
 
-def feature_vectors(processed: DataFrame, features: FeatureMap, split: str = "train") -> DataFrame:
-    """Encoded rows with one sparse vector; every (feature, id) of the training rows has a slot of its own.
+def bag_lines(processed: DataFrame, features: FeatureMap, *extra: Column) -> DataFrame:
+    """(row_id, name, idx, share): a line per id of every encoded row, and one for the bias."""
+    bias = F.array(F.struct(F.lit(BIAS).alias("name"), F.lit(0).cast("long").alias("idx"), F.lit(1.0).alias("share")))
+    return processed.select("row_id", *extra, F.inline(F.concat(bias, *[_weighted_ids(f) for f in features.by_name()])))
 
-    Ids that no training row has would keep weight 0 and have no slot. Zero weights are left out: the
-    factorisation trainer refuses vectors with explicit zeros. The vectors are written in their stored
-    form, a struct, and read back under their type, so that no row passes through Python.
-    """
-    pairs = F.concat(*[_weighted_ids(f) for f in features.by_name()])
-    lines = processed.select("row_id", F.inline(pairs))
-    training = processed.where(F.col("split") == split) if "split" in processed.columns else processed
-    seen = training.select(F.inline(pairs)).select("name", "idx").distinct()
-    slots = durable(group_rank(seen, [], ["name", "idx"], "slot"))
-    size = max(1, slots.count())
-
-    merged = lookup_join(lines, slots, ["name", "idx"], "inner").groupBy("row_id", "slot").agg(F.sum("weight").alias("weight"))
-    bags = merged.where("weight <> 0").groupBy("row_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), "weight"))).alias("bag")
-    )
-    extra = [c for c in ("split",) if c in processed.columns]
-    labels = ["row_id", "entity_id", "y_ctr", "y_cvr", "y_ctcvr", "click_mask"]
-    part = lambda name, kind: F.coalesce(F.col(f"bag.{name}"), F.array().cast(f"array<{kind}>"))
-    stored = F.struct(
-        F.lit(0).cast("byte").alias("type"),
-        F.lit(size).cast("int").alias("size"),
-        part("slot", "int").alias("indices"),
-        part("weight", "double").alias("values"),
+
+def initial_parameters(keys: DataFrame, factors: int, seed: int = HASH_SEED) -> DataFrame:
+    """Weight 0 and small factors drawn from a hash of (name, id, place); sums of squared gradients are 0."""
+    text = lambda k: F.concat_ws(":", "name", F.col("idx").cast("string"), F.lit(str(k)))
+    drawn = [F.when(F.col("name") == BIAS, 0.0).otherwise((unit_hash(text(k), seed) - 0.5) * (2 * SPREAD)) for k in range(factors)]
+    zero = F.lit(0.0)
+    none = F.array().cast("array<double>")
+    return keys.select(
+        *KEY, zero.alias("w"), (F.array(*drawn) if factors else none).alias("v"),
+        zero.alias("sw"), (F.array(*[zero] * factors) if factors else none).alias("sv"),
     )
-    rows = processed.select(*labels, *extra).join(bags, "row_id", "left").select(*labels, *extra, stored.alias("features"))
-    path = fresh_path(processed.sparkSession, "vectors")
-    rows.write.parquet(path)
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("features", VectorUDT())])
-    return processed.sparkSession.read.schema(schema).parquet(path)
 
 
-def given_scores(lines: DataFrame, weights: DataFrame, factors: int) -> DataFrame:
+def _forward(lines: DataFrame, parameters: DataFrame, factors: int, fields: int) -> DataFrame:
+    """``lines`` with their row's scores, and what the gradients need of the row and the field.
+
+    A field's vector is the sum of its ids' vectors by their shares. With t the sum of the fields' vectors, the second order is
+    (|t|^2 - the sum of the fields' |e|^2) / 2 / number of fields. The sum of a field's share * v * e over its ids is its |e|^2.
+    """
+    s = F.col("share")
+    known = lookup_join(lines, parameters.select(*KEY, "w", "v"), KEY)
+    # The window by row comes first: its partitioning by row_id serves the windows by field too.
+    field, row = Window.partitionBy("row_id", "name"), Window.partitionBy("row_id")
+    own = lambda k: F.coalesce(s * F.get("v", F.lit(k)), F.lit(0.0))
+    out = known.withColumn("first_order", F.sum(F.coalesce(s * F.col("w"), F.lit(0.0))).over(row))
+    out = out.withColumns({f"t{k}": F.sum(own(k)).over(row) for k in range(factors)})
+    out = out.withColumns({f"e{k}": F.sum(own(k)).over(field) for k in range(factors)})
+    squares = F.sum(sum((own(k) * F.col(f"e{k}") for k in range(factors)), F.lit(0.0))).over(row)
+    total = sum((F.col(f"t{k}") * F.col(f"t{k}") for k in range(factors)), F.lit(0.0))
+    return out.withColumn("second_order", (total - squares) / 2 / F.lit(float(max(1, fields))))
+
+
+def _gradients(lines: DataFrame, parameters: DataFrame, factors: int, fields: int) -> DataFrame:
+    """Gradient of the summed logistic loss by (name, id); lines carry their row's label."""
+    seen = _forward(lines, parameters, factors, fields)
+    logit = F.col("first_order") + F.col("second_order")
+    by_share = (1 / (1 + F.exp(-logit)) - F.col("label")) * F.col("share")
+    rest = lambda k: F.when(F.col("name") == BIAS, 0.0).otherwise(by_share * (F.col(f"t{k}") - F.col(f"e{k}")) / F.lit(float(max(1, fields))))
+    return seen.groupBy(*KEY).agg(F.sum(by_share).alias("gw"), *[F.sum(rest(k)).alias(f"g{k}") for k in range(factors)])
+
+
+def _stepped(parameters: DataFrame, gradients: DataFrame, n: int, factors: int, rate: float, reg: float) -> DataFrame:
+    """Parameters after one step whose length follows each one's own squared gradients; untouched ones stay."""
+    joined = parameters.join(gradients, KEY, "left")
+    w = F.col("gw") / n + reg * F.col("w")
+    v = [F.col(f"g{k}") / n + reg * F.col("v")[k] for k in range(factors)]
+    sw, sv = F.col("sw") + w * w, [F.col("sv")[k] + v[k] * v[k] for k in range(factors)]
+    moved = lambda at, g, s: at - rate * g / (F.sqrt(s) + TINY)
+    touched = F.col("gw").isNotNull()
+    keep = lambda c, new: F.when(touched, new).otherwise(F.col(c)).alias(c)
+    lists = [keep("v", F.array(*[moved(F.col("v")[k], v[k], sv[k]) for k in range(factors)])), keep("sv", F.array(*sv))] if factors else ["v", "sv"]
+    return joined.select(*KEY, keep("w", moved(F.col("w"), w, sw)), lists[0], keep("sw", sw), lists[1])
+
+
+def fit(
+    lines: DataFrame,
+    factors: int = 0,
+    fields: int = 1,
+    passes: int = 2,
+    batches: int = 2,
+    rate: float = 0.1,
+    reg: float = 1e-4,
+    seed: int = HASH_SEED,
+) -> DataFrame:
+    """(name, idx, w, v): parameters after so many passes over ``lines`` (``bag_lines`` with the 0/1 ``label`` of their row).
+
+    Rows fall into batches by their row_id. The lines are written once, bucketed by row_id: a step reads the lines of its
+    batch, looks the parameters up, and moves the lines no further. Gradients are summed by (name, id) inside the
+    tasks before they are shuffled, so that an id of all rows is no burden. Every step writes the table of parameters anew; only
+    the number of rows of each batch reaches the driver.
+    """
+    batch = F.pmod(F.col("row_id"), F.lit(batches))
+    rows = colocated(lines.select("row_id", "name", "idx", "share", F.col("label").cast("double").alias("label"), batch.alias("batch")), ["row_id"])
+    sizes = {r["batch"]: r["n"] for r in rows.where(F.col("name") == BIAS).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parameters = durable(initial_parameters(rows.select(*KEY).distinct(), factors, seed))
+    for _ in range(passes):
+        for b in sorted(sizes):
+            gradients = _gradients(rows.where(F.col("batch") == b), parameters, factors, fields)
+            after = durable(_stepped(parameters, gradients, sizes[b], factors, rate, reg))
+            discard(parameters)
+            parameters = after
+    discard(rows)
+    return parameters.select(*KEY, "w", "v")
+
+
+def scores(lines: DataFrame, parameters: DataFrame, factors: int, fields: int) -> DataFrame:
+    """(row_id, first_order, second_order) of every row with lines; ids without parameters add nothing."""
+    seen = _forward(lines, parameters, factors, fields)
+    return seen.groupBy("row_id").agg(F.first("first_order").alias("first_order"), F.first("second_order").alias("second_order"))
+
+
+def given_scores(lines: DataFrame, weights: DataFrame, factors: int, fields: int) -> DataFrame:
     """First- and second-order score of each row under stored weights.
 
-    ``lines`` has (row_id, name, idx, weight), ``weights`` (name, idx, w, v) with ``factors`` entries
-    in v. Ids without weights add nothing. Line weights are divided by the length of their bag, the
-    lines of one feature in one row.
+    ``lines`` has (row_id, name, idx, weight), ``weights`` (name, idx, w, v) with ``factors`` entries in v, ``fields`` is the number of
+    features. Line weights are divided by the length of their bag, the lines of one feature in one row.
     """
     bag = Window.partitionBy("row_id", "name")
-    shared = lines.withColumn("_s", F.col("weight") / F.count(F.lit(1)).over(bag))
-    s = F.col("_s")
-    known = lookup_join(shared, weights.select("name", "idx", "w", "v"), ["name", "idx"])
-    term = lambda k: F.coalesce(s * F.col("v")[k], F.lit(0.0))
-    sums = known.groupBy("row_id").agg(
-        F.sum(F.coalesce(s * F.col("w"), F.lit(0.0))).alias("first_order"),
-        *[F.sum(term(k)).alias(f"_sum{k}") for k in range(factors)],
-        *[F.sum(term(k) * term(k)).alias(f"_square{k}") for k in range(factors)],
-    )
-    both = sum((F.col(f"_sum{k}") * F.col(f"_sum{k}") - F.col(f"_square{k}") for k in range(factors)), F.lit(0.0))
-    return sums.select("row_id", "first_order", (both / 2).alias("second_order"))
+    share = F.col("weight") / F.count(F.lit(1)).over(bag)
+    return scores(lines.repartition("row_id").withColumn("share", share), weights, factors, fields)
 
 
-def _scored(vectors: DataFrame, estimator, split: str) -> DataFrame:
-    """Click model on all training rows, conversion model on the clicked ones; logits of every row."""
-    kept = durable(vectors)
+def _scored(processed: DataFrame, features: FeatureMap, split: str, factors: int, **settings) -> DataFrame:
+    """Click model of all training rows, conversion model of the clicked ones; logits of every row."""
+    kept = durable(processed)
+    lines, fields = bag_lines(kept, features), len(list(features))
     train = kept.where(F.col("split") == split)
-    out = kept
-    for task, label, rows in (("ctr", "y_ctr", train), ("cvr", "y_cvr", train.where("click_mask = 1"))):
-        named = estimator.copy(
-            {estimator.labelCol: "label", estimator.rawPredictionCol: "raw", estimator.probabilityCol: "prob", estimator.predictionCol: "hit"}
-        )
-        model = named.fit(rows.withColumn("label", F.col(label).cast("double")))
-        out = model.transform(out).withColumn(f"{task}_logit", vector_to_array("raw")[1]).drop("raw", "prob", "hit")
-    return out.drop("features")
+    out = kept.select(*LABELS, *[c for c in ("split",) if c in kept.columns])
+    for task, rows in (("ctr", train), ("cvr", train.where("click_mask = 1"))):
+        model = fit(bag_lines(rows, features, F.col(f"y_{task}").alias("label")), factors, fields, **settings)
+        logit = (F.col("first_order") + F.col("second_order")).alias(f"{task}_logit")
+        out = out.join(scores(lines, model, factors, fields).select("row_id", logit), "row_id", "left")
+    return out
 
 
-def linear_scores(vectors: DataFrame, split: str = "train", iterations: int = 20, reg: float = 1e-4) -> DataFrame:
+def linear_scores(processed: DataFrame, features: FeatureMap, split: str = "train", **settings) -> DataFrame:
     """First-order scores of both tasks: logistic regression on the bag-normalised ids."""
-    return _scored(vectors, LogisticRegression(maxIter=iterations, regParam=reg), split)
+    return _scored(processed, features, split, 0, **settings)
 
 
-def factorisation_scores(
-    vectors: DataFrame, split: str = "train", factors: int = 4, iterations: int = 10, seed: int = 17
-) -> DataFrame:
-    """Second-order scores of both tasks from a factorisation machine."""
-    return _scored(vectors, FMClassifier(factorSize=factors, maxIter=iterations, seed=seed, stepSize=0.05), split)
+def factorisation_scores(processed: DataFrame, features: FeatureMap, split: str = "train", factors: int = 4, **settings) -> DataFrame:
+    """First- and second-order scores of both tasks from a factorisation machine over the fields."""
+    return _scored(processed, features, split, factors, **settings)

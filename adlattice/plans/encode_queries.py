@@ -149,7 +149,7 @@ WIDE_COLS = """row_id:i entity_id:t split:t y_ctr:i y_cvr:i y_ctcvr:i click_mask
 
 # Bags per (row, feature) in batches of 256 consecutive rows; every weight given, since two features use values.
 BAG_SQL = f"""
-    SELECT CAST(floor(pos / {BATCH}) AS BIGINT) AS batch, w.pos, w.y_ctr, w.y_cvr, v.* FROM (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM ({WIDE_SQL})) w, LATERAL (
+    SELECT CAST(floor(pos / {BATCH}) AS BIGINT) AS batch, w.pos, w.row_id, w.split, w.y_ctr, w.y_cvr, v.* FROM (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM ({WIDE_SQL})) w, LATERAL (
       SELECT 'f0_205' AS field, [f0_205_idx] AS ids, [CAST(1 AS DOUBLE)] AS weights
       UNION ALL SELECT 'f0_853', f0_853_ids, f0_853_vals
       UNION ALL SELECT 'f0_508', [f0_508_idx], [CAST(f0_508_val AS DOUBLE)]

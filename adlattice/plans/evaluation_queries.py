@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adlattice.functions import scalars
 from adlattice.operators import health, losses, metrics, runs, scorers
+from adlattice.plans.encode_queries import BAG_SQL
 from adlattice.plans.registry import Query
 from adlattice.plans.source_queries import LOG_SQL, log_path
 from adlattice.plans.views import FEATURES, Views
@@ -123,10 +124,6 @@ def q_deltas(v: Views) -> DataFrame:
     return runs.metric_deltas(best(v), pairs)
 
 
-def vectors(v: Views) -> DataFrame:
-    return scorers.feature_vectors(v.processed, FEATURES)
-
-
 def q_given_weights(v: Views) -> DataFrame:
     """Scores under weights that follow from the ids, so that the arithmetic can be checked."""
     valued = v.spec.select("name", "use_value")
@@ -137,7 +134,43 @@ def q_given_weights(v: Views) -> DataFrame:
     weights = lines.select("name", "idx").distinct().withColumns(
         {"w": (i % 101 - 50) / F.lit(100.0), "v": F.array((i * 7 % 23 - 11) / F.lit(50.0), (i * 3 % 19 - 9) / F.lit(50.0))}
     )
-    return scorers.given_scores(lines, weights, 2)
+    return scorers.given_scores(lines, weights, 2, len(list(FEATURES)))
+
+
+def scorer_sql(factors: int, passes: int = 2, batches: int = 2, rate: float = 0.1, reg: float = 1e-4) -> str:
+    """Both tasks fitted and scored step by step: one table of parameters for each step."""
+    ks, fields = range(factors), len(list(FEATURES))
+    each = lambda text: "".join(text.format(k=k) for k in ks)
+    init = "CASE WHEN name = '' THEN CAST(0 AS DOUBLE) ELSE (CAST(CAST('0x' || substr(md5('17:' || name || ':' || idx || ':{k}'), 1, 15) AS BIGINT) AS DOUBLE) / CAST(1152921504606846976 AS DOUBLE) - CAST(0.5 AS DOUBLE)) * CAST(0.2 AS DOUBLE) END"
+
+    def forward(lines: str, model: str) -> str:
+        fields_of = f"""SELECT l.row_id, l.name, l.idx, l.share, l.label, l.batch, coalesce(l.share * p.w, 0) AS a{each(", coalesce(l.share * p.v{k}, 0) AS o{k}")}
+            FROM {lines} l LEFT JOIN {model} p ON l.name = p.name AND l.idx = p.idx"""
+        sums = each(", sum(o{k}) OVER (PARTITION BY row_id) AS t{k}, sum(o{k}) OVER (PARTITION BY row_id, name) AS e{k}")
+        second = " + ".join([f"t{k} * t{k} - sum(o{k} * e{k}) OVER (PARTITION BY row_id)" for k in ks]) or "0"
+        return f"""SELECT *, first_order + ({second}) / 2 / CAST({fields} AS DOUBLE) AS logit FROM (
+            SELECT *, sum(a) OVER (PARTITION BY row_id) AS first_order{sums} FROM ({fields_of}))"""
+
+    parts = [
+        f"lines_all AS MATERIALIZED (SELECT row_id, split, y_ctr, y_cvr, field AS name, unnest(ids) AS idx, CAST(unnest(weights) AS DOUBLE) / len(ids) AS share, 0 AS label, row_id % {batches} AS batch "
+        f"FROM ({BAG_SQL}) UNION ALL SELECT row_id, split, y1, y2, '', 0, CAST(1 AS DOUBLE), 0, row_id % {batches} FROM split_fx)"
+    ]
+    for task, where in (("ctr", "split = 'train'"), ("cvr", "split = 'train' AND y_ctr = 1")):
+        parts.append(f"{task} AS MATERIALIZED (SELECT * REPLACE (CAST(y_{task} AS DOUBLE) AS label) FROM lines_all WHERE {where})")
+        zeros = each(", " + init + " AS v{k}, CAST(0 AS DOUBLE) AS sv{k}")
+        parts.append(f"{task}_p0 AS MATERIALIZED (SELECT name, idx, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS sw{zeros} FROM (SELECT DISTINCT name, idx FROM {task}))")
+        for step in range(passes * batches):
+            b, old, new = step % batches, f"{task}_p{step}", f"{task}_p{step + 1}"
+            err = "(1 / (1 + exp(-logit)) - label) * share"
+            grads = each(", sum(CASE WHEN name = '' THEN 0 ELSE " + err + " * (t{k} - e{k}) / " + str(fields) + " END) AS g{k}")
+            parts.append(f"{task}_g{step} AS MATERIALIZED (SELECT name, idx, sum({err}) AS gw{grads} FROM ({forward(f'(SELECT * FROM {task} WHERE batch = {b})', old)}) GROUP BY name, idx)")
+            n = f"(SELECT count(DISTINCT row_id) FROM {task} WHERE batch = {b})"
+            full = f"SELECT p.*, g.gw IS NOT NULL AS hit, g.gw / {n} + {reg} * w AS dw" + each(", g.g{k} / " + n + " + " + str(reg) + " * v{k} AS d{k}")
+            go = lambda at, s, d: f"CASE WHEN hit THEN {at} - {rate} * {d} / (sqrt({s} + {d} * {d}) + CAST(1e-8 AS DOUBLE)) ELSE {at} END AS {at}, CASE WHEN hit THEN {s} + {d} * {d} ELSE {s} END AS {s}"
+            moved = ", ".join([go("w", "sw", "dw"), *[go(f"v{k}", f"sv{k}", f"d{k}") for k in ks]])
+            parts.append(f"{new} AS MATERIALIZED (SELECT name, idx, {moved} FROM ({full} FROM {old} p LEFT JOIN {task}_g{step} g ON p.name = g.name AND p.idx = g.idx))")
+        parts.append(f"{task}_out AS (SELECT row_id, any_value(logit) AS {task}_logit FROM ({forward('lines_all', f'{task}_p{passes * batches}')}) GROUP BY row_id)")
+    return f"WITH {', '.join(parts)} SELECT s.row_id, s.entity_id, s.split, s.y1 AS y_ctr, s.y2 AS y_cvr, ctr_logit, cvr_logit FROM split_fx s JOIN ctr_out USING (row_id) JOIN cvr_out USING (row_id)"
 
 
 P = "1 / (1 + exp(-{x}))"
@@ -354,9 +387,9 @@ QUERIES = [
                run_id = (SELECT run_id FROM ({BOARD_LONG}) WHERE metric = 'auc_ctcvr' ORDER BY cost, run_id LIMIT 1) AS is_overall_best FROM ({BOARD_LONG})"""),
     Query("given_weight_scores", "R3 R4", "row_id:i first_order:r second_order:r", q_given_weights,
           """SELECT row_id, sum(s * (idx % 101 - 50) / 100.0) AS first_order,
-               (pow(sum(s * a), 2) - sum(pow(s * a, 2)) + pow(sum(s * b), 2) - sum(pow(s * b, 2))) / 2 AS second_order
-             FROM (SELECT row_id, idx, CASE WHEN use_value THEN val ELSE CAST(1 AS DOUBLE) END / count(*) OVER (PARTITION BY row_id, name) AS s,
-               (idx * 7 % 23 - 11) / CAST(50 AS DOUBLE) AS a, (idx * 3 % 19 - 9) / CAST(50 AS DOUBLE) AS b FROM encoded_fx) GROUP BY row_id"""),
-    Query("linear_scorer", "R3", "row_id:i entity_id:t split:t y_ctr:i y_cvr:i ctr_logit:r cvr_logit:r", lambda v: scorers.linear_scores(vectors(v))),
-    Query("factorisation_scorer", "R4", "row_id:i entity_id:t split:t y_ctr:i y_cvr:i ctr_logit:r cvr_logit:r", lambda v: scorers.factorisation_scores(vectors(v))),
+               (pow(sum(s * a), 2) - sum(s * a * ea) + pow(sum(s * b), 2) - sum(s * b * eb)) / 2 / 6 AS second_order
+             FROM (SELECT *, sum(s * a) OVER (PARTITION BY row_id, name) AS ea, sum(s * b) OVER (PARTITION BY row_id, name) AS eb FROM (SELECT row_id, name, idx, CASE WHEN use_value THEN val ELSE CAST(1 AS DOUBLE) END / count(*) OVER (PARTITION BY row_id, name) AS s,
+               (idx * 7 % 23 - 11) / CAST(50 AS DOUBLE) AS a, (idx * 3 % 19 - 9) / CAST(50 AS DOUBLE) AS b FROM encoded_fx)) GROUP BY row_id"""),
+    Query("linear_scorer", "R3", "row_id:i entity_id:t split:t y_ctr:i y_cvr:i ctr_logit:r cvr_logit:r", lambda v: scorers.linear_scores(v.processed, FEATURES), scorer_sql(0)),
+    Query("factorisation_scorer", "R4", "row_id:i entity_id:t split:t y_ctr:i y_cvr:i ctr_logit:r cvr_logit:r", lambda v: scorers.factorisation_scores(v.processed, FEATURES, factors=2), scorer_sql(2)),
 ]

@@ -87,6 +87,30 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def colocated(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """Write ``df`` once as a table bucketed by ``keys``, sorted by them, in the shared folder.
+
+    Joins, aggregations and windows by these keys on what is returned need no shuffle of it. The
+    buckets follow the bytes read. The layout belongs to the session; the files are plain Parquet.
+    """
+    spark = df.sparkSession
+    parts = parts or partitions_for(df) or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, "colocated")
+    name = "colocated_" + path.rsplit("-", 1)[1]
+    df.repartition(parts, *keys).write.bucketBy(parts, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``durable`` or ``colocated`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    home = shared_dir(spark).rstrip("/")
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if home.split("://")[-1].lstrip("/") in path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def partitions_for(df: DataFrame, input_bytes: int = PARTITION_INPUT) -> int | None:
     """Range partitions by the bytes of the tables that ``df`` reads.
 

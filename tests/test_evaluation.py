@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from adlattice.functions import scalars
 from adlattice.operators import health, losses, metrics, runs, scorers
+from adlattice.session import colocated, durable
 from adlattice.sources import logs
 from adlattice.spec import Feature, FeatureMap
 
@@ -169,12 +170,104 @@ def test_evaluation_summary_per_group(spark):
 def test_given_scores(spark):
     lines = spark.createDataFrame([(1, "a", 5, 1.0), (1, "b", 5, 2.0), (1, "b", 6, 4.0), (2, "a", 9, 1.0)], "row_id long, name string, idx long, weight double")
     weights = spark.createDataFrame([("a", 5, 0.5, [1.0, 2.0]), ("b", 5, -1.0, [3.0, 0.0]), ("b", 6, 2.0, [0.0, 1.0])], "name string, idx long, w double, v array<double>")
-    got = {r["row_id"]: (r["first_order"], r["second_order"]) for r in scorers.given_scores(lines, weights, 2).collect()}
-    # Shares 1, 1 and 2; the second order is the sum over pairs of the products of scaled vectors.
-    assert got[1] == pytest.approx((0.5 - 1.0 + 4.0, 3.0 + 4.0 + 0.0))
+    got = {r["row_id"]: (r["first_order"], r["second_order"]) for r in scorers.given_scores(lines, weights, 2, 4).collect()}
+    # Shares 1, 1 and 2: field a is (1, 2), field b is (3, 2); their product over the four features. Ids of one field don't meet.
+    assert got[1] == pytest.approx((0.5 - 1.0 + 4.0, (3.0 + 4.0) / 4))
     assert got[2] == (0.0, 0.0)
 
 
+SCORED = FeatureMap(
+    (
+        Feature("a", 0, "hash", hash_bucket=9),
+        Feature("b", 0, "hash", hash_bucket=9, multi_hot=True, max_len=3, pooling="sum_sqrtn", use_value=True),
+        Feature("c", 1, "hash", hash_bucket=9, multi_hot=True, max_len=2, pooling="sum_sqrtn"),
+    )
+)
+
+
+def encoded_rows(n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        b = [rng.randrange(6) for _ in range(rng.randrange(5))]
+        c = [rng.randrange(4) for _ in range(1 + rng.randrange(3))]
+        click = int(rng.random() < 0.5)
+        split = "train" if i % 4 else "valid"
+        rows.append((i, f"e{i}", click, click * (i % 2), 0, click, split, rng.choice([1, 1, 1, 2, 7]), b, [round(rng.random(), 2) for _ in b], c))
+    return rows
+
+
+ENCODED = "row_id long, entity_id string, y_ctr int, y_cvr int, y_ctcvr int, click_mask int, split string, f0_a_idx long, f0_b_idx array<long>, f0_b_val array<float>, f1_c_idx array<long>"
+
+
+def numpy_fit(rows, label, factors, passes, batches, rate, reg):
+    """The same steps, row by row and id by id."""
+    import hashlib
+
+    def bag(r):
+        b = list(zip(r[8], [float(np.float32(x)) for x in r[9]]))[:3]
+        c = [(i, 1.0) for i in r[10]][:2]
+        return {"": [(0, 1.0)], "f0_a": [(r[7], 1.0)], "f0_b": [(i, x / len(b)) for i, x in b], "f1_c": [(i, 1.0 / len(c)) for i, _ in c]}
+
+    def start(name, i):
+        draw = lambda k: int(hashlib.md5(f"17:{name}:{i}:{k}".encode()).hexdigest()[:15], 16) / 2**60
+        v = [0.0 if name == "" else (draw(k) - 0.5) * 0.2 for k in range(factors)]
+        return np.array([0.0, *v]), np.zeros(1 + factors)
+
+    def forward(r, model):
+        fields = {n: sum([s * model.get((n, i), (np.zeros(1 + factors),))[0] for i, s in own], np.zeros(1 + factors)) for n, own in bag(r).items()}
+        total = sum(fields.values())
+        second = (total[1:] @ total[1:] - sum(e[1:] @ e[1:] for e in fields.values())) / 2 / 3
+        return fields, total, total[0] + second
+
+    model = {(n, i): start(n, i) for r in rows for n, own in bag(r).items() for i, _ in own}
+    for _ in range(passes):
+        for b in range(batches):
+            own, grad = [r for r in rows if r[0] % batches == b], {}
+            for r in own:
+                fields, total, logit = forward(r, model)
+                err = 1 / (1 + np.exp(-logit)) - r[label]
+                for n, ids in bag(r).items():
+                    rest = np.zeros(factors) if n == "" else (total[1:] - fields[n][1:]) / 3
+                    for i, s in ids:
+                        grad[n, i] = grad.get((n, i), 0) + err * s * np.concatenate(([1.0], rest))
+            for key, g in grad.items():
+                at, square = model[key]
+                g = g / len(own) + reg * at
+                square = square + g * g
+                model[key] = at - rate * g / (np.sqrt(square) + 1e-8), square
+    return model, lambda r: forward(r, model)[2]
+
+
+@pytest.mark.parametrize("factors,passes,batches", [(0, 3, 1), (3, 2, 2)])
+def test_fit_equals_numpy(spark, factors, passes, batches):
+    rows = encoded_rows(60, factors)
+    df = spark.createDataFrame(rows, ENCODED)
+    settings = dict(passes=passes, batches=batches, rate=0.2, reg=0.01)
+    train = [r for r in rows if r[6] == "train"]
+    model, _ = numpy_fit(train, 2, factors, **settings)
+    lines = scorers.bag_lines(df.where("split = 'train'"), SCORED, F.col("y_ctr").alias("label"))
+    got = {(r["name"], r["idx"]): [r["w"], *r["v"]] for r in scorers.fit(lines, factors, 3, **settings).collect()}
+    assert got.keys() == model.keys()
+    for key, (at, _) in model.items():
+        assert got[key] == pytest.approx(at.tolist(), abs=1e-9)
+    whole = scorers.linear_scores(df, SCORED, **settings) if not factors else scorers.factorisation_scores(df, SCORED, factors=factors, **settings)
+    _, ctr = numpy_fit(train, 2, factors, **settings)
+    _, cvr = numpy_fit([r for r in train if r[5]], 3, factors, **settings)
+    logits = {r["row_id"]: (r["ctr_logit"], r["cvr_logit"]) for r in whole.collect()}
+    assert logits.keys() == {r[0] for r in rows}
+    for r in rows:
+        assert logits[r[0]] == pytest.approx((ctr(r), cvr(r)), abs=1e-9)
+
+
+def test_a_step_moves_no_lines(spark):
+    lines = scorers.bag_lines(spark.createDataFrame(encoded_rows(40, 1), ENCODED), SCORED, F.col("y_ctr").cast("double").alias("label"))
+    rows = colocated(lines, ["row_id"])
+    parameters = durable(scorers.initial_parameters(rows.select("name", "idx").distinct(), 2))
+    plan = scorers._gradients(rows, parameters, 2, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row_id" not in plan and "hashpartitioning(name" in plan
+
+
 def test_ema_matches_the_recursion(spark):
     rng = random.Random(1)
     rows = [(g, i, rng.randrange(2)) for g in "ab" for i in range(200 if g == "a" else 3)]
@@ -259,12 +352,3 @@ def test_best_record_of_a_step_logged_twice(spark, tmp_path):
     known = spark.createDataFrame([("known", 2)], "run_id string, best_step long")
     got = {r["run_id"]: (r["source"], r["best_step"], r["auc_ctcvr"]) for r in runs.best_records(log, known).collect()}
     assert got == {"known": ("known", 2, 0.2), "decided": ("decision", 1, 0.5), "last": ("last", 2, 0.95)}
-
-
-def test_sparse_vectors_without_python(spark):
-    feats = FeatureMap((Feature("a", 0, "hash", hash_bucket=9), Feature("b", 0, "hash", hash_bucket=9, multi_hot=True, max_len=3, pooling="sum_sqrtn")))
-    rows = [(0, "e", 1, 1, 1, 1, "train", 5, [7, 8]), (1, "e", 0, 0, 0, 0, "train", 3, [7, 7]), (2, "e", 0, 0, 0, 0, "valid", 6, [])]
-    df = spark.createDataFrame(rows, "row_id long, entity_id string, y_ctr int, y_cvr int, y_ctcvr int, click_mask int, split string, f0_a_idx long, f0_b_idx array<long>")
-    got = {r["row_id"]: r["features"] for r in scorers.feature_vectors(df, feats).collect()}
-    # Slots in (name, id) order of the training rows: a 3, a 5, b 7, b 8.
-    assert {k: v.toArray().tolist() for k, v in got.items()} == {0: [0, 1, 0.5, 0.5], 1: [1, 0, 1, 0], 2: [0, 0, 0, 0]}

@@ -36,8 +36,7 @@ def test_raw_log_to_evaluation(spark, tmp_path):
     assert report.where("max_idx >= total_rows").count() == 0
     processed = spark.read.parquet(out.path("processed"))
     assert processed.count() == 1500
-    vectors = scorers.feature_vectors(processed, FEATURES)
-    scored = scorers.linear_scores(vectors, iterations=5)
+    scored = scorers.linear_scores(processed, FEATURES, passes=5, batches=1)
     assert scored.count() == 1500 and scored.where("ctr_logit IS NULL OR cvr_logit IS NULL").count() == 0
     summary = stages.evaluate(scored, out).first()
     assert summary["ctr_auc"] > 0.6 and summary["n"] == 1500
