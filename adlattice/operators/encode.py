@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from adlattice.functions.hashing import token_bucket, token_bucket_blake2b
 from adlattice.operators.tokens import default_src, guard_values
 from adlattice.operators.vocab import look_up_ranks
+from adlattice.session import placed_by
 from adlattice.spec import HASH_OFFSET, HASH_SEED, MISSING_ID, OOV_ID, UNKNOWN_RANK, Feature, FeatureMap
 
 BAG = ["row_id", "src", "field"]
@@ -32,12 +33,12 @@ def derive_labels(samples: DataFrame) -> DataFrame:
 def prepare_bags(tokens: DataFrame, spec: DataFrame, ranks: DataFrame) -> DataFrame:
     """Clean, ranked, duplicate-free tokens of the features in ``spec``.
 
-    The rank lookup comes first; after it the tokens are partitioned by row_id once, and merging,
-    selection, pivot and the join to the samples all work inside that partitioning.
+    The rank lookup comes first; after it the tokens are partitioned by row_id once, unless they lie so, and
+    merging, selection, pivot and the join to the samples all work inside that partitioning.
     """
     keys = F.broadcast(spec.select("src", "field"))
     wanted = guard_values(default_src(tokens)).join(keys, ["src", "field"], "left_semi")
-    ranked = look_up_ranks(wanted, ranks).repartition("row_id")
+    ranked = placed_by(look_up_ranks(wanted, ranks), ["row_id"])
     return ranked.groupBy(*BAG, "fid").agg(
         F.max("val").alias("val"),
         F.min("rank").alias("rank"),

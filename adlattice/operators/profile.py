@@ -11,6 +11,7 @@ from adlattice.operators.joins import lookup_join
 from adlattice.operators.ordered import count_quantiles
 from adlattice.operators.split import label_rates
 from adlattice.operators.tokens import FIELD_KEY, token_counts
+from adlattice.session import lies_by
 
 # Left edges of the tokens-per-row histogram.
 NNZ_EDGES = [0, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000, 20000]
@@ -95,14 +96,14 @@ def row_length_histogram(tokens: DataFrame, edges: list[int] = NNZ_EDGES) -> Dat
 def field_stats(tokens: DataFrame, n_samples: DataFrame, exact: bool = True) -> DataFrame:
     """Per (field, src): volume, coverage, bag size, distinct fids, value range, duplicate rate.
 
-    ``n_samples`` is a one-row frame. Exact mode lays the tokens out by (field, src, row_id) once,
-    so that row coverage and duplicates need no further shuffle; distinct fids come from the
-    pre-aggregated counts. ``exact=False`` takes sketches in a single aggregation.
+    ``n_samples`` is a one-row frame. Exact mode lays the tokens out by (field, src, row_id) once, or
+    leaves them where they lie by row_id, so that row coverage and duplicates need no further shuffle; distinct
+    fids come from the pre-aggregated counts. ``exact=False`` takes sketches in a single aggregation.
     """
     val = F.col("val").cast("double")
     if exact:
         cells = (
-            tokens.repartition("field", "src", "row_id")
+            (tokens if lies_by(tokens, ["row_id"]) else tokens.repartition("field", "src", "row_id"))
             .groupBy("field", "src", "row_id", "fid")
             .agg(
                 F.count(F.lit(1)).alias("n"),

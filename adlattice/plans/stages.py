@@ -16,7 +16,7 @@ from adlattice.operators import encode, metrics, quality, shape, vocab
 from adlattice.operators import profile as pf
 from adlattice.operators import split as sp
 from adlattice.operators import tokens as tk
-from adlattice.session import partitions_for
+from adlattice.session import partitions_for, placed_by, read_colocated
 from adlattice.sources import raw, sinks
 from adlattice.spec import FeatureMap
 
@@ -57,21 +57,23 @@ def canonical(
 def split(spark: SparkSession, out: Layout, ratios: Mapping[str, float], seed: int, overwrite: bool = False) -> DataFrame:
     """Samples and tokens by entity-disjoint split; returns the token reconciliation."""
     assigned = sp.assign_split(spark.read.parquet(out.path("samples")), ratios, seed)
-    mode = sinks.save_mode(overwrite)
-    assigned.write.partitionBy("split").mode(mode).parquet(out.path("split_samples"))
-    samples = spark.read.parquet(out.path("split_samples"))
-    _write(sp.split_stats(samples), out.path("split_stats"), overwrite)
     tokens = spark.read.parquet(out.path("tokens"))
-    placed = sp.split_tokens(tokens, samples)
-    parts = partitions_for(placed)
-    ranged = placed.repartitionByRange(parts, "split", "row_id") if parts else placed.repartitionByRange("split", "row_id")
-    ranged.sortWithinPartitions("split", "row_id").write.partitionBy("split").mode(mode).parquet(out.path("split_tokens"))
+    parts = partitions_for(tokens) or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    samples = sinks.write_colocated(assigned, out.path("split_samples"), parts, ("split",), overwrite)
+    _write(sp.split_stats(samples), out.path("split_stats"), overwrite)
+    # The tokens move once, into the buckets that the samples lie in; later stages move neither.
+    placed = sp.split_tokens(placed_by(tokens, ["row_id"], parts), samples)
+    sinks.write_colocated(placed, out.path("split_tokens"), parts, ("split",), overwrite)
     return _write(sp.reconcile_split(tokens, spark.read.parquet(out.path("split_tokens"))), out.path("split_tokens_manifest"), overwrite)
 
 
 def _side(spark: SparkSession, out: Layout, name: str, which: str) -> DataFrame:
     """One split of a partitioned table; the filter prunes the folders of the others."""
-    return spark.read.parquet(out.path(name)).where(F.col("split") == which).drop("split")
+    return read_colocated(spark, out.path(name)).where(F.col("split") == which).drop("split")
+
+
+def _buckets(spark: SparkSession, out: Layout, name: str) -> int:
+    return spark.read.json(f"{out.path(name)}.layout").first()["parts"]
 
 
 def explore(spark: SparkSession, out: Layout, top_k: int = 200, min_support: int = 20, overwrite: bool = False) -> None:
@@ -122,13 +124,14 @@ def advise(spark: SparkSession, out: Layout, existing: FeatureMap, overwrite: bo
 
 def process(spark: SparkSession, out: Layout, features: FeatureMap, blake2b: bool = False, overwrite: bool = False) -> DataFrame:
     """Encoded wide table of both splits with the training vocabulary; returns its feature report."""
-    samples = spark.read.parquet(out.path("split_samples"))
-    tokens = spark.read.parquet(out.path("split_tokens")).drop("split")
+    samples = read_colocated(spark, out.path("split_samples"))
+    tokens = read_colocated(spark, out.path("split_tokens")).drop("split")
     spec = features.table(spark)
     train = _side(spark, out, "split_tokens", "train")
     counts = tk.token_counts(train.join(F.broadcast(spec.select("src", "field")), ["src", "field"], "left_semi"))
     ranks = _write(vocab.frequency_ranks(counts), out.path("ranks"), overwrite)
-    encoded = _write(encode.check_bounds(encode.encode_tokens(tokens, spec, ranks, blake2b)), out.path("encoded"), overwrite)
+    lines = encode.check_bounds(encode.encode_tokens(tokens, spec, ranks, blake2b))
+    encoded = sinks.write_colocated(lines, out.path("encoded"), _buckets(spark, out, "split_samples"), overwrite=overwrite)
     _write(encode.encoding_rates(encode.encoding_stats(encoded, spec, _rows(samples))), out.path("encoding_rates"), overwrite)
     sinks.write_processed(encode.assemble(samples, encoded, features), out.path("processed"), overwrite)
     processed = spark.read.parquet(out.path("processed"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Compressed input per range partition; what it grows to in memory still fits a task.
 PARTITION_INPUT = 96 << 20
@@ -87,17 +90,62 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def colocated(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
-    """Write ``df`` once as a table bucketed by ``keys``, sorted by them, in the shared folder.
+def lies_by(df: DataFrame, keys: list[str], parts: int | None = None) -> bool:
+    """Whether the rows are hash-partitioned by exactly these columns already (into ``parts``, if given).
 
-    Joins, aggregations and windows by these keys on what is returned need no shuffle of it. The
-    buckets follow the bytes read. The layout belongs to the session; the files are plain Parquet.
+    Asked from the plan of an aggregation by them, which shuffles if they aren't.
+    """
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan()
+    asked = plan(df.groupBy(*keys).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_row")))
+    first = asked.initialPlan() if asked.nodeName() == "AdaptiveSparkPlan" else asked
+    found = re.fullmatch(r"hashpartitioning\((.*), (\d+)\)", first.outputPartitioning().toString())
+    if not found or asked.toString().count("Exchange ") > plan(df).toString().count("Exchange "):
+        return False
+    names = [re.sub(r"#\d+L?$", "", c.strip()) for c in found[1].split(",")]
+    return names == list(keys) and parts in (None, int(found[2]))
+
+
+def placed_by(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` hash-partitioned by the columns; rows that lie so already, as in a bucketed table, aren't moved."""
+    if lies_by(df, keys, parts):
+        return df
+    return df.repartition(parts, *keys) if parts else df.repartition(*keys)
+
+
+def colocated(df: DataFrame, keys: list[str], path: str | None = None, parts: int | None = None, folders: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once as a table bucketed by ``keys``, sorted by them, in the shared folder or ``path``.
+
+    Joins, aggregations and windows by these keys on what is returned need no shuffle of it, nor of another table with as many
+    buckets. The number of buckets follows the bytes read. ``folders`` are columns that divide the files. The files are plain Parquet;
+    a note beside them lets ``read_colocated`` find the layout in another session.
     """
     spark = df.sparkSession
     parts = parts or partitions_for(df) or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = fresh_path(spark, "colocated")
-    name = "colocated_" + path.rsplit("-", 1)[1]
-    df.repartition(parts, *keys).write.bucketBy(parts, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    path = path or fresh_path(spark, "colocated")
+    writer = placed_by(df, keys, parts).write.bucketBy(parts, *keys).sortBy(*keys).option("path", path)
+    if folders:
+        writer = writer.partitionBy(*folders)
+    writer.saveAsTable(f"colocated_{uuid.uuid4().hex}")
+    note = [(parts, ",".join(keys), ",".join(folders))]
+    spark.createDataFrame(note, "parts int, keys string, folders string").coalesce(1).write.mode("overwrite").json(f"{path}.layout")
+    return read_colocated(spark, path)
+
+
+def read_colocated(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``colocated`` wrote, with its layout."""
+    note = spark.read.schema("parts int, keys string, folders string").json(f"{path}.layout").first()
+    folders = [c for c in note["folders"].split(",") if c]
+    fields = spark.read.parquet(path).schema
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    name = f"colocated_{uuid.uuid4().hex}"
+    divided = f"PARTITIONED BY ({', '.join(folders)})" if folders else ""
+    keys = note["keys"].replace(",", ", ")
+    where = path.replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet {divided} CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {note['parts']} BUCKETS LOCATION '{where}'"
+    )
+    if folders:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
     return spark.table(name)
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlattice.session import partitions_for
+from adlattice.session import colocated, partitions_for, read_colocated
 
 SAMPLE_COLUMNS = {
     "row_id": "long",
@@ -104,6 +104,19 @@ def merge_parquet(spark: SparkSession, source: str, target: str, parts: int) ->
     return after
 
 
+def write_colocated(df: DataFrame, path: str, parts: int | None = None, folders: tuple[str, ...] = (), overwrite: bool = False) -> DataFrame:
+    """Rows in buckets of row_id; tables with as many buckets are joined by row_id without moving a row."""
+    spark = df.sparkSession
+    note = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.layout")
+    files = note.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(note):
+        if not overwrite:
+            return read_colocated(spark, path)
+        for old in (note, note.getParent().suffix(f"/{path.rstrip('/').rsplit('/', 1)[1]}")):
+            files.delete(old, True)
+    return colocated(df, ["row_id"], path, parts, folders)
+
+
 def write_processed(processed: DataFrame, path: str, overwrite: bool = False) -> None:
     """Encoded rows in one folder per split."""
     processed.write.partitionBy("split").mode(save_mode(overwrite)).parquet(path)

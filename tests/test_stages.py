@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from adlattice.operators import scorers
+from adlattice.operators import encode, profile, scorers
+from adlattice.operators import split as sp
 from adlattice.plans import source_queries as sq
 from adlattice.plans import stages
 from adlattice.plans.catalog import QUERIES
 from adlattice.plans.views import FEATURES, Views
+from adlattice.session import read_colocated
 from adlattice.spec import default_feature_map
 from tools.check_oracle import TABLES, rows_of
 
@@ -22,6 +24,12 @@ CHECKED = [
 ]
 
 
+def moved_by_row(df):
+    """Whether a shuffle deals rows out by row_id."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return any("row_id" in line and "hashpartitioning" in line for line in plan.splitlines())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 def test_raw_log_to_evaluation(spark, tmp_path):
     v = Views(spark, SF)
@@ -36,6 +44,14 @@ def test_raw_log_to_evaluation(spark, tmp_path):
     assert report.where("max_idx >= total_rows").count() == 0
     processed = spark.read.parquet(out.path("processed"))
     assert processed.count() == 1500
+    samples, tokens = (read_colocated(spark, out.path(f"split_{name}")) for name in ("samples", "tokens"))
+    assert not moved_by_row(sp.split_tokens(tokens.drop("split"), samples))
+    spec, ranks = FEATURES.table(spark), spark.read.parquet(out.path("ranks"))
+    lines = encode.encode_tokens(tokens.drop("split"), spec, ranks)
+    assert not moved_by_row(lines)
+    assert not moved_by_row(encode.assemble(samples, read_colocated(spark, out.path("encoded")), FEATURES))
+    assert not moved_by_row(profile.row_lengths(tokens)) and not moved_by_row(profile.field_stats(tokens, samples.agg(F.count(F.lit(1)))))
+    assert moved_by_row(profile.row_lengths(spark.read.parquet(out.path("tokens"))))
     scored = scorers.linear_scores(processed, FEATURES, passes=5, batches=1)
     assert scored.count() == 1500 and scored.where("ctr_logit IS NULL OR cvr_logit IS NULL").count() == 0
     summary = stages.evaluate(scored, out).first()
