@@ -107,8 +107,7 @@ def q_pad(v: Views) -> DataFrame:
 
 
 def q_offsets(v: Views) -> DataFrame:
-    lines = packing.bags(packing.number_batches(v.processed, BATCH), FEATURES)
-    return packing.with_offsets(lines).withColumnRenamed("offset", "bag_offset")
+    return packing.bag_offsets(v.processed, FEATURES, BATCH).withColumnRenamed("offset", "bag_offset")
 
 
 def q_pack(v: Views) -> DataFrame:

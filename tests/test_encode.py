@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from adlattice.functions.hashing import token_bucket, token_bucket_blake2b
 from adlattice.operators import encode, packing, quality, sampling, vocab
 from adlattice.operators.tokens import token_counts
+from adlattice.session import durable
 from adlattice.spec import Feature, FeatureMap, Selection, default_feature_map, feature_map_from
 
 TOKENS = "row_id long, src tinyint, field string, fid string, val float"
@@ -191,6 +192,57 @@ def test_padding(spark):
     assert (got[1]["weights"], got[1]["length"]) == ([1.0, 0.0], 1)
 
 
+def plain_packs(rows, size, width=3):
+    """Batches of sorted rows, packed one by one."""
+    out = {}
+    for b in range(0, len(rows), size):
+        own = [r for r in sorted(rows)[b : b + size] if not (r[2] <= 0 and r[3] > 0)]
+        if own:
+            out[b // size, "f0_a"] = ([r[5] for r in own], list(range(len(own))), [1.0] * len(own))
+            starts = [sum(len(r[6][:width]) for r in own[:k]) for k in range(len(own))]
+            out[b // size, "f0_b"] = ([i for r in own for i in r[6][:width]], starts, [x for r in own for x in r[7][:width]])
+    return out
+
+
+@pytest.mark.parametrize("size,ids", [(7, "dense"), (7, "gaps"), (500, "gaps"), (1, "dense"), (40, "clustered"), (1000, "far")])
+def test_batches_across_parts(spark, size, ids):
+    r = random.Random(size)
+    n = 900
+    pool = {"dense": range(n), "gaps": range(5, 40 * n), "clustered": [*range(n - 1), 10**12], "far": range(-(10**15), 10**15, 10**9)}[ids]
+    rows = []
+    for i in pool if len(pool) == n else r.sample(pool, n):
+        bag = [r.randrange(50) for _ in range(r.randrange(6))]
+        rows.append((i, "e", r.randrange(2), int(r.random() < 0.3), 1, r.randrange(99), bag, [r.randrange(8) / 8 for _ in bag]))
+    df = processed(spark, r.sample(rows, n)).repartition(5)
+    got = {(x["batch"], x["field"]): (x["indices"], x["offsets"], x["weights"]) for x in packing.pack_bags(df, PACK, size).collect()}
+    assert got == plain_packs(rows, size)
+    lines = packing.pad_batches(df, PACK, size).collect()
+    assert sorted(x["pos"] for x in lines) == list(range(n)) and all(x["batch"] == x["pos"] // size for x in lines)
+    assert [x["ids"][: x["length"]] for x in sorted(lines, key=lambda x: x["pos"])] == [x[6][:3] for x in sorted(rows)]
+
+
+def test_batches_of_no_rows_and_one_shuffle(spark):
+    empty = processed(spark, [])
+    assert packing.pack_bags(empty, PACK, 3).collect() == packing.pad_batches(empty, PACK, 3).collect() == []
+    df = durable(processed(spark, [(i, "e", 1, 0, 1, 5, [i], [1.0]) for i in range(50)]))
+    plan = packing.pack_bags(df, PACK, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("rangepartitioning") == 0
+
+
+def test_dealt_bins():
+    bins = [(0, 5), (1, 1), (4, 9), (5, 2), (9, 3)]
+    dealt = packing.deal_bins(bins, 3, 4)
+    # Two parts of 15 and 5 rows; the first takes along what its batch of rows 12 to 15 needs.
+    assert [(b, p) for b, p, _, _ in dealt if p == 0][:3] == [(0, 0), (1, 0), (4, 0)]
+    own = {}
+    for b, p, start, stop in dealt:
+        own.setdefault(p, (start, stop, []))[2].append(b)
+    counts = dict(bins)
+    for start, stop, mine in own.values():
+        held = start + sum(counts[b] for b in mine)
+        assert held >= min(20, -(-stop // 4) * 4)
+
+
 def test_funnel_rules(spark):
     df = spark.createDataFrame([(0, 1, 1), (1, 0, 1), (2, 0, 0)], "row_id long, y_ctr tinyint, y_cvr tinyint")
     fixed = {r["row_id"]: r for r in quality.coerce_funnel(df).collect()}

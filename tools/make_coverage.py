@@ -33,7 +33,7 @@ WHERE = {
     "D34": "operators.split.label_priors", "D35": "operators.vocab.frequency_ranks",
     "E1": "operators.vocab.frequency_ranks", "E2": "operators.vocab.vocab_table", "E3": "operators.encode.select_tokens", "E4": "operators.encode.select_tokens",
     "E5": "operators.encode.select_tokens", "E6": "operators.encode.select_tokens", "E7": "operators.encode.select_tokens", "E8": "operators.encode.select_tokens",
-    "E9": "operators.packing.with_offsets", "E10": "operators.profile.largest_gaps, lowest_overlap", "E11": "operators.runs.running_best", "E12": "operators.runs.smoothed",
+    "E9": "operators.packing.bag_offsets", "E10": "operators.profile.largest_gaps, lowest_overlap", "E11": "operators.runs.running_best", "E12": "operators.runs.smoothed",
     "E13": "operators.runs.gated_best", "E14": "operators.health.ema",
     "F1": "sources.sinks.write_tokens", "F2": "operators.tokens.tokens_of_rows", "F3": "operators.shape.top_fields", "G1": "operators.profile.labelled_top_tokens",
     "G2": "operators.profile.key_sets", "G3": "DataFrame.unionByName over sources.sinks parts",
