@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from adlattice.operators.joins import checked_broadcast
+from adlattice.operators.joins import fits_broadcast
 from adlattice.session import durable, partitions_for
 
 PID, POS = "_layout_part", "_layout_pos"
@@ -45,13 +45,25 @@ def lay_out(
 def _attach(rows: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Null-safe equi join of a totals table back to the rows.
 
-    The totals are counted first: short ones are broadcast, so the rows stay where they are.
+    The totals are counted first: short ones are broadcast, so the rows stay where they are. Beyond that, totals of whole
+    groups are repeated for every partition of the group, so that a large group isn't joined in one task.
     """
-    renamed = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], *[c for c in totals.columns if c not in keys])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    return rows.join(checked_broadcast(renamed), cond, "inner").drop(*[f"_t_{k}" for k in keys])
+    named = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], *[c for c in totals.columns if c not in keys])
+    kept = durable(named)
+
+    def matched(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+        cond = F.lit(True)
+        for k in by:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+        return left.join(right, cond, "inner")
+
+    if fits_broadcast(kept):
+        return matched(rows, F.broadcast(kept), keys).drop(*kept.columns[: len(keys)])
+    if PID in keys:
+        return matched(rows, kept, keys).drop(*kept.columns[: len(keys)])
+    parts = matched(rows.select(*keys, PID).distinct(), kept, keys).drop(*keys).withColumnRenamed(PID, f"_t_{PID}")
+    by = [*keys, PID]
+    return matched(rows, parts, by).drop(*[f"_t_{k}" for k in by])
 
 
 def _before(group: Sequence[str]):
@@ -140,11 +152,35 @@ def value_quantiles(
     (value, count) and cumulated over range partitions.
     """
     hist = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    if group:
+        return counted_quantiles(cumulated(hist, group, value, {"n": "_n"}, partitions), group, value, probs, "_n", "below_n", "total_n")
     laid = lay_out(hist, group, [value], partitions)
     totals = laid.groupBy(*group).agg(F.sum("_n").alias("_total"))
     below = _run(laid, group, {"_below": ("sum", "_n")}, inclusive=False)
-    whole = _attach(below, totals, group) if group else below.withColumn("_total", totals.scalar())
-    return _pick(whole, group, value, probs)
+    return _pick(below.withColumn("_total", totals.scalar()), group, value, probs)
+
+
+def cumulated(
+    df: DataFrame, group: Sequence[str], value: str, counts: Mapping[str, str], partitions: int | None = None
+) -> DataFrame:
+    """Rows of a histogram (group, value, counts) with the counts of smaller values and of the whole group.
+
+    ``counts = {name: column}`` gives ``below_<name>`` and ``total_<name>``.
+    """
+    laid = lay_out(df, group, [value], partitions)
+    totals = laid.groupBy(*group).agg(*[F.sum(c).alias(f"total_{name}") for name, c in counts.items()])
+    below = _run(laid, group, {f"below_{name}": ("sum", c) for name, c in counts.items()}, inclusive=False)
+    return _attach(below, totals, group).drop(PID, POS)
+
+
+def counted_quantiles(
+    rows: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float], count: str, below: str, total: str
+) -> DataFrame:
+    """Exact interpolated quantiles from a cumulated histogram; values that don't occur have no part in them."""
+    named = rows.where(F.col(count) > 0).select(
+        *group, value, F.col(count).alias("_n"), F.col(below).alias("_below"), F.col(total).alias("_total")
+    )
+    return _pick(named, group, value, probs)
 
 
 def count_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from adlattice.functions.scalars import is_finite
 from adlattice.operators.joins import lookup_join
-from adlattice.operators.ordered import count_quantiles, value_quantiles
+from adlattice.operators.ordered import count_quantiles, counted_quantiles, cumulated
 from adlattice.operators.tokens import FIELD_KEY
+from adlattice.session import durable
 
 # Fixed values.
 MULTI_HOT_NNZ = 1.5
@@ -107,29 +108,51 @@ def bucket_advice(shares: DataFrame, curve: DataFrame) -> DataFrame:
     )
 
 
-def finite_values(tokens: DataFrame, fields: DataFrame) -> DataFrame:
-    values = tokens.select("row_id", *FIELD_KEY, F.col("val").cast("double").alias("val"))
-    return lookup_join(values.where(is_finite(F.col("val"))), fields, FIELD_KEY, "left_semi")
+def value_cube(tokens: DataFrame, train: str = "train", valid: str = "valid") -> DataFrame:
+    """(field, src, val) with the number of tokens on both sides (a, b), of smaller finite ones (below_a, below_b) and of all finite
+    ones (total_a, total_b).
 
+    ``tokens`` carry their split. They are read once and collapse to one row per value before any of them move; edges, bins,
+    drift and profiles follow from this table.
+    """
+    side = lambda s: F.count_if(F.col("split") == s)
+    val = F.col("val").cast("double").alias("val")
+    counts = tokens.where(F.col("split").isin(train, valid)).groupBy(*FIELD_KEY, val).agg(side(train).alias("a"), side(valid).alias("b"))
+    finite = lambda c: F.when(is_finite(F.col("val")), F.col(c)).otherwise(0)
+    kept = durable(counts).withColumns({"_fa": finite("a"), "_fb": finite("b")})
+    return durable(cumulated(kept, FIELD_KEY, "val", {"a": "_fa", "b": "_fb"}).drop("_fa", "_fb"))
 
-def decile_edges(tokens: DataFrame, fields: DataFrame) -> DataFrame:
-    """Distinct inner deciles of the finite values per field, ascending; all fields in one job."""
+
+def both_sides(train: DataFrame, valid: DataFrame) -> DataFrame:
+    part = lambda df, s: df.select(*FIELD_KEY, "val", F.lit(s).alias("split"))
+    return part(train, "train").unionByName(part(valid, "valid"))
+
+
+def cube_fields(cube: DataFrame) -> DataFrame:
+    """Fields with a value other than 1 on the training side."""
+    return cube.where((F.col("val") != 1.0) & (F.col("a") > 0)).select(*FIELD_KEY).distinct()
+
+
+def _quantiles(cube: DataFrame, side: str, probs: dict[str, float]) -> DataFrame:
+    return counted_quantiles(cube.where(is_finite(F.col("val"))), FIELD_KEY, "val", probs, side, f"below_{side}", f"total_{side}")
+
+
+def cube_edges(cube: DataFrame, fields: DataFrame) -> DataFrame:
+    """Distinct inner deciles of the finite training values per field, ascending."""
     probs = {f"d{i}": i / 10 for i in range(1, 10)}
-    q = value_quantiles(finite_values(tokens, fields), FIELD_KEY, "val", probs)
+    q = _quantiles(lookup_join(cube, fields, FIELD_KEY, "left_semi"), "a", probs)
     return q.select(*FIELD_KEY, F.array_sort(F.array_distinct(F.array(*probs))).alias("edges"))
 
 
-def value_histogram(train: DataFrame, valid: DataFrame, edges: DataFrame) -> DataFrame:
+def cube_histogram(cube: DataFrame, edges: DataFrame) -> DataFrame:
     """Fractions of both sides per value bin; a bin ends before its edge, the last one is open."""
-    side = lambda df, a, b: df.select("row_id", *FIELD_KEY, "val", F.lit(a).alias("a"), F.lit(b).alias("b"))
-    both = side(train, 1, 0).unionByName(side(valid, 0, 1)).withColumn("val", F.col("val").cast("double"))
     position = F.size(F.filter("edges", lambda e: e <= F.col("val")))
     counts = (
-        lookup_join(both.where(is_finite(F.col("val"))), edges, FIELD_KEY, "inner")
+        lookup_join(cube.where(is_finite(F.col("val"))), edges, FIELD_KEY, "inner")
         .groupBy(*FIELD_KEY, position.alias("bin"))
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
-    totals = counts.groupBy(*FIELD_KEY).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    totals = cube.groupBy(*FIELD_KEY).agg(F.max("total_a").alias("na"), F.max("total_b").alias("nb"))
     bins = edges.select(*FIELD_KEY, F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
     part = lambda c, n: F.coalesce(F.try_divide(F.coalesce(c, F.lit(0)), F.col(n)), F.lit(0.0))
     return (
@@ -146,27 +169,35 @@ def psi(histogram: DataFrame) -> DataFrame:
     return histogram.groupBy(*FIELD_KEY).agg(F.sum((p - q) * F.log(p / q)).alias("psi"))
 
 
+def cube_profile(cube: DataFrame, fields: DataFrame) -> DataFrame:
+    """Special-value ratios and quantiles of both sides, side by side; null for a side without the field."""
+    wanted = lookup_join(cube, fields, FIELD_KEY, "left_semi")
+    val = F.col("val")
+    special = {"zero": val == 0, "neg": val < 0, "nan": F.isnan("val"), "inf": F.abs("val") == float("inf")}
+    measures, quantiles = [], None
+    for name, c in (("train", "a"), ("valid", "b")):
+        total = F.sum(c)
+        measures.append(F.when(total > 0, total).alias(f"{name}_total"))
+        measures += [F.try_divide(F.sum(F.when(cond, F.col(c)).otherwise(0)), total).alias(f"{name}_{k}_ratio") for k, cond in special.items()]
+        measures.append(F.max(F.when(is_finite(val) & (F.col(c) > 0), val)).alias(f"{name}_max"))
+        own = _quantiles(wanted, c, VALUE_PROBS).select(*FIELD_KEY, *[F.col(p).alias(f"{name}_{p}") for p in VALUE_PROBS])
+        quantiles = own if quantiles is None else quantiles.join(own, FIELD_KEY, "full_outer")
+    return wanted.groupBy(*FIELD_KEY).agg(*measures).join(quantiles, FIELD_KEY, "left")
+
+
+def decile_edges(tokens: DataFrame, fields: DataFrame) -> DataFrame:
+    """``cube_edges`` of one side's tokens."""
+    return cube_edges(value_cube(tokens.withColumn("split", F.lit("train"))), fields)
+
+
+def value_histogram(train: DataFrame, valid: DataFrame, edges: DataFrame) -> DataFrame:
+    """``cube_histogram`` of the tokens of both sides."""
+    return cube_histogram(value_cube(both_sides(train, valid)), edges)
+
+
 def value_profile(train: DataFrame, valid: DataFrame, fields: DataFrame) -> DataFrame:
-    """Special-value ratios and quantiles of both sides, side by side."""
-    val = F.col("val").cast("double")
-    finite = F.when(is_finite(val), val)
-    sides = train.withColumn("side", F.lit("train")).unionByName(valid.withColumn("side", F.lit("valid")))
-    values = sides.select("row_id", *FIELD_KEY, "side", finite.alias("v"), val.alias("val"))
-    wanted = lookup_join(values, fields, FIELD_KEY, "left_semi")
-    ratio = lambda cond: F.count_if(cond) / F.count(F.lit(1))
-    base = wanted.groupBy(*FIELD_KEY, "side").agg(
-        F.count(F.lit(1)).alias("total"),
-        ratio(F.col("val") == 0).alias("zero_ratio"),
-        ratio(F.col("val") < 0).alias("neg_ratio"),
-        ratio(F.isnan("val")).alias("nan_ratio"),
-        ratio(F.abs("val") == float("inf")).alias("inf_ratio"),
-        F.max("v").alias("max"),
-    )
-    both = base.join(value_quantiles(wanted, [*FIELD_KEY, "side"], "v", VALUE_PROBS), [*FIELD_KEY, "side"], "left")
-    names = ["total", "zero_ratio", "neg_ratio", "nan_ratio", "inf_ratio", "max", *VALUE_PROBS]
-    return both.groupBy(*FIELD_KEY).agg(
-        *[F.max(F.when(F.col("side") == s, F.col(n))).alias(f"{s}_{n}") for s in ("train", "valid") for n in names]
-    )
+    """``cube_profile`` of the tokens of both sides."""
+    return cube_profile(value_cube(both_sides(train, valid)), fields)
 
 
 def max_len_advice(shares: DataFrame, curve: DataFrame, quantiles: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def q_output_stats(v: Views) -> DataFrame:
 
 
 def q_running_best(v: Views) -> DataFrame:
-    got = runs.running_best(v.evals, "run_id", "step", "auc_ctcvr", partitions=8)
+    got = runs.running_best(v.evals, "run_id", "step", "auc_ctcvr")
     return got.groupBy("run_id").agg(F.count_if("should_update").alias("updates"), F.max(F.when(F.col("should_update"), F.col("step"))).alias("best_step"))
 
 
@@ -296,7 +296,7 @@ BEST_COLS = "run_id:t source:t best_step:i auc_ctr:r auc_cvr:r auc_ctcvr:r auc_p
 
 QUERIES = [
     Query("logloss", "I1", "task:t logloss:r", lambda v: metrics.basic_metrics(tasks(v), ["task"]), f"SELECT task, {LOGLOSS} AS logloss FROM ({TASK_SQL}) GROUP BY task"),
-    Query("roc_auc", "I2", "task:t auc:r", lambda v: metrics.auc(tasks(v), "y", "p", ["task"], partitions=16), AUC_SQL),
+    Query("roc_auc", "I2", "task:t auc:r", lambda v: metrics.auc(tasks(v), "y", "p", ["task"]), AUC_SQL),
     Query("tied_auc", "I2", "auc:r", lambda v: metrics.auc(v.scored.withColumn("s", F.round("ctr_logit", 1)), "y_ctr", "s"),
           AUC_SQL.replace(TASK_SQL, "SELECT 'ctr' AS task, y_ctr AS y, round(ctr_logit, 1) AS p FROM scored_fx")),
     Query("binary_metrics", "I3", METRIC_COLS, lambda v: metrics.binary_metrics(tasks(v), ["task"]), METRIC_SQL),
@@ -370,7 +370,7 @@ QUERIES = [
           lambda v: health.ema(v.evals.withColumn("hit", (F.col("cos_all") < 0).cast("int")), ["run_id"], ["step"], "hit", out="conflict_rate_ema"), EMA_SQL.format(where="true")),
     Query("running_best", "E11", "run_id:i updates:i best_step:i", q_running_best,
           f"SELECT run_id, count(*) AS updates, max(step) AS best_step FROM (SELECT *, {BEST_BEFORE} AS b FROM evals_fx) WHERE b IS NULL OR auc_ctcvr > b GROUP BY run_id"),
-    Query("trailing_average", "E12", "run_id:i step:i metric_ma:r", lambda v: runs.smoothed(v.evals, "run_id", "step", "auc_ctcvr", 3, chunk=16, partitions=8),
+    Query("trailing_average", "E12", "run_id:i step:i metric_ma:r", lambda v: runs.smoothed(v.evals, "run_id", "step", "auc_ctcvr", 3),
           "SELECT run_id, step, avg(auc_ctcvr) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS metric_ma FROM evals_fx"),
     Query("gated_best", "E13", "run_id:i step:i should_update:b reason:t primary_value:r", lambda v: runs.gated_best(v.evals, "run_id", "step", GATE), GATE_STEP_SQL),
     Query("best_records", "K1", BEST_COLS, best, BEST_SQL),

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from adlattice.functions.arrays import scaled_text
 from adlattice.operators import profile as pf
 from adlattice.operators import shape, vocab
+from adlattice.operators.split import split_tokens
 from adlattice.operators.tokens import FIELD_KEY, token_counts
 from adlattice.plans.registry import Query
+from adlattice.plans.source_queries import ODD_SQL, odd_values
 from adlattice.plans.views import Views
 from adlattice.spec import default_feature_map
 
@@ -77,12 +79,22 @@ def value_fields(v: Views) -> DataFrame:
     return shape.informative_fields(stats(v))
 
 
+def cube(v: Views) -> DataFrame:
+    return v.once("cube", lambda: shape.value_cube(split_tokens(v.tokens, v.split_samples)))
+
+
 def edges(v: Views) -> DataFrame:
-    return v.once("edges", lambda: shape.decile_edges(v.tokens_of("train"), value_fields(v)))
+    return v.once("edges", lambda: shape.cube_edges(cube(v), shape.cube_fields(cube(v))))
 
 
 def histogram(v: Views) -> DataFrame:
-    return shape.value_histogram(v.tokens_of("train"), v.tokens_of("valid"), edges(v))
+    return shape.cube_histogram(cube(v), edges(v))
+
+
+def q_value_profile(v: Views) -> DataFrame:
+    """Both sides of tokens with NaN and infinite values."""
+    odd = shape.value_cube(split_tokens(odd_values(v), v.split_samples))
+    return shape.cube_profile(odd, shape.cube_fields(odd))
 
 
 def word_stats(v: Views) -> DataFrame:
@@ -235,8 +247,8 @@ PROFILE_PART = """
     count(*) FILTER (split = '{s}') AS {s}_total, avg(CASE WHEN val = 0 THEN 1.0 ELSE 0.0 END) FILTER (split = '{s}') AS {s}_zero_ratio,
     avg(CASE WHEN val < 0 THEN 1.0 ELSE 0.0 END) FILTER (split = '{s}') AS {s}_neg_ratio,
     avg(CASE WHEN isnan(val) THEN 1.0 ELSE 0.0 END) FILTER (split = '{s}') AS {s}_nan_ratio, avg(CASE WHEN isinf(val) THEN 1.0 ELSE 0.0 END) FILTER (split = '{s}') AS {s}_inf_ratio,
-    max(CAST(val AS DOUBLE)) FILTER (split = '{s}') AS {s}_max, quantile_cont(CAST(val AS DOUBLE), 0.5) FILTER (split = '{s}') AS {s}_p50,
-    quantile_cont(CAST(val AS DOUBLE), 0.9) FILTER (split = '{s}') AS {s}_p90, quantile_cont(CAST(val AS DOUBLE), 0.99) FILTER (split = '{s}') AS {s}_p99"""
+    max(val) FILTER (split = '{s}' AND isfinite(val)) AS {s}_max, quantile_cont(val, 0.5) FILTER (split = '{s}' AND isfinite(val)) AS {s}_p50,
+    quantile_cont(val, 0.9) FILTER (split = '{s}' AND isfinite(val)) AS {s}_p90, quantile_cont(val, 0.99) FILTER (split = '{s}' AND isfinite(val)) AS {s}_p99"""
 OLD_SQL = """(VALUES ('508', 0, false, true, NULL, 'none', 8), ('301', 0, false, false, NULL, 'none', 8), ('205', 0, false, false, NULL, 'none', 4),
       ('121', 1, false, false, NULL, 'none', 8), ('853', 0, true, true, 10, 'weighted_sum_sqrtn', 8)) o(field, src, old_multi, old_value, old_len, old_pooling, old_dim)"""
 TOKEN_RANK_JOIN = """
@@ -310,7 +322,7 @@ QUERIES = [
                (SELECT count(*) FROM tokens_fx) AS expected_total, (SELECT count(*) FROM split_tokens_fx) - (SELECT count(*) FROM tokens_fx) AS tokens_diff FROM split_fx"""),
     Query("train_frequency", "D14", "field:t src:i fid:t cnt:i rnk:i", word_frequency,
           "SELECT field, src, fid, count(*) AS cnt, row_number() OVER (PARTITION BY field, src ORDER BY count(*) DESC, fid) AS rnk FROM split_words_fx WHERE split = 'train' GROUP BY field, src, fid"),
-    Query("frequency_rank", "E1 D35", "field:t src:i fid:t rank:i", lambda v: vocab.frequency_ranks(token_counts(v.words), partitions=16),
+    Query("frequency_rank", "E1 D35", "field:t src:i fid:t rank:i", lambda v: vocab.frequency_ranks(token_counts(v.words)),
           "SELECT field, src, fid, row_number() OVER (PARTITION BY field, src ORDER BY count(*) DESC, fid) - 1 AS rank FROM words_fx GROUP BY field, src, fid"),
     Query("vocab_table", "E2", "field:t src:i fid:t rank:i", lambda v: vocab.vocab_table(v.ranks, v.spec),
           "SELECT r.field, r.src, r.fid, r.rank FROM ranks_fx r JOIN spec_fx s ON r.field = s.field AND r.src = s.src WHERE s.encoding <> 'hash' AND r.rank < s.vocab_tokens"),
@@ -348,8 +360,10 @@ QUERIES = [
     Query("value_histogram", "D25", "field:t src:i bin:i train_frac:r valid_frac:r", histogram, HIST_SQL),
     Query("value_psi", "D26", "field:t src:i psi:r", lambda v: shape.psi(histogram(v)),
           f"SELECT field, src, sum((p - q) * ln(p / q)) AS psi FROM (SELECT field, src, greatest(train_frac, 1e-6) AS p, greatest(valid_frac, 1e-6) AS q FROM ({HIST_SQL})) GROUP BY field, src"),
-    Query("value_profile", "D27", f"field:t src:i {PROFILE_COLS}", lambda v: shape.value_profile(v.tokens_of("train"), v.tokens_of("valid"), value_fields(v)),
-          f"SELECT field, src, {PROFILE_PART.format(s='train')}, {PROFILE_PART.format(s='valid')} FROM split_tokens_fx WHERE {VALUE_FIELDS} GROUP BY field, src"),
+    Query("value_profile", "D27", f"field:t src:i {PROFILE_COLS}", q_value_profile,
+          f"""WITH odd AS ({ODD_SQL}), sided AS (SELECT o.field, o.src, CAST(CAST(o.val AS FLOAT) AS DOUBLE) AS val, s.split FROM odd o JOIN split_fx s ON o.row_id = s.row_id)
+             SELECT field, src, {PROFILE_PART.format(s='train')}, {PROFILE_PART.format(s='valid')} FROM sided
+             WHERE (field, src) IN (SELECT (field, src) FROM sided WHERE split = 'train' AND val <> 1) GROUP BY field, src"""),
     Query("max_len_advice", "D28", "field:t src:i max_len:i", max_len, MAX_LEN_SQL),
     Query("feature_advice", "D29", "field:t src:i encoding:t embedding_dim:i is_multi_hot:b max_len:i use_value:b pooling:t vocab_num_tokens:i hash_bucket:i", q_advice, ADVICE_SQL),
     Query("top_fields", "F3", "field:t src:i token_share:r", lambda v: shape.top_fields(shape.token_share(word_stats(v)), 3),

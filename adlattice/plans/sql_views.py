@@ -48,8 +48,7 @@ VIEWS = {
     "gates_fx": """
         SELECT row_id, task, list_transform(w_raw, lambda x: x / list_sum(w_raw)) AS w FROM (
           SELECT vec_id AS row_id, CASE WHEN label % 2 = 0 THEN 'ctr' ELSE 'cvr' END AS task,
-            [exp(CAST(embedding[1] AS DOUBLE) * 8), exp(CAST(embedding[2] AS DOUBLE) * 8),
-             exp(CAST(embedding[3] AS DOUBLE) * 8), exp(CAST(embedding[4] AS DOUBLE) * 8)] AS w_raw
+            list_transform([0, 1, 2, 3], lambda e: list_sum(list_transform(list_filter(embedding, lambda x, j: (j - 1) % 4 = e), lambda x: exp(CAST(x AS DOUBLE) * 8)))) AS w_raw
           FROM embeddings)""",
     "spec_fx": """
         SELECT CAST(src AS TINYINT) AS src, field, name, encoding, multi_hot, use_value, vocab_tokens, hash_bucket, head_rows, total_rows, k

@@ -112,11 +112,12 @@ def advise(spark: SparkSession, out: Layout, existing: FeatureMap, overwrite: bo
     collisions = _write(shape.collision_curve(stats), out.path("hash_collisions"), overwrite)
     shares = shape.token_share(stats)
     buckets = _write(shape.bucket_advice(shares, collisions), out.path("bucket_advice"), overwrite)
-    fields = shape.informative_fields(stats)
-    edges = _write(shape.decile_edges(train, fields), out.path("value_edges"), overwrite)
-    bins = _write(shape.value_histogram(train, valid, edges), out.path("value_histogram"), overwrite)
+    cube = shape.value_cube(read_colocated(spark, out.path("split_tokens")))
+    fields = shape.cube_fields(cube)
+    edges = _write(shape.cube_edges(cube, fields), out.path("value_edges"), overwrite)
+    bins = _write(shape.cube_histogram(cube, edges), out.path("value_histogram"), overwrite)
     _write(shape.psi(bins), out.path("value_psi"), overwrite)
-    _write(shape.value_profile(train, valid, fields), out.path("value_profile"), overwrite)
+    _write(shape.cube_profile(cube, fields), out.path("value_profile"), overwrite)
     longest = shape.max_len_advice(shares, truncation, quantiles)
     advice = shape.feature_advice(stats, hints, buckets, longest, existing.table(spark))
     return _write(advice, out.path("feature_advice"), overwrite)
