@@ -152,9 +152,9 @@ def read_colocated(spark: SparkSession, path: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``durable`` or ``colocated`` wrote and that nothing reads any more."""
     spark = df.sparkSession
-    home = shared_dir(spark).rstrip("/")
+    home = re.sub(r"^[a-z]+:/*", "", shared_dir(spark)).strip("/")
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if home.split("://")[-1].lstrip("/") in path:
+        if f"/{home}/" in path:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
