@@ -40,7 +40,8 @@ from adlattice.session import fresh_path
 #: The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Runs of digits with single dots between; four of them in a row, from the left, are a match of [0-9]+(\.[0-9]+){3}.
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -78,12 +79,27 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _octet(part: str) -> bool:
+    """Whether digits of any number are at most 255."""
+    value = part.lstrip("0")
+    return len(value) < 3 or (len(value) == 3 and value <= "255")
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    for m in _DOTTED.finditer(text):
+        parts, at = m.group().split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            own = parts[k : k + 4]
+            size = sum(map(len, own)) + 3
+            if all(map(_octet, own)):
+                yield at, at + size
+            at += size + 1
+
+
 def base_spans(text: str) -> list[Span]:
     """Pattern spans in code points, by kind as listed and then by start."""
     out: list[Span] = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
-    for m in _IP.finditer(text):
-        if all(int(part) <= 255 for part in m.group().split(".")):
-            out.append(("ip", *m.span()))
+    out += [("ip", a, b) for a, b in _ips(text)] if "." in text else []
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m.group())
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -136,10 +152,12 @@ class Chunk:
 
 def _clear(starts: np.ndarray, ends: np.ndarray, spans: list[Span]) -> np.ndarray:
     """Words that touch no span."""
-    free = np.ones(len(starts), bool)
-    for _, a, b in spans:
-        free &= (ends <= a) | (starts >= b)
-    return free
+    if not spans:
+        return np.ones(len(starts), bool)
+    by_start = sorted((a, b) for _, a, b in spans)
+    begins, reach = np.array([a for a, _ in by_start]), np.maximum.accumulate([b for _, b in by_start])
+    before = np.searchsorted(begins, ends)  # spans that begin before the word ends
+    return (before == 0) | (reach[np.maximum(before - 1, 0)] <= starts)
 
 
 def _near(docs: DataFrame, near: int) -> DataFrame:
@@ -160,8 +178,8 @@ def _near(docs: DataFrame, near: int) -> DataFrame:
                     own = hashes[words].view(np.int64)[free]
                     text = _digest(chunk.texts[k])
                     seen: dict[int, set[int]] = {}
-                    for span in spans:
-                        at = int(np.searchsorted(from_[free], span[1]))
+                    places = np.searchsorted(from_[free], [a for _, a, _ in spans]).tolist()
+                    for span, at in zip(spans, places):
                         seen.setdefault(_digest(entity(chunk.texts[k], span)), set()).update(own[max(0, at - near) : at + near].tolist())
                     for name, terms in seen.items():
                         rows.append((name, None, text))
