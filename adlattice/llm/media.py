@@ -25,13 +25,15 @@ from adlattice.llm import scan
 
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
+#: Boxes are read down to this depth; the format needs six.
+DEEPEST = 32
 FRAME = 576
 PAD = 255
 RATE = 8000
 KEY_EVERY = 8
 
 TRACK = (
-    "track_id int, handler string, codec string, timescale long, duration long, n_samples long, sample_bytes long, "
+    "track_id long, handler string, codec string, timescale long, duration long, n_samples long, sample_bytes long, "
     "n_keyframes long, keyframes array<struct<offset:long,size:long>>"
 )
 INDEX = f"duration_s double, tracks array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in TRACK.split(', '))}>>, error string"
@@ -115,6 +117,8 @@ def _read_box(data: memoryview, kind: bytes, at: int, end: int, track: Track) ->
         track.track_id = struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0]
     elif kind == b"mdhd":
         track.timescale, track.duration = struct.unpack_from(">IQ" if data[at] else ">II", data, at + (20 if data[at] else 12))
+        if track.duration >= 1 << 63:
+            raise MediaError("a duration is too long")
     elif kind == b"hdlr":
         track.handler = bytes(data[at + 8 : at + 12]).decode("latin-1")
     elif kind == b"stsd":
@@ -131,6 +135,8 @@ def _read_box(data: memoryview, kind: bytes, at: int, end: int, track: Track) ->
         track.sync = _numbers(data, at + 4, end, ">u4")[:, 0]
     elif kind == b"stsz":
         size, n = struct.unpack_from(">II", data, at + 4)
+        if size and n * size > len(data):
+            raise MediaError("samples are longer than the file")
         track.sizes = np.full(n, size, np.int64) if size else _numbers(data, at + 8, end, ">u4")[:, 0]
     elif kind == b"stz2":
         bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
@@ -147,13 +153,15 @@ def read_tracks(raw: bytes) -> list[Track]:
     """All tracks of a file; the sample tables are checked against each other and the file's end."""
     data, tracks = memoryview(raw), []
 
-    def walk(start: int, end: int, track: Track | None) -> None:
+    def walk(start: int, end: int, track: Track | None, depth: int = 0) -> None:
+        if depth > DEEPEST:
+            raise MediaError("boxes are nested too deep")
         for kind, body, stop in boxes(data, start, end):
             if kind == b"trak":
                 tracks.append(Track())
-                walk(body, stop, tracks[-1])
+                walk(body, stop, tracks[-1], depth + 1)
             elif kind in NESTED:
-                walk(body, stop, track)
+                walk(body, stop, track, depth + 1)
             elif track is not None:
                 _read_box(data, kind, body, stop, track)
 
@@ -273,7 +281,7 @@ def index_media(files: DataFrame, column: str = "content") -> DataFrame:
 _TRACKS = pa.list_(
     pa.struct(
         [
-            ("track_id", pa.int32()),
+            ("track_id", pa.int64()),
             ("handler", pa.string()),
             ("codec", pa.string()),
             *[(n, pa.int64()) for n in ("timescale", "duration", "n_samples", "sample_bytes", "n_keyframes")],
