@@ -9,11 +9,13 @@ Blocks are numbered by (shard, block): shards are ranges of doc_id in ascending
 whole corpus is its place in the shard plus the totals of the shards before, which are as many numbers as shards.
 
 Defined results: a null text is an empty one; a null doc_id comes first; rows with the same doc_id stand next to each
-other, ordered by their ids; a corpus without rows gives no blocks; other columns are ignored.
+other, in an order that follows from their ids; strings of added tokens in a text get those tokens' ids, as the library gives them; a corpus without rows gives no blocks; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -150,11 +152,11 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _worker_encoder(model, kinds)
+        encoder, specials = _worker_encoder(model, kinds), Specials(model.value)
         width = np.dtype("<u4" if wide else "<u2")
         for batch in batches:
             for lo, hi, data, off in scan.chunks(batch.column(1)):
-                ids, first = encoder.encode(data, off)
+                ids, first = specials.encode(encoder, data, off)
                 ends = np.insert(ids.astype(width), first[1:], width.type(end_id))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pieces.binary(ends, first + np.arange(len(first)))], ["doc_id", "ids"]
@@ -169,6 +171,41 @@ def wide_ids(tokenizer_path: str) -> bool:
     return Tokenizer.from_file(tokenizer_path).get_vocab_size() > 1 << 16
 
 
+class Specials:
+    """Added tokens that the library finds in a text before anything else, and their ids."""
+
+    def __init__(self, model: str):
+        added = [t for t in json.loads(model).get("added_tokens", []) if t["content"]]
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+            raise ValueError("added tokens that take in what stands beside them aren't supported")
+        self.ids = {t["content"].encode(): t["id"] for t in added}
+        longest = sorted(self.ids, key=len, reverse=True)
+        self.pattern = re.compile(b"|".join(map(re.escape, longest))) if longest else None
+
+    def encode(self, encoder: pieces.PieceEncoder, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a chunk and the n + 1 first ids; texts are cut at added tokens, which have an id of their own."""
+        found: list[tuple[int, int, int]] = []
+        raw = data.tobytes()
+        if self.pattern and self.pattern.search(raw):
+            for a, b in zip(off.tolist(), off[1:].tolist()):
+                found += [(m.start(), m.end(), self.ids[m.group()]) for m in self.pattern.finditer(raw, a, b)]
+        if not found:
+            return encoder.encode(data, off)
+        starts, ends, own = (np.array(c, np.int64) for c in zip(*found))
+        cuts = np.sort(np.concatenate((off, starts, ends)), kind="stable")
+        ids, first = encoder.encode(data, cuts)
+        # The piece that begins at a token and isn't empty is the token.
+        at = np.searchsorted(cuts, starts, "right") - 1
+        size = np.diff(first)
+        keep = np.ones(len(ids), bool)
+        keep[scan.ragged(first[at], size[at])] = False
+        place = np.searchsorted(np.flatnonzero(keep), first[at])
+        out = np.insert(ids[keep], place, own.astype(ids.dtype))
+        size[at] = 1
+        edges = np.concatenate(([0], np.cumsum(size)))
+        return out, edges[np.searchsorted(cuts, off, "left")]
+
+
 def library_ids(model: str):
     """Ids of pre-tokens by the library, many in one call: a line break stands between two of them."""
     from tokenizers import Tokenizer
@@ -272,7 +309,9 @@ def write_ids(staged: DataFrame, path: str, wide: bool = False, shard_ids: int =
             yield flush()
 
     shards = max(spark.sparkContext.defaultParallelism, -(-int(counts.sum()) // shard_ids))
-    ordered = staged.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # Rows that repeat a doc_id, or have none, may fill several shards.
+    tie = F.xxhash64("ids")
+    ordered = staged.repartitionByRange(shards, "doc_id", tie).sortWithinPartitions("doc_id", tie, "ids")
     ordered.mapInArrow(run, BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
