@@ -32,7 +32,7 @@ from adlattice.llm import scan
 from adlattice.session import fresh_path
 
 WINDOW = 10
-AUTOMATON_WORDS = 2_000_000
+AUTOMATON_WORDS = 200_000
 IDS_AT_ONCE = 1_000_000
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
