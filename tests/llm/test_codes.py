@@ -117,7 +117,9 @@ def test_bits_round_trip(ids):
 
 def test_token_files(spark, docs, empty, tmp_path):
     model = Tokenizer.from_file(MODEL)
-    model.encode_special_tokens = True
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>y <|endoftext", "\n<|endoftext|>\n", "<|endoftext|>" * 3 + " z"]
+    more = [(7000 + k // 2, t, None, None, 0, 0, "", 0, "") for k, t in enumerate(special)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).repartition(2)
     got, texts = by_text(token_ids.encoded_corpus(docs, MODEL, str(tmp_path / "ids")), docs)
     rows = [r for some in got.values() for r in some]
     for key in got:
@@ -179,6 +181,30 @@ def test_index_media(spark):
     assert all(rows[k]["tracks"] == [] and rows[k]["error"] for k in (3, 4, 5, 6))
 
 
+def test_index_of_lying_boxes(spark):
+    import struct
+
+    def nested(times):
+        out = b""
+        for _ in range(times):
+            out = struct.pack(">I4s", 8 + len(out), b"moov") + out
+        return out
+
+    def movie(*boxes):
+        inner = b"".join(struct.pack(">I4s", 8 + len(b), k) + b for k, b in boxes)
+        trak = struct.pack(">I4s", 8 + len(inner), b"trak") + inner
+        return struct.pack(">I4s", 8 + len(trak), b"moov") + trak
+
+    sizes = movie((b"stsz", struct.pack(">III", 0, 7, 2**32 - 1)))
+    duration = movie((b"mdhd", struct.pack(">IQQIQ", 1 << 24, 0, 0, 8000, 2**63 + 5)))
+    number = movie((b"tkhd", struct.pack(">IIII", 0, 0, 0, 2**32 - 1)))
+    files = [(k, f) for k, f in enumerate([nested(3000), sizes, duration, number, nested(20)])]
+    rows = {r["id"]: r for r in media.index_media(spark.createDataFrame(files, "id long, content binary")).collect()}
+    assert all(rows[k]["tracks"] == [] and rows[k]["error"] for k in (0, 1, 2))
+    assert rows[3]["error"] is None and rows[3]["tracks"][0]["track_id"] == 2**32 - 1
+    assert rows[4]["error"] is None and rows[4]["tracks"] == []
+
+
 def test_sample_size_tables():
     import struct
 

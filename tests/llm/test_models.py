@@ -134,6 +134,18 @@ def test_keep_clean(texts, empty):
     assert {r["score"] for r in toxicity.scored(docs, labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_of_odd_labels_and_repeated_rows(texts, spark):
+    """Labels other than 0 and 1 are none; rows that repeat a doc_id are one example."""
+    docs, labels, _, _ = texts
+    odd = labels.unionByName(labels.limit(0)).selectExpr("doc_id", "toxic").unionByName(
+        docs.selectExpr("doc_id + 100000 AS doc_id", "CASE WHEN doc_id % 2 = 0 THEN 2 ELSE -1 END AS toxic").limit(50)
+    )
+    more = docs.withColumn("doc_id", docs["doc_id"] + 100000).limit(50)
+    many = docs.unionByName(more).unionByName(docs).unionByName(docs)
+    key = lambda frame: {r["doc_id"]: round(r["score"], 6) for r in frame.where("doc_id < 3000").collect()}
+    assert key(toxicity.scored(many, odd)) == key(toxicity.scored(docs, labels))
+
+
 def test_thresholds_differ_by_language():
     r = np.random.default_rng(5)
     language, labels = np.repeat([0, 1, 2], 200), np.tile([0, 1], 300)

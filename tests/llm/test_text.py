@@ -309,6 +309,28 @@ def test_base_spans():
         assert pii.base_spans(text) == brute_base(text), text
 
 
+def test_spans_of_long_digits():
+    """Numbers of any length, and runs of digits as long as a text, in linear time."""
+    import time
+
+    assert pii.base_spans("1" * 5000 + ".1.2.3") == []
+    assert pii.base_spans("0" * 5000 + "1.1.2.3") == [("ip", 0, 5007)]
+    assert pii.base_spans("1.2.3.4.5.6.7.8.9 300.1.1.1.1 256.0.0.1 1..2.3.4.5") == [
+        ("ip", 0, 7), ("ip", 8, 15), ("ip", 43, 50)
+    ]
+    start = time.perf_counter()
+    assert [s for s in pii.base_spans("7" * 400_000 + " 1.2.3.4") if s[0] == "ip"] == [("ip", 400_001, 400_008)]
+    spans = [("ip", 10 * k, 10 * k + 12) for k in range(20_000)]
+    starts = np.arange(0, 300_000, 3)
+    free = pii._clear(starts, starts + 2, spans)
+    assert time.perf_counter() - start < 5
+    assert free.sum() == (starts >= 10 * 19_999 + 12).sum()
+    r = random.Random(3)
+    some = [(k, a, a + r.randrange(1, 9)) for k, a in enumerate(r.sample(range(200), 12))]
+    words = np.arange(0, 200, 4)
+    assert pii._clear(words, words + 3, some).tolist() == [all(w + 3 <= a or w >= b for _, a, b in some) for w in words.tolist()]
+
+
 def test_find(docs, empty):
     disclosed = pii.disclosures(docs, min_bits=2.0)
     got, texts = by_text(pii.find(docs, disclosed), docs)
