@@ -415,7 +415,7 @@ def test_base_scores(docs, head):
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     counts = collections.Counter(s for i, t in rows if not out(i) for s in symbols(t))
     n, v = sum(counts.values()), len(counts)
-    got, texts = by_text(suffix_tree.model_scores(docs, head=head, min_share=max(2e-4, 1 / head)), docs)
+    got, texts = by_text(suffix_tree.model_scores(docs, head=head), docs)
     for key, some in got.items():
         want = []
         for t in texts[key]:
@@ -426,12 +426,12 @@ def test_base_scores(docs, head):
         assert sorted(have) == sorted(want)
 
 
-def brute_tree(rows, depth, share, divergence, mu):
+def brute_tree(rows, depth, least, least_stored, divergence, mu):
     """Kept contexts with the probabilities of their stored symbols and the factor of the others."""
     counts = collections.Counter(s for t in rows for s in symbols(t))
     n, v = sum(counts.values()), len(counts)
     root = lambda s: (counts[s] + 1) / (n + v + 1)
-    frequent = {s for s, c in counts.items() if c >= max(2, share * n)}
+    frequent = {s for s, c in counts.items() if c >= least}
     kept = {}
 
     def p(context, s):
@@ -451,35 +451,63 @@ def brute_tree(rows, depth, share, divergence, mu):
         fresh, longer = {}, []
         for context in level:
             seen, size = following[context], sum(following[context].values())
-            some = {s: c for s, c in seen.items() if s in frequent and c >= max(2, share * n / 10)}
-            longer += [(*context, s) for s, c in some.items() if c >= max(2, share * n) and s != "\0end"]
+            some = {s: c for s, c in seen.items() if s in frequent and c >= least_stored}
+            longer += [(*context, s) for s, c in some.items() if c >= least and s != "\0end"]
             below = {s: p(context[1:], s) for s in some}
             stored = {s: (c + mu * below[s]) / (size + mu) for s, c in some.items()}
-            left, room = 1 - sum(stored.values()), 1 - sum(below.values())
+            left, room = max(1 - sum(stored.values()), 1e-12), max(1 - sum(below.values()), 1e-12)
             gain = sum(x * math.log(x / below[s]) for s, x in stored.items()) + left * math.log(left / room)
-            if size >= max(2, share * n) and gain >= divergence:
+            if some and gain >= divergence:
                 fresh[context] = (stored, left / room)
         kept |= fresh
         level = longer
     return kept, p
 
 
-def test_scores_of_the_tree(docs):
+@pytest.mark.parametrize(
+    "settings",
+    [{}, {"few": 0}, {"hot": 0}, {"hot": 60}, {"min_count": 3, "min_stored": 2, "hot": 300, "few": 50}, {"min_count": 2, "min_stored": 1}],
+)
+def test_scores_of_the_tree(docs, settings):
+    """The production values, and smaller counts; contexts known to tasks or counted by key, held by tasks or joined."""
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    kept, p = brute_tree([t for i, t in rows if not out(i)], 3, 1e-3, 0.02, 1.0)
+    least, stored = settings.get("min_count", suffix_tree.MIN_COUNT), settings.get("min_stored", suffix_tree.MIN_STORED)
+    kept, p = brute_tree([t for i, t in rows if not out(i)], 3, least, stored, 0.02, 1.0)
     assert len({len(c) for c in kept}) == 3
-    got, texts = by_text(suffix_tree.model_scores(docs, min_share=1e-3, head=1000), docs)
+    got, texts = by_text(suffix_tree.model_scores(docs, **settings), docs)
     for key, some in got.items():
         want = []
         for t in texts[key]:
             own = symbols(t)
             want.append(round(sum(math.log10(p(own[max(0, i - 3) : i], s)) for i, s in enumerate(own)), 5))
-        assert sorted(round(r["score"], 5) for r in some) == pytest.approx(sorted(want), abs=2e-5)
+        assert sorted(round(r["score"], 5) for r in some) == pytest.approx(sorted(want), abs=2e-4)
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    """Four times the text has more than twice the contexts, and each is held by its own count."""
+    sizes = []
+    for times in (1, 4):
+        rows = [(k, prose(10_000 + k, 120, 60)) for k in range(40 * times)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        counts = suffix_tree.count_symbols(df)
+        tree = suffix_tree.grow(df, counts)
+        sizes.append(tree.contexts.count())
+        assert tree.contexts.agg({"size": "min"}).first()[0] >= suffix_tree.MIN_COUNT
+    assert sizes[1] > 2 * sizes[0]
+
+
+def test_numbers_of_pairs():
+    r = np.random.default_rng(1)
+    for contexts, words, expected in ((1, 1, 0), (5, 3, 10**9), (10**6, 10**6, 10**10), (1 << 20, 1 << 20, 1)):
+        numbers = suffix_tree.Numbers(contexts, words, expected)
+        c, w = r.integers(0, contexts, 500), r.integers(0, words, 500)
+        got = numbers.parts(numbers.of(c, w))
+        assert np.array_equal(got[0], c) and np.array_equal(got[1], w) and numbers.low <= 32
 
 
 def test_scores_beat_the_root(docs, empty):
-    total = suffix_tree.model_scores(docs, min_share=1e-3).groupBy().sum("score", "base_score").first()
+    total = suffix_tree.model_scores(docs).groupBy().sum("score", "base_score").first()
     assert total[0] > total[1]
     assert suffix_tree.model_scores(empty).count() == 0
     (only,) = suffix_tree.model_scores(docs.where("doc_id IS NULL AND text IS NULL")).collect()
