@@ -11,10 +11,12 @@ from adlattice.operators.joins import lookup_join
 from adlattice.operators.ordered import count_quantiles
 from adlattice.operators.split import label_rates
 from adlattice.operators.tokens import FIELD_KEY, token_counts
-from adlattice.session import lies_by
+from adlattice.session import lies_by, partitions_for
 
 # Left edges of the tokens-per-row histogram.
 NNZ_EDGES = [0, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000, 20000]
+#: Groups of fids whose best meet in one task.
+FAN_IN = 64
 QUARTET = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 
 
@@ -158,19 +160,31 @@ def field_stats(tokens: DataFrame, n_samples: DataFrame, exact: bool = True) ->
     )
 
 
-def field_top_k(counts: DataFrame, k: int) -> DataFrame:
+def field_top_k(counts: DataFrame, k: int, fan: int = FAN_IN) -> DataFrame:
     """The ``k`` most frequent fids per (field, src), ties by fid.
 
-    The rank filter is pushed below the shuffle, so a field sends at most k rows per partition.
+    The rank filter is pushed below the shuffle, so a group sends at most k rows per partition. Where there are more than ``fan``
+    partitions, a field's fids are first dealt into groups by their hash, and the best of ``fan`` groups meet
+    in the next: no task but those of the first groups gets more than ``fan`` times k rows of a field.
     """
     totals = counts.groupBy(*FIELD_KEY).agg(F.sum("cnt").alias("token_rows"))
-    w = Window.partitionBy(*FIELD_KEY).orderBy(F.desc("cnt"), "fid")
-    best = counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-    return best.join(totals, FIELD_KEY).select(
+    parts = partitions_for(counts) or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups, best = 1, counts.withColumn("_draw", F.pmod(F.xxhash64("fid"), F.lit(1 << 30)))
+    while groups * fan < parts:
+        groups *= fan
+    while groups > 1:
+        best = _best_of(best, [*FIELD_KEY, F.pmod("_draw", F.lit(groups))], k).drop("rn")
+        groups //= fan
+    return _best_of(best, FIELD_KEY, k).drop("_draw").join(totals, FIELD_KEY).select(
         *FIELD_KEY, "fid", "cnt", "rn", (F.col("cnt") / F.col("token_rows")).alias("topk_coverage")
     )
 
 
+def _best_of(counts: DataFrame, keys: list, k: int) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "fid")
+    return counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+
+
 def labelled_top_tokens(tokens: DataFrame, top: DataFrame, samples: DataFrame) -> DataFrame:
     """Distinct (row_id, field, src, fid) of the top fids with the labels of the row."""
     keys = top.select(*FIELD_KEY, "fid")

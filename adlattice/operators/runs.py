@@ -9,9 +9,11 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from adlattice.operators.joins import lookup_join
-from adlattice.operators.ordered import ordered_prefix, trailing_mean
+from adlattice.operators.ordered import group_rank, ordered_prefix, trailing_mean
+from adlattice.session import durable
 from adlattice.sources.logs import METRIC_COLUMNS, decision_records, valid_records
 
 # Metrics of the leaderboard, +1 where larger is better.
@@ -22,6 +24,10 @@ LEADERBOARD = {
 }
 
 
+#: Evaluations of a run that one task decides.
+SEGMENT = 100_000
+
+
 def running_best(evals: DataFrame, run: str, step: str, metric: str, partitions: int | None = None) -> DataFrame:
     """``should_update`` where the metric beats every earlier evaluation of the run.
 
@@ -53,13 +59,16 @@ class GateRule:
 class _Gate:
     """State of one run: a few numbers, whatever the length of the log."""
 
-    def __init__(self, rule: GateRule) -> None:
+    def __init__(self, rule: GateRule, state: list[float] | None = None) -> None:
         self.rule = rule
-        self.best = float("-inf")
-        self.best_aux = {k: float("-inf") for k in rule.aux}
-        self.recent: deque[float] = deque(maxlen=rule.window or 1)
-        self.confirmed = 0
-        self.resting = 0
+        n = len(rule.aux)
+        state = [float("-inf")] * (1 + n) + [0.0, 0.0] if state is None else list(state)
+        self.best, self.best_aux = state[0], dict(zip(rule.aux, state[1 : 1 + n]))
+        self.confirmed, self.resting = int(state[1 + n]), int(state[2 + n])
+        self.recent: deque[float] = deque(state[3 + n :], maxlen=rule.window or 1)
+
+    def state(self) -> list[float]:
+        return [self.best, *self.best_aux.values(), float(self.confirmed), float(self.resting), *self.recent]
 
     def step(self, primary: float | None, aux: Mapping[str, float | None]) -> tuple[bool, str, float | None]:
         if self.resting:
@@ -86,30 +95,88 @@ class _Gate:
         return True, "updated", value
 
 
-def gated_best(evals: DataFrame, run: str, step: str, rule: GateRule) -> DataFrame:
-    """Per evaluation: the gate's decision, its reason and the (smoothed) primary value.
+def _walk(rows: DataFrame, run: str, step: str, rule: GateRule, decisions: bool) -> DataFrame:
+    """Every segment from its entry state, in step order: its decisions, or its exit state.
 
-    Each decision depends on the one before, so a run is read in step order by one task; Spark sorts
-    and spills, and the task holds one Arrow batch and a constant state, never the run.
+    A task holds one Arrow batch and a constant state, never a segment.
     """
-    columns = [run, step, rule.primary, *rule.aux]
+    columns = [run, "_segment", "_entry", step, rule.primary, *rule.aux]
+    number = lambda v: None if pd.isna(v) else float(v)
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, gate = None, None
-        number = lambda v: None if pd.isna(v) else float(v)
         for batch in batches:
-            out = []
-            for key, _, primary, *aux in batch[columns].itertuples(index=False, name=None):
-                if gate is None or key != current:
-                    current, gate = key, _Gate(rule)
+            out, left = [], []
+            for key, segment, entry, _, primary, *aux in batch[columns].itertuples(index=False, name=None):
+                if gate is None or (key, segment) != current:
+                    if gate is not None:
+                        left.append((*current, gate.state()))
+                    current, gate = (key, segment), _Gate(rule, None if entry is None else [float(x) for x in entry])
                 out.append(gate.step(number(primary), {k: number(v) for k, v in zip(rule.aux, aux)}))
-            made = pd.DataFrame(out, columns=["should_update", "reason", "primary_value"], index=batch.index)
-            yield pd.concat([batch[[run, step]], made], axis=1)
+            if decisions:
+                made = pd.DataFrame(out, columns=["should_update", "reason", "primary_value"], index=batch.index)
+                yield pd.concat([batch[[run, step]], made], axis=1)
+            elif left:
+                yield pd.DataFrame(left, columns=[run, "_segment", "_exit"])
+        if gate is not None and not decisions:
+            yield pd.DataFrame([(*current, gate.state())], columns=[run, "_segment", "_exit"])
+
+    types = dict(rows.dtypes)
+    schema = f"{run} {types[run]}, _segment long, _exit array<double>"
+    if decisions:
+        schema = f"{run} {types[run]}, {step} {types[step]}, should_update boolean, reason string, primary_value double"
+    ordered = rows.select(*columns).repartition(run, "_segment").sortWithinPartitions(run, "_segment", step)
+    return ordered.mapInPandas(go, schema)
+
+
+def _entries(states: DataFrame, run: str) -> DataFrame:
+    """(run, _segment, _entry) from the exit states: that of the segment before; null for a run's first."""
+    order = Window.partitionBy(run).orderBy("_segment")
+    return states.select(run, "_segment", F.lag("_exit").over(order).alias("_entry"))
+
 
-    types = dict(evals.dtypes)
-    schema = f"{run} {types[run]}, {step} {types[step]}, should_update boolean, reason string, primary_value double"
-    ordered = evals.select(*columns).repartition(run).sortWithinPartitions(run, step)
-    return ordered.mapInPandas(decide, schema)
+def _guessed(states: DataFrame, run: str) -> DataFrame:
+    """Entry states from exits of segments that each began anew: the best of all segments before, the rest from the last one.
+
+    A run's best changes at accepted updates alone, which grow rare, so most of these are right.
+    """
+    before = Window.partitionBy(run).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.max(F.struct(F.col("_exit")[0].alias("best"), F.col("_exit").alias("of"))).over(before)["of"]
+    last = F.last("_exit").over(before)
+    return states.select(run, "_segment", best.alias("_b"), last.alias("_l"))
+
+
+def gated_best(evals: DataFrame, run: str, step: str, rule: GateRule, segment: int = SEGMENT) -> DataFrame:
+    """Per evaluation: the gate's decision, its reason and the (smoothed) primary value.
+
+    Each decision depends on the one before. A run longer than ``segment`` evaluations is cut into segments that are walked at the same
+    time from guessed entry states; a segment whose entry turns out to be another is walked again from the right one, until all
+    agree. Then every segment's decisions are made at once. A step of a run is one evaluation; further ones of the step come in the order of their values.
+    """
+    columns = [run, step, rule.primary, *rule.aux]
+    none = F.lit(None).cast("array<double>")
+    plain = evals.select(*columns)
+    longest = plain.groupBy(run).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if longest <= segment:
+        return _walk(plain.withColumns({"_segment": F.lit(0).cast("long"), "_entry": none}), run, step, rule, True)
+    placed = group_rank(plain, [run], [step, *columns[2:]], "_at")
+    rows = durable(placed.withColumn("_segment", F.floor(F.col("_at") / F.lit(segment)).cast("long")).drop("_at"))
+    key = [run, "_segment"]
+    exits = durable(_walk(rows.withColumn("_entry", none), run, step, rule, False))
+    head = 1 + len(rule.aux)
+    guess = F.when(F.col("_b").isNotNull(), F.concat(F.slice("_b", 1, head), F.slice("_l", head + 1, 2 + (rule.window or 1))))
+    used = durable(_guessed(exits, run).select(*key, guess.alias("_entry")))
+    exits = durable(_walk(lookup_join(rows, used, key, "inner", [step]), run, step, rule, False))
+    while True:
+        right = durable(_entries(exits, run))
+        wrong = right.join(used.withColumnRenamed("_entry", "_used"), key).where(~F.col("_entry").eqNullSafe(F.col("_used")))
+        wrong = durable(wrong.select(*key, "_entry"))
+        if wrong.isEmpty():
+            break
+        again = _walk(lookup_join(rows, wrong, key, "inner", [step]), run, step, rule, False)
+        exits = durable(exits.join(wrong, key, "left_anti").unionByName(again))
+        used = right
+    return _walk(lookup_join(rows, used, key, "inner", [step]), run, step, rule, True)
 
 
 def best_records(log: DataFrame, known: DataFrame | None = None) -> DataFrame:

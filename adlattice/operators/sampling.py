@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlattice.functions.hashing import unit_hash
-from adlattice.operators.ordered import group_rank
+
+BINS = 1024
 
 
 def keep_negatives(rows: DataFrame, keep_prob: float, seed: int, split: str = "train") -> DataFrame:
@@ -28,9 +29,35 @@ def ratio_subset(rows: DataFrame, ratio: float, seed: int = 2026) -> DataFrame:
     return rows.where(unit_hash(F.col("row_id"), seed) <= ratio)
 
 
+def nth_row_id(rows: DataFrame, n: int, bins: int = BINS) -> int | None:
+    """The n-th smallest row id, None where there are fewer rows; ``bins`` counts a pass reach the driver.
+
+    Rows are counted in bins of row_id, then in finer bins of the one that holds the n-th row, until it is
+    known. The range read grows narrower with every pass, and files outside it aren't read.
+    """
+    ends = rows.agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.count("row_id").alias("n")).first()
+    if ends["n"] < n:
+        return None
+    lo, hi = ends["lo"], ends["hi"]
+    while lo < hi:
+        width = -(-(hi - lo + 1) // bins)
+        inside = rows.where(F.col("row_id").between(lo, hi))
+        counts = inside.groupBy(F.floor((F.col("row_id") - lo) / F.lit(width)).cast("long").alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.max("row_id").alias("last")
+        )
+        for r in sorted(counts.collect(), key=lambda r: r["bin"]):
+            if r["n"] >= n:
+                break
+            n -= r["n"]
+        if r["n"] == n:
+            return r["last"]
+        lo, hi = lo + r["bin"] * width, min(hi, lo + (r["bin"] + 1) * width - 1)
+    return lo
+
+
 def first_samples(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` rows with the smallest row ids; the ids are ranked over range partitions."""
+    """The ``n`` rows with the smallest row ids: a range of row ids, so nothing is sorted or joined."""
     if n <= 0:
         raise ValueError("n must be positive")
-    first = group_rank(rows.select("row_id"), [], ["row_id"], "_at").where(F.col("_at") < n)
-    return rows.join(first, "row_id", "left_semi")
+    last = nth_row_id(rows.select("row_id"), n)
+    return rows if last is None else rows.where(F.col("row_id") <= last)

@@ -192,6 +192,18 @@ def test_padding(spark):
     assert (got[1]["weights"], got[1]["length"]) == ([1.0, 0.0], 1)
 
 
+@pytest.mark.parametrize("ids", [range(40), range(-(10**12), 10**12, 10**10), [1, 2, 3, 10**15, 10**15 + 1, 10**15 + 7, 2 * 10**15]])
+def test_first_samples_by_ranges(spark, ids):
+    """Few bins, so that the n-th row is found over several passes; the rows are a range and nothing is sorted."""
+    rows = spark.createDataFrame([(i,) for i in random.Random(1).sample(list(ids), len(ids))], "row_id long")
+    for n in (1, 2, 5, len(ids) - 1, len(ids)):
+        assert sampling.nth_row_id(rows, n, bins=3) == sorted(ids)[n - 1]
+        assert sorted(r["row_id"] for r in sampling.first_samples(rows, n).collect()) == sorted(ids)[:n]
+    assert sampling.first_samples(rows, len(ids) + 1).count() == len(ids)
+    plan = sampling.first_samples(rows, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
 def plain_packs(rows, size, width=3):
     """Batches of sorted rows, packed one by one."""
     out = {}

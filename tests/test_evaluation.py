@@ -268,6 +268,26 @@ def test_a_step_moves_no_lines(spark):
     assert "hashpartitioning(row_id" not in plan and "hashpartitioning(name" in plan
 
 
+@pytest.mark.parametrize("segment", [7, 50])
+def test_gate_by_segments_equals_the_sequential_rule(spark, segment):
+    """Runs cut into many segments, with late updates, missing values, smoothing, cooldown and confirmations."""
+    rng = random.Random(segment)
+    rows = []
+    for run, n in (("a", 180), ("b", 5), ("c", 90)):
+        for i in range(n):
+            level = 0.5 + 0.3 * i / n if run == "c" else 0.6
+            value = lambda: None if rng.random() < 0.05 else round(level + rng.gauss(0, 0.02), 4)  # noqa: B023, E731
+            rows.append((run, i, value(), value(), value()))
+    rule = runs.GateRule(tol_primary=0.001, tol_aux={"auc_ctr": 0.01, "auc_cvr": 0.02}, confirm_times=2, cooldown=3, window=3)
+    df = spark.createDataFrame(rows, EVALS).repartition(4)
+    got = {(r["run"], r["step"]): (r["should_update"], r["reason"], r["primary_value"]) for r in runs.gated_best(df, "run", "step", rule, segment).collect()}
+    assert len(got) == len(rows)
+    for run in "abc":
+        gate = runs._Gate(rule)
+        for _, i, p, a, b in [r for r in rows if r[0] == run]:
+            assert got[run, i] == gate.step(p, {"auc_ctr": a, "auc_cvr": b})
+
+
 def test_ema_matches_the_recursion(spark):
     rng = random.Random(1)
     rows = [(g, i, rng.randrange(2)) for g in "ab" for i in range(200 if g == "a" else 3)]

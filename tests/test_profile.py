@@ -1,5 +1,6 @@
 """Splits, profiles, drift and shape on small and odd tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,36 @@ def test_oov_curves_by_hand(spark, train, valid):
     assert advice["f1", 0] == ("vocab", 1) and advice["f3", 1] == ("hash", None)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_top_k_by_groups(spark, fan):
+    rows = [(f, 0, f"v{i}", (i * 7919) % 23) for f in "xy" for i in range(300)]
+    counts = spark.createDataFrame(rows, "field string, src tinyint, fid string, cnt long")
+    got = sorted((r["field"], r["rn"], r["fid"], r["cnt"]) for r in pf.field_top_k(counts, 5, fan).collect())
+    best = lambda f: sorted((r for r in rows if r[0] == f), key=lambda r: (-r[3], r[2]))[:5]
+    assert got == [(f, k, r[2], r[3]) for f in "xy" for k, r in enumerate(best(f), 1)]
+    levels = pf.field_top_k(counts, 5, fan)._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit [")
+    assert levels >= {2: 3, 3: 2, 64: 1}[fan]
+
+
+def test_cube_equals_numpy(spark):
+    r = np.random.default_rng(4)
+    vals = np.round(r.normal(0, 1, 400), 1).astype(np.float32)
+    side = np.where(r.random(400) < 0.7, "train", "valid")
+    rows = [(k, 0, "f", "a", float(v), s) for k, (v, s) in enumerate(zip(vals, side))] + [(900, 0, "g", "a", 1.0, "train"), (901, 0, "f", "a", 5.0, "other")]
+    cube = shape.value_cube(spark.createDataFrame(rows, f"{TOKENS}, split string"))
+    assert [tuple(x) for x in shape.cube_fields(cube).collect()] == [("f", 0)]
+    edges = shape.cube_edges(cube, shape.cube_fields(cube)).first()["edges"]
+    train, valid = (vals[side == s].astype(float) for s in ("train", "valid"))
+    assert edges == pytest.approx(sorted(set(np.quantile(train, np.arange(1, 10) / 10))))
+    bins = {x["bin"]: (x["train_frac"], x["valid_frac"]) for x in shape.cube_histogram(cube, shape.cube_edges(cube, shape.cube_fields(cube))).collect()}
+    place = lambda v: np.searchsorted(edges, v, "right")
+    for b in range(len(edges) + 1):
+        assert bins[b] == pytest.approx(((place(train) == b).mean(), (place(valid) == b).mean()))
+    got = shape.cube_profile(cube, shape.cube_fields(cube)).first()
+    assert (got["train_p50"], got["valid_p99"]) == pytest.approx((np.quantile(train, 0.5), np.quantile(valid, 0.99)))
+    assert got["valid_total"] == len(valid) and got["train_neg_ratio"] == pytest.approx((train < 0).mean())
+
+
 def test_psi_of_a_constant_field(spark):
     make = lambda vals: spark.createDataFrame([(i, 0, "f", "a", float(v)) for i, v in enumerate(vals)], TOKENS)
     a, b = make([2.0] * 5), make([2.0, 2.0, 3.0, 1.0])
