@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adlattice.functions.digests import by_length, xxh64
+
 HEX_DIGITS = 15
 HASH_SPACE = float(1 << (4 * HEX_DIGITS))
 
@@ -72,8 +74,6 @@ def unit_hash_xxh64(key: Column, seed: int) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def draw(text: pd.Series) -> pd.Series:
-        import xxhash
-
-        return text.map(lambda t: xxhash.xxh64(t).intdigest() / 2**64).astype("float64")
+        return pd.Series(by_length(text, xxh64) / 2.0**64)
 
     return draw(F.concat(F.lit(f"{seed}:"), key.cast("string")))

@@ -182,3 +182,16 @@ def test_max_len_falls_back_to_the_best_k(spark):
     quantiles = spark.createDataFrame([("f", 0, 70.0), ("g", 0, 70.0)], "field string, src tinyint, p99 double")
     got = {r["field"]: r["max_len"] for r in shape.max_len_advice(shares, curve, quantiles).collect()}
     assert got == {"f": 60, "g": 80}
+
+
+def test_xxh64_of_many_messages():
+    import pandas as pd
+    import xxhash
+
+    from adlattice.functions import digests
+
+    r = np.random.default_rng(3)
+    texts = ["".join(r.choice(list("aé1:日"), n)) for n in [*range(140), 500, 1000] for _ in range(3)]
+    got = digests.by_length(pd.Series(texts), digests.xxh64)
+    assert got.tolist() == [xxhash.xxh64(t).intdigest() for t in texts]
+    assert digests.by_length(pd.Series([], dtype=str), digests.xxh64).tolist() == []
