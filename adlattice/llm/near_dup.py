@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlattice.llm import scan
-from adlattice.session import fresh_path
+from adlattice.session import discard, fresh_path
 
 SHINGLE = 4
 SIMILARITY_PERCENT = 80
@@ -77,10 +77,11 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> I
 
 
 def signature(own: np.ndarray) -> np.ndarray:
+    """32 bits of the least value under each hash function."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(own), 2048):
         np.minimum(least, (own[lo : lo + 2048, None] * _FACTORS).min(axis=0), out=least)
-    return least
+    return (scan.mix(least) >> np.uint64(32)).astype(np.uint32)
 
 
 def set_name(own: np.ndarray) -> int:
@@ -109,7 +110,7 @@ class _Steps:
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        df.write.parquet(f"{self.path}/{self.n}")
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{self.n}")
         return self.spark.read.parquet(f"{self.path}/{self.n}")
 
 
@@ -141,8 +142,8 @@ def _postings(nodes: DataFrame) -> DataFrame:
         place = np.arange(COORDINATES, dtype=np.uint64)
         for batch in batches:
             raw, _ = scan.utf8(batch.column(1))
-            values = raw.view(np.uint64).reshape(-1, COORDINATES)
-            keys = (values & ~np.uint64(COORDINATES - 1)) | place
+            values = raw.view(np.uint32).reshape(-1, COORDINATES).astype(np.uint64)
+            keys = values * np.uint64(COORDINATES) + place
             node = np.repeat(batch.column(0).to_numpy(), COORDINATES)
             for lo in range(0, len(node), 1 << 18):
                 some = slice(lo, lo + (1 << 18))
@@ -194,12 +195,13 @@ def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return values.agg(of("a").alias("one"), of("b").alias("two"))
 
 
-def _filtered(pairs: DataFrame, accept) -> DataFrame:
-    """(a, b) of the pairs whose two values, as unsigned 64-bit numbers, are accepted."""
+def _filtered(pairs: DataFrame, accept, kind: type = np.uint64) -> DataFrame:
+    """(a, b) of the pairs whose two values, as arrays of unsigned numbers, are accepted."""
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = ((raw.view(np.uint64), off // 8) for raw, off in (scan.utf8(batch.column(c)) for c in (2, 3)))
+            one, two = ((raw.view(kind), off // width) for raw, off in (scan.utf8(batch.column(c)) for c in (2, 3)))
             keep = [
                 accept(one[0][a:b], two[0][c:d]) for a, b, c, d in zip(one[1], one[1][1:], two[1], two[1][1:])
             ]
@@ -210,7 +212,7 @@ def _filtered(pairs: DataFrame, accept) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, percent: int, save: _Steps) -> DataFrame:
     """Edges (a, b) among candidate pairs: enough matches of the signatures, then enough overlap of the sets."""
-    matched = save(_filtered(_both(pairs, nodes, "signature"), lambda x, y: int((x == y).sum()) >= matches))
+    matched = save(_filtered(_both(pairs, nodes, "signature"), lambda x, y: int((x == y).sum()) >= matches, np.uint32))
     return save(_filtered(_both(matched, sets, "own"), lambda x, y: similar(x, y, percent)).distinct())
 
 
@@ -308,7 +310,7 @@ def _in_blocks(members: DataFrame, nodes: DataFrame, prefixes: DataFrame, matche
         large = table.column("large").to_numpy(zero_copy_only=False)
         keys = table.column("keys").to_pylist()
         raw, _ = scan.utf8(table.column("signature"))
-        values = raw.view(np.uint64).reshape(-1, COORDINATES)
+        values = raw.view(np.uint32).reshape(-1, COORDINATES)
         left, right = np.flatnonzero(~large), np.flatnonzero(large) if large.any() else np.flatnonzero(~large)
         out = []
         for x in left.tolist():
@@ -385,13 +387,19 @@ def _judged(
             F.first("signature").alias("signature"),
         )
     )
+    # Rows need their signature no more, the nodes have it.
+    rows = save(signed.drop("signature"))
+    discard(signed)
     prefixes = save(_prefixes(nodes, COORDINATES - matches + 1))
     postings = prefixes.select("node", "alone", F.explode("keys").alias("key"))
     labels = save(prefixes.select("node", F.col("node").alias("label")))
     members = save(_open(postings, labels))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "of.doc_id", "of.text_key")
     wanted = save(wanted)
-    sets = _one_each(save(_sets(docs, wanted, shingle)), wanted, save)
+    read = save(_sets(docs, wanted, shingle))
+    sets = _one_each(read, wanted, save)
+    if sets is not read:
+        discard(read)
     for turn in range(rounds):
         edges = _confirmed(save(_with_leader(members, turn)), nodes, sets, matches, percent, save)
         if edges.isEmpty():
@@ -407,10 +415,12 @@ def _judged(
         blocks = save(_in_blocks(left, nodes, prefixes, matches, percent))
         edges = save(_confirmed_blocks(blocks, sets, percent))
         labels = _united(labels, edges, save)
+    for done in (sets, members, wanted):
+        discard(done)
     named = nodes.select("node", "least_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_node = save(named.join(least, "label").select("node", "component_id"))
-    rows = signed.select("doc_id", "text_key", "n", "node").join(of_node, "node", "left")
+    rows = rows.select("doc_id", "text_key", "n", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.col("doc_id").eqNullSafe(component)
     return rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
