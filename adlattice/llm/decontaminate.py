@@ -9,7 +9,7 @@ That test is one lookup per word pair for whole chunks, and drops no occurrence,
 
 A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
 
-Items are dealt to automata of at most ``AUTOMATON_WORDS`` words each (a bound on what is broadcast). Every text is held
+Items are dealt to automata of at most ``AUTOMATON_WORDS`` words each (a bound on what is broadcast, some 350 bytes a word, 70 MB). Every text is held
 once with the ids of its items, or, where there are more than ``IDS_AT_ONCE`` ids, once for each part of them. The documents
 are scanned once per automaton, unchanged, and the hits of a document united before anything is counted or cut.
 
@@ -20,6 +20,7 @@ benchmark leaves everything as it is; other columns are ignored by ``find_hits``
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,8 +52,13 @@ class Automaton:
             last = 0
             for word in sequence:
                 last = self._extend(last, word)
+        # Tasks get flat tables: one of all transitions, by state and word, and arrays of numbers.
+        self.words = max(1, len(self.vocabulary))
+        self.edges = {state * self.words + word: to for state, own in enumerate(self.next) for word, to in own.items()}
+        self.link, self.length = array("q", self.link), array("q", self.length)
+        del self.next
         # Items of a window, by the state that the window leads to and the window's length.
-        self.items: dict[tuple[int, int], set[str]] = {}
+        found: dict[int, set[str]] = {}
         self.short: list[int] = []
         for names, sequence in sequences:
             size = min(window, len(sequence))
@@ -62,7 +68,9 @@ class Automaton:
             for word in sequence:
                 state, length = self.step(state, length, word)
                 if length >= size:
-                    self.items.setdefault((self.ancestor(state, size), size), set()).update(names)
+                    found.setdefault(self.ancestor(state, size) * (window + 1) + size, set()).update(names)
+        alike: dict[frozenset[str], frozenset[str]] = {}
+        self.items = {at: alike.setdefault(own, own) for at, own in ((at, frozenset(own)) for at, own in found.items())}
         self.short = sorted(set(self.short))
         pairs = [s[i] * len(self.vocabulary) + s[i + 1] for _, s in sequences for i in range(len(s) - 1)]
         self.pairs = np.unique(np.array(pairs, np.int64))
@@ -99,10 +107,11 @@ class Automaton:
 
     def step(self, state: int, length: int, word: int) -> tuple[int, int]:
         """The longest item passage that ends with the word, from the one that ended before it."""
-        while state and word not in self.next[state]:
+        edges, words = self.edges, self.words
+        while state and state * words + word not in edges:
             state = self.link[state]
             length = self.length[state]
-        after = self.next[state].get(word)
+        after = edges.get(state * words + word)
         return (0, 0) if after is None else (after, length + 1)
 
     def ancestor(self, state: int, size: int) -> int:
@@ -111,7 +120,7 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def matches(self, sequence: list[int]) -> Iterator[tuple[int, int, set[str]]]:
+    def matches(self, sequence: list[int]) -> Iterator[tuple[int, int, frozenset[str]]]:
         """(last word, size, items) of every window in a sequence of word numbers, -1 for words of no item."""
         state = length = 0
         sizes = [*self.short, self.window]
@@ -120,7 +129,7 @@ class Automaton:
             for size in sizes:
                 if length < size:
                     break
-                items = self.items.get((self.ancestor(state, size), size))
+                items = self.items.get(self.ancestor(state, size) * (self.window + 1) + size)
                 if items:
                     yield at, size, items
 
@@ -191,8 +200,8 @@ def _scan(table: pa.Array, automaton: Automaton, known: scan.HashTable):
         yield lo, hi, data, off, starts, ends, first, np.cumsum(hit[:-1]) > 0, items
 
 
-def _found(docs: DataFrame, automaton: Automaton) -> DataFrame:
-    """(row, n_words, hits, items): numbers of the hit words and names of the items."""
+def _found(docs: DataFrame, automaton: Automaton, every: bool = True) -> DataFrame:
+    """(row, n_words, hits, items): numbers of the hit words and names of the items, of every row or of those with hits."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +209,14 @@ def _found(docs: DataFrame, automaton: Automaton) -> DataFrame:
         known = scan.HashTable(automaton.vocabulary)
         for batch in batches:
             for lo, hi, _, _, _, _, first, hit, items in _scan(batch.column(1), automaton, known):
-                places = [np.flatnonzero(hit[a:b]) if k in items else () for k, (a, b) in enumerate(zip(first, first[1:]))]
+                told = list(range(hi - lo)) if every else sorted(items)
+                places = [np.flatnonzero(hit[first[k] : first[k + 1]]) if k in items else () for k in told]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array(np.diff(first)),
+                        batch.column(0).slice(lo, hi - lo).take(pa.array(told, pa.int64())),
+                        pa.array(np.diff(first)[told] if told else np.zeros(0, np.int64)),
                         pa.array(places, pa.list_(pa.int32())),
-                        pa.array([sorted(items.get(k, ())) for k in range(hi - lo)], pa.list_(pa.string())),
+                        pa.array([sorted(items.get(k, ())) for k in told], pa.list_(pa.string())),
                     ],
                     ["row", "n_words", "hits", "items"],
                 )
@@ -219,7 +229,7 @@ def _united(rows: DataFrame, items: DataFrame, groups: int, window: int) -> Data
     """(row, n_words, hits, items) of (row, text) over all automata; rows need names of their own."""
     spark, path = rows.sparkSession, fresh_path(rows.sparkSession, "decontaminate-hits")
     for k, automaton in enumerate(automata(items, groups, window)):
-        _found(rows, automaton).write.parquet(f"{path}/part={k}")
+        _found(rows, automaton, k == 0).write.parquet(f"{path}/part={k}")
     every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     return spark.read.parquet(path).groupBy("row").agg(F.first("n_words").alias("n_words"), every("hits"), every("items"))
 

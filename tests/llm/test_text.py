@@ -125,6 +125,22 @@ def test_remove_passages(docs, items):
         assert match, r
 
 
+def test_automaton_takes_bounded_bytes():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    words = [r.integers(0, 1 << 60, 3000).astype(np.uint64)[r.integers(0, 3000, 500)] for _ in range(60)]
+    tracemalloc.start()
+    automaton = decontaminate.Automaton([(str(k), w) for k, w in enumerate(words)], 10)
+    import pickle
+
+    size = len(pickle.dumps(automaton))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    # Items of windows and the automaton, by word of the items.
+    assert size < 100 * 30_000 and held < 500 * 30_000
+
+
 def test_automaton_against_search():
     r = random.Random(2)
     for _ in range(200):
