@@ -8,6 +8,8 @@ probabilities.
 
 Training rows have a language and a crc32 of the doc_id (as text) whose remainder by 4 isn't 2.
 
+With more languages than ``SAMPLE`` some get no example, and those are never predicted.
+
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text where nothing could be
 learnt; rows with the same or no doc_id are judged one by one; equal texts get equal results; other columns are ignored.
 """
