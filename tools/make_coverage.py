@@ -27,8 +27,8 @@ WHERE = {
     "D9": "operators.profile.field_top_k", "D10": "operators.profile.fid_lift", "D11": "operators.profile.coverage_drift", "D12": "operators.profile.top_jaccard",
     "D13": "operators.profile.sanity_report", "D14": "operators.vocab.train_frequency", "D15": "operators.vocab.oov_token_curve", "D16": "operators.vocab.oov_row_curve",
     "D17": "operators.vocab.new_value_curve", "D18": "operators.vocab.encoding_advice", "D19": "operators.shape.length_quantiles", "D20": "operators.shape.truncation_curve",
-    "D21": "operators.shape.collision_curve", "D22": "operators.shape.bucket_advice", "D23": "operators.shape.token_share", "D24": "operators.shape.decile_edges",
-    "D25": "operators.shape.value_histogram", "D26": "operators.shape.psi", "D27": "operators.shape.value_profile", "D28": "operators.shape.max_len_advice",
+    "D21": "operators.shape.collision_curve", "D22": "operators.shape.bucket_advice", "D23": "operators.shape.token_share", "D24": "operators.shape.value_cube, cube_edges",
+    "D25": "operators.shape.cube_histogram", "D26": "operators.shape.psi", "D27": "operators.shape.cube_profile", "D28": "operators.shape.max_len_advice",
     "D29": "operators.shape.feature_advice", "D31": "operators.tokens.merge_duplicates", "D32": "operators.encode.encoding_stats", "D33": "operators.encode.encoding_rates",
     "D34": "operators.split.label_priors", "D35": "operators.vocab.frequency_ranks",
     "E1": "operators.vocab.frequency_ranks", "E2": "operators.vocab.vocab_table", "E3": "operators.encode.select_tokens", "E4": "operators.encode.select_tokens",
@@ -51,7 +51,7 @@ WHERE = {
     "L1": "operators.sampling.keep_negatives", "L2": "operators.sampling.ratio_subset", "L3": "operators.sampling.first_samples",
     "Q1": "operators.quality.missing_columns", "Q2": "operators.quality.oov_check", "Q3": "operators.quality.value_check", "Q4": "operators.quality.overflow_check",
     "Q5": "operators.quality.row_reconciliation", "Q6": "operators.quality.contract_check",
-    "R1": "operators.packing.pack_bags", "R2": "operators.packing.pad_batches", "R3": "operators.scorers.linear_scores", "R4": "operators.scorers.factorisation_scores",
+    "R1": "operators.packing.pack_bags", "R2": "operators.packing.pad_batches", "R3": "operators.scorers.fit, linear_scores", "R4": "operators.scorers.fit, factorisation_scores",
 }
 
 
