@@ -14,7 +14,7 @@ groups drop out), gets common prefixes by Kasai's rule (the next suffix in the t
 whose neighbour isn't the neighbour's successor, or that follow one sharing nothing, are compared), and finds its classes
 of equal windows.
 
-Merging. A name with more than ``SPLIT`` different strings is spread over several shards. Each sends its sorted class digests,
+Merging. A name with more than ``SPLIT`` different strings, or long ones, is spread over several shards. Each sends its sorted class digests,
 cut by digest, and these are looked up in those of the other shards by binary search. The cuts grow in number with the strings.
 
 Texts are named by two 64-bit hashes; equal texts have equal results. Defined results: a null text is an empty one; texts
@@ -39,6 +39,8 @@ LENGTH = 400
 GRAM = 200
 SHARD_BYTES = 1 << 20
 SPLIT = 512
+#: Shards that a task takes one after another.
+TASK_SHARDS = 2
 #: Values of 9 bits (a byte or the end of a string) that fit one number: suffixes are first sorted by so many.
 FIRST = 7
 #: Names of texts (two hashes and a doc_id) are broadcast up to this many rows (some 30 MB).
@@ -229,7 +231,8 @@ def _strings(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     named = texts.select(F.col("t1").alias("w1"), F.col("t2").alias("w2"), F.col("doc_id").alias("id"))
     named = F.broadcast(named) if texts.count() <= FEW_TEXTS else named
     same = (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    found = rows.join(named, same, "left_semi")
+    # One row of those that repeat a text and its doc_id speaks for all of them.
+    found = rows.join(named, same, "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
     lists = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("name", "part", "parts", "at", "n", "copies")).alias("blocks"))
     each = found.join(lists, ["t1", "t2"])
     schema = "name long, part int, parts int, t1 long, t2 long, at int, copies long, string binary"
@@ -254,7 +257,7 @@ def _strings(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 _SHARD = "shard long, name long, parts int, t1 long, t2 long, at int, again binary, digests binary, classes binary"
 
 
-def _shards(strings: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+def _shards(strings: DataFrame, length: int, shard_bytes: int, shards: int) -> DataFrame:
     """One row per string: which windows are known to occur again, and digests of the windows where the name has several shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +298,7 @@ def _shards(strings: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         if held:
             yield flush()
 
-    dealt = strings.repartition("name", "part").sortWithinPartitions("name", "part")
+    dealt = strings.repartition(shards, "name", "part").sortWithinPartitions("name", "part")
     return dealt.mapInArrow(run, _SHARD)
 
 
@@ -370,7 +373,8 @@ def repeated_spans(
     """(t1, t2, spans): byte runs of every text that has any; they may overlap."""
     if not 0 < gram < length:
         raise ValueError("the gram must be shorter than the string")
-    save, rows = _Steps(docs.sparkSession), _rows(docs)
+    spark = docs.sparkSession
+    save, rows = _Steps(spark), _rows(docs)
     found = save(_blocks(rows, length, gram))
     several = found.groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.max("repeats").alias("r")).where("c > 1 OR r").select("name")
     candidates = save(found.join(several, "name", "left_semi"))
@@ -381,12 +385,17 @@ def repeated_spans(
     )
     settled = candidates.join(variants.where("copies > 1").select("name", "whole"), ["name", "whole"], "left_semi")
     whole_spans = settled.select("t1", "t2", F.col("at").alias("from"), (F.col("at") + F.col("n") - 1 + length).alias("to")).distinct()
-    names = variants.groupBy("name").agg(F.count(F.lit(1)).alias("strings"), F.max("repeats").alias("any_repeats"))
-    names = names.where("strings > 1 OR any_repeats").withColumn("parts", F.ceil(F.col("strings") / split).cast("int"))
+    size = F.sum(F.col("one.n") + length).alias("bytes")
+    names = variants.groupBy("name").agg(F.count(F.lit(1)).alias("strings"), F.max("repeats").alias("any_repeats"), size)
+    parts = F.greatest(F.ceil(F.col("strings") / split), F.least(F.col("strings"), F.ceil(F.col("bytes") / (2 * shard_bytes))))
+    names = names.where("strings > 1 OR any_repeats").withColumn("parts", parts.cast("int"))
     part = F.pmod(F.xxhash64("whole"), F.col("parts")).cast("int")
     mixed = variants.join(names, "name").select("name", part.alias("part"), "parts", "copies", "one.*")
     mixed = save(mixed)
-    shards = save(_shards(_strings(rows, mixed, length), length, shard_bytes))
+    # Sorting suffixes is dear beside their bytes, so there are as many tasks as shards, whatever the bytes.
+    size = mixed.agg(F.sum(F.col("n") - 1 + length).alias("size")).first()["size"] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // (TASK_SHARDS * shard_bytes)))
+    shards = save(_shards(_strings(rows, mixed, length), length, shard_bytes, tasks))
     spans = whole_spans.unionByName(_spans(shards, _merged(shards), length))
     return spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
