@@ -192,6 +192,17 @@ def test_removal(docs, settings):
     checked(got, docs, ("n_bytes", "n_removed", "n_spans", "kept_sha256"), lambda t: want.get(t) or want[None])
 
 
+def test_rows_that_repeat_send_their_strings_once(spark, monkeypatch):
+    """Copies of a text without doc_id, or with the same, are one text to the suffix arrays."""
+    texts = [prose(1, 300), prose(2, 60) + " " + prose(1, 300)[200:1500] + " " + prose(3, 60)]
+    rows = [row(None, texts[0]) for _ in range(150)] + [row(7, texts[1]) for _ in range(150)]
+    sent, shards = [], suffix_dedup._shards
+    monkeypatch.setattr(suffix_dedup, "_shards", lambda strings, *more: sent.append(strings.count()) or shards(strings, *more))
+    got = suffix_dedup.removal(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 300 and all(r["n_removed"] == r["n_bytes"] for r in got)
+    assert sent[0] < 150
+
+
 def test_remove_repeats(docs, empty):
     digests = {r["kept_sha256"] for r in suffix_dedup.removal(docs).collect()}
     kept = suffix_dedup.remove_repeats(docs).collect()
@@ -482,7 +493,7 @@ def brute_tree(rows, depth, least, least_stored, divergence, mu):
 
 @pytest.mark.parametrize(
     "settings",
-    [{}, {"few": 0}, {"hot": 0}, {"hot": 60}, {"min_count": 3, "min_stored": 2, "hot": 300, "few": 50}, {"min_count": 2, "min_stored": 1}],
+    [{}, {"few": 0, "hot": 60}, {"hot": 0}, {"min_count": 3, "min_stored": 2, "hot": 300, "few": 50}],
 )
 def test_scores_of_the_tree(docs, settings):
     """The production values, and smaller counts; contexts known to tasks or counted by key, held by tasks or joined."""
