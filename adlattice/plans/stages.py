@@ -16,7 +16,7 @@ from adlattice.operators import encode, metrics, quality, shape, vocab
 from adlattice.operators import profile as pf
 from adlattice.operators import split as sp
 from adlattice.operators import tokens as tk
-from adlattice.session import partitions_for, placed_by, read_colocated
+from adlattice.session import durable, partitions_for, placed_by, read_colocated
 from adlattice.sources import raw, sinks
 from adlattice.spec import FeatureMap
 
@@ -44,9 +44,13 @@ def canonical(
     spark: SparkSession, skeleton: str, common: str, out: Layout, nrows: int | None = None, overwrite: bool = False
 ) -> DataFrame:
     """Raw CSVs to samples and tokens; returns the one-row manifest."""
-    numbered = raw.with_row_ids(spark, skeleton, nrows)
+    splits = durable(raw.split_table(spark, skeleton))
+    numbered = raw.with_row_ids(spark, skeleton, nrows, splits)
     strings = raw.read_common(spark, common)
+    fresh = overwrite or not sinks.exists(spark, out.path("samples"))
     sinks.write_samples(raw.samples_of(numbered), out.path("samples"), overwrite)
+    if fresh:
+        raw.require_all_rows(spark.read.parquet(out.path("samples")), splits, nrows)
     joined = tk.attach_common(numbered, strings)
     sinks.write_tokens(tk.all_tokens(joined), out.path("tokens"), overwrite=overwrite)
     samples, tokens = spark.read.parquet(out.path("samples")), spark.read.parquet(out.path("tokens"))

@@ -62,7 +62,26 @@ def number_lines(rows: DataFrame, splits: DataFrame) -> DataFrame:
     return rows.join(checked_broadcast(splits), ["_file", "_block"], "left").withColumn("row_id", row_id)
 
 
-def with_row_ids(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
+def split_table(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of every input split and of all splits before it."""
+    rows = _scan(spark, path, SKELETON_SCHEMA)
+    splits = rows.groupBy("_file", "_block").agg(F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.select(
+        "_file", "_block", "_first", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+
+
+def require_all_rows(numbered: DataFrame, splits: DataFrame, nrows: int | None = None) -> None:
+    """Fails where a written table of numbered rows has another number of rows than were counted, or leaves a number out."""
+    counted = splits.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+    wanted = counted if nrows is None else min(nrows, counted)
+    got = numbered.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("row_id") + 1, F.lit(0)).alias("ids")).first()
+    if (got["n"], got["ids"]) != (wanted, wanted):
+        raise ValueError(f"{wanted} rows were counted, {got['n']} came with numbers up to {got['ids']}")
+
+
+def with_row_ids(spark: SparkSession, path: str, nrows: int | None = None, splits: DataFrame | None = None) -> DataFrame:
     """Skeleton rows numbered 0..n-1 in file order; ``nrows`` keeps the first rows only.
 
     Rows are counted per input split and shifted by the rows of the splits before. Only the split
@@ -70,12 +89,7 @@ def with_row_ids(spark: SparkSession, path: str, nrows: int | None = None) -> Da
     split otherwise than the counted one fails the job: no row is lost or numbered twice unnoticed.
     """
     rows = _scan(spark, path, SKELETON_SCHEMA)
-    splits = rows.groupBy("_file", "_block").agg(F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(
-        "_file", "_block", "_first", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    numbered = number_lines(rows, splits).select("row_id", *SKELETON_SCHEMA.names)
+    numbered = number_lines(rows, split_table(spark, path) if splits is None else splits).select("row_id", *SKELETON_SCHEMA.names)
     return numbered if nrows is None else numbered.where(F.col("row_id") < nrows)
 
 

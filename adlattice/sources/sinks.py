@@ -29,6 +29,11 @@ def save_mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "ignore"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_samples(samples: DataFrame, path: str, overwrite: bool = False) -> None:
     _typed(samples, SAMPLE_COLUMNS).write.mode(save_mode(overwrite)).parquet(path)
 

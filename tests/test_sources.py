@@ -83,6 +83,11 @@ def test_rows_outside_their_counted_split_fail(spark):
     for odd in (("a", 0, 12), ("a", 0, 9), ("a", 64, 10), ("c", 0, 0)):
         with pytest.raises(Exception, match="input splits changed"):
             raw.number_lines(rows(odd), splits).collect()
+    raw.require_all_rows(good, splits)
+    raw.require_all_rows(good.where("row_id < 2"), splits, 2)
+    for wrong in (good.where("row_id < 2"), good.where("row_id > 0"), good.unionByName(good.limit(1))):
+        with pytest.raises(ValueError, match="were counted"):
+            raw.require_all_rows(wrong, splits)
 
 
 def test_first_rows(spark, files):
