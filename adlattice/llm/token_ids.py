@@ -152,7 +152,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, specials = _worker_encoder(model, kinds), Specials(model.value)
+        encoder, specials = _worker_encoder(model, kinds)
         width = np.dtype("<u4" if wide else "<u2")
         for batch in batches:
             for lo, hi, data, off in scan.chunks(batch.column(1)):
@@ -236,15 +236,15 @@ def library_ids(model: str):
     return resolve
 
 
-_WORKER: dict[int, pieces.PieceEncoder] = {}
+_WORKER: dict[int, tuple[pieces.PieceEncoder, Specials]] = {}
 
 
-def _worker_encoder(model, kinds) -> pieces.PieceEncoder:
+def _worker_encoder(model, kinds) -> tuple[pieces.PieceEncoder, Specials]:
     """One encoder per worker and vocabulary, so that later tasks find its pre-tokens."""
     key = zlib.crc32(model.value.encode())
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = pieces.PieceEncoder(library_ids(model.value), kinds.value, KEPT)
+        _WORKER[key] = pieces.PieceEncoder(library_ids(model.value), kinds.value, KEPT), Specials(model.value)
     return _WORKER[key]
 
 
