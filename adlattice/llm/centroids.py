@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlattice.llm import scan
 from adlattice.session import fresh_path
 
 CLUSTERS = 8
