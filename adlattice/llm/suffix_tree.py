@@ -16,9 +16,10 @@ numbers of pairs meet in buckets whose number grows with the corpus; where they
 For scoring, the most frequent contexts with their symbols are broadcast (``HOT`` rows at most); places whose contexts may be
 among the others are joined with the tables, level by level.
 
-Word counts grow with the corpus too; only words with at least 1 / HEAD of all symbols are broadcast, which are HEAD at most, and
-contexts and their next symbols are made of these. All other words stay in a table. Each adds a known amount plus
-log10(c + 1), and these are joined by word and added up by text.
+Contexts and their next symbols are made of all words seen ``MIN_COUNT`` times or more. Word counts grow with the corpus too: where
+those words are HEAD at most, they are broadcast and tell which pairs are worth counting; where they are more, they stay a table that the counted
+pairs are joined with, and only words with at least 1 / HEAD of all symbols are broadcast. All other words stay in a table. Each adds a known amount
+plus log10(c + 1), and these are joined by word and added up by text.
 
 Defined results: a null text is an empty one and has its end alone; rows with the same doc_id, or none, are scored one by
 one; with a null doc_id a row is in the training part; without training rows N = V = 0; other columns are ignored.
@@ -111,6 +112,8 @@ class Tree:
     v: int
     head: np.ndarray
     head_counts: np.ndarray
+    #: Whether the head has all words that contexts are made of.
+    whole_head: bool = True
     contexts: DataFrame | None = None
     pairs: DataFrame | None = None
 
@@ -213,17 +216,24 @@ def _next_of_known(docs: DataFrame, keys: np.ndarray, frequent: np.ndarray, dept
     return sent.groupBy("bucket").applyInArrow(merge, _NEXT)
 
 
-def _next_by_key(docs: DataFrame, contexts: DataFrame, frequent: np.ndarray, depth: int, least: int, skip) -> DataFrame:
-    """(context, symbol, n) with n of ``least`` or more: pairs of frequent symbols counted by key, then those of the contexts."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _next_by_key(docs: DataFrame, contexts: DataFrame, able: DataFrame, depth: int, least: int, skip, frequent=None, keys=None) -> DataFrame:
+    """(context, symbol, n) with n of ``least`` or more: pairs counted by key, then those of the contexts and the words in ``able``.
+
+    Tasks leave out pairs with other words (``frequent``) or contexts (``keys``) where they can hold these.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = scan.HashTable(shared.value)
+        known, held = (None if a is None else scan.HashTable(a) for a in shared.value)
         for own, first in _training(batches, skip):
-            often = known.find(own) >= 0
             *_, (at, key) = context_keys(own, first, depth)
-            for back in range(depth + 1):
-                keep = often[at - back]
+            if known is not None:
+                often = known.find(own) >= 0
+                for back in range(depth + 1):
+                    keep = often[at - back]
+                    at, key = at[keep], key[keep]
+            if held is not None:
+                keep = held.find(key) >= 0
                 at, key = at[keep], key[keep]
             order = np.lexsort((own[at], key))
             key, symbol = key[order], own[at][order]
@@ -232,7 +242,9 @@ def _next_by_key(docs: DataFrame, contexts: DataFrame, frequent: np.ndarray, dep
             yield pa.RecordBatch.from_arrays([pa.array(key[edge].view(np.int64)), pa.array(symbol[edge].view(np.int64)), pa.array(n)], ["context", "symbol", "n"])
 
     counted = _plain(docs).mapInArrow(run, _NEXT).groupBy("context", "symbol").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return counted.join(contexts.select("context"), "context", "left_semi")
+    if frequent is None:
+        counted = counted.join(able.select("symbol"), "symbol", "left_semi")
+    return counted.join(contexts.select("context"), "context", "left_semi").select("context", "symbol", "n")
 
 
 _CONTEXTS = "context long, suffix long, size long, members array<long>"
@@ -240,8 +252,16 @@ _CONTEXTS = "context long, suffix long, size long, members array<long>"
 
 def _longer(rows: DataFrame, contexts: DataFrame, least: int) -> DataFrame:
     """Contexts of the next level: those of this one with a symbol behind, as often as that symbol was seen there."""
-    more = rows.where((F.col("n") >= least) & (F.col("symbol") != F.lit(int(END.view(np.int64)))))
-    told = more.join(contexts.select("context", "members"), "context").select("n", F.concat(F.array("symbol"), "members").alias("members"))
+    more = _words(rows.where(F.col("n") >= least))
+    return _keyed(more.join(contexts.select("context", "members"), "context").select("n", F.concat(F.array("symbol"), "members").alias("members")))
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("symbol") != F.lit(int(END.view(np.int64))))
+
+
+def _keyed(told: DataFrame) -> DataFrame:
+    """Contexts of (n, members) rows with their keys and those of their suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,30 +298,30 @@ def grow(
         frame.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    able = counts.where(F.col("n") >= min_count)
+    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") >= min_count).alias("able")).first()
     n, v = total["n"] or 0, total["v"]
-    top = counts.where(F.col("n") >= max(1, -(-n // head))).toArrow()
+    whole_head = total["able"] <= head
+    at_least = max(1, -(-n // head))
+    top = counts.where(F.col("n") >= (min(at_least, min_count) if whole_head else at_least)).toArrow()
     keys, values = top.column("symbol").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    tree = Tree(n, v, keys, values)
-    often = values >= min_count
-    frequent, words = keys[often], keys[often & (keys != END)]
-    if not len(words):
+    tree = Tree(n, v, keys, values, whole_head)
+    frequent = keys[values >= min_count] if whole_head else None
+    if _words(able).isEmpty():
         return tree
-    root = counts.join(F.broadcast(spark.createDataFrame(pa.table({"symbol": frequent.view(np.int64)}))), "symbol")
-    before = root.select(F.lit(0).cast("long").alias("context"), "symbol", ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"))
-    sizes = values[often & (keys != END)]
-    first = {"context": extended(np.zeros(len(words), np.uint64), words).view(np.int64), "suffix": np.zeros(len(words), np.int64), "size": sizes}
-    one_word = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1), pa.int32()), pa.array(words.view(np.int64)))
-    contexts = save(spark.createDataFrame(pa.table({**first, "members": one_word})), "contexts-1")
+    before = able.select(F.lit(0).cast("long").alias("context"), "symbol", ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"))
+    contexts = save(_keyed(_words(able).select("n", F.array("symbol").alias("members"))), "contexts-1")
     for level in range(1, depth + 1):
         examined = contexts.count()
         if not examined:
             break
+        own = None
         if examined <= few:
             own = np.sort(contexts.select("context").toArrow().column(0).to_numpy().view(np.uint64))
+        if own is not None and whole_head:
             found = _next_of_known(docs, own, frequent, level, min_stored, n, skip)
         else:
-            found = _next_by_key(docs, contexts, frequent, level, min_stored, skip)
+            found = _next_by_key(docs, contexts, able, level, min_stored, skip, frequent, own)
         rows = save(found, f"next-{level}")
         following = save(_longer(rows, contexts, min_count), f"contexts-{level + 1}") if level < depth else None
         # Probabilities of the symbols by the longest kept suffix stand in the suffix's rows.
@@ -338,7 +358,8 @@ class Hot:
     head_logs: np.ndarray
     unseen: float
     least: int
-    words: np.ndarray
+    #: Words that contexts are made of; None where a task can't hold them.
+    words: np.ndarray | None
     keys: np.ndarray
     rest: np.ndarray
     pairs: np.ndarray
@@ -348,7 +369,7 @@ class Hot:
 def hottest(tree: Tree, hot: int, min_count: int) -> Hot:
     """The most frequent contexts of a tree such that they and their symbols are ``hot`` rows at most."""
     logs, unseen = tree.logs_of(tree.head_counts.astype(np.float64)), float(tree.logs_of(np.zeros(1))[0])
-    words = tree.head[tree.head_counts >= min_count]
+    words = tree.head[tree.head_counts >= min_count] if tree.whole_head else None
     none, zero = np.zeros(0, np.uint64), np.zeros(0)
     if tree.contexts is None:
         return Hot(tree.head, logs, unseen, 0, words, none, zero, none, zero)
@@ -374,21 +395,21 @@ def hottest(tree: Tree, hot: int, min_count: int) -> Hot:
 class Scorer:
     def __init__(self, hot: Hot, depth: int):
         self.hot, self.depth = hot, depth
-        self.head, self.words = scan.HashTable(hot.tree_head), scan.HashTable(hot.words)
+        self.head, self.words = scan.HashTable(hot.tree_head), None if hot.words is None else scan.HashTable(hot.words)
         self.contexts, self.pairs = scan.HashTable(hot.keys), scan.HashTable(hot.pairs)
 
-    def score(self, own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-        """log10 p at the root and by the contexts held here for every symbol, the places of symbols beyond the head,
-        and (places, keys) by level of contexts that are not held here.
+    def score(self, own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+        """log10 p at the root and by the contexts held here for every symbol, the places of symbols beyond the head, whether
+        a context held here stores the symbol, and (places, keys) by level of contexts that are not held here.
 
-        For symbols beyond the head, log10(c + 1) is still to be added to both.
+        For symbols beyond the head, log10(c + 1) is still to be added to the first, and to the second where no context stores them.
         """
         hot, at = self.hot, self.head.find(own)
         known = at >= 0
         base = np.where(known, hot.head_logs[at] if len(hot.head_logs) else 0.0, hot.unseen)
-        logs, open_ = base.copy(), []
-        if len(hot.words):
-            often = self.words.find(own) >= 0
+        logs, told, open_ = base.copy(), np.zeros(len(own), bool), []
+        if hot.words is None or len(hot.words):
+            often = np.ones(len(own), bool) if self.words is None else self.words.find(own) >= 0
             for d, (places, keys) in enumerate(context_keys(own, first, self.depth), 1):
                 able = often[places - 1]
                 for back in range(2, d + 1):
@@ -400,9 +421,10 @@ class Scorer:
                 logs[to] += hot.rest[context[hit]]
                 stored = self.pairs.find(_pair(keys[hit], own[to]))
                 logs[to[stored >= 0]] = hot.logs[stored[stored >= 0]]
+                told[to[stored >= 0]] = True
                 if hot.least:
                     open_.append((places[context < 0], keys[context < 0]))
-        return base, logs, np.flatnonzero(~known), open_
+        return base, logs, np.flatnonzero(~known), told, open_
 
 
 _WORKER: dict[int, Scorer] = {}
@@ -416,10 +438,12 @@ def _worker_scorer(hot: Hot, depth: int) -> Scorer:
     return _WORKER[id(hot)]
 
 
-def _gathered(own: np.ndarray, first: np.ndarray, logs: np.ndarray, open_: list, depth: int) -> tuple[list[pa.Array], np.ndarray]:
-    """Places with contexts that aren't held by the task, as columns (symbol, log, key of each level or null), and the text of each."""
+def _gathered(own: np.ndarray, first: np.ndarray, logs: np.ndarray, lacks: np.ndarray, open_: list, depth: int) -> tuple[list[pa.Array], np.ndarray]:
+    """Places with contexts that aren't held by the task, as columns (symbol, log, symbol if its log lacks log10(c + 1), key of each
+    level or null), and the text of each."""
     places = np.unique(np.concatenate([p for p, _ in open_])) if open_ else np.zeros(0, np.int64)
-    columns = [pa.array(own[places].view(np.int64)), pa.array(logs[places])]
+    symbol = own[places].view(np.int64)
+    columns = [pa.array(symbol), pa.array(logs[places]), pa.array(symbol, mask=~lacks[places])]
     for d in range(depth):
         key, held = np.zeros(len(places), np.int64), np.zeros(len(places), bool)
         if d < len(open_):
@@ -429,22 +453,29 @@ def _gathered(own: np.ndarray, first: np.ndarray, logs: np.ndarray, open_: list,
     return columns, np.searchsorted(first, places, "right") - 1
 
 
-def _left_over(docs: DataFrame, shared, tree: Tree, depth: int, least: int) -> DataFrame:
+def _left_over(docs: DataFrame, shared, tree: Tree, counts: DataFrame, depth: int, least: int) -> DataFrame:
     """(row, more): what contexts that tasks don't hold change in the score of each row."""
     keys = [f"k{d}" for d in range(1, depth + 1)]
-    schema = "row long, symbol long, log double, " + ", ".join(f"{k} long" for k in keys)
+    schema = "row long, symbol long, log double, rare long, " + ", ".join(f"{k} long" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _worker_scorer(shared.value, depth)
         for batch in batches:
             for lo, hi, data, off in scan.chunks(batch.column(1)):
                 own, first = symbols(data, off)
-                _, logs, _, open_ = scorer.score(own, first)
-                columns, text = _gathered(own, first, logs, open_, depth)
+                _, logs, rest, told, open_ = scorer.score(own, first)
+                lacks = np.zeros(len(own), bool)
+                lacks[rest] = ~told[rest]
+                columns, text = _gathered(own, first, logs, lacks, open_, depth)
                 row = batch.column(0).slice(lo, hi - lo).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([row, *columns], ["row", "symbol", "log", *keys])
-
-    places = docs.select("row", F.col("text").cast("string")).mapInArrow(run, schema).withColumn("now", F.col("log"))
+                yield pa.RecordBatch.from_arrays([row, *columns], ["row", "symbol", "log", "rare", *keys])
+
+    places = docs.select("row", F.col("text").cast("string")).mapInArrow(run, schema)
+    if not tree.whole_head:
+        lacking = counts.select(F.col("symbol").alias("rare"), F.log10(F.col("n") + 1).alias("more"))
+        places = spread_join(places, lacking, ["rare"], "left", ["row", "symbol"])
+        places = places.withColumn("log", F.col("log") + F.coalesce("more", F.lit(0.0))).drop("more")
+    places = places.drop("rare").withColumn("now", F.col("log"))
     contexts, pairs = (t.where(F.col("size") < least) for t in (tree.contexts, tree.pairs))
     for k in keys:
         rest = contexts.select(F.col("context").alias(k), "rest")
@@ -468,7 +499,7 @@ def score(
     spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "suffix-tree")
     held = hottest(tree, hot, min_count)
     shared = spark.sparkContext.broadcast(held)
-    part = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare binary, times binary"
+    part = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare binary, times binary, lacking binary"
     texts = _plain(docs)
     if held.least:
         # The rows are read twice, so their numbers are written with them.
@@ -483,13 +514,14 @@ def score(
             out = skip(batch.column(0))
             for lo, hi, data, off in scan.chunks(batch.column(1)):
                 own, first = symbols(data, off)
-                base, logs, rest, _ = scorer.score(own, first)
+                base, logs, rest, told, _ = scorer.score(own, first)
                 cuts = np.searchsorted(rest, first)
-                rare, times = [], []
+                rare, times, lacking = [], [], []
                 for a, b in zip(cuts, cuts[1:]):
-                    words, n = np.unique(own[rest[a:b]], return_counts=True)
+                    words, back, n = np.unique(own[rest[a:b]], return_inverse=True, return_counts=True)
                     rare.append(words.astype("<u8").tobytes())
                     times.append(n.astype("<u4").tobytes())
+                    lacking.append(np.bincount(back, ~told[rest[a:b]], len(words)).astype("<u4").tobytes())
                 size = np.diff(first)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -502,6 +534,7 @@ def score(
                         pa.array(scan.sums(logs, first)),
                         pa.array(rare, pa.binary()),
                         pa.array(times, pa.binary()),
+                        pa.array(lacking, pa.binary()),
                     ],
                     part.replace(",", "").split()[::2],
                 )
@@ -512,23 +545,25 @@ def score(
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, off = scan.utf8(batch.column(1))
-            times, _ = scan.utf8(batch.column(2))
+            times, lacking = (scan.utf8(batch.column(c))[0].view("<u4").astype(np.int64) for c in (2, 3))
             row = np.repeat(batch.column(0).to_numpy(), np.diff(off) // 8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.array(words.view("<i8")), pa.array(times.view("<u4").astype(np.int64))], ["row", "symbol", "times"]
+                [pa.array(row), pa.array(words.view("<i8")), pa.array(times), pa.array(lacking)], ["row", "symbol", "times", "lacking"]
             )
 
-    rare = rows.where(F.octet_length("rare") > 0).select("row", "rare", "times").mapInArrow(unpack, "row long, symbol long, times long")
+    rare = rows.where(F.octet_length("rare") > 0).select("row", "rare", "times", "lacking")
+    rare = rare.mapInArrow(unpack, "row long, symbol long, times long, lacking long")
+    by_count = F.log10(F.col("n") + 1)
     more = (
         rare.join(counts.select("symbol", "n"), "symbol")
         .groupBy("row")
-        .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
+        .agg(F.sum("times").alias("more"), F.sum(F.col("times") * by_count).alias("logs"), F.sum(F.col("lacking") * by_count).alias("own_logs"))
     )
     scored, change = rows.join(more, "row", "left"), F.lit(0.0)
     if held.least:
-        scored = scored.join(_left_over(texts, shared, tree, depth, held.least), "row", "left")
+        scored = scored.join(_left_over(texts, shared, tree, counts, depth, held.least), "row", "left")
         change = F.coalesce("change", F.lit(0.0))
-    logs, known = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
+    logs, own_logs, known = F.coalesce("logs", F.lit(0.0)), F.coalesce("own_logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
     return scored.select(
         "doc_id",
         "held_out",
@@ -536,7 +571,7 @@ def score(
         (F.col("known") + known).alias("n_known"),
         F.lit(tree.n).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"),
-        (F.col("score") + logs + change).alias("score"),
+        (F.col("score") + own_logs + change).alias("score"),
     )
 
 

@@ -511,6 +511,15 @@ def test_scores_of_the_tree(docs, settings):
         assert sorted(round(r["score"], 5) for r in some) == pytest.approx(sorted(want), abs=2e-4)
 
 
+@pytest.mark.parametrize("settings", [{"hot": 0}, {"few": 50, "hot": 300}])
+def test_words_beyond_the_head_make_contexts(docs, settings):
+    """With a head of 5 words the scores are those with a head of all words."""
+    key = lambda frame: sorted((r["doc_id"] if r["doc_id"] is not None else -1, round(r["score"], 6), round(r["base_score"], 6)) for r in frame.collect())
+    got, want = key(suffix_tree.model_scores(docs, head=5, **settings)), key(suffix_tree.model_scores(docs))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [x for g in got for x in g[1:]] == pytest.approx([x for w in want for x in w[1:]], abs=2e-4)
+
+
 def test_the_tree_grows_with_the_corpus(spark):
     """Four times the text has more than twice the contexts, and each is held by its own count."""
     sizes = []
