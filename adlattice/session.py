@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Compressed input per range partition; what it grows to in memory still fits a task.
 PARTITION_INPUT = 96 << 20
+# The same where a task sorts or aggregates whole token rows: some millions of them, a few hundred MB.
+ROW_INPUT = 16 << 20
 # Catalyst's mark for a leaf that it can't measure lies above.
 UNKNOWN_SIZE = 1 << 60
 
@@ -165,7 +167,21 @@ def partitions_for(df: DataFrame, input_bytes: int = PARTITION_INPUT) -> int | N
     None while the session's own setting gives small enough ones; adaptive execution merges those
     that are too small, but splits none.
     """
+    need = parts_of(df, input_bytes)
+    return need if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def parts_of(df: DataFrame, input_bytes: int = PARTITION_INPUT) -> int:
+    """How many parts of so many bytes the tables have that ``df`` reads."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    need = -(-sum(s for s in sizes if s < UNKNOWN_SIZE) // input_bytes)
-    return need if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    return -(-sum(s for s in sizes if s < UNKNOWN_SIZE) // input_bytes)
+
+
+def by_rows(df: DataFrame, keys: list[str], home: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Token rows in as many hash partitions by ``keys`` as their input needs, once the session's setting is too low.
+
+    Rows that lie by ``home`` already aren't moved.
+    """
+    parts = partitions_for(df, ROW_INPUT)
+    return df.repartition(parts, *keys) if parts and not lies_by(df, list(home)) else df

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlattice.session import colocated, partitions_for, read_colocated
+from adlattice.session import ROW_INPUT, colocated, partitions_for, parts_of, read_colocated
 
 SAMPLE_COLUMNS = {
     "row_id": "long",
@@ -38,6 +38,11 @@ def write_samples(samples: DataFrame, path: str, overwrite: bool = False) -> Non
     _typed(samples, SAMPLE_COLUMNS).write.mode(save_mode(overwrite)).parquet(path)
 
 
+def fitting_parts(df: DataFrame, parts: int) -> int:
+    """``parts``, or more where a part would be more than one task sorts and writes."""
+    return max(parts, parts_of(df, ROW_INPUT))
+
+
 def write_tokens(
     tokens: DataFrame,
     path: str,
@@ -45,9 +50,12 @@ def write_tokens(
     parts: int | None = None,
     overwrite: bool = False,
 ) -> None:
-    """Token files that each cover one row_id range, so a row range prunes files and row groups."""
+    """Token files that each cover one row_id range, so a row range prunes files and row groups.
+
+    ``parts`` is the least number of ranges; larger tables get as many as their bytes need.
+    """
     typed = _typed(tokens, TOKEN_COLUMNS)
-    parts = parts or partitions_for(typed)
+    parts = fitting_parts(typed, parts) if parts else partitions_for(typed, ROW_INPUT)
     ranged = typed.repartitionByRange(parts, "row_id") if parts else typed.repartitionByRange("row_id")
     (
         ranged.sortWithinPartitions("row_id", "src", "field")
@@ -80,6 +88,7 @@ def compact_tokens(
 ) -> DataFrame:
     """Rewrite many small token files as about ``target_parts`` large ones; returns the manifest.
 
+    Where these would be larger than one task writes there are more of them (``fitting_parts``).
     The new files go to a new path. Row counts are compared before the manifest is handed out.
     """
     before = spark.read.parquet(source).count()
@@ -98,9 +107,12 @@ def compact_tokens(
 
 
 def merge_parquet(spark: SparkSession, source: str, target: str, parts: int) -> int:
-    """Rewrite any Parquet folder as at most ``parts`` files, in ranges of row_id where it has them, and verify the rows."""
+    """Rewrite any Parquet folder as at most ``parts`` files, in ranges of row_id where it has them, and verify the rows.
+
+    Where these would be larger than one task writes there are more of them (``fitting_parts``).
+    """
     df = spark.read.parquet(source)
-    before = df.count()
+    before, parts = df.count(), fitting_parts(df, parts)
     ordered = df.repartitionByRange(parts, "row_id") if "row_id" in df.columns else df.repartition(parts)
     ordered.write.mode("overwrite").parquet(target)
     after = spark.read.parquet(target).count()
