@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from adlattice.functions.parsing import raw_tokens, token_parts
 from adlattice.functions.scalars import finite_or_zero, is_finite
 from adlattice.operators.joins import spread_join
+from adlattice.session import by_rows
 
 SKELETON, COMMON = 0, 1
 FIELD_KEY = ["field", "src"]
@@ -111,19 +112,26 @@ def guard_values(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("bad_value", ~is_finite(val)).withColumn("val", finite_or_zero(val))
 
 
-def merge_duplicates(tokens: DataFrame, how: str = "max", order: Sequence[str] = ()) -> DataFrame:
-    """One row per (row_id, src, field, fid): the largest, summed or last value."""
-    if how == "max":
-        value = F.max("val")
-    elif how == "sum":
-        value = F.sum("val")
-    elif how == "last":
-        if not order:
-            raise ValueError("the last value needs order columns")
-        value = F.max_by("val", F.struct(*order))
-    else:
-        raise ValueError(f"unknown duplicate rule {how}")
-    return tokens.groupBy(*TOKEN_KEY).agg(value.alias("val"))
+def merge_duplicates(tokens: DataFrame, how: str | Sequence[str] = "max", order: Sequence[str] = ()) -> DataFrame:
+    """One row per (row_id, src, field, fid): the largest, summed or last value as ``val``.
+
+    Several rules share one move of the tokens and give a column each, ``max_val``, ``sum_val`` or ``last_val``.
+    """
+    rules = {"val": how} if isinstance(how, str) else {f"{rule}_val": rule for rule in how}
+    values = []
+    for out, rule in rules.items():
+        if rule == "max":
+            value = F.max("val")
+        elif rule == "sum":
+            value = F.sum("val")
+        elif rule == "last":
+            if not order:
+                raise ValueError("the last value needs order columns")
+            value = F.max_by("val", F.struct(*order))
+        else:
+            raise ValueError(f"unknown duplicate rule {rule}")
+        values.append(value.alias(out))
+    return by_rows(tokens, TOKEN_KEY).groupBy(*TOKEN_KEY).agg(*values)
 
 
 def tokens_in_range(tokens: DataFrame, low: int, high: int) -> DataFrame:

@@ -282,11 +282,8 @@ def duplicated(v: Views) -> DataFrame:
 
 
 def q_duplicates(v: Views) -> DataFrame:
-    both = duplicated(v)
-    last = tk.merge_duplicates(both, "last", ["ord", "val"]).withColumnRenamed("val", "last_val")
-    most = tk.merge_duplicates(both, "max").withColumnRenamed("val", "max_val")
-    total = tk.merge_duplicates(both, "sum").withColumnRenamed("val", "sum_val")
-    rows = most.join(total, tk.TOKEN_KEY).join(last, tk.TOKEN_KEY)
+    # The joins that put the three rules side by side before met no token without a key.
+    rows = tk.merge_duplicates(duplicated(v), ["last", "max", "sum"], ["ord", "val"]).dropna(subset=tk.TOKEN_KEY)
     return rows.groupBy("field", "src").agg(
         F.count(F.lit(1)).alias("tokens"), F.sum("max_val").alias("max_sum"), F.sum("sum_val").alias("sum_sum"), F.sum("last_val").alias("last_sum")
     )
