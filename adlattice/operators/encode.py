@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from adlattice.functions.hashing import token_bucket, token_bucket_blake2b
 from adlattice.operators.tokens import default_src, guard_values
 from adlattice.operators.vocab import look_up_ranks
-from adlattice.session import placed_by
+from adlattice.session import by_rows, placed_by
 from adlattice.spec import HASH_OFFSET, HASH_SEED, MISSING_ID, OOV_ID, UNKNOWN_RANK, Feature, FeatureMap
 
 BAG = ["row_id", "src", "field"]
@@ -38,7 +38,7 @@ def prepare_bags(tokens: DataFrame, spec: DataFrame, ranks: DataFrame) -> DataFr
     """
     keys = F.broadcast(spec.select("src", "field"))
     wanted = guard_values(default_src(tokens)).join(keys, ["src", "field"], "left_semi")
-    ranked = placed_by(look_up_ranks(wanted, ranks), ["row_id"])
+    ranked = placed_by(by_rows(look_up_ranks(wanted, ranks), ["row_id"]), ["row_id"])
     return ranked.groupBy(*BAG, "fid").agg(
         F.max("val").alias("val"),
         F.min("rank").alias("rank"),

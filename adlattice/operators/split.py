@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlattice.functions.hashing import split_name, unit_hash, unit_hash_xxh64
+from adlattice.session import by_rows
 
 
 def assign_split(samples: DataFrame, ratios: Mapping[str, float], seed: int, xxh64: bool = False) -> DataFrame:
@@ -46,7 +47,7 @@ def split_tokens(tokens: DataFrame, split_samples: DataFrame) -> DataFrame:
 
 def tokens_of_split(tokens: DataFrame, split_samples: DataFrame, split: str) -> DataFrame:
     wanted = split_samples.where(F.col("split") == split).select("row_id")
-    return tokens.join(wanted, "row_id", "left_semi")
+    return by_rows(tokens, ["row_id"]).join(wanted, "row_id", "left_semi")
 
 
 def reconcile_split(tokens: DataFrame, assigned: DataFrame) -> DataFrame:
