@@ -42,7 +42,7 @@ def q_labelled(v: Views) -> DataFrame:
 
 def drift(v: Views) -> DataFrame:
     """Drift where field 301 is cut from the valid side, so that one key is missing there."""
-    train, valid = v.tokens_of("train"), v.tokens_of("valid").where("field <> '301'")
+    train, valid = v.side("train"), v.side("valid").where("field <> '301'")
     coverage = pf.coverage_drift(train, valid, v.rows(v.samples_of("train")), v.rows(v.samples_of("valid")))
     jaccard = pf.top_jaccard(pf.field_top_k(token_counts(train), 100), pf.field_top_k(token_counts(valid), 100))
     return pf.drift_summary(coverage, jaccard)
@@ -114,8 +114,8 @@ def max_len(v: Views) -> DataFrame:
 
 def q_advice(v: Views) -> DataFrame:
     base = stats(v)
-    frequency = vocab.train_frequency(v.tokens_of("train"))
-    hints = vocab.encoding_advice(vocab.oov_curves(v.tokens_of("valid"), frequency))
+    frequency = vocab.train_frequency(v.side("train"))
+    hints = vocab.encoding_advice(vocab.oov_curves(v.side("valid"), frequency))
     buckets = shape.bucket_advice(shape.token_share(base), shape.collision_curve(base))
     known = default_feature_map().table(v.spark).where("field <> '129'")
     return shape.feature_advice(base, hints, buckets, max_len(v), known)
@@ -341,7 +341,7 @@ QUERIES = [
     Query("oov_metric_frame", "C14", "field:t src:i total_tokens:i total_rows:i total_distinct:i", q_metric_frame,
           "SELECT field, src, count(*) AS total_tokens, count(DISTINCT row_id) AS total_rows, count(DISTINCT fid) AS total_distinct FROM split_words_fx WHERE split = 'valid' GROUP BY field, src"),
     Query("encoding_advice", "D18", "field:t src:i recommended_head_size:i recommended_encoding:t", lambda v: vocab.encoding_advice(
-          vocab.oov_curves(v.tokens_of("valid"), vocab.train_frequency(v.tokens_of("train")))),
+          vocab.oov_curves(v.side("valid"), vocab.train_frequency(v.side("train")))),
           ADVICE_OF_CURVES.format(curves=_curves_sql(TOKEN_RANK_JOIN, DEFAULT_HEADS))),
     Query("word_encoding_advice", "D18", "field:t src:i recommended_head_size:i recommended_encoding:t", lambda v: vocab.encoding_advice(oov(v)),
           ADVICE_OF_CURVES.format(curves=_curves_sql(WORD_JOIN_SQL, WORD_HEADS))),

@@ -15,7 +15,7 @@ from adlattice.operators import split as sp
 from adlattice.operators import vocab
 from adlattice.operators.encode import assemble, check_bounds, encode_tokens
 from adlattice.operators.tokens import token_counts
-from adlattice.session import durable
+from adlattice.session import by_rows, durable
 from adlattice.spec import Feature, FeatureMap
 
 SEED = 42
@@ -110,6 +110,12 @@ class Views:
     def tokens_of(self, split: str) -> DataFrame:
         return sp.tokens_of_split(self.tokens, self.split_samples, split)
 
+    def side(self, split: str) -> DataFrame:
+        """``tokens_of(split)`` for queries that read several splits, or one more than once: the tokens are moved and written once for all."""
+        marks = self.split_samples.select("row_id", "split").distinct()
+        both = self.once("split_tokens", lambda: by_rows(self.tokens, ["row_id"]).join(marks, "row_id"))
+        return both.where(F.col("split") == split).drop("split")
+
     def rows(self, df: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("n"))
 
