@@ -154,3 +154,34 @@ def test_thresholds_differ_by_language():
     thresholds, slope = toxicity.calibrate(logits, labels, np.ones(600), language, 3)
     assert 0.5 < thresholds[0] < 1.7 and 5.5 < thresholds[1] < 6.7 and slope > 0
     assert thresholds[2] == toxicity.best_threshold(logits, labels, np.ones(600))
+
+
+def test_toxicity_learns_from_every_labelled_row(texts, spark, monkeypatch):
+    """Shards of 100 rows: all are counted and trained on, and the result still tells the labels apart."""
+    docs, labels, known, marks = texts
+    met = []
+    counted, fit = toxicity._counted, toxicity.fit
+    monkeypatch.setattr(toxicity, "_counted", lambda examples: met.append(examples.count()) or counted(examples))
+    monkeypatch.setattr(toxicity, "fit", lambda examples, *rest: met.append(examples.count()) or fit(examples, *rest))
+    got = toxicity.scored(docs, labels, shard=100).collect()
+    train = toxicity._examples(docs, labels).selectExpr("sum(int(pmod(xxhash64(doc_id, 31), 5) <> 0)) AS n").first()["n"]
+    assert met == [train, train] and train > 300
+    held = [r for r in got if r["held_out"] and r["doc_id"] in marks and r["doc_id"] not in (3, 5)]
+    common = max(np.mean([marks[r["doc_id"]] == k for r in held]) for k in (0, 1))
+    assert np.mean([r["predicted"] == marks[r["doc_id"]] for r in held]) > common + 0.05
+
+
+def test_rare_words_among_many_examples_are_learnt(spark):
+    """A word of 12 toxic rows among 8,000 of that label is told; a draw of 3,000 rows of the label met it in some 4 of them."""
+    r = random.Random(2)
+    train = [k for k in range(22000) if zlib.crc32(str(k).encode()) % 5]
+    bad, rows, labels = set(train[::2][:8000]), [], []
+    rare = set(sorted(bad)[::600])
+    for k in train:
+        words = [r.choice(WORDS["en"]) for _ in range(4)]
+        words += ["quorvex"] * (k in rare) + ["idiot"] * (k in bad - rare)
+        rows.append(row(k, " ".join(words)))
+        labels.append((k, int(k in bad)))
+    seen, _ = toxicity._counted(toxicity._examples(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")))
+    at = toxicity.word_buckets(np.frombuffer(b"quorvex", np.uint8), np.array([0, 7]))[0][0, 0]
+    assert seen[0, 1, at] == len(rare) and seen[0, 1].max() <= 8000 and len(bad) == 8000
