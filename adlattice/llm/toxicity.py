@@ -25,6 +25,7 @@ scores; ``keep_clean`` keeps all columns, whatever their names.
 from __future__ import annotations
 
 import copy
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from adlattice.llm import scan
 from adlattice.operators.joins import lookup_join
-from adlattice.session import fresh_path
+from adlattice.session import durable, fresh_path
 
 BITS = 16
 PREFIXES = (4, 6)
@@ -252,31 +253,38 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray, langu
     return thresholds, min(np.exp(np.linspace(np.log(0.05), np.log(20), 60)), key=loss)
 
 
-def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, lang, buckets) of all labelled training rows, written; rows that repeat a doc_id count as one, the least."""
-    marks = (
+def _examples(docs: DataFrame, labels: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(doc_id, toxic, lang, buckets, shard) of all labelled training rows; rows that repeat a doc_id count as one, the least.
+
+    The texts move once, to their shards, where the examples are written, so that no round moves them again.
+    """
+    marks = durable(
         labels.where(F.col("toxic").cast("int").isin(0, 1) & F.col("doc_id").isNotNull())
         .select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("_toxic"))
         .where(~held_out())
         .groupBy("doc_id")
         .agg(F.max("_toxic").alias("_toxic"))
     )
+    shards = max(1, -(-marks.count() // shard))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     marked = lookup_join(rows, marks, ["doc_id"], "inner", ["doc_id"])
-    one = marked.groupBy("doc_id", "_toxic").agg(F.min(F.struct("text", "lang")).alias("row"))
+    dealt = marked.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(shards))).repartition(shards, "shard")
+    one = dealt.groupBy("shard", "doc_id", "_toxic").agg(F.min(F.struct("text", "lang")).alias("row"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in scan.chunks(batch.column(3)):
                 buckets, first = word_buckets(data, off)
                 own = [np.ascontiguousarray(buckets[:, a:b]).astype("<u2").tobytes() for a, b in zip(first, first[1:])]
-                kept = [batch.column(c).slice(lo, hi - lo) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(own, pa.binary())], ["doc_id", "toxic", "lang", "buckets"])
+                doc, toxic, lang, number = (batch.column(c).slice(lo, hi - lo) for c in (0, 1, 2, 4))
+                yield pa.RecordBatch.from_arrays([doc, toxic, lang, pa.array(own, pa.binary()), number], ["doc_id", "toxic", "lang", "buckets", "shard"])
 
-    path = fresh_path(docs.sparkSession, "toxicity")
-    found = one.select("doc_id", "_toxic", "row.lang", "row.text").mapInArrow(gather, "doc_id long, toxic int, lang string, buckets binary")
-    found.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    spark, name = docs.sparkSession, f"toxicity_{uuid.uuid4().hex}"
+    found = one.select("doc_id", "_toxic", "row.lang", "row.text", "shard")
+    found = found.mapInArrow(gather, "doc_id long, toxic int, lang string, buckets binary, shard long")
+    writer = found.write.bucketBy(shards, "shard").option("path", fresh_path(spark, "toxicity")).option("compression", "zstd")
+    writer.saveAsTable(name)
+    return spark.table(name)
 
 
 def _unpacked(table: pa.Table | pa.RecordBatch) -> list[tuple[np.ndarray, int]]:
@@ -325,10 +333,8 @@ def _blocks(name: str, size: int) -> Iterator[tuple[int, slice]]:
         yield lo // width, slice(lo, lo + width)
 
 
-def fit(examples: DataFrame, seen: np.ndarray, total: np.ndarray, shard: int = SHARD, epochs: int = EPOCHS) -> Network:
+def fit(examples: DataFrame, seen: np.ndarray, total: np.ndarray, epochs: int = EPOCHS) -> Network:
     """Train on all examples: shards on their own, averaged after each round."""
-    shards = max(1, -(-int(total.sum()) // shard))
-    dealt = examples.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(shards)))
     net = Network.fresh(seen, total)
     step = _Steps(net)
 
@@ -364,7 +370,7 @@ def fit(examples: DataFrame, seen: np.ndarray, total: np.ndarray, shard: int = S
 
     for epoch in range(epochs):
         shared = examples.sparkSession.sparkContext.broadcast((net, step))
-        changes = dealt.groupBy("shard").applyInArrow(trainer(shared, epoch), _CHANGES).groupBy("name", "block").applyInArrow(average, _CHANGES).collect()
+        changes = examples.groupBy("shard").applyInArrow(trainer(shared, epoch), _CHANGES).groupBy("name", "block").applyInArrow(average, _CHANGES).collect()
         shared.destroy()
         state = net.state()
         for r in changes:
@@ -381,7 +387,7 @@ def fit(examples: DataFrame, seen: np.ndarray, total: np.ndarray, shard: int = S
 def train(docs: DataFrame, labels: DataFrame, shard: int = SHARD) -> Model | None:
     """A model of the labelled training rows of ``docs``; None unless both labels occur."""
     aside = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(5)) == 0
-    examples = _examples(docs, labels).withColumn("aside", aside)
+    examples = _examples(docs, labels, shard).withColumn("aside", aside)
     sizes = {(r["toxic"], r["aside"]): r["n"] for r in examples.groupBy("toxic", "aside").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len({toxic for toxic, _ in sizes}) < 2:
         return None
@@ -392,7 +398,7 @@ def train(docs: DataFrame, labels: DataFrame, shard: int = SHARD) -> Model | Non
         learnt = held = examples
         total = np.array([sum(n for (toxic, _), n in sizes.items() if toxic == k) for k in (0, 1)])
     seen, words = _counted(learnt)
-    network, guesser = fit(learnt, seen, total, shard), Guesser.fit(words)
+    network, guesser = fit(learnt, seen, total), Guesser.fit(words)
     shared = docs.sparkSession.sparkContext.broadcast((network, guesser))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
