@@ -1,11 +1,14 @@
 """Language identification and toxicity: held-out accuracy and defined results."""
 
+import pickle
 import random
 import zlib
 
 import numpy as np
 import pytest
 from llm_cases import SCHEMA, row
+from pyspark import SparkContext
+from pyspark.sql import functions as F
 
 from adlattice.llm import language_id, toxicity
 
@@ -185,3 +188,21 @@ def test_rare_words_among_many_examples_are_learnt(spark):
     seen, _ = toxicity._counted(toxicity._examples(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")))
     at = toxicity.word_buckets(np.frombuffer(b"quorvex", np.uint8), np.array([0, 7]))[0][0, 0]
     assert seen[0, 1, at] == len(rare) and seen[0, 1].max() <= 8000 and len(bad) == 8000
+
+
+def test_rounds_send_the_embeddings_they_met_alone(texts, spark, monkeypatch):
+    """The whole network took 19 MB in each round, from the driver and back to it."""
+    docs, labels, *_ = texts
+    sent, got = [], []
+    broadcast, applied = SparkContext.broadcast, toxicity._applied
+    monkeypatch.setattr(SparkContext, "broadcast", lambda sc, value: sent.append(len(pickle.dumps(value))) or broadcast(sc, value))
+    monkeypatch.setattr(toxicity, "_applied", lambda net, step, changes: got.append(changes.nbytes) or applied(net, step, changes))
+    examples = toxicity._examples(docs, labels, 100)
+    total = np.array([examples.where(F.col("toxic") == k).count() for k in (0, 1)])
+    sent.clear()
+    whole = toxicity.fit(examples, toxicity._counted(examples)[0], total, epochs=2)
+    size = sum(t.nbytes for t in whole.tables)
+    assert len(sent) == len(got) == 2 and max(sent + got) < size / 2 and sent[1] < size / 10
+    monkeypatch.undo()
+    again = toxicity.fit(examples, toxicity._counted(examples)[0], total, epochs=2)
+    assert again.out_bias == whole.out_bias and all((a == b).all() for a, b in zip(again.tables, whole.tables))
