@@ -156,6 +156,10 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
+#: Keys that are placed at once, so that large tables need little more than themselves.
+_PLACED = 1 << 18
+
+
 class HashTable:
     """64-bit keys to their positions, probed for whole arrays at once."""
 
@@ -164,13 +168,14 @@ class HashTable:
         bits = max(4, int(len(keys) * 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.slots = np.full(1 << bits, -1, np.int32 if len(keys) < 1 << 31 else np.int64)
-        left = np.arange(len(keys))
-        at = (mix(self.keys) >> self.shift).astype(np.int64)
-        while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = left[free]
-            lost = self.slots[at] != left
-            left, at = left[lost], (at[lost] + 1) & self.mask
+        for lo in range(0, len(keys), _PLACED):
+            left = np.arange(lo, min(lo + _PLACED, len(keys)))
+            at = (mix(self.keys[lo : lo + _PLACED]) >> self.shift).astype(np.int64)
+            while len(left):
+                free = self.slots[at] < 0
+                self.slots[at[free]] = left[free]
+                lost = self.slots[at] != left
+                left, at = left[lost], (at[lost] + 1) & self.mask
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Position of each key, -1 where it is not held."""

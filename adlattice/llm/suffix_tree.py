@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,9 @@ FEW_CONTEXTS = 1 << 20
 #: Contexts and stored symbols that are sent to every task for scoring (some 24 bytes each).
 HOT = 8_000_000
 #: Pairs of all tasks that meet in a bucket, about.
-BUCKET = 1 << 22
+BUCKET = 1 << 20
 #: Symbols that a task holds before it counts them.
-HELD = 1 << 22
+HELD = 1 << 21
 
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -83,11 +84,20 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def tallied(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of several arrays in ascending order, and how often each occurs; the list is emptied."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    whole.sort()
+    first = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1])) if len(whole) else np.zeros(0, bool))
+    return whole[first], np.diff(first, append=len(whole))
+
+
 def count_symbols(docs: DataFrame, skip: Callable[[pa.Array], np.ndarray] = held_out) -> DataFrame:
     """(symbol, n) over the training rows, as signed 64-bit hashes."""
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-        values, n = np.unique(np.concatenate(parts), return_counts=True)
+        values, n = tallied(parts)
         return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["symbol", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +107,7 @@ def count_symbols(docs: DataFrame, skip: Callable[[pa.Array], np.ndarray] = held
             size += len(own)
             if size >= HELD:
                 yield counted(parts)
-                parts, size = [], 0
+                size = 0
         if parts:
             yield counted(parts)
 
@@ -176,12 +186,13 @@ def _next_of_known(docs: DataFrame, keys: np.ndarray, frequent: np.ndarray, dept
         contexts, known, parts, size = scan.HashTable(keys), scan.HashTable(frequent), [], 0
 
         def counted() -> pa.RecordBatch:
-            number, n = np.unique(np.concatenate(parts), return_counts=True)
-            # A count is written in pieces of 16 bits.
-            parted = -(-n // 65535)
-            last = n - 65535 * (parted - 1)
-            number, n = np.repeat(number, parted), np.full(int(parted.sum()), 65535)
-            n[np.cumsum(parted) - 1] = last
+            number, n = tallied(parts)
+            if n.max() > 65535:
+                # A count is written in pieces of 16 bits.
+                parted = -(-n // 65535)
+                last = n - 65535 * (parted - 1)
+                number, n = np.repeat(number, parted), np.full(int(parted.sum()), 65535)
+                n[np.cumsum(parted) - 1] = last
             bucket = (number >> np.uint64(numbers.low)).astype(np.int64)
             edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
             low = (number & np.uint64((1 << numbers.low) - 1)).astype("<u4")
@@ -197,7 +208,7 @@ def _next_of_known(docs: DataFrame, keys: np.ndarray, frequent: np.ndarray, dept
             size += len(hit)
             if size >= HELD:
                 yield counted()
-                parts, size = [], 0
+                size = 0
         if size:
             yield counted()
 
@@ -205,8 +216,11 @@ def _next_of_known(docs: DataFrame, keys: np.ndarray, frequent: np.ndarray, dept
         keys, frequent = shared.value
         bucket = np.uint64(table.column("bucket")[0].as_py())
         low, n = (scan.utf8(table.column(c))[0] for c in ("low", "n"))
-        number, back = np.unique(low.view("<u4"), return_inverse=True)
-        total = np.bincount(back, n.view("<u2"), len(number)).astype(np.int64)
+        low = low.view("<u4")
+        order = np.argsort(low, kind="stable")
+        number = low[order]
+        first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+        number, total = number[first], np.add.reduceat(n.view("<u2")[order], first, dtype=np.int64)
         often = total >= least
         context, symbol = numbers.parts(number[often].astype(np.uint64) + (bucket << np.uint64(numbers.low)))
         columns = [keys[context].view(np.int64), frequent[symbol].view(np.int64), total[often]]
@@ -350,7 +364,7 @@ def grow(
     return tree
 
 
-@dataclass
+@dataclass(eq=False)
 class Hot:
     """The part of a tree that every task holds: contexts of ``least`` occurrences or more, with all their symbols."""
 
@@ -384,17 +398,27 @@ def hottest(tree: Tree, hot: int, min_count: int) -> Hot:
         least = r["least"]
     else:
         least = 0
-    contexts = tree.contexts.where(F.col("size") >= least).select("context", "rest").toArrow()
-    pairs = tree.pairs.where(F.col("size") >= least).select("context", "symbol", "log").toArrow()
-    column = lambda t, c: t.column(c).to_numpy()
-    keys = column(contexts, "context").view(np.uint64)
-    both = _pair(column(pairs, "context").view(np.uint64), column(pairs, "symbol").view(np.uint64))
-    return Hot(tree.head, logs, unseen, least, words, keys, column(contexts, "rest").astype(np.float32), both, column(pairs, "log").astype(np.float64))
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, symbol = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_pair(context, symbol).view(np.int64)), batch.column(2)], ["pair", "log"])
+
+    def told(table: DataFrame, *columns: str) -> list[np.ndarray]:
+        got = table.toArrow()
+        return [got.column(c).to_numpy() for c in columns]
+
+    # A task tells its pairs by one number each, so that the driver gets two thirds of the bytes.
+    keys, rest = told(tree.contexts.where(F.col("size") >= least).select("context", F.col("rest").cast("float").alias("rest")), "context", "rest")
+    pairs = tree.pairs.where(F.col("size") >= least).select("context", "symbol", "log").mapInArrow(paired, "pair long, log double")
+    both, log = told(pairs, "pair", "log")
+    return Hot(tree.head, logs, unseen, least, words, keys.view(np.uint64), rest, both.view(np.uint64), log)
 
 
 class Scorer:
     def __init__(self, hot: Hot, depth: int):
-        self.hot, self.depth = hot, depth
+        # Not the whole of ``hot``, which the worker gives up with its broadcast.
+        self.head_logs, self.unseen, self.least, self.rest, self.logs, self.depth = hot.head_logs, hot.unseen, hot.least, hot.rest, hot.logs, depth
         self.head, self.words = scan.HashTable(hot.tree_head), None if hot.words is None else scan.HashTable(hot.words)
         self.contexts, self.pairs = scan.HashTable(hot.keys), scan.HashTable(hot.pairs)
 
@@ -404,11 +428,11 @@ class Scorer:
 
         For symbols beyond the head, log10(c + 1) is still to be added to the first, and to the second where no context stores them.
         """
-        hot, at = self.hot, self.head.find(own)
+        at = self.head.find(own)
         known = at >= 0
-        base = np.where(known, hot.head_logs[at] if len(hot.head_logs) else 0.0, hot.unseen)
+        base = np.where(known, self.head_logs[at] if len(self.head_logs) else 0.0, self.unseen)
         logs, told, open_ = base.copy(), np.zeros(len(own), bool), []
-        if hot.words is None or len(hot.words):
+        if self.words is None or len(self.words.keys):
             often = np.ones(len(own), bool) if self.words is None else self.words.find(own) >= 0
             for d, (places, keys) in enumerate(context_keys(own, first, self.depth), 1):
                 able = often[places - 1]
@@ -418,24 +442,23 @@ class Scorer:
                 context = self.contexts.find(keys)
                 hit = np.flatnonzero(context >= 0)
                 to = places[hit]
-                logs[to] += hot.rest[context[hit]]
+                logs[to] += self.rest[context[hit]]
                 stored = self.pairs.find(_pair(keys[hit], own[to]))
-                logs[to[stored >= 0]] = hot.logs[stored[stored >= 0]]
+                logs[to[stored >= 0]] = self.logs[stored[stored >= 0]]
                 told[to[stored >= 0]] = True
-                if hot.least:
+                if self.least:
                     open_.append((places[context < 0], keys[context < 0]))
         return base, logs, np.flatnonzero(~known), told, open_
 
 
-_WORKER: dict[int, Scorer] = {}
+_WORKER: WeakKeyDictionary[Hot, Scorer] = WeakKeyDictionary()
 
 
 def _worker_scorer(hot: Hot, depth: int) -> Scorer:
-    """One scorer per worker and tree; the scorer holds the tree, so the key stays its own."""
-    if id(hot) not in _WORKER:
-        _WORKER.clear()
-        _WORKER[id(hot)] = Scorer(hot, depth)
-    return _WORKER[id(hot)]
+    """One scorer per worker and tree; it goes with the broadcast, so that a worker's next job doesn't carry it along."""
+    if hot not in _WORKER:
+        _WORKER[hot] = Scorer(hot, depth)
+    return _WORKER[hot]
 
 
 def _gathered(own: np.ndarray, first: np.ndarray, logs: np.ndarray, lacks: np.ndarray, open_: list, depth: int) -> tuple[list[pa.Array], np.ndarray]:

@@ -1,18 +1,21 @@
 """Decontamination, repeats, near copies, personal data and language-model scores: against brute force."""
 
 import collections
+import gc
 import hashlib
 import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from llm_cases import SCHEMA, by_text, checked, edited, prose, row
 
-from adlattice.llm import decontaminate, near_dup, pii, suffix_dedup, suffix_tree
+from adlattice.llm import decontaminate, near_dup, pii, scan, suffix_dedup, suffix_tree
+from adlattice.session import durable
 
 
 def lower(text):
@@ -548,3 +551,46 @@ def test_scores_beat_the_root(docs, empty):
     assert suffix_tree.model_scores(empty).count() == 0
     (only,) = suffix_tree.model_scores(docs.where("doc_id IS NULL AND text IS NULL")).collect()
     assert (only["n_tokens"], only["train_tokens"], only["n_known"]) == (1, 1, 1)
+
+
+def test_counting_and_tables_hold_little_more_than_their_values():
+    """Counting 2 million symbols took 8 times their bytes, placing 2 million keys 5 times those."""
+    r = np.random.default_rng(4)
+    values = r.integers(0, 1 << 20, 1 << 21).astype(np.uint64)
+    want, times = np.unique(values, return_counts=True)
+    parts = list(values.reshape(64, -1).copy())
+    tracemalloc.start()
+    got, n = suffix_tree.tallied(parts)
+    counted = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and (n == times).all() and not parts and counted < 4 * values.nbytes
+    tracemalloc.start()
+    table = scan.HashTable(want)
+    placed = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert placed < table.slots.nbytes + 3 * want.nbytes
+    asked = np.concatenate([want[::7], want[:9] + np.uint64(1 << 40)])
+    assert (table.find(asked) == [*range(0, len(want), 7), *[-1] * 9]).all()
+    assert [len(x) for x in suffix_tree.tallied([np.zeros(0, np.uint64)])] == [0, 0]
+
+
+def test_a_scorer_goes_with_its_tree():
+    """Workers kept the last tree's tables through the jobs after it."""
+    some, logs = np.arange(3, dtype=np.uint64), np.zeros(3)
+    hot = suffix_tree.Hot(some, logs, -1.0, 0, some, some, logs, some, logs)
+    scorer = suffix_tree._worker_scorer(hot, 2)
+    assert suffix_tree._worker_scorer(hot, 2) is scorer and len(suffix_tree._WORKER) == 1
+    del hot
+    gc.collect()
+    assert not len(suffix_tree._WORKER)
+
+
+def test_pairs_seen_more_than_65535_times(spark):
+    rows = [row(7 * k + 1, "ping pong " * 9000) for k in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    counts = durable(suffix_tree.count_symbols(docs))
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    key = np.unique(suffix_tree.extended(np.zeros(1, np.uint64), suffix_tree.symbols(np.frombuffer(b"ping", np.uint8), np.array([0, 4]))[0][:1]))
+    words = counts.toArrow().column("symbol").to_numpy().view(np.uint64)
+    got = suffix_tree._next_of_known(docs, key, np.sort(words), 1, 4, 1, suffix_tree.held_out).collect()
+    assert [r["n"] for r in got] == [9000 * len(learnt)] and 9000 * len(learnt) > 65535
