@@ -38,6 +38,34 @@ def fits_broadcast(kept: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: i
     return got["n"] <= max_rows and got["b"] <= max_bytes
 
 
+def broadcast_head(kept: DataFrame, order: str, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> int:
+    """A bound below which ``order``, numbers from 0, has few enough rows and bytes for a broadcast: one less than a power of two, or 0.
+
+    Rows are counted by the length of their number, so that some 60 lines at most are gathered.
+    """
+    line = sum((_line_bytes(f) for f in kept.schema), F.lit(0).cast("long"))
+    level = F.length(F.bin(F.col(order) + 1)).alias("level")
+    head, rows, size = 0, 0, 0
+    for r in kept.groupBy(level).agg(F.count(F.lit(1)).alias("n"), F.sum(line).alias("b")).orderBy("level").collect():
+        rows, size = rows + r["n"], size + r["b"]
+        if rows > max_rows or size > max_bytes:
+            break
+        head = (1 << r["level"]) - 1
+    return head
+
+
+def broadcast_groups(kept: DataFrame, group: str, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> list:
+    """The smallest groups of a written table that together have few enough rows and bytes for a broadcast; there must be few groups."""
+    line = sum((_line_bytes(f) for f in kept.schema), F.lit(0).cast("long"))
+    out, rows, size = [], 0, 0
+    for r in sorted(kept.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(line).alias("b")).collect(), key=lambda r: (r["n"], r["b"])):
+        rows, size = rows + r["n"], size + r["b"]
+        if rows > max_rows or size > max_bytes:
+            break
+        out.append(r[group])
+    return out
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Write ``df`` once, measure it, and hint a broadcast only when it is small enough.
 

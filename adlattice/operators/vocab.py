@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlattice.operators.joins import lookup_join
+from adlattice.operators.joins import broadcast_head, fits_broadcast, lookup_join, spread_join
 from adlattice.operators.ordered import group_rank
 from adlattice.operators.tokens import FIELD_KEY, token_counts
+from adlattice.session import durable
 
 # Head sizes of the curves and the thresholds of the advice.
 HEAD_SIZES = [1_000, 5_000, 20_000, 100_000, 200_000]
@@ -45,9 +46,24 @@ def vocab_table(ranks: DataFrame, spec: DataFrame) -> DataFrame:
 def look_up_ranks(tokens: DataFrame, ranks: DataFrame) -> DataFrame:
     """Tokens with the rank of their fid, NULL when unseen.
 
-    A small rank table is broadcast; beyond that the frequent fids are spread over many tasks.
+    A small rank table is broadcast. Of a larger one the most frequent fids of every field are; only tokens without any of those, in
+    fields that have more, are moved to the other ranks, frequent ones among them over many tasks.
     """
-    return lookup_join(tokens, ranks.select(*FIELD_KEY, "fid", "rank"), [*FIELD_KEY, "fid"])
+    on = [*FIELD_KEY, "fid"]
+    kept = durable(ranks.select(*on, "rank"))
+    if fits_broadcast(kept):
+        return tokens.join(F.broadcast(kept), on, "left")
+    head = broadcast_head(kept, "rank")
+    if not head:
+        return spread_join(tokens, kept, on, "left")
+    others = kept.where(F.col("rank") >= head)
+    # Each of these fields has ``head`` lines in the broadcast, so there are fewer of them.
+    more = F.broadcast(durable(others.select(*FIELD_KEY).distinct().withColumn("_more", F.lit(True))))
+    marked = tokens.join(more, FIELD_KEY, "left").join(F.broadcast(kept.where(F.col("rank") < head)), on, "left")
+    columns = [*on, *[c for c in tokens.columns if c not in on], "rank"]
+    left = F.col("rank").isNull() & F.col("_more").isNotNull()
+    found = marked.where(~left).select(*columns)
+    return found.unionByName(spread_join(marked.where(left).drop("rank", "_more"), others, on, "left").select(*columns))
 
 
 def ranked_tokens(tokens: DataFrame, frequency: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlattice.functions.hashing import token_bucket, token_bucket_blake2b
-from adlattice.operators import encode, packing, quality, sampling, vocab
+from adlattice.operators import encode, joins, packing, quality, sampling, vocab
 from adlattice.operators.tokens import token_counts
 from adlattice.session import durable
 from adlattice.spec import Feature, FeatureMap, Selection, default_feature_map, feature_map_from
@@ -288,3 +288,25 @@ def test_sampling(spark):
     for call in (lambda: sampling.keep_negatives(rows, 1.5, 1), lambda: sampling.ratio_subset(rows, 0.0), lambda: sampling.first_samples(rows, 0)):
         with pytest.raises(ValueError):
             call()
+
+
+def test_only_tokens_beyond_the_frequent_fids_are_moved(spark, monkeypatch):
+    """Ranks too many for a broadcast: fids below the head and whole small fields are found in place."""
+    i = F.col("id")
+    tokens = spark.range(600).select(
+        i.alias("row_id"), F.lit(0).cast("byte").alias("src"), F.when(i % 3 == 0, "a").otherwise("b").alias("field"),
+        F.when(i % 50 != 0, (i % 12).cast("string")).alias("fid"), F.lit(1.0).alias("val"),
+    )
+    lines = [("a", 0, str(3 * k), k) for k in range(2)] + [("b", 0, str(k), k) for k in range(9)]
+    ranks = durable(spark.createDataFrame(lines, "field string, src byte, fid string, rank long"))
+    assert joins.broadcast_head(ranks, "rank", 11) == 15 and joins.broadcast_head(ranks, "rank", 10) == 7
+    assert joins.broadcast_head(ranks, "rank", 5) == 3 and joins.broadcast_head(ranks, "rank", 1) == 0
+    assert joins.broadcast_groups(ranks, "field", 10) == ["a"] and joins.broadcast_groups(ranks, "field") == ["a", "b"]
+    want = sorted(map(repr, vocab.look_up_ranks(tokens, ranks).collect()))
+    moved = []
+    monkeypatch.setattr(vocab, "fits_broadcast", lambda kept: False)
+    monkeypatch.setattr(vocab, "spread_join", lambda rows, *rest: moved.append(rows.count()) or joins.spread_join(rows, *rest))
+    for head in (0, 3, 7):
+        monkeypatch.setattr(vocab, "broadcast_head", lambda kept, order, head=head: head)
+        assert sorted(map(repr, vocab.look_up_ranks(tokens, ranks).collect())) == want
+    assert moved[0] == 600 and moved[1] < 400 and moved[2] < moved[1]
