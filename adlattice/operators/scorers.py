@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from adlattice.functions.arrays import truncate
 from adlattice.functions.hashing import unit_hash
 from adlattice.operators.encode import LABELS
-from adlattice.operators.joins import lookup_join
-from adlattice.session import colocated, discard, durable
+from adlattice.operators.joins import broadcast_groups, fits_broadcast, spread_join
+from adlattice.session import colocated, discard, durable, parts_by
 from adlattice.spec import HASH_SEED, Feature, FeatureMap
 
 KEY = ["name", "idx"]
@@ -53,6 +53,26 @@ def initial_parameters(keys: DataFrame, factors: int, seed: int = HASH_SEED) ->
     )
 
 
+def _looked_up(lines: DataFrame, parameters: DataFrame) -> DataFrame:
+    """``lines`` with the weight and factors of their ids, NULL where there are none; they stay where they lie.
+
+    Features with few ids are broadcast. The ids of the others are looked up apart from the lines, which get them back as a list for their row.
+    """
+    kept = durable(parameters.select(*KEY, "w", "v"))
+    if fits_broadcast(kept):
+        return lines.join(F.broadcast(kept), KEY, "left")
+    few = broadcast_groups(kept, "name")
+    others = F.lit(True) if not few else ~F.col("name").isin(few)
+    if not lines.where(F.col("row_id").isNull() & others).isEmpty():
+        return spread_join(lines, kept, KEY, "left")
+    asked = lines.where(others).select("row_id", *KEY)
+    told = spread_join(asked, kept.where(others), KEY, "inner").groupBy("row_id").agg(F.collect_set(F.struct(*KEY, "w", "v")).alias("_told"))
+    known = lines.join(F.broadcast(kept.where(~others)), KEY, "left") if few else lines.withColumns({c: F.lit(None).cast(kept.schema[c].dataType) for c in ("w", "v")})
+    own = F.get(F.filter("_told", lambda p: (p["name"] == F.col("name")) & (p["idx"] == F.col("idx"))), F.lit(0))
+    both = known.join(told, "row_id", "left").withColumn("_own", F.when(others, own))
+    return both.withColumns({c: F.coalesce(c, F.col("_own")[c]) for c in ("w", "v")}).drop("_told", "_own")
+
+
 def _forward(lines: DataFrame, parameters: DataFrame, factors: int, fields: int) -> DataFrame:
     """``lines`` with their row's scores, and what the gradients need of the row and the field.
 
@@ -60,7 +80,7 @@ def _forward(lines: DataFrame, parameters: DataFrame, factors: int, fields: int)
     (|t|^2 - the sum of the fields' |e|^2) / 2 / number of fields. The sum of a field's share * v * e over its ids is its |e|^2.
     """
     s = F.col("share")
-    known = lookup_join(lines, parameters.select(*KEY, "w", "v"), KEY)
+    known = _looked_up(lines, parameters)
     # The window by row comes first: its partitioning by row_id serves the windows by field too.
     field, row = Window.partitionBy("row_id", "name"), Window.partitionBy("row_id")
     own = lambda k: F.coalesce(s * F.get("v", F.lit(k)), F.lit(0.0))
@@ -112,7 +132,8 @@ def fit(
     the number of rows of each batch reaches the driver.
     """
     batch = F.pmod(F.col("row_id"), F.lit(batches))
-    rows = colocated(lines.select("row_id", "name", "idx", "share", F.col("label").cast("double").alias("label"), batch.alias("batch")), ["row_id"])
+    chosen = lines.select("row_id", "name", "idx", "share", F.col("label").cast("double").alias("label"), batch.alias("batch"))
+    rows = colocated(chosen, ["row_id"], parts=parts_by(chosen, ["row_id"]))
     sizes = {r["batch"]: r["n"] for r in rows.where(F.col("name") == BIAS).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}
     parameters = durable(initial_parameters(rows.select(*KEY).distinct(), factors, seed))
     for _ in range(passes):
@@ -144,7 +165,7 @@ def given_scores(lines: DataFrame, weights: DataFrame, factors: int, fields: int
 
 def _scored(processed: DataFrame, features: FeatureMap, split: str, factors: int, **settings) -> DataFrame:
     """Click model of all training rows, conversion model of the clicked ones; logits of every row."""
-    kept = durable(processed)
+    kept = colocated(processed, ["row_id"])
     lines, fields = bag_lines(kept, features), len(list(features))
     train = kept.where(F.col("split") == split)
     out = kept.select(*LABELS, *[c for c in ("split",) if c in kept.columns])

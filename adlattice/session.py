@@ -92,8 +92,8 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lies_by(df: DataFrame, keys: list[str], parts: int | None = None) -> bool:
-    """Whether the rows are hash-partitioned by exactly these columns already (into ``parts``, if given).
+def parts_by(df: DataFrame, keys: list[str]) -> int | None:
+    """How many parts the rows are hash-partitioned into by exactly these columns; None where they aren't.
 
     Asked from the plan of an aggregation by them, which shuffles if they aren't.
     """
@@ -102,9 +102,15 @@ def lies_by(df: DataFrame, keys: list[str], parts: int | None = None) -> bool:
     first = asked.initialPlan() if asked.nodeName() == "AdaptiveSparkPlan" else asked
     found = re.fullmatch(r"hashpartitioning\((.*), (\d+)\)", first.outputPartitioning().toString())
     if not found or asked.toString().count("Exchange ") > plan(df).toString().count("Exchange "):
-        return False
+        return None
     names = [re.sub(r"#\d+L?$", "", c.strip()) for c in found[1].split(",")]
-    return names == list(keys) and parts in (None, int(found[2]))
+    return int(found[2]) if names == list(keys) else None
+
+
+def lies_by(df: DataFrame, keys: list[str], parts: int | None = None) -> bool:
+    """Whether the rows are hash-partitioned by exactly these columns already (into ``parts``, if given)."""
+    found = parts_by(df, keys)
+    return found is not None and parts in (None, found)
 
 
 def placed_by(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:

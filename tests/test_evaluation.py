@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from adlattice.functions import scalars
 from adlattice.operators import health, losses, metrics, runs, scorers
-from adlattice.session import colocated, durable
+from adlattice.session import colocated, durable, lies_by, parts_by
 from adlattice.sources import logs
 from adlattice.spec import Feature, FeatureMap
 
@@ -372,3 +372,20 @@ def test_best_record_of_a_step_logged_twice(spark, tmp_path):
     known = spark.createDataFrame([("known", 2)], "run_id string, best_step long")
     got = {r["run_id"]: (r["source"], r["best_step"], r["auc_ctcvr"]) for r in runs.best_records(log, known).collect()}
     assert got == {"known": ("known", 2, 0.2), "decided": ("decision", 1, 0.5), "last": ("last", 2, 0.95)}
+
+
+def test_lines_stay_by_their_row_where_parameters_are_many(spark, monkeypatch):
+    i = F.col("id")
+    lines = spark.range(900).select((i % 90).alias("row_id"), F.when(i % 4 == 0, "few").otherwise("many").alias("name"), (i % 45).alias("idx"), F.lit(0.5).alias("share"))
+    parameters = durable(lines.where("idx > 3").select("name", "idx").distinct().select("name", "idx", (F.col("idx") / 7).alias("w"), F.array(F.col("idx") * 0.5).alias("v")))
+    rows = colocated(lines, ["row_id"], parts=3)
+    plain = lambda df: sorted(map(repr, scorers._looked_up(df, parameters).select("row_id", "name", "idx", "share", "w", "v").collect()))
+    without_row = lines.withColumn("row_id", F.when(F.col("row_id") != 5, F.col("row_id")))
+    want, other = plain(rows), plain(without_row)
+    monkeypatch.setattr(scorers, "fits_broadcast", lambda kept: False)
+    for few in ([], ["few"]):
+        monkeypatch.setattr(scorers, "broadcast_groups", lambda kept, group, few=few: few)
+        assert plain(rows) == want and plain(without_row) == other
+        assert lies_by(scorers._looked_up(rows, parameters), ["row_id"], 3)
+    laid = scorers.bag_lines(colocated(spark.createDataFrame(encoded_rows(40, 1), ENCODED), ["row_id"], parts=3), SCORED)
+    assert parts_by(laid, ["row_id"]) == 3 and parts_by(lines, ["row_id"]) is None
