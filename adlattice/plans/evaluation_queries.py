@@ -127,9 +127,9 @@ def q_deltas(v: Views) -> DataFrame:
 def q_given_weights(v: Views) -> DataFrame:
     """Scores under weights that follow from the ids, so that the arithmetic can be checked."""
     valued = v.spec.select("name", "use_value")
-    lines = v.encoded.drop("use_value").join(F.broadcast(valued), "name").select(
-        "row_id", "name", "idx", F.when(F.col("use_value"), F.col("val").cast("double")).otherwise(F.lit(1.0)).alias("weight")
-    )
+    weight = F.when(F.col("use_value"), F.col("val").cast("double")).otherwise(F.lit(1.0)).alias("weight")
+    # The weights and the scores read the lines, so they are encoded once.
+    lines = v.once("weighted_lines", lambda: v.encoded.drop("use_value").join(F.broadcast(valued), "name").select("row_id", "name", "idx", weight))
     i = F.col("idx")
     weights = lines.select("name", "idx").distinct().withColumns(
         {"w": (i % 101 - 50) / F.lit(100.0), "v": F.array((i * 7 % 23 - 11) / F.lit(50.0), (i * 3 % 19 - 9) / F.lit(50.0))}

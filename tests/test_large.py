@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from adlattice import session
 from adlattice.operators import split as sp
 from adlattice.operators import tokens as tk
+from adlattice.plans import evaluation_queries
 from adlattice.plans.views import Views
 from adlattice.sources import sinks
 
@@ -74,3 +75,18 @@ def test_sides_hold_the_tokens_of_their_split(spark, tmp_path):
         assert v.side(split).columns == v.tokens.columns and not v.side(split).isEmpty()
         assert sorted(map(repr, v.side(split).collect())) == sorted(map(repr, v.tokens_of(split).collect()))
     assert list(v._kept) == ["split_tokens"]
+
+
+def test_given_weights_and_scores_read_lines_encoded_once(spark, tmp_path):
+    i = F.col("id")
+    tables = {
+        "lineitem": spark.range(600).selectExpr("id % 200 AS l_orderkey", "id % 50 AS l_partkey", "id % 9 AS l_suppkey", "CAST(id % 7 AS DOUBLE) AS l_quantity", "'A' AS l_returnflag", "'F' AS l_linestatus", "0.05D AS l_discount"),
+        "orders": spark.range(200).select(i.alias("o_orderkey"), (i % 40).alias("o_custkey"), F.lit("F").alias("o_orderstatus"), F.lit("1-URGENT").alias("o_orderpriority")),
+        "customer": spark.range(40).selectExpr("id AS c_custkey", "'seg' AS c_mktsegment", "id % 5 AS c_nationkey", "1.5D AS c_acctbal"),
+    }
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    v = Views(spark, str(tmp_path))
+    scores = evaluation_queries.q_given_weights(v)
+    assert "lineitem" not in scores._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in scores.inputFiles())
+    assert scores.count() == 200
