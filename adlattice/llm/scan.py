@@ -192,6 +192,38 @@ class HashTable:
         return got
 
 
+class SortedTable:
+    """Different 64-bit keys, ascending as signed numbers and spread evenly, to their positions; probed as ``HashTable`` is.
+
+    Besides the keys it holds 2 to 4 bytes for each: the first position for every value of their upper bits.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.ascontiguousarray(keys).view(np.int64)
+        bits = max(4, len(keys).bit_length() - 1)
+        self.shift, self.half = 64 - bits, 1 << (bits - 1)
+        self.first = np.empty((1 << bits) + 1, np.int32 if len(keys) < 1 << 31 else np.int64)
+        self.first[-1] = len(keys)
+        for lo in range(0, 1 << bits, _PLACED):
+            upper = np.arange(lo, min(lo + _PLACED, 1 << bits)) - self.half
+            self.first[lo : lo + len(upper)] = np.searchsorted(self.keys, upper << self.shift)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 where it is not held."""
+        keys = keys.view(np.int64)
+        upper = (keys >> self.shift) + self.half
+        got, end = self.first[upper].astype(np.int64), self.first[upper + 1]
+        odd = np.flatnonzero(got < end)
+        got[got >= end] = -1
+        while len(odd):
+            odd = odd[self.keys[got[odd]] != keys[odd]]
+            got[odd] += 1
+            over = got[odd] >= end[odd]
+            got[odd[over]] = -1
+            odd = odd[~over]
+        return got
+
+
 def crc_of_id(ids: pa.Array) -> np.ndarray:
     """crc32 of each id written as text; -1 for a null id."""
     import zlib

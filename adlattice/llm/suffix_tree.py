@@ -75,9 +75,10 @@ def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _training(batches: Iterator[pa.RecordBatch], skip: Callable[[pa.Array], np.ndarray]):
     for batch in batches:
-        kept = batch.filter(pa.array(~skip(batch.column(0))))
-        for _, _, data, off in scan.chunks(kept.column(1)):
-            yield symbols(data, off)
+        kept = pa.array(~skip(batch.column(0)))
+        for lo, hi, *_ in scan.chunks(batch.column(1)):
+            # Rows are left out chunk by chunk, as the rest of a batch is a copy.
+            yield symbols(*scan.utf8(batch.column(1).slice(lo, hi - lo).filter(kept.slice(lo, hi - lo))))
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -372,8 +373,9 @@ class Hot:
     head_logs: np.ndarray
     unseen: float
     least: int
-    #: Words that contexts are made of; None where a task can't hold them.
-    words: np.ndarray | None
+    #: Which words of the head contexts are made of; None where a task can't hold all of these.
+    able: np.ndarray | None
+    #: Keys of contexts and of pairs, ascending as signed numbers.
     keys: np.ndarray
     rest: np.ndarray
     pairs: np.ndarray
@@ -383,10 +385,10 @@ class Hot:
 def hottest(tree: Tree, hot: int, min_count: int) -> Hot:
     """The most frequent contexts of a tree such that they and their symbols are ``hot`` rows at most."""
     logs, unseen = tree.logs_of(tree.head_counts.astype(np.float64)), float(tree.logs_of(np.zeros(1))[0])
-    words = tree.head[tree.head_counts >= min_count] if tree.whole_head else None
+    able = tree.head_counts >= min_count if tree.whole_head else None
     none, zero = np.zeros(0, np.uint64), np.zeros(0)
     if tree.contexts is None:
-        return Hot(tree.head, logs, unseen, 0, words, none, zero, none, zero)
+        return Hot(tree.head, logs, unseen, 0, able, none, zero, none, zero)
     sizes = tree.contexts.select("size").unionByName(tree.pairs.select("size"))
     level = F.floor(F.log2("size") * 16).cast("long")
     steps = sizes.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows"), F.min("size").alias("least")).collect()
@@ -408,19 +410,20 @@ def hottest(tree: Tree, hot: int, min_count: int) -> Hot:
         got = table.toArrow()
         return [got.column(c).to_numpy() for c in columns]
 
-    # A task tells its pairs by one number each, so that the driver gets two thirds of the bytes.
-    keys, rest = told(tree.contexts.where(F.col("size") >= least).select("context", F.col("rest").cast("float").alias("rest")), "context", "rest")
+    # A task tells its pairs by one number each, so that the driver gets two thirds of the bytes. They come in order, as tables of ordered keys are small.
+    contexts = tree.contexts.where(F.col("size") >= least).select("context", F.col("rest").cast("float").alias("rest"))
+    keys, rest = told(contexts.orderBy("context"), "context", "rest")
     pairs = tree.pairs.where(F.col("size") >= least).select("context", "symbol", "log").mapInArrow(paired, "pair long, log double")
-    both, log = told(pairs, "pair", "log")
-    return Hot(tree.head, logs, unseen, least, words, keys.view(np.uint64), rest, both.view(np.uint64), log)
+    both, log = told(pairs.orderBy("pair"), "pair", "log")
+    return Hot(tree.head, logs, unseen, least, able, keys.view(np.uint64), rest, both.view(np.uint64), log)
 
 
 class Scorer:
     def __init__(self, hot: Hot, depth: int):
         # Not the whole of ``hot``, which the worker gives up with its broadcast.
         self.head_logs, self.unseen, self.least, self.rest, self.logs, self.depth = hot.head_logs, hot.unseen, hot.least, hot.rest, hot.logs, depth
-        self.head, self.words = scan.HashTable(hot.tree_head), None if hot.words is None else scan.HashTable(hot.words)
-        self.contexts, self.pairs = scan.HashTable(hot.keys), scan.HashTable(hot.pairs)
+        self.head, self.able = scan.HashTable(hot.tree_head), hot.able
+        self.contexts, self.pairs = scan.SortedTable(hot.keys), scan.SortedTable(hot.pairs)
 
     def score(self, own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
         """log10 p at the root and by the contexts held here for every symbol, the places of symbols beyond the head, whether
@@ -432,8 +435,8 @@ class Scorer:
         known = at >= 0
         base = np.where(known, self.head_logs[at] if len(self.head_logs) else 0.0, self.unseen)
         logs, told, open_ = base.copy(), np.zeros(len(own), bool), []
-        if self.words is None or len(self.words.keys):
-            often = np.ones(len(own), bool) if self.words is None else self.words.find(own) >= 0
+        if self.able is None or self.able.any():
+            often = np.ones(len(own), bool) if self.able is None else known & self.able[at]
             for d, (places, keys) in enumerate(context_keys(own, first, self.depth), 1):
                 able = often[places - 1]
                 for back in range(2, d + 1):

@@ -11,6 +11,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import SCHEMA, by_text, checked, edited, prose, row
 
@@ -574,6 +575,32 @@ def test_counting_and_tables_hold_little_more_than_their_values():
     assert [len(x) for x in suffix_tree.tallied([np.zeros(0, np.uint64)])] == [0, 0]
 
 
+def test_scoring_tables_hold_little_more_than_their_keys():
+    """A worker held 16 bytes for each of so many contexts and symbols, besides their keys and logs, and a copy of a batch's training rows."""
+    r = np.random.default_rng(5)
+    keys = np.unique(r.integers(0, 1 << 64, (1 << 18) + 1, np.uint64).view(np.int64)).view(np.uint64)
+    logs, able = np.zeros(len(keys)), np.ones(3, bool)
+    hot = suffix_tree.Hot(keys[:3], logs[:3], -1.0, 0, able, keys, logs, keys, logs)
+    tracemalloc.start()
+    scorer = suffix_tree.Scorer(hot, 2)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 2 * 5 * len(keys)
+    asked = np.concatenate([keys[::7], keys[:999] + np.uint64(1), np.array([0, 1 << 63, (1 << 64) - 1], np.uint64)])
+    place = {k: at for at, k in enumerate(keys.tolist())}
+    want = [place.get(k, -1) for k in asked.tolist()]
+    assert scorer.pairs.find(asked).tolist() == want and scorer.contexts.find(asked).tolist() == want
+    assert scan.SortedTable(keys[:0]).find(asked[:2]).tolist() == [-1, -1]
+    near = np.array([-(1 << 63), -3, -2, 0, 1, 5, (1 << 63) - 1])
+    assert scan.SortedTable(near).find(np.array([-(1 << 63), -4, -2, 1, 2, 5, (1 << 63) - 1, 7])).tolist() == [0, -1, 2, 4, -1, 5, 6, -1]
+    texts = ["one two three " * 3000] * 200
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], ["doc_id", "text"])
+    before, most, n = pa.total_allocated_bytes(), 0, 0
+    for own, _ in suffix_tree._training([batch], lambda ids: np.arange(len(ids)) % 4 == 1):
+        most, n = max(most, pa.total_allocated_bytes() - before), n + len(own)
+    assert n == 150 * 9001 and most < batch.nbytes / 4
+
+
 def test_a_scorer_goes_with_its_tree():
     """Workers kept the last tree's tables through the jobs after it."""
     some, logs = np.arange(3, dtype=np.uint64), np.zeros(3)
