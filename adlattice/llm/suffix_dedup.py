@@ -9,14 +9,17 @@ all its windows (unless the name stands twice within a block, as in periodic tex
 settle each other. What remains are the edges of copies: blocks of one name with different strings.
 
 Suffix arrays. These strings are dealt by name into shards of about ``SHARD_BYTES``. Each shard sorts its suffixes by
-Larsson-Sadakane refinement (groups equal in the first h bytes are sorted by the groups h bytes further on, h doubles, sorted
-groups drop out), gets common prefixes by Kasai's rule (the next suffix in the text shares one byte less, so only suffixes
+Larsson-Sadakane refinement (groups equal in the first h bytes are sorted by the groups h and 2 h bytes further on, h triples,
+sorted groups drop out), gets common prefixes by Kasai's rule (the next suffix in the text shares one byte less, so only suffixes
 whose neighbour isn't the neighbour's successor, or that follow one sharing nothing, are compared), and finds its classes
 of equal windows.
 
 Merging. A name with more than ``SPLIT`` different strings, or long ones, is spread over several shards. Each sends its sorted class digests,
 cut by digest, and these are looked up in those of the other shards by binary search. The cuts grow in number with the strings.
 
+Passages. A passage of ``PASSAGE`` words may be shorter than ``LENGTH`` bytes. Words that lie in runs of so many words which also
+start anywhere else are found by the same steps, with hashes of lower-cased words in place of bytes. They are counted, not removed.
+
 Texts are named by two 64-bit hashes; equal texts have equal results. Defined results: a null text is an empty one; texts
 shorter than ``LENGTH`` keep all bytes; rows with the same or no doc_id are judged one by one; a removed run may cut a
 multi-byte character, so ``kept`` bytes are binary; other columns are ignored.
@@ -37,16 +40,17 @@ from adlattice.session import fresh_path
 
 LENGTH = 400
 GRAM = 200
+#: The same in words, for passages that are counted only.
+PASSAGE = 50
+PASSAGE_GRAM = 20
 SHARD_BYTES = 1 << 20
 SPLIT = 512
 #: Shards that a task takes one after another.
 TASK_SHARDS = 2
-#: Values of 9 bits (a byte or the end of a string) that fit one number: suffixes are first sorted by so many.
-FIRST = 7
 #: Names of texts (two hashes and a doc_id) are broadcast up to this many rows (some 30 MB).
 FEW_TEXTS = 500_000
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long"
 
 
 # ---- blocks ----
@@ -61,6 +65,14 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[: len(values) - width + 1], out[width - have :]) if have < width else out
 
 
+def symbols(data: np.ndarray, off: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What is compared: bytes, or hashes of words; and each text's first one (n + 1 numbers)."""
+    if not words:
+        return data, off
+    hashes, _, _, first = scan.words(data, off, scan.SOLID)
+    return hashes, first
+
+
 def blocks(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """(text, first window, number of windows, name, hash of the whole string, whether the name repeats nearby)."""
     prefix, n, width = scan.Prefix(data), len(data), length - gram + 1
@@ -100,33 +112,45 @@ def blocks(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
 # ---- suffix arrays ----
 
 
+def _packed(data: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """As many values from each place on as fit one number, how many they are, and the bits of each."""
+    bits = max(1, int(data.max()).bit_length())
+    several, n = max(1, 64 // bits), len(data)
+    wide = np.concatenate((data.astype(np.uint64), np.zeros(several, np.uint64)))
+    key = np.zeros(n, np.uint64)
+    for k in range(several):
+        key = key << np.uint64(bits) | wide[k : k + n]
+    return key, several, bits
+
+
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the suffixes, sorted by their first ``depth`` values or more; data has 0 as its least value."""
     n = len(data)
-    wide = np.concatenate((data.astype(np.uint64), np.zeros(FIRST, np.uint64)))
-    key = np.zeros(n, np.uint64)
-    for k in range(FIRST):
-        key = key << np.uint64(9) | wide[k : k + n]
+    bits = n.bit_length()
+    key, h, _ = _packed(data)
     order = np.argsort(key)
-    fresh = np.append(True, key[order[1:]] != key[order[:-1]])
+    key = key[order]
+    fresh = np.append(True, key[1:] != key[:-1])
     heads = np.flatnonzero(fresh)
-    rank = np.zeros(n + 1, np.int64)
+    rank = np.zeros(n + 1, np.int32 if bits < 32 else np.int64)
     rank[n] = -1
     rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
     unsorted = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
-    h = FIRST
+    further = 2 if 3 * bits < 64 else 1  # ranks that fit one number besides a place's own
     while h < depth and len(unsorted):
         places = order[unsorted]
-        group, further = rank[places], rank[np.minimum(places + h, n)]
-        again = np.argsort(group * (n + 2) + further + 1)
-        places, group, further = places[again], group[again], further[again]
+        key = rank[places].astype(np.int64)
+        for k in range(1, further + 1):
+            key = key << bits | rank[np.minimum(places + k * h, n)].astype(np.int64) + 1
+        again = np.argsort(key)
+        places, key = places[again], key[again]
         order[unsorted] = places
-        fresh = np.append(True, (group[1:] != group[:-1]) | (further[1:] != further[:-1]))
+        fresh = np.append(True, key[1:] != key[:-1])
         heads = unsorted[fresh]
         counts = np.diff(np.append(np.flatnonzero(fresh), len(unsorted)))
         rank[places] = np.repeat(heads, counts)
         unsorted = unsorted[np.repeat(counts > 1, counts)]
-        h *= 2
+        h *= further + 1
     return order
 
 
@@ -146,14 +170,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, left: np.ndarray) -> np
     shared = np.zeros(len(heads), np.int64)
     most = np.where(before[heads] >= 0, np.minimum(left[heads], left[np.maximum(before[heads], 0)]), 0)
     active = np.flatnonzero(most > 0)
+    key, several, bits = _packed(data)
     while len(active):
-        step = np.minimum(most[active] - shared[active], 16)
-        a, b = heads[active] + shared[active], before[heads[active]] + shared[active]
-        lanes = np.arange(16)
-        same = data[np.minimum(a[:, None] + lanes, n - 1)] == data[np.minimum(b[:, None] + lanes, n - 1)]
-        run = np.minimum(np.where(same.all(axis=1), 16, same.argmin(axis=1)), step)
-        shared[active] += run
-        active = active[(run == 16) & (shared[active] < most[active])]
+        differ = key[heads[active] + shared[active]] ^ key[before[heads[active]] + shared[active]]
+        run = np.full(len(active), several)
+        odd = np.flatnonzero(differ)
+        run[odd] = sum(differ[odd] >> np.uint64(bits * k) == 0 for k in range(several))
+        shared[active] = np.minimum(shared[active] + run, most[active])
+        active = active[(run == several) & (shared[active] < most[active])]
     size = np.diff(np.append(heads, n))
     value = np.repeat(shared, size) - (np.arange(n) - np.repeat(heads, size))
     return np.maximum(value, 0)
@@ -161,11 +185,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, left: np.ndarray) -> np
 
 def window_classes(strings: list[np.ndarray], length: int) -> tuple[list[np.ndarray], int]:
     """For every string the class of each of its windows; equal windows, and no others, have the same class."""
-    data = np.zeros(sum(map(len, strings)) + len(strings), np.uint16)
+    if any(s.dtype.itemsize > 1 for s in strings):
+        ranks = np.unique(np.concatenate(strings), return_inverse=True)[1]
+        strings = np.split(ranks, np.cumsum([len(s) for s in strings])[:-1])
+    data = np.zeros(sum(map(len, strings)) + len(strings), np.uint32)
     left = np.zeros(len(data), np.int64)
     heads, at = [], 0
     for s in strings:
-        data[at : at + len(s)] = s.astype(np.uint16) + 1
+        data[at : at + len(s)] = s.astype(np.uint32) + 1
         left[at : at + len(s)] = np.arange(len(s), 0, -1)
         heads.append(at)
         at += len(s) + 1
@@ -204,10 +231,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 _BLOCK = "doc_id long, t1 long, t2 long, at int, n int, name long, whole long, repeats boolean"
 
 
-def _blocks(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def _blocks(rows: DataFrame, length: int, gram: int, words: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in scan.chunks(batch.column(3)):
+                data, off = symbols(data, off, words)
                 text, first, size, names, whole, repeats = blocks(data, off, length, gram)
                 own = [batch.column(c).slice(lo, hi - lo).take(pa.array(text)) for c in range(3)]
                 yield pa.RecordBatch.from_arrays(
@@ -225,7 +253,7 @@ def _blocks(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, _BLOCK)
 
 
-def _strings(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def _strings(rows: DataFrame, wanted: DataFrame, length: int, words: bool) -> DataFrame:
     """(name, part, parts, t1, t2, at, copies, string) of the wanted blocks, read from their texts."""
     texts = wanted.select("t1", "t2", "doc_id").distinct()
     named = texts.select(F.col("t1").alias("w1"), F.col("t2").alias("w2"), F.col("doc_id").alias("id"))
@@ -241,6 +269,7 @@ def _strings(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             t1, t2, lists = (batch.column(c).to_pylist() for c in ("t1", "t2", "blocks"))
             for lo, hi, data, off in scan.chunks(batch.column("text")):
+                data, off = symbols(data, off, words)
                 out = [
                     (b["name"], b["part"], b["parts"], t1[k], t2[k], b["at"], b["copies"], data[a : a + b["n"] - 1 + length].tobytes())
                     for k in range(lo, hi)
@@ -257,7 +286,7 @@ def _strings(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 _SHARD = "shard long, name long, parts int, t1 long, t2 long, at int, again binary, digests binary, classes binary"
 
 
-def _shards(strings: DataFrame, length: int, shard_bytes: int, shards: int) -> DataFrame:
+def _shards(strings: DataFrame, length: int, shard_bytes: int, shards: int, words: bool) -> DataFrame:
     """One row per string: which windows are known to occur again, and digests of the windows where the name has several shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +299,7 @@ def _shards(strings: DataFrame, length: int, shard_bytes: int, shards: int) -> D
         def flush() -> pa.RecordBatch:
             nonlocal shard
             shard += 1
-            texts = [np.frombuffer(r["string"], np.uint8) for r in held]
+            texts = [np.frombuffer(r["string"], np.uint64 if words else np.uint8) for r in held]
             classes, n = window_classes(texts, length)
             copies = np.repeat([r["copies"] for r in held], [len(c) for c in classes])
             total = np.bincount(np.concatenate(classes), copies, n)
@@ -368,14 +397,14 @@ def _spans(shards: DataFrame, found: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, split: int = SPLIT
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, split: int = SPLIT, words: bool = False
 ) -> DataFrame:
-    """(t1, t2, spans): byte runs of every text that has any; they may overlap."""
+    """(t1, t2, spans): runs of bytes, or of words, of every text that has any; they may overlap."""
     if not 0 < gram < length:
         raise ValueError("the gram must be shorter than the string")
     spark = docs.sparkSession
-    save, rows = _Steps(spark), _rows(docs)
-    found = save(_blocks(rows, length, gram))
+    save, rows, width = _Steps(spark), _rows(docs), 8 if words else 1
+    found = save(_blocks(rows, length, gram, words))
     several = found.groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.max("repeats").alias("r")).where("c > 1 OR r").select("name")
     candidates = save(found.join(several, "name", "left_semi"))
     variants = save(
@@ -385,7 +414,7 @@ def repeated_spans(
     )
     settled = candidates.join(variants.where("copies > 1").select("name", "whole"), ["name", "whole"], "left_semi")
     whole_spans = settled.select("t1", "t2", F.col("at").alias("from"), (F.col("at") + F.col("n") - 1 + length).alias("to")).distinct()
-    size = F.sum(F.col("one.n") + length).alias("bytes")
+    size = F.sum((F.col("one.n") + length) * width).alias("bytes")
     names = variants.groupBy("name").agg(F.count(F.lit(1)).alias("strings"), F.max("repeats").alias("any_repeats"), size)
     parts = F.greatest(F.ceil(F.col("strings") / split), F.least(F.col("strings"), F.ceil(F.col("bytes") / (2 * shard_bytes))))
     names = names.where("strings > 1 OR any_repeats").withColumn("parts", parts.cast("int"))
@@ -393,9 +422,9 @@ def repeated_spans(
     mixed = variants.join(names, "name").select("name", part.alias("part"), "parts", "copies", "one.*")
     mixed = save(mixed)
     # Sorting suffixes is dear beside their bytes, so there are as many tasks as shards, whatever the bytes.
-    size = mixed.agg(F.sum(F.col("n") - 1 + length).alias("size")).first()["size"] or 0
+    size = mixed.agg(F.sum((F.col("n") - 1 + length) * width).alias("size")).first()["size"] or 0
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // (TASK_SHARDS * shard_bytes)))
-    shards = save(_shards(_strings(rows, mixed, length), length, shard_bytes, tasks))
+    shards = save(_shards(_strings(rows, mixed, length, words), length, shard_bytes, tasks, words))
     spans = whole_spans.unionByName(_spans(shards, _merged(shards), length))
     return spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
@@ -411,8 +440,8 @@ def united(spans: list[dict], size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
-def _marked(docs: DataFrame, settings: dict) -> DataFrame:
-    return _rows(docs).join(repeated_spans(docs, **settings), ["t1", "t2"], "left").select("doc_id", "text", "spans")
+def _marked(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    return _rows(docs).join(spans, ["t1", "t2"], "left").drop("t1", "t2")
 
 
 def _kept_parts(data: np.ndarray, off: np.ndarray, lists: list, first: int) -> Iterator[tuple[int, list[tuple[int, int]], bytes]]:
@@ -438,22 +467,27 @@ def remove_repeats(docs: DataFrame, **settings) -> DataFrame:
                 kept = [rest for _, _, rest in _kept_parts(data, off, lists, lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(kept, pa.binary())], ["doc_id", "kept"])
 
-    return _marked(docs, settings).mapInArrow(run, "doc_id long, kept binary")
+    return _marked(docs, repeated_spans(docs, **settings)).mapInArrow(run, "doc_id long, kept binary")
 
 
-def removal(docs: DataFrame, **settings) -> DataFrame:
-    """Sizes, removed bytes and runs, and the digest of the remaining bytes, of every row."""
+def removal(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM, **settings
+) -> DataFrame:
+    """Sizes, removed bytes and runs, the digest of the remaining bytes, and the words in repeated passages, of every row."""
+    spans = repeated_spans(docs, length, gram, **settings)
+    passages = repeated_spans(docs, passage, passage_gram, words=True, **settings).withColumnRenamed("spans", "passages")
+    marked = _marked(docs, spans.join(passages, ["t1", "t2"], "full"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2).to_pylist()
+            lists, passages = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for lo, hi, data, off in scan.chunks(batch.column(1)):
                 got = [
-                    (n, sum(b - a for a, b in gone), len(gone), hashlib.sha256(rest).hexdigest())
-                    for n, gone, rest in _kept_parts(data, off, lists, lo)
+                    (n, sum(b - a for a, b in gone), len(gone), hashlib.sha256(rest).hexdigest(), sum(b - a for a, b in united(told or [], n)))
+                    for (n, gone, rest), told in zip(_kept_parts(data, off, lists, lo), passages[lo:hi])
                 ]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
                 columns = [pa.array(c, t) for c, t in zip(zip(*got), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], RESULT.replace(",", "").split()[::2])
 
-    return _marked(docs, settings).mapInArrow(run, RESULT)
+    return marked.mapInArrow(run, RESULT)

@@ -207,6 +207,33 @@ def test_rows_that_repeat_send_their_strings_once(spark, monkeypatch):
     assert sent[0] < 150
 
 
+def brute_repeated_words(texts, passage):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
+    seen = collections.Counter(tuple(w[i : i + passage]) for w in words for i in range(len(w) - passage + 1))
+    out = []
+    for w in words:
+        at = {j for i in range(len(w) - passage + 1) if seen[tuple(w[i : i + passage])] > 1 for j in range(i, i + passage)}
+        out.append(len(at))
+    return out
+
+
+def test_repeated_words(docs):
+    texts = [r["text"] for r in docs.select("text").collect()]
+    want = dict(zip(texts, brute_repeated_words(texts, 12)))
+    assert any(want.values())
+    got = suffix_dedup.removal(docs, passage=12, passage_gram=5, split=2, shard_bytes=300)
+    checked(got, docs, ("n_repeated_words",), lambda t: (want[t],))
+
+
+def test_passages_shorter_than_a_removed_string(spark):
+    """A passage of over 50 words in two texts is told, though no 400 bytes of it can go."""
+    passage = " ".join(random.Random(5).choices(["la", "de", "osci", "quene", "unas"], k=55))
+    rows = [row(1, prose(1, 80) + " " + passage + " " + prose(2, 80)), row(2, prose(3, 60) + " " + passage.upper()), row(3, prose(4, 200)), row(4, None)]
+    got = {r["doc_id"]: r for r in suffix_dedup.removal(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(passage) < 400 and all(r["n_removed"] == 0 for r in got.values())
+    assert {k: r["n_repeated_words"] for k, r in got.items()} == {1: 55, 2: 55, 3: 0, 4: 0}
+
+
 def test_remove_repeats(docs, empty):
     digests = {r["kept_sha256"] for r in suffix_dedup.removal(docs).collect()}
     kept = suffix_dedup.remove_repeats(docs).collect()
