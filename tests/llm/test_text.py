@@ -648,3 +648,37 @@ def test_pairs_seen_more_than_65535_times(spark):
     words = counts.toArrow().column("symbol").to_numpy().view(np.uint64)
     got = suffix_tree._next_of_known(docs, key, np.sort(words), 1, 4, 1, suffix_tree.held_out).collect()
     assert [r["n"] for r in got] == [9000 * len(learnt)] and 9000 * len(learnt) > 65535
+
+
+def test_filters_and_bounds(spark):
+    """A filter stops none of its keys and few others; a bound is reached by as many rows as may be."""
+    r = np.random.default_rng(6)
+    keys = r.integers(0, 1 << 64, 40_000, np.uint64)
+    held = suffix_tree.key_filter(spark.createDataFrame([(int(k),) for k in keys[:20_000].view(np.int64)], "key long"), "key")
+    assert held.passes(keys[:20_000]).all() and held.passes(keys[20_000:]).mean() < 0.1
+    assert not suffix_tree.key_filter(spark.createDataFrame([], "key long"), "key").passes(keys).any()
+    table = spark.createDataFrame([(n,) for n in range(1, 101) for _ in range(1 + (n == 50))], "n long")
+    assert [suffix_tree.least_of(table, "n", most) for most in (0, 1, 10, 1000)] == [1 << 62, 1 << 62, 91, 0]
+
+
+def test_what_tasks_dont_hold_is_sent_packed(docs, monkeypatch):
+    """Words beyond the head, contexts and symbols are picked by their own counts; what others hold comes back as one sum for a row.
+
+    Before, the head had only words with 1 / ``head`` of all symbols, a context was held with all its symbols, and each place was joined by itself.
+    """
+    counts = durable(suffix_tree.count_symbols(docs))
+    tree = suffix_tree.grow(docs, counts, head=40, few=30)
+    numbers = sorted((x["n"] for x in counts.collect()), reverse=True)
+    assert not tree.whole_head and 30 <= len(tree.head) <= 40 and sorted(tree.head_counts, reverse=True) == numbers[: len(tree.head)]
+    hot = suffix_tree.hottest(tree, 60, suffix_tree.MIN_COUNT)
+    times = sorted([x["size"] for x in tree.contexts.collect()] + [x["n"] for x in tree.pairs.collect()], reverse=True)
+    held = len(hot.keys) + len(hot.pairs)
+    assert 40 <= held <= 60 < len(times) and hot.least == times[held - 1]
+    asked = []
+    far_sums = suffix_tree._far_sums
+    monkeypatch.setattr(suffix_tree, "_far_sums", lambda a, table, bits: asked.append((a, table, bits)) or far_sums(a, table, bits))
+    scored = suffix_tree.score(docs, tree, counts, hot=60)
+    ((lookups, table, bits),) = asked
+    assert lookups.count() <= docs.rdd.getNumPartitions() << bits and table.count() == len(times) - held
+    changes = far_sums(lookups, table, bits).collect()
+    assert len({x["row"] for x in changes}) == len(changes) <= scored.count() == docs.count()
