@@ -389,3 +389,33 @@ def test_lines_stay_by_their_row_where_parameters_are_many(spark, monkeypatch):
         assert lies_by(scorers._looked_up(rows, parameters), ["row_id"], 3)
     laid = scorers.bag_lines(colocated(spark.createDataFrame(encoded_rows(40, 1), ENCODED), ["row_id"], parts=3), SCORED)
     assert parts_by(laid, ["row_id"]) == 3 and parts_by(lines, ["row_id"]) is None
+
+
+@pytest.mark.parametrize("most", [0, 24 * 60, 1 << 20])
+def test_a_step_computes_rows_as_lists(spark, monkeypatch, most):
+    """Gradients and scores are those of windows over lines, for ids held by tasks and ids looked up, rows that come twice and values that are NULL.
+
+    Before, each step sorted all lines of a batch by row and feature.
+    """
+    line = "row_id long, name string, idx long, share double, label double"
+    rng = random.Random(8)
+    rows = [(k % 70, n, rng.randrange(30 if n == "few" else 400), rng.random(), float(k % 2)) for k in range(160) for n in ("few", "few", "many", "many")]
+    rows += [(k % 70, "", 0, 1.0, float(k % 2)) for k in range(160)] + [(3, "many", None, 0.5, 1.0), (4, "few", 1, None, 0.0), (5, None, 1, 0.5, 1.0)]
+    lines = colocated(spark.createDataFrame(rows, line), ["row_id"], parts=3)
+    keys = lines.select("name", "idx").distinct().where("name <> 'few' OR idx <> 7")
+    start = scorers.initial_parameters(keys, 2).withColumn("w", F.coalesce(F.col("idx") % 7, F.lit(0)) * 0.1)
+    parameters = durable(start)
+    monkeypatch.setattr(scorers, "HELD_BYTES", most)
+    seen = scorers._forward(lines, parameters, 2, 3)
+    want = {r["row_id"]: (r["first_order"], r["second_order"]) for r in seen.collect()}
+    got = {r["row_id"]: (r["first_order"], r["second_order"]) for r in scorers.scores(lines, parameters, 2, 3).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    err = (1 / (1 + F.exp(-F.col("first_order") - F.col("second_order"))) - F.col("label")) * F.col("share")
+    rest = [F.when(F.col("name") == "", 0.0).otherwise(err * (F.col(f"t{k}") - F.col(f"e{k}")) / 3) for k in range(2)]
+    summed = seen.groupBy("name", "idx").agg(F.sum(err).alias("gw"), *[F.sum(r).alias(f"g{k}") for k, r in enumerate(rest)])
+    values = lambda df: {(r["name"], r["idx"]): (r["gw"], r["g0"], r["g1"]) for r in df.collect() if r["name"] is not None and r["idx"] is not None and r["gw"] is not None}
+    steps = scorers._gradients(lines, parameters, 2, 3)
+    have, told = values(steps), values(summed)
+    assert have.keys() == told.keys() and all(have[k] == pytest.approx(told[k], abs=1e-9) for k in told)
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan and ("posexplode" in plan) == (most < 1 << 20)
